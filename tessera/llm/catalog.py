@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from tessera.llm import exact_dedup, mixing
+from tessera.llm import exact_dedup, media, mixing, packing, simhash
 
 QUERIES = {
+    "op1_media_fingerprints": media.op1_media_fingerprints,
+    "op6_pack": packing.op6_pack,
+    "op8_simhash": simhash.op8_simhash,
     "op9_mix_sources": mixing.op9_mix_sources,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
