@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from tessera.llm import exact_dedup, media, mixing, packing, simhash
+from tessera.llm import exact_dedup, html_text, language, licenses, media, mixing, packing, simhash, warc
 
 QUERIES = {
     "op1_media_fingerprints": media.op1_media_fingerprints,
+    "op2_main_text": html_text.op2_main_text,
+    "op3_language_id": language.op3_language_id,
+    "op4_license_scan": licenses.op4_license_scan,
     "op6_pack": packing.op6_pack,
+    "op7_warc_revisits": warc.op7_warc_revisits,
     "op8_simhash": simhash.op8_simhash,
     "op9_mix_sources": mixing.op9_mix_sources,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 
-ORACLE_SQL = {**exact_dedup.SQL, **mixing.SQL}
+ORACLE_SQL = {**exact_dedup.SQL, **licenses.SQL, **mixing.SQL, **warc.SQL}
