@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tessera.llm import exact_dedup, html_text, language, licenses, media, mixing, packing, simhash, warc
+from tessera.llm import exact_dedup, html_text, language, licenses, media, mixing, packing, simhash, suffixes, warc
 
 QUERIES = {
     "op1_media_fingerprints": media.op1_media_fingerprints,
     "op2_main_text": html_text.op2_main_text,
     "op3_language_id": language.op3_language_id,
     "op4_license_scan": licenses.op4_license_scan,
+    "op5_remove_repeats": suffixes.op5_remove_repeats,
     "op6_pack": packing.op6_pack,
     "op7_warc_revisits": warc.op7_warc_revisits,
     "op8_simhash": simhash.op8_simhash,
