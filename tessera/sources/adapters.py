@@ -27,7 +27,7 @@ def _companies(t) -> DataFrame:
 def _edges(t) -> DataFrame:
     lines = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
     return lines.join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey")).selectExpr(
-        "l_orderkey * 8 + l_linenumber AS id", "o_custkey AS corp_code", "l_suppkey AS partner_id", "s_name AS partner_name",
+        "((l_orderkey * 8 + l_linenumber) * 100000 + l_partkey) * 1000 + l_suppkey % 1000 AS id", "o_custkey AS corp_code", "l_suppkey AS partner_id", "s_name AS partner_name",
         "CASE l_returnflag WHEN 'R' THEN 'customer' WHEN 'A' THEN 'supplier' ELSE 'partner' END AS relation",
         "year(l_shipdate) AS period", "CAST(floor(l_discount * 1000 + 0.5) AS BIGINT) AS pct",
         "concat('share ', CAST(floor(l_discount * 1000 + 0.5) AS BIGINT), '% of sales') AS context",
@@ -80,7 +80,7 @@ def _comparisons(t) -> DataFrame:
 
 def _leads(t) -> DataFrame:
     return t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).selectExpr(
-        "l_orderkey * 8 + l_linenumber AS id", "o_custkey AS corp_code", "l_orderkey * 10 AS comparison_id",
+        "((l_orderkey * 8 + l_linenumber) * 100000 + l_partkey) * 1000 + l_suppkey % 1000 AS id", "o_custkey AS corp_code", "l_orderkey * 10 AS comparison_id",
         "element_at(array('strategy', 'numeric', 'risk', 'supply', 'market'), month(l_shipdate) % 5 + 1) AS lead_type",
         "1 + l_linenumber % 5 AS severity",
         "CASE l_returnflag WHEN 'N' THEN 'new' WHEN 'A' THEN 'used' ELSE 'archived' END AS status",
@@ -167,7 +167,7 @@ SELECT c_custkey AS corp_code, c_name AS corp_name, c_mktsegment AS sector, r_na
   'https://www.' || lower(replace(c_name, '#', '-')) || '.example.com/ir' AS hm_url, floor(c_acctbal)::BIGINT AS equity
 FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""",
     "edges": """
-SELECT l_orderkey * 8 + l_linenumber AS id, o_custkey AS corp_code, l_suppkey AS partner_id, s_name AS partner_name,
+SELECT ((l_orderkey * 8 + l_linenumber) * 100000 + l_partkey) * 1000 + l_suppkey % 1000 AS id, o_custkey AS corp_code, l_suppkey AS partner_id, s_name AS partner_name,
   CASE l_returnflag WHEN 'R' THEN 'customer' WHEN 'A' THEN 'supplier' ELSE 'partner' END AS relation,
   year(l_shipdate)::INT AS period, floor(l_discount * 1000 + 0.5)::BIGINT AS pct,
   'share ' || floor(l_discount * 1000 + 0.5)::BIGINT || '% of sales' AS context
@@ -196,7 +196,7 @@ SELECT o_orderkey * 10 AS id, o_custkey AS corp_code, o_orderkey AS report_id_a,
   CASE WHEN o_orderkey % 3 = 0 THEN 'flash' ELSE 'pro' END AS model, CASE WHEN o_orderkey % 10 = 0 THEN 'error' ELSE 'ok' END AS status,
   CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE 'new ' || o_orderpriority || ' expanded' END AS result, o_orderdate AS analyzed_at FROM orders""",
     "leads": """
-SELECT l_orderkey * 8 + l_linenumber AS id, o_custkey AS corp_code, l_orderkey * 10 AS comparison_id,
+SELECT ((l_orderkey * 8 + l_linenumber) * 100000 + l_partkey) * 1000 + l_suppkey % 1000 AS id, o_custkey AS corp_code, l_orderkey * 10 AS comparison_id,
   (['strategy', 'numeric', 'risk', 'supply', 'market'])[month(l_shipdate) % 5 + 1] AS lead_type, 1 + l_linenumber % 5 AS severity,
   CASE l_returnflag WHEN 'N' THEN 'new' WHEN 'A' THEN 'used' ELSE 'archived' END AS status,
   CASE l_linestatus WHEN 'O' THEN NULL ELSE 'partial' END AS news_status, 'lead ' || l_partkey AS title, trunc(l_quantity)::INT AS signal_count,
