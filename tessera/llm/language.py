@@ -197,8 +197,8 @@ def fit(
 
 
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """docs' rows with lang_pred and score; doc_id and text are the only columns that stay."""
-    schema = T.StructType([docs.schema["doc_id"], docs.schema["text"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    """doc_id, lang_pred, score; one row for each row of docs."""
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,7 +206,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
         for batch in batches:
             found = [own.predict(t.as_py()) for t in batch.column("text")]
             arrays = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), *arrays], names=schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays], names=schema.names)
 
     return docs.select("doc_id", "text").mapInArrow(task, schema)
 
