@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.plans import aggregates, graph, joins, text, views
+from tessera.plans import aggregates, graph, joins, leads, text, views
 from tessera.plans.registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "aggregates", "graph", "joins", "text", "views"]
+__all__ = ["ORACLE_SQL", "QUERIES", "aggregates", "graph", "joins", "leads", "text", "views"]
