@@ -18,7 +18,9 @@ def detect(docs: DataFrame, rules: DataFrame, key: str = "doc_id") -> DataFrame:
     """
     body = F.lower("text")
     has = lambda c, words: F.filter(words, lambda w: F.contains(c, w))
-    rows = docs.select(key, "source", "text").join(F.broadcast(rules), F.exists("keywords", lambda k: F.contains(body, k)))
+    every = rules.agg(F.collect_list(F.struct(*rules.columns)).alias("rules"))  # one row
+    rows = docs.select(key, "source", "text").join(F.broadcast(every))
+    rows = rows.select(key, "source", "text", F.inline(F.filter("rules", lambda r: F.exists(r["keywords"], lambda k: F.contains(body, k)))))
     rows = rows.withColumn("keywords", has(body, F.col("keywords")))
     rows = rows.withColumn("evidence", text.evidence(F.col("text"), F.get("keywords", F.lit(0))))
     kept = rows.filter(
