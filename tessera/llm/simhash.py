@@ -33,7 +33,7 @@ from tessera.llm.common import durable, table, text_or_empty
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
 #: Classes of the sample that the tree is built from, its leaves at most, and classes a leaf is meant for.
-SAMPLE, MOST_SHARDS, SHARD = 65_536, 4_096, 20_000
+SAMPLE, MOST_SHARDS, SHARD = 65_536, 4_096, 2_500
 #: Fingerprints that are compared outright.
 BLOCK = 384
 #: Bytes of text hashed at once.
