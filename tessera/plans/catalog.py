@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.plans import aggregates, graph, joins, leads, sources, text, views, writes
+from tessera.plans import aggregates, graph, joins, leads, sources, streams, text, views, writes
 from tessera.plans.registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "aggregates", "graph", "joins", "leads", "sources", "text", "views", "writes"]
+__all__ = ["ORACLE_SQL", "QUERIES", "aggregates", "graph", "joins", "leads", "sources", "streams", "text", "views", "writes"]
