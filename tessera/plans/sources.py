@@ -91,6 +91,21 @@ def _(t):
     return landing.parse_rules(rows).select(F.col("r")["code"].alias("code"), F.col("r")["label"].alias("label"))
 
 
+@query("src_office_docs", "SELECT 'p' || p_partkey AS path, p_name || chr(10) || 'end' AS text FROM part")
+def _(t):
+    @F.pandas_udf("binary")
+    def word(names: pd.Series) -> pd.Series:
+        def one(name: str) -> bytes:
+            out = io.BytesIO()
+            with zipfile.ZipFile(out, "w") as z:
+                z.writestr("word/document.xml", f"<w:document><w:body><w:p><w:r><w:t>{name}</w:t></w:r></w:p><w:p></w:p><w:p><w:t>end</w:t></w:p></w:body></w:document>")
+            return out.getvalue()
+
+        return names.map(one)
+
+    return landing.docx_texts(t.part.select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("path"), word("p_name").alias("content")))
+
+
 @query("src_zip_document", "SELECT 'p' || p_partkey AS path, 'Title ' || p_name || ' body &' AS text FROM part")
 def _(t):
     @F.pandas_udf("binary")

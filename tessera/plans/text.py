@@ -326,6 +326,12 @@ def _(t):
     return bm25(t.documents, ["thtion", "heed", "the"]).withColumn("score", F.round("score", 6))
 
 
+@query("srt_relevance", "SELECT doc_id, n FROM (SELECT doc_id, len(regexp_extract_all(lower(text), 'heed')) AS n FROM documents) WHERE n > 0 ORDER BY n DESC, doc_id LIMIT 20")
+def _(t):
+    rows = t.documents.select("doc_id", F.regexp_count(F.lower("text"), F.lit("heed")).cast("long").alias("n")).filter("n > 0")
+    return rows.orderBy(F.desc("n"), "doc_id").limit(20)
+
+
 @query("txt_search_page", "SELECT doc_id, source FROM documents WHERE contains(lower(text), 'of the') ORDER BY doc_id LIMIT 20")
 def _(t):
     return t.documents.filter(F.contains(F.lower("text"), F.lit("of the"))).orderBy("doc_id").limit(20).select("doc_id", "source")

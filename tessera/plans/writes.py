@@ -157,3 +157,20 @@ def _(t):
 @query("sink_sector_json", "SELECT sector, relation, count(*) AS n FROM edges JOIN companies USING (corp_code) GROUP BY 1, 2")
 def _(t):
     return t.edges.join(t.companies, "corp_code").groupBy("sector", "relation").agg(F.count("*").alias("n"))
+
+
+@query("sink_txt_tree", "SELECT lang, source, count(*) AS texts, sum(length(text))::BIGINT AS chars FROM documents WHERE length(text) < 2000 AND NOT contains(text, chr(10)) GROUP BY 1, 2")
+def _(t):
+    from tessera.sources.sinks import round_trip, write_text_tree
+
+    rows = t.documents.filter(r"length(text) < 2000 AND NOT contains(text, '\n')")
+    tree = round_trip(rows, lambda df, path: write_text_tree(df, path, ["lang", "source"]), lambda spark, path: spark.read.text(path))
+    return tree.groupBy("lang", "source").agg(F.count("*").alias("texts"), F.sum(F.length("value")).alias("chars"))
+
+
+@query("sink_jsonl", "SELECT report_type, id, n_chars FROM reports WHERE n_chars > 3000")
+def _(t):
+    from tessera.sources.sinks import round_trip, write_jsonl
+
+    rows = t.reports.filter("n_chars > 3000").select("report_type", "id", "n_chars")
+    return round_trip(rows, lambda df, path: write_jsonl(df, path, ["report_type"]), lambda spark, path: spark.read.schema("id LONG, n_chars LONG, report_type STRING").json(path))

@@ -96,6 +96,23 @@ def zip_texts(files: DataFrame, most: int = 64 << 20) -> DataFrame:
     return files.select("path", "content").mapInPandas(unpack, "path string, raw string").select("path", strip_html(F.col("raw")).alias("text"))
 
 
+def docx_texts(files: DataFrame) -> DataFrame:
+    """path, text of Word files: paragraphs of the document part."""
+
+    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            texts = []
+            for content in batch["content"]:
+                with zipfile.ZipFile(io.BytesIO(content)) as z:
+                    texts.append(z.read("word/document.xml").decode("utf-8"))
+            yield pd.DataFrame({"path": batch["path"], "raw": texts})
+
+    raw = files.select("path", "content").mapInPandas(unpack, "path string, raw string")
+    paragraphs = F.regexp_extract_all("raw", F.lit(r"(?s)<w:p[ >].*?</w:p>"), F.lit(0))
+    text = F.array_join(F.filter(F.transform(paragraphs, lambda p: F.regexp_replace(p, "<[^>]+>", "")), lambda p: p != ""), "\n")
+    return raw.select("path", text.alias("text"))
+
+
 def read_zip_texts(spark: SparkSession, path: str) -> DataFrame:
     return zip_texts(spark.read.format("binaryFile").load(path))
 

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.contact import is_placeholder
@@ -41,3 +45,12 @@ def write_jsonl(df: DataFrame, path: str, by: list[str] | None = None) -> None:
 def write_table(df: DataFrame, path: str) -> None:
     """A rebuilt table: all rows replaced."""
     df.write.mode("overwrite").parquet(path)
+
+
+def round_trip(df: DataFrame, write: Callable[[DataFrame, str], None], read: Callable[[SparkSession, str], DataFrame]) -> DataFrame:
+    """df through a sink and back, by way of the shared folder."""
+    spark = df.sparkSession
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='tessera-sink-')}"
+    path = f"{base.rstrip('/')}/sink-{uuid.uuid4().hex}"
+    write(df, path)
+    return read(spark, path)
