@@ -62,13 +62,13 @@ def duplicate_report(docs: DataFrame, salts: int = SALTS, digest: Callable[[Colu
 def deduplicate(docs: DataFrame, salts: int = SALTS) -> DataFrame:
     """The rows of docs that stay, with all their columns."""
     kept = duplicate_report(docs, salts).filter("kept").select("doc_id", "text_sha256").distinct()
-    marked = docs.withColumns({"__id": F.col("doc_id"), "__sha": F.sha2(text_or_empty(), 256)})
-    keep = kept.select(F.col("doc_id").alias("__keep_id"), F.col("text_sha256").alias("__keep_sha"))
-    out = marked.join(keep, F.col("__id").eqNullSafe(F.col("__keep_id")) & (F.col("__sha") == F.col("__keep_sha")), "left_semi")
+    marked = docs.withColumns({"_tessera_id": F.col("doc_id"), "_tessera_sha": F.sha2(text_or_empty(), 256)})
+    keep = kept.select(F.col("doc_id").alias("_tessera_keep_id"), F.col("text_sha256").alias("_tessera_keep_sha"))
+    out = marked.join(keep, F.col("_tessera_id").eqNullSafe(F.col("_tessera_keep_id")) & (F.col("_tessera_sha") == F.col("_tessera_keep_sha")), "left_semi")
     repeats = docs.groupBy("doc_id").count().filter("count > 1")
     if not repeats.isEmpty():
-        out = out.dropDuplicates(["__id", "__sha"])
-    return out.drop("__id", "__sha")
+        out = out.dropDuplicates(["_tessera_id", "_tessera_sha"])
+    return out.drop("_tessera_id", "_tessera_sha")
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

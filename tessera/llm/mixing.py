@@ -95,13 +95,13 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_epochs: int = M
 
 def repeat_documents(docs: DataFrame, **settings) -> DataFrame:
     """docs with each row as often as the mix takes it; all columns stay."""
-    reps = mix(docs, **settings).select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), "reps")
+    reps = mix(docs, **settings).select(F.col("doc_id").alias("_tessera_id"), F.col("source").alias("_tessera_source"), F.col("size").alias("_tessera_size"), "reps")
     reps = reps.distinct()  # rows that repeat one doc_id, source and size share a key, so they differ at the cut alone
-    reps = reps.groupBy("__id", "__source", "__size").agg(F.max("reps").alias("__reps"))
-    own = docs.withColumn("__words", F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long"))
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("__words") == F.col("__size"))
-    joined = own.join(reps, same).filter("__reps > 0")
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__reps").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    reps = reps.groupBy("_tessera_id", "_tessera_source", "_tessera_size").agg(F.max("reps").alias("_tessera_reps"))
+    own = docs.withColumn("_tessera_words", F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long"))
+    same = F.col("doc_id").eqNullSafe(F.col("_tessera_id")) & F.col("source").eqNullSafe(F.col("_tessera_source")) & (F.col("_tessera_words") == F.col("_tessera_size"))
+    joined = own.join(reps, same).filter("_tessera_reps > 0")
+    return joined.withColumn("_tessera_copy", F.explode(F.sequence(F.lit(1), F.col("_tessera_reps").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -288,8 +288,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
 
 def deduplicate(docs: DataFrame, **settings) -> DataFrame:
     """The rows of docs whose doc_id names their component, with all their columns; rows without an id stay."""
-    keep = near_duplicates(docs, **settings).filter("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(keep, F.col("doc_id") == F.col("__id"), "left_semi").unionAll(docs.filter("doc_id IS NULL"))
+    keep = near_duplicates(docs, **settings).filter("doc_id = component_id").select(F.col("doc_id").alias("_tessera_id")).distinct()
+    return docs.join(keep, F.col("doc_id") == F.col("_tessera_id"), "left_semi").unionAll(docs.filter("doc_id IS NULL"))
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
