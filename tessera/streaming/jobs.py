@@ -74,7 +74,8 @@ def rolling_counts(events: DataFrame, length: str, step: str, *keys: str) -> Dat
 def mark_repeats(events: DataFrame, hours: int = 24) -> DataFrame:
     """event_id, user_id, repeat: whether the user's event before it is less than ``hours`` old.
 
-    State is one time a user, and goes when it is too old to matter.
+    State is one time a user, and goes when it is too old to matter. Rows of times up to
+    1970-01-01 00:00 UTC, where the watermark begins, are late from the start and go.
     """
 
     def mark(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:

@@ -168,9 +168,9 @@ def test_stream_state_goes_on_over_batches(spark, tmp_path):
     def land(*events):
         spark.createDataFrame([(i, u, s) for i, u, s in events], "event_id long, user_id long, s long").select("event_id", "user_id", F.timestamp_seconds("s").alias("ts")).coalesce(1).write.mode("append").parquet(source)
 
-    hour = 3600
-    land((1, 7, 0), (2, 7, hour), (3, 8, 0))
-    land((4, 7, 2 * hour), (5, 8, 30 * hour))
+    start, hour = 1704067200, 3600
+    land((1, 7, start), (2, 7, start + hour), (3, 8, start), (6, 9, 0))  # 6: the watermark begins at the epoch
+    land((4, 7, start + 2 * hour), (5, 8, start + 30 * hour))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
     got = {r["event_id"]: r["repeat"] for r in jobs.run_backlog(jobs.mark_repeats(stream)).collect()}
     assert got == {1: False, 2: True, 3: False, 4: True, 5: False}
