@@ -2,7 +2,9 @@
 
 Each page becomes a DOM tree with implied end tags. Elements that are not article text by
 their tag, role or class (menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles, reader comments) are cut first. For every node that stays, with C
+scripts, styles, reader comments) are cut first, save where one holds an article or main
+element, or, with no such element outside it, most of the text: there density decides. For
+every node that stays, with C
 characters, T tags, LC link characters and LT link tags below it,
 
     density = C / T * log(C / LC * T / LT) / log(ln(C / (C - LC) * LC + LCb / Cb * C + e))
@@ -41,10 +43,17 @@ BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 CUT_TAGS = frozenset("aside button canvas dialog footer form head header iframe input nav noscript object option script select style svg template textarea title".split())
+#: Cut tags that may be wrapped around an article.
+SOFT_TAGS = frozenset("aside dialog footer form header nav".split())
 CUT_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
 CUT_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer disqus footer header masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted related share sharing sidebar social sponsor sponsored subscribe subscription toolbar widget".split()
 )
+COMMENTS = frozenset("comment comments disqus".split())
+#: First and last parts of class and id tokens: not-cut modifiers before a cut name, an article's own parts, and boxes after a cut name.
+MODIFIERS = frozenset("has hide is no not show with without".split())
+OWN_PARTS = frozenset("article content entry post story".split())
+BOXES = frozenset("area articles bar block box buttons form inner item items left links list news posts right section slot stories text unit".split())
 #: Start tags that end an open element of these kinds, unless a tag of the second set stands between.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "a": ({"a"}, {"td", "table"})}
 P_SCOPE = frozenset("body button caption html object table td th template".split())
@@ -52,30 +61,60 @@ NAME = re.compile(r"[A-Za-z]+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "cut", "chars", "tags", "link_chars", "link_tags", "density", "score")
+    __slots__ = ("tag", "parent", "parts", "cut", "soft", "chars", "tags", "link_chars", "link_tags", "density", "score")
 
-    def __init__(self, tag: str, parent: Node | None, cut: bool):
-        self.tag, self.parent, self.cut, self.parts = tag, parent, cut, []
+    def __init__(self, tag: str, parent: Node | None, cut: bool, soft: str = ""):
+        self.tag, self.parent, self.cut, self.soft, self.parts = tag, parent, cut, soft, []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.score = 0.0
 
 
-def is_cut(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
-    if tag in CUT_TAGS:
-        return True
+def named_cut(word: str) -> str:
+    """The cut name that a class or id token is, ends with, or begins with before a box; empty if there is none."""
+    parts = [x.lower() for x in NAME.findall(word) if len(x) > 1]
+    if not parts or len(parts) > 1 and parts[0] in MODIFIERS:
+        return ""
+    if parts[-1] in CUT_NAMES and not (parts[-1] == "header" and len(parts) > 1 and parts[-2] in OWN_PARTS):
+        return parts[-1]
+    return parts[0] if parts[0] in CUT_NAMES and parts[-1] in BOXES else ""
+
+
+def cut_by(tag: str, attrs: list[tuple[str, str | None]]) -> tuple[bool, str]:
+    """Whether an element is cut in any case, and else the reason to cut it unless it is wrapped around the article."""
+    if tag in CUT_TAGS and tag not in SOFT_TAGS:
+        return True, ""
     if tag in ("html", "body", "main"):
-        return False
+        return False, ""
+    soft = tag if tag in SOFT_TAGS else ""
     for name, value in attrs:
         if name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
+            return True, ""
         if name == "role" and value and value.lower() in CUT_ROLES:
-            return True
+            soft = soft or "role"
         if name in ("class", "id") and value:
             for word in value.split():
-                found = {x.lower() for x in NAME.findall(word)}
-                if found & CUT_NAMES and (tag != "article" or found & {"comment", "comments", "ad", "advert"}):
-                    return True
-    return False
+                found = named_cut(word)
+                if found and (tag != "article" or found in ("comment", "comments", "ad", "advert")):
+                    soft = found if found in COMMENTS else soft or found
+    return False, soft
+
+
+def settle_cuts(nodes: list[Node]) -> None:
+    """Cut what has a reason for it and is not wrapped around the article."""
+    text, holds = {id(n): 0 for n in nodes}, {id(n): 0 for n in nodes}
+    for n in reversed(nodes):
+        if n.cut:
+            continue
+        text[id(n)] += sum(len(x.strip()) for x in n.parts if isinstance(x, str)) if n.tag != "a" else 0
+        text[id(n)] = 0 if n.tag == "a" else text[id(n)]
+        if n.parent is not None:
+            text[id(n.parent)] += text[id(n)]
+            if not (n.tag == "article" and n.soft):  # a comment or advert, with what it holds
+                holds[id(n.parent)] += holds[id(n)] + (n.tag in ("article", "main"))
+    body = nodes[0]
+    for n in nodes[1:]:
+        wraps = holds[id(n)] and not (n.tag == "article") or n.soft not in COMMENTS and holds[id(body)] == 0 and 2 * text[id(n)] > text[id(body)]
+        n.cut = n.cut or n.parent.cut or bool(n.soft) and not wraps
 
 
 class TreeBuilder(HTMLParser):
@@ -101,7 +140,8 @@ class TreeBuilder(HTMLParser):
             self._close({"p"}, P_SCOPE)
         if tag in ENDS:
             self._close(*ENDS[tag])
-        node = Node(tag, self.open[-1], self.open[-1].cut or is_cut(tag, attrs))
+        node = Node(tag, self.open[-1], *cut_by(tag, attrs))
+        node.cut = node.cut or self.open[-1].cut
         self.open[-1].parts.append(node)
         self.nodes.append(node)
         if tag not in VOID:
@@ -219,6 +259,7 @@ def main_text(html: str | None) -> str:
     builder = TreeBuilder()
     builder.feed(html or "")
     builder.close()
+    settle_cuts(builder.nodes)
     weigh(builder.nodes)
     return "\n\n".join(blocks(content(builder.nodes)))
 
