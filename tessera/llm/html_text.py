@@ -13,9 +13,11 @@ where b is the body and zero counts are one. The score of a node is the sum of i
 children's densities. Nodes are block elements: inline ones count as tags of their block.
 The node with the greatest score holds the article; the smallest density on the path from
 the body to it is the threshold. Starting at the body, every child at or over the threshold
-is main text; other children are searched in the same way. Of such a child the article or
-main element around its best-scored node is taken, else the child itself, or, where a third
-of it is links, its best-scored node alone.
+is main text; other children are searched in the same way. Strings and inline elements that
+stand directly in a searched node are blocks of their own, by run or, where under a third of them
+is links, all runs of the node as one. Of such a child the main element around its best-scored
+node is taken, or its articles where that node is in one, else the child itself; where a third
+of it is links, it is searched like others, and its best-scored node is taken in any case.
 
 Behaviour: null html counts as empty; a page without text gives an empty string. Character
 references are decoded, white space within a block is one space, blocks are joined in page
@@ -61,12 +63,13 @@ NAME = re.compile(r"[A-Za-z]+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "cut", "soft", "chars", "tags", "link_chars", "link_tags", "density", "score")
+    __slots__ = ("tag", "parent", "parts", "cut", "soft", "chars", "tags", "link_chars", "link_tags", "density", "score", "blocky")
 
     def __init__(self, tag: str, parent: Node | None, cut: bool, soft: str = ""):
         self.tag, self.parent, self.cut, self.soft, self.parts = tag, parent, cut, soft, []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.score = 0.0
+        self.blocky = tag in BLOCKS
 
 
 def named_cut(word: str) -> str:
@@ -160,6 +163,13 @@ class TreeBuilder(HTMLParser):
         self.open[-1].parts.append(data)
 
 
+def density(n: Node, links: float) -> float:
+    """The composite density of a node with characters; links: the share of link characters in the body."""
+    c, t, lc, lt = n.chars, max(n.tags, 1), max(n.link_chars, 1), max(n.link_tags, 1)
+    base = math.log(math.log(c / max(c - lc, 1) * lc + links * c + math.e))
+    return c / t * max(math.log(c / lc * t / lt), 0.0) / max(base, 1e-6)
+
+
 def weigh(nodes: list[Node]) -> None:
     """Counts, densities and scores, from the leaves up: children come after their parent."""
     for n in reversed(nodes):
@@ -170,14 +180,13 @@ def weigh(nodes: list[Node]) -> None:
             n.link_chars, n.link_tags = n.chars, n.link_tags + 1
         if n.parent is not None:
             p = n.parent
+            p.blocky = p.blocky or n.blocky
             p.chars, p.tags, p.link_chars, p.link_tags = p.chars + n.chars, p.tags + n.tags + 1, p.link_chars + n.link_chars, p.link_tags + n.link_tags
     body = nodes[0]
     links = body.link_chars / max(body.chars, 1)
     for n in nodes:
         if not n.cut and n.chars and n.tag in BLOCKS:
-            c, t, lc, lt = n.chars, max(n.tags, 1), max(n.link_chars, 1), max(n.link_tags, 1)
-            base = math.log(math.log(c / max(c - lc, 1) * lc + links * c + math.e))
-            n.density = c / t * max(math.log(c / lc * t / lt), 0.0) / max(base, 1e-6)
+            n.density = density(n, links)
             p = n.parent
             while p is not None and p.tag not in BLOCKS:
                 p = p.parent
@@ -185,13 +194,56 @@ def weigh(nodes: list[Node]) -> None:
                 p.score += n.density
 
 
-def taken(n: Node, best: Node) -> Node:
-    """What is main text of a subtree n, whose best-scored node is best."""
+def run_of(parts: list) -> Node:
+    """Strings and inline elements as a block."""
+    run = Node("div", None, False)
+    run.parts = parts
+    for x in parts:
+        if isinstance(x, str):
+            run.chars += len(x.strip())
+        else:
+            run.chars, run.tags, run.link_chars, run.link_tags = run.chars + x.chars, run.tags + x.tags + 1, run.link_chars + x.link_chars, run.link_tags + x.link_tags
+    return run
+
+
+def units(n: Node, least: float, links: float) -> list[Node]:
+    """The blocks in a node, in page order, and the runs of its own text that are at or over least, or are with the others."""
+    runs, found, now = [], [], []
+    for x in [*n.parts, None]:
+        if isinstance(x, str) or x is not None and not x.cut and not x.blocky:
+            now.append(x)
+        elif x is None or not x.cut:
+            if now:
+                runs.append(run_of(now))
+                found.append(runs[-1])
+                now = []
+            if x is not None:
+                found.append(x)
+    whole = run_of([x for r in runs for x in r.parts])
+    every = whole.chars and whole.link_chars * 3 < whole.chars and density(whole, links) >= least
+    for r in runs:
+        r.density = math.inf if r.chars and every else density(r, links) if r.chars else 0.0
+    return [x for x in found if x.parent is not None or x.chars and x.density >= least]
+
+
+def articles(n: Node, best: Node) -> list[Node]:
+    """The main element around the best-scored node of a subtree n; or the articles, if that is in one; or none."""
     held, p = None, best
     while p is not None:
         held = p if p.tag in ("article", "main") else held
         p = p.parent if p is not n else None
-    return held or (n if n.link_chars * 3 < n.chars else best)
+    if held is None or held.tag == "main":
+        return [held] if held else []
+    found, todo = [], [n]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, str) or x.cut or not x.chars:
+            continue
+        if x is held or x.tag == "article" and x.link_chars * 3 < x.chars:
+            found.append(x)
+        else:
+            todo += reversed(x.parts)
+    return found
 
 
 def content(nodes: list[Node]) -> list[Node]:
@@ -211,15 +263,23 @@ def content(nodes: list[Node]) -> list[Node]:
     least, n = top.density, top
     while n is not None:
         least, n = min(least, n.density) if n.tag in BLOCKS else least, n.parent
-    found, todo = [], [body] if top is body else [c for c in reversed(body.parts) if isinstance(c, Node)]
+    links = body.link_chars / max(body.chars, 1)
+    found, todo, forced = [], [body] if top is body else units(body, least, links)[::-1], set()
     while todo:
         n = todo.pop()
         if n.cut or not n.chars:
             continue
-        if n.density >= least:
-            found.append(taken(n, best[id(n)]))
-        else:
-            todo += [c for c in reversed(n.parts) if isinstance(c, Node)]
+        if n.parent is None and n is not body:  # a run
+            found.append(n)
+            continue
+        if n.density >= least or id(n) in forced:
+            own = best[id(n)]
+            held = articles(n, own)
+            if held or n.link_chars * 3 < n.chars or own is n or id(n) in forced:
+                found += held or [n]
+                continue
+            forced.add(id(own))
+        todo += reversed(units(n, least, links))
     return found
 
 
