@@ -1,15 +1,31 @@
-"""Cutting lineage in iterative jobs through the shared checkpoint folder."""
+"""Cutting lineage in iterative jobs, and the folder that driver and executors share."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+_LOCAL: dict[str, str] = {}
+
+
+def shared_base(spark: SparkSession) -> str:
+    """spark.checkpoint.dir. Where that is unset, a temporary folder on a local master; elsewhere executors would not share it, so that is an error."""
+    sc = spark.sparkContext
+    base = sc.getConf().get("spark.checkpoint.dir")
+    if base:
+        return base.rstrip("/")
+    if not re.match(r"local(\[|$)", sc.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    if sc.applicationId not in _LOCAL:
+        _LOCAL[sc.applicationId] = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
+    return _LOCAL[sc.applicationId]
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in spark.checkpoint.dir; a temporary folder is used only where that is unset."""
+    """A reliable checkpoint in the shared folder."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tessera-checkpoint-"))
+        sc.setCheckpointDir(shared_base(df.sparkSession))
     return df.checkpoint()

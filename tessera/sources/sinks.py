@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -10,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.contact import is_placeholder
+from tessera.operators.lineage import shared_base
 
 
 def contact_export(contacts: DataFrame) -> DataFrame:
@@ -50,7 +50,6 @@ def write_table(df: DataFrame, path: str) -> None:
 def round_trip(df: DataFrame, write: Callable[[DataFrame, str], None], read: Callable[[SparkSession, str], DataFrame]) -> DataFrame:
     """df through a sink and back, by way of the shared folder."""
     spark = df.sparkSession
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='tessera-sink-')}"
-    path = f"{base.rstrip('/')}/sink-{uuid.uuid4().hex}"
+    path = f"{shared_base(spark)}/sink-{uuid.uuid4().hex}"
     write(df, path)
     return read(spark, path)

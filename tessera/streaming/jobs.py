@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -11,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tessera.operators.lineage import shared_base
 from tessera.operators.relational import pick_first
 
 #: How late a row may be.
@@ -32,8 +32,7 @@ def run_backlog(stream: DataFrame, mode: str = "append", keys: list[str] | None
     update mode the last row of each key stands.
     """
     spark = stream.sparkSession
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='tessera-stream-')}"
-    path = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    path = f"{shared_base(spark)}/stream-{uuid.uuid4().hex}"
     schema = stream.schema
 
     def write(batch: DataFrame, number: int) -> None:
