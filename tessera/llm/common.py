@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import atexit
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators.lineage import shared_base
+
 #: A word is a run of characters other than space, tab, LF, VT, FF and CR.
 WORD = r"[^\x20\x09-\x0D]+"
 
 _ROOT: dict[str, str] = {}
+#: Paths of the tables that durable returned, by the frame's identity.
+_PATHS: dict[int, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,24 +27,20 @@ def text_or_empty(column: str = "text") -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A folder of this session under spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """A folder of this session under the shared one, removed when the session's process ends."""
     app = spark.sparkContext.applicationId
     if app not in _ROOT:
-        base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='tessera-')}"
-        _ROOT[app] = f"{base.rstrip('/')}/tessera-{uuid.uuid4().hex}"
+        _ROOT[app] = f"{shared_base(spark)}/tessera-{uuid.uuid4().hex}"
         atexit.register(_drop, spark, _ROOT[app])
     return _ROOT[app]
 
 
 def _drop(spark: SparkSession, folder: str) -> None:
-    """Remove the session's written tables, where the session still lives."""
+    """Remove a written table, or all of them, where the session still lives."""
     if spark.sparkContext._jsc is None:
         return
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    local = folder.removeprefix("file://").rsplit("/", 1)[0]
-    if os.path.basename(local).startswith("tessera-") and os.path.isdir(local) and not os.listdir(local):
-        os.rmdir(local)
 
 
 def durable(df: DataFrame, name: str) -> DataFrame:
@@ -50,4 +48,12 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[id(out)] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that durable wrote and nothing reads any more."""
+    for df in tables:
+        _drop(df.sparkSession, _PATHS.pop(id(df)))

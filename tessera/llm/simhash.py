@@ -6,7 +6,10 @@
    goes inside a vantage point's radius or outside. Two fingerprints at ``radius`` bits or
    fewer have a midpoint within half of that from both, so a class is also sent to every
    shard that its ball of half the radius touches by the triangle inequality: the pair meets
-   in the midpoint's shard. Nothing but the tree (one node a split) is sent to the tasks.
+   in the midpoint's shard. Nothing but the tree (one node a split, ``TREE`` at most) is sent
+   to the tasks. Shards that are larger than ``MOST_ROWS`` are split on, by a vantage point and
+   median of their own, which are joined to their rows; what no vantage point splits is dealt
+   in chunks, each two of a shard to a task.
 4. Links. Within a shard the same splitting goes on until blocks are small enough to compare
    outright. A shard returns its links as stars around the smallest doc_id of each local
    component, so a dense group gives a link a class, not all pairs.
@@ -29,11 +32,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import durable, table, text_or_empty
+from tessera.llm.common import discard, durable, table, text_or_empty
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
 #: Classes of the sample that the tree is built from, its leaves at most, and classes a leaf is meant for.
-SAMPLE, MOST_SHARDS, SHARD = 65_536, 4_096, 2_500
+SAMPLE, TREE, SHARD = 65_536, 4_096, 2_500
+#: Classes of a shard beyond which it is split on, and rounds of that after which its rest is dealt in chunks.
+MOST_ROWS, ROUNDS = 20_000, 40
 #: Fingerprints that are compared outright.
 BLOCK = 384
 #: Bytes of text hashed at once.
@@ -232,12 +237,45 @@ def shard_links(fps: np.ndarray, radius: int) -> np.ndarray:
     return np.array([_find(parent, i) for i in range(len(fps))], dtype=np.int64)
 
 
-def links(classes: DataFrame, radius: int = RADIUS) -> DataFrame:
+def split_on(routed: DataFrame, most_rows: int, half: int) -> DataFrame:
+    """Rows (shard, fp, node) as (shard, low, high, fp, node): no (shard, low, high) has more than about two times most_rows."""
+    done = []
+    for k in range(ROUNDS):
+        sizes = durable(routed.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64(F.lit(k), "fp"), "fp")).alias("v")), "shard-sizes")
+        large = sizes.filter(F.col("n") > most_rows).select("shard", F.col("v.fp").alias("vantage"), "n")
+        if large.isEmpty():
+            break
+        apart = F.bit_count(F.col("fp").bitwiseXOR(F.col("vantage")))
+        held = durable(routed.join(large, "shard").withColumn("d", apart), "shard-large")
+        middle = held.groupBy("shard").agg(F.percentile_approx("d", 0.5).alias("mu"), F.first("n").alias("n"), F.count(F.lit(1)).alias("rows"))
+        sides = held.select("shard", "fp", "node", "d").join(middle.select("shard", "mu"), "shard")
+        sides = sides.withColumn("side", F.explode(F.array_compact(F.array(F.when(F.col("d") - half <= F.col("mu"), 0), F.when(F.col("d") + half > F.col("mu"), 1)))))
+        sides = durable(sides.select("shard", "fp", "node", "side"), "shard-sides")
+        grown = sides.groupBy("shard", "side").count().groupBy("shard").agg(F.max("count").alias("most")).join(large.select("shard", "n"), "shard")
+        stuck = grown.filter(F.col("most") > 0.9 * F.col("n")).select("shard", F.col("n").alias("stuck"))
+        done.append(routed.join(sizes.filter(F.col("n") <= most_rows).select("shard"), "shard", "left_semi").withColumn("n", F.lit(1).cast("long")))
+        done.append(routed.join(stuck, "shard").withColumnRenamed("stuck", "n"))
+        routed = durable(sides.join(stuck, "shard", "left_anti").select(F.xxhash64("shard", "side", F.lit(k)).alias("shard"), "fp", "node"), "shard-split")
+    done.append(routed.join(routed.groupBy("shard").agg(F.count(F.lit(1)).alias("n")), "shard"))
+    for k, part in enumerate(done):
+        chunks = F.ceil(F.col("n") / most_rows).cast("int")
+        chunk = F.pmod(F.xxhash64("fp"), chunks).cast("int")
+        dealt = part.withColumns({"chunk": chunk, "with": F.explode(F.sequence(F.lit(0), chunks - 1))})
+        done[k] = dealt.select("shard", F.least("chunk", "with").alias("low"), F.greatest("chunk", "with").alias("high"), "fp", "node")
+    out = done[0]
+    for part in done[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def links(classes: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD, tree: int = TREE, most_rows: int = MOST_ROWS) -> DataFrame:
     """node, root: star links between classes (fp, node) within radius bits."""
     n = classes.count()
-    shards = min(MOST_SHARDS, -(-n // SHARD))
-    sample = classes.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).toPandas()["fp"].to_numpy(np.int64).view(np.uint64) if shards > 1 else np.zeros(0, np.uint64)
-    nodes = shard_tree(sample, shards) if shards > 1 else []
+    shards, nodes = min(tree, -(-n // shard_rows)), []
+    if shards > 1:  # about SAMPLE fingerprints by a digest: the same at every run, and no more from more tasks
+        drawn = classes.filter(F.pmod(F.xxhash64("fp"), F.lit(1 << 40)) < int(min(1.0, SAMPLE / n) * (1 << 40)))
+        sample = np.array([r["fp"] for r in drawn.select("fp").collect()], dtype=np.int64).view(np.uint64)
+        nodes = shard_tree(np.sort(sample), shards)
     half = (radius + 1) // 2
     routed = T.StructType([T.StructField("shard", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("node", T.LongType())])
 
@@ -257,7 +295,8 @@ def links(classes: DataFrame, radius: int = RADIUS) -> DataFrame:
         on = root != node
         return pa.table({"node": node[on], "root": root[on]})
 
-    return classes.select("fp", "node").mapInArrow(deal, routed).groupBy("shard").applyInArrow(link, found).distinct()
+    dealt = durable(classes.select("fp", "node").mapInArrow(deal, routed), "shards")
+    return split_on(dealt, most_rows, half).groupBy("shard", "low", "high").applyInArrow(link, found).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -267,14 +306,15 @@ def components(edges: DataFrame) -> DataFrame:
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == seen:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        seen = state
+        seen, last = state, now
         both = now.unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = durable(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")), "least")
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = durable(large.filter("a <> b").distinct(), "large-star")
-        least = durable(large.groupBy("a").agg(F.min("b").alias("m")), "least")
-        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(least.select("a", F.col("m").alias("b")))
+        lower = durable(large.groupBy("a").agg(F.min("b").alias("m")), "least")
+        small = large.join(lower, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(lower.select("a", F.col("m").alias("b")))
         now = durable(small.filter("a <> b").distinct(), "links")
+        discard(last, least, large, lower)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
