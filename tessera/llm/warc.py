@@ -6,9 +6,10 @@ greatest record_id). That response is accepted if a validator agrees: ETags by w
 comparison where both have one, else Last-Modified where both have one. The resolved record
 has the response's headers, overlaid with those that a 304 answer may update.
 
-The as-of join is one union and window over (URL, time slice). Slices are quantiles of all
-capture times, so a URL with any share of the rows is dealt to many tasks; the last response
-of earlier slices is carried in by a window over one row for each URL and slice.
+The as-of join is one union and window over (URL, slice). Slices are ranges of all records in
+the order of time, kind and record_id, about ``SLICE_ROWS`` records each, so a URL with any
+share of the rows is dealt to many tasks, even if all its captures are of one time; the last
+response of earlier slices is carried in by a window over one row for each URL and slice.
 
 Status: ``resolved``, ``mismatch`` (a validator differs), ``unverified`` (none to compare) or
 ``orphan`` (no earlier response). Only resolved revisits get response_id, payload figures and
@@ -28,43 +29,39 @@ from tessera.llm.common import durable, table
 #: Headers of a 304 answer that update the stored response.
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
 #: Query parameters that don't change what a URL shows.
-TRACKING = r"[&?](utm_[a-z]+|ref|fbclid|gclid)=[^&]*"
-SLICES = 64
+TRACKING = r"(^|&)(utm_[a-z]+|ref|fbclid|gclid)=[^&]*"
+#: Records that a slice is meant for, and slices at least.
+SLICE_ROWS, LEAST_SLICES = 100_000, 64
 
 
 def canonical_url(url: Column) -> Column:
     """Scheme, www., default port, fragment, tracking parameters and trailing slash dropped; host in lower case."""
     bare = F.regexp_replace(F.regexp_replace(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://", ""), "#.*$", "")
     host = F.regexp_replace(F.regexp_replace(F.lower(F.regexp_extract(bare, r"^[^/?]*", 0)), r"^www\.", ""), r":(80|443)$", "")
-    rest = F.regexp_replace(F.regexp_replace(bare, r"^[^/?]*", ""), TRACKING, "")
-    # what stood after a dropped first parameter begins the query now
-    rest = F.regexp_replace(F.regexp_replace(rest, r"^([^?&]*)&", "$1?"), r"/$", "")
-    return F.concat(host, rest)
+    path = F.regexp_extract(F.regexp_replace(bare, r"^[^/?]*", ""), r"^[^?]*", 0)
+    query = F.regexp_replace(F.regexp_replace(F.regexp_extract(bare, r"\?(.*)$", 1), TRACKING, ""), "^&+", "")
+    return F.concat(host, F.when(query == "", F.regexp_replace(path, r"/$", "")).otherwise(F.concat(path, F.lit("?"), query)))
 
 
-def resolve_revisits(records: DataFrame, slices: int = SLICES) -> DataFrame:
+def resolve_revisits(records: DataFrame, slices: int | None = None) -> DataFrame:
     """A row for each revisit of records.
 
     records: record_id long, url string, ts timestamp, kind ('response' or 'revisit'), etag and
     last_modified string, headers map of lower-case names, payload_sha256 string, payload_bytes long.
     """
-    own = durable(
-        records.select(
-            "record_id", "url", canonical_url(F.col("url")).alias("canonical"), F.coalesce(F.unix_micros("ts"), F.lit(-(1 << 62))).alias("at"), "ts",
-            (F.col("kind") == "response").alias("full"), "etag", "last_modified", "headers", "payload_sha256", "payload_bytes",
-        ),
-        "captures",
+    own = records.select(
+        "record_id", "url", canonical_url(F.col("url")).alias("canonical"), F.coalesce(F.unix_micros("ts"), F.lit(-(1 << 62))).alias("at"), "ts",
+        (F.col("kind") == "response").alias("full"), "etag", "last_modified", "headers", "payload_sha256", "payload_bytes",
     )
-    cuts = own.agg(F.percentile_approx("at", [k / slices for k in range(1, slices)], 10_000)).first()[0] or []
-    bounds = F.array(*[F.lit(c) for c in sorted(set(cuts))]) if cuts else F.array().cast("array<bigint>")
-    own = own.withColumn("slice", F.size(F.filter(bounds, lambda b: F.col("at") > b)))
+    slices = slices or max(LEAST_SLICES, -(-records.count() // SLICE_ROWS))
+    # at equal times revisits stand first: a response of the same time is not earlier
+    own = durable(own.repartitionByRange(slices, "at", "full", "record_id").withColumn("slice", F.spark_partition_id()), "captures")
 
     response = F.when(F.col("full"), F.struct("at", "record_id", "etag", "last_modified", "headers", "payload_sha256", "payload_bytes"))
     light = own.withColumn("response", F.when(F.col("full"), F.struct("at", "record_id")))
     last = light.groupBy("canonical", "slice").agg(F.max("response").alias("last"))
     before = Window.partitionBy("canonical").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     carried = durable(last.select("canonical", "slice", F.last("last", ignorenulls=True).over(before).alias("carried")).filter("carried IS NOT NULL"), "carried")
-    # at equal times revisits stand first: a response of the same time is not earlier
     seen = Window.partitionBy("canonical", "slice").orderBy("at", "full", "record_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     near = light.withColumn("near", F.last("response", ignorenulls=True).over(seen)).filter("NOT full AND canonical IS NOT NULL")
     pointed = near.join(carried, ["canonical", "slice"], "left").withColumn("to", F.coalesce("near", "carried")).drop("near", "carried", "response")
@@ -165,7 +162,9 @@ log AS (
 bare AS (SELECT *, regexp_replace(regexp_replace(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://', ''), '#.*$', '') AS b FROM log),
 canon AS (
   SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(b, '^[^/?]*')), '^www\.', ''), ':(80|443)$', '') ||
-    regexp_replace(regexp_replace(regexp_replace(regexp_replace(b, '^[^/?]*', ''), '[&?](utm_[a-z]+|ref|fbclid|gclid)=[^&]*', '', 'g'), '^([^?&]*)&', '\1?'), '/$', '') AS c FROM bare),
+    CASE WHEN q = '' THEN regexp_replace(p, '/$', '') ELSE p || '?' || q END AS c
+  FROM (SELECT *, regexp_extract(regexp_replace(b, '^[^/?]*', ''), '^[^?]*') AS p,
+          regexp_replace(regexp_replace(regexp_extract(b, '\?(.*)$', 1), '(^|&)(utm_[a-z]+|ref|fbclid|gclid)=[^&]*', '', 'g'), '^&+', '') AS q FROM bare)),
 paired AS (
   SELECT v.*, r.record_id AS rid, r.etag AS retag, r.lm AS rlm, r.sha AS rsha, r.n AS rn, r.pos AS rat,
     row_number() OVER (PARTITION BY v.record_id ORDER BY r.pos DESC NULLS LAST, r.record_id DESC NULLS LAST) AS k
