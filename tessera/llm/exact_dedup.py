@@ -4,12 +4,13 @@ Copies are combined three times, and the whole text is a grouping key each time,
 unequal texts never merge even if their digests do:
 
 1. locally, by the partial aggregation in front of the first shuffle;
-2. per (digest, salt, text), which spreads a group of any size over ``salts`` tasks;
+2. per (digest, salt, text), which spreads a group of any size over ``salts`` tasks, by default
+   one for each ``SALT_ROWS`` rows of the table;
 3. per (digest, text) over the salt winners, at most ``salts`` rows a text.
 
 Behaviour: null text counts as the empty text. Null doc_ids lose to any other; a group of
-only null ids keeps all of its rows. Rows that repeat one doc_id and text are one document:
-all get the same answer, and ``deduplicate`` returns one of them. An empty table gives an
+only null ids keeps all of its rows. Rows that repeat one doc_id (not null) and text are one
+document: all get the same answer, and ``deduplicate`` returns one of them. An empty table gives an
 empty result. Other columns are not read by ``duplicate_report`` and pass unchanged through
 ``deduplicate``, whatever their names.
 """
@@ -23,7 +24,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import durable, table, text_or_empty
 
-SALTS = 16
+#: Rows of the table for each salt, and salts at least.
+SALT_ROWS, LEAST_SALTS = 1_000_000, 16
 
 
 def sha256(text: Column) -> Column:
@@ -40,8 +42,9 @@ def _classes(rows: DataFrame, salts: int) -> DataFrame:
     return salted.groupBy("digest", "text").agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
 
 
-def duplicate_report(docs: DataFrame, salts: int = SALTS, digest: Callable[[Column], Column] = sha256) -> DataFrame:
+def duplicate_report(docs: DataFrame, salts: int | None = None, digest: Callable[[Column], Column] = sha256) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256; one row for each row of docs."""
+    salts = salts or max(LEAST_SALTS, docs.count() // SALT_ROWS)
     rows = docs.select("doc_id", text_or_empty().alias("text")).withColumn("digest", digest(F.col("text")))
     per_digest = durable(
         _classes(rows, salts)
@@ -59,15 +62,15 @@ def duplicate_report(docs: DataFrame, salts: int = SALTS, digest: Callable[[Colu
     return found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
-def deduplicate(docs: DataFrame, salts: int = SALTS) -> DataFrame:
+def deduplicate(docs: DataFrame, salts: int | None = None) -> DataFrame:
     """The rows of docs that stay, with all their columns."""
     kept = duplicate_report(docs, salts).filter("kept").select("doc_id", "text_sha256").distinct()
     marked = docs.withColumns({"_tessera_id": F.col("doc_id"), "_tessera_sha": F.sha2(text_or_empty(), 256)})
     keep = kept.select(F.col("doc_id").alias("_tessera_keep_id"), F.col("text_sha256").alias("_tessera_keep_sha"))
     out = marked.join(keep, F.col("_tessera_id").eqNullSafe(F.col("_tessera_keep_id")) & (F.col("_tessera_sha") == F.col("_tessera_keep_sha")), "left_semi")
-    repeats = docs.groupBy("doc_id").count().filter("count > 1")
+    repeats = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1")
     if not repeats.isEmpty():
-        out = out.dropDuplicates(["_tessera_id", "_tessera_sha"])
+        out = out.filter("_tessera_id IS NOT NULL").dropDuplicates(["_tessera_id", "_tessera_sha"]).unionAll(out.filter("_tessera_id IS NULL"))
     return out.drop("_tessera_id", "_tessera_sha")
 
 
