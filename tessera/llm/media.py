@@ -3,7 +3,7 @@
 ``store_wav`` writes every payload (UTF-8 bytes, zero-padded to a positive multiple of 64) as
 the samples of an unsigned 8-bit mono clip. ``wav_features`` reads the stored clips with the
 wave module, takes a short-time Fourier transform in blocks of frames, keeps the bins that
-top their neighbourhood in time and frequency, and pairs each peak with the ones after it.
+top their neighbourhood in time and frequency, and pairs each peak with the next ones of later frames.
 A pair is one integer, (anchor frame << 24) | (anchor bin << 16) | (target bin << 8) | frames
 between them, so the array is ordered by time and equal passages share the lower 24 bits.
 
@@ -33,7 +33,7 @@ RATE, UNIT = 8000, 64
 FRAME, HOP = 64, 32
 #: A peak tops all bins this near in time and frequency, and its frame's mean by this factor.
 NEAR_T, NEAR_F, OVER_MEAN = 3, 4, 2.0
-#: A peak is paired with as many peaks after it, at most so many frames later.
+#: A peak is paired with as many peaks of later frames, at most so many frames later.
 FAN, REACH = 3, 31
 BLOCK = 1 << 14
 WINDOW = np.hanning(FRAME).astype(np.float32)
@@ -72,10 +72,13 @@ def peaks(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def pair_fingerprints(t: np.ndarray, f: np.ndarray) -> np.ndarray:
     made = [np.zeros(0, np.int64)]
-    for k in range(1, FAN + 1):
-        gap = t[k:] - t[:-k]
-        use = (gap > 0) & (gap <= REACH)
-        made.append((t[:-k][use] << 24) | (f[:-k][use] << 16) | (f[k:][use] << 8) | gap[use])
+    later = np.searchsorted(t, t, side="right")
+    for k in range(FAN):
+        anchor = np.flatnonzero(later + k < len(t))
+        target = later[anchor] + k
+        gap = t[target] - t[anchor]
+        anchor, target, gap = anchor[gap <= REACH], target[gap <= REACH], gap[gap <= REACH]
+        made.append((t[anchor] << 24) | (f[anchor] << 16) | (f[target] << 8) | gap)
     return np.sort(np.concatenate(made))
 
 
@@ -118,9 +121,9 @@ def wav_features(media: DataFrame) -> DataFrame:
 
 
 def op1_media_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The features as one string: frames, peaks, pairs, and a digest of the fingerprint array."""
+    """The fingerprint array, and the features as one string: frames, peaks, pairs, and a digest of the array."""
     found = wav_features(store_wav(table(spark, sf_dir, "documents")))
     return found.selectExpr(
         "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256",
-        "concat_ws('-', n_frames, n_peaks, size(fingerprints), lower(hex(xxhash64(fingerprints)))) AS feature",
+        "concat_ws('-', n_frames, n_peaks, size(fingerprints), lower(hex(xxhash64(fingerprints)))) AS feature", "fingerprints",
     )
