@@ -5,9 +5,12 @@ A text is its lower-cased runs of letters and digits. Windows of ``WINDOW`` word
 ``STEP`` words, so a notice of up to STEP words lies whole in one. Only word shingles that
 some template has can count towards its containment, so windows are reduced to those: that
 leaves intersections as they are and raises Jaccard similarity. Each band is one MinHash, so a
-window at similarity s to a template is retrieved with probability 1 - (1 - s)^BANDS:
-0.9986 at s = 0.05, above 1 - 1e-12 at s = 0.2. Retrieved pairs are kept where the window has
-at least ``CONTAINMENT`` of the template's shingles, compared as text.
+window at similarity s to a template is retrieved with probability 1 - (1 - s)^bands. The
+lowest s at which a window holds ``CONTAINMENT`` of a template follows from the template's
+number of shingles and from how many a window can have; the number of bands is what makes the
+probability of a miss at most ``MISS`` for every template even there (411 for a template of one
+shingle in a window full of others). Retrieved pairs are kept where the window has at least
+``CONTAINMENT`` of the template's shingles, compared as text.
 
 Templates are a parameter, at most ``MOST_TEMPLATE_WORDS`` words in all (checked): what is
 joined by broadcast has that bound. Templates longer than STEP words are cut into parts of
@@ -21,29 +24,37 @@ empty result. Other columns are not read.
 
 from __future__ import annotations
 
+import math
 import re
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import table, text_or_empty
 
 #: Notices as their licences word them.
 TEMPLATES = {
+    "agpl-3.0": "This program is distributed under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
     "apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
     "cc-by-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0.",
     "cc-by-sa-4.0": "Licensed under CC BY-SA 4.0.",
+    "epl-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",
     "gpl-3.0": "This work is licensed under the GNU General Public License, version 3.",
+    "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
     "lgpl-2.1": "Licensed under the GNU Lesser General Public License, version 2.1.",
     "mit": "Released under the MIT License.",
     "mit-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "unlicense": "This is free and unencumbered software released into the public domain.",
+    "zlib": "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
 }
 
-SHINGLE, WINDOW, STEP, BANDS, CONTAINMENT = 5, 64, 32, 128, 0.8
+SHINGLE, WINDOW, STEP, CONTAINMENT = 5, 64, 32, 0.8
+#: Probability that no band retrieves a template that a window holds, at most.
+MISS = 0.001
 MOST_TEMPLATE_WORDS = 100_000
 
 
@@ -66,8 +77,15 @@ def template_shingles(templates: Mapping[str, str], shingle: int = SHINGLE) -> l
     return parts
 
 
-def _minhashes(shingles):
-    return F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.array_min(F.transform(shingles, lambda s: F.xxhash64(b, s))))
+def bands_for(sizes: Iterable[int], shingle: int = SHINGLE, containment: float = CONTAINMENT, miss: float = MISS) -> int:
+    """Bands of one MinHash that miss a held template of any of these numbers of shingles with at most this probability."""
+    most = WINDOW - shingle + 1
+    least = min(math.ceil(containment * m) / (most + m - math.ceil(containment * m)) for m in sizes)
+    return math.ceil(math.log(miss) / math.log1p(-least))
+
+
+def _minhashes(shingles: Column, bands: int) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.array_min(F.transform(shingles, lambda s: F.xxhash64(b, s))))
 
 
 def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, shingle: int = SHINGLE, containment: float = CONTAINMENT) -> DataFrame:
@@ -92,9 +110,10 @@ def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, shingle: int
         .groupBy("doc_id", "text_key", "window")
         .agg(F.array_sort(F.collect_set("shingle")).alias("has"))
     )
-    bands = known.select("license_id", "part", "wanted", F.posexplode(_minhashes(F.col("wanted"))).alias("band", "value"))
+    n = bands_for((len(shingles) for _, _, shingles in parts), shingle, containment)
+    bands = known.select("license_id", "part", "wanted", F.posexplode(_minhashes(F.col("wanted"), n)).alias("band", "value"))
     retrieved = (
-        windows.select("*", F.posexplode(_minhashes(F.col("has"))).alias("band", "value"))
+        windows.select("*", F.posexplode(_minhashes(F.col("has"), n)).alias("band", "value"))
         .join(F.broadcast(bands), ["band", "value"])
         .dropDuplicates(["doc_id", "text_key", "window", "license_id", "part"])
     )
