@@ -4,14 +4,15 @@ Features: TF-IDF of hashed character 2- and 3-grams, log(1 + count) * idf, scale
 one. Letters are lower-cased, every run of other characters is one space. Document
 frequencies count all rows that may be learned from. Weights are fitted by
 follow-the-regularised-leader with elastic-net (L1 and L2) penalties on at most
-``per_language`` labelled rows of each language, drawn by a digest of the doc_id; a fifth of
+``per_language`` labelled rows of each language, the first by a digest of the doc_id; a fifth of
 those rows is kept out of the fit and sets the temperature that calibrates the
-probabilities. Only that bounded sample's sparse features reach the driver.
+probabilities. Only that bounded sample's sparse features reach the driver, which needs about
+0.6 MB for each language.
 
 Behaviour: a text that is null or has no letter is ``und`` with score 0. Rows with null
 doc_id or null lang are never learned from; null doc_ids are not held out. With no row to
-learn from, every row is ``und``. At most ``MOST_LANGUAGES`` languages, the most frequent,
-are learned. Rows that repeat are answered each. Texts of any length are read whole, in
+learn from, every row is ``und``. Every language that rows are labelled with is learned. Rows
+that repeat are answered each. Texts of any length are read whole, in
 parts. Other columns are not read, an empty table gives an empty result.
 """
 
@@ -22,17 +23,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.common import durable, table
 
 BUCKETS = 1 << 15
-#: Rows of a language that the classifier is fitted on, and languages, at most.
-PER_LANGUAGE, MOST_LANGUAGES = 1500, 256
+#: Rows of a language that the classifier is fitted on, at most.
+PER_LANGUAGE = 1500
 UNKNOWN = "und"
 FOLDS, HELD_OUT = 3, 1
+#: Characters that are counted at once.
 PART = 1 << 20
 
 _TABLE: np.ndarray | None = None
@@ -53,20 +55,20 @@ def _folding() -> np.ndarray:
     return _TABLE
 
 
-def ngram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of a text's n-grams, ascending, and their counts; empty if it has no letter."""
+def ngram_counts(text: str, part: int = PART) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of a text's n-grams, ascending, and their counts; empty if it has no letter. A blank stands before the text."""
     fold, total = _folding(), np.zeros(BUCKETS, np.int64)
-    letters = False
-    for a in range(0, len(text), PART):  # parts share two characters
-        x = fold[np.frombuffer(text[max(0, a - 2) : a + PART].encode("utf-32-le", "surrogatepass"), "<u4")]
+    letters, last = False, np.array([32], np.uint32)
+    for a in range(0, len(text), part):
+        x = fold[np.frombuffer(text[a : a + part].encode("utf-32-le", "surrogatepass"), "<u4")].astype(np.uint32)
         letters |= bool((x != 32).any())
-        x = x[np.append(True, (x[1:] != 32) | (x[:-1] != 32))].astype(np.uint32)
-        if a == 0:
-            x = np.append(np.uint32(32), x)
+        x = np.concatenate([last, x])
+        x = x[np.append(True, (x[1:] != 32) | (x[:-1] != 32))]
         two = x[:-1] * np.uint32(0x9E3779B1) + x[1:]
         three = (two[:-1] * np.uint32(0x85EBCA6B)) ^ (x[2:] * np.uint32(0xC2B2AE35))
-        for h in (two * np.uint32(0x27D4EB2F), three * np.uint32(0x165667B1)):
+        for h in (two[len(last) - 1 :] * np.uint32(0x27D4EB2F), three * np.uint32(0x165667B1)):  # what lies in last alone is counted
             total += np.bincount((h ^ (h >> np.uint32(15))) >> np.uint32(17), minlength=BUCKETS)
+        last = x[-2:]
     if not letters:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     on = np.flatnonzero(total)
@@ -146,7 +148,7 @@ def fit(
 ) -> LanguageModel:
     """A model of docs' text and lang columns; rows held out, or without doc_id or lang, are not read."""
     learn = docs.select("doc_id", "text", "lang").filter(~held_out() & F.col("doc_id").isNotNull() & F.col("lang").isNotNull())
-    sizes = learn.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    sizes = learn.groupBy("lang").count().collect()  # a row a language
     labels = sorted(r["lang"] for r in sizes)
     if not labels:
         return LanguageModel([], np.zeros(BUCKETS), np.zeros((BUCKETS, 1), np.float32), 1.0)
@@ -169,11 +171,11 @@ def fit(
         df[r["bucket"]] = r["df"]
     idf = np.log((1 + df[BUCKETS]) / (1 + df[:BUCKETS])) + 1
 
-    share = F.lit(1.0)
-    for r in sizes:
-        share = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, per_language / r["count"]))).otherwise(share)
+    spark = docs.sparkSession
+    # drawn with room to spare, so that seldom fewer than per_language are left to rank
+    shares = spark.createDataFrame([(r["lang"], min(1.0, 1.25 * per_language / r["count"] + 64 / r["count"])) for r in sizes], "of string, share double")
     draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("doc_id").cast("string"))), 1, 8), 16, 10).cast("double") / float(1 << 32)
-    sample = learn.filter(F.col("lang").isin(labels) & (draw < share)).withColumn("draw", draw)
+    sample = learn.join(F.broadcast(shares), F.col("lang") == F.col("of")).withColumn("draw", draw).filter("draw < share")
     kind = T.StructType([T.StructField("lang", T.StringType()), T.StructField("draw", T.DoubleType()), T.StructField("on", T.ArrayType(T.IntegerType())), T.StructField("n", T.ArrayType(T.IntegerType()))])
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,7 +184,9 @@ def fit(
             arrays = [pa.array([f[k].astype(np.int32) for f in found], pa.list_(pa.int32())) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("draw"), *arrays], names=kind.names)
 
-    table_ = durable(sample.select("text", "lang", "draw").mapInArrow(features, kind), "language-sample").orderBy("draw").limit(2 * per_language * len(labels)).toArrow()
+    drawn = durable(sample.select("text", "lang", "draw").mapInArrow(features, kind), "language-sample")
+    first = drawn.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "on", "n"))).filter(F.col("rank") <= per_language)
+    table_ = first.drop("rank").orderBy("draw", "lang", "on", "n").toArrow()
     on = [x.values.to_numpy() if x.values is not None else np.zeros(0, np.int32) for x in table_.column("on")]
     counts = [x.values.to_numpy() if x.values is not None else np.zeros(0, np.int32) for x in table_.column("n")]
     known = [k for k in range(len(on)) if len(on[k])]
