@@ -30,7 +30,8 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -59,17 +60,19 @@ BOXES = frozenset("area articles bar block box buttons form inner item items lef
 #: Start tags that end an open element of these kinds, unless a tag of the second set stands between.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "a": ({"a"}, {"td", "table"})}
 P_SCOPE = frozenset("body button caption html object table td th template".split())
+NO_P = BLOCKS - {"p"}
 NAME = re.compile(r"[A-Za-z]+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "cut", "soft", "chars", "tags", "link_chars", "link_tags", "density", "score", "blocky")
+    __slots__ = ("tag", "parent", "block", "parts", "cut", "soft", "chars", "tags", "link_chars", "link_tags", "density", "score", "blocky")
 
     def __init__(self, tag: str, parent: Node | None, cut: bool, soft: str = ""):
         self.tag, self.parent, self.cut, self.soft, self.parts = tag, parent, cut, soft, []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.score = 0.0
         self.blocky = tag in BLOCKS
+        self.block = parent if parent is None or parent.tag in BLOCKS else parent.block  # the block element that it stands in
 
 
 def named_cut(word: str) -> str:
@@ -121,26 +124,31 @@ def settle_cuts(nodes: list[Node]) -> None:
 
 
 class TreeBuilder(HTMLParser):
+    """The open elements as a stack, with the places of each tag in it, so that closing one never searches what stays open."""
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.body = Node("body", None, False)
         self.open, self.nodes = [self.body], [self.body]
+        self.places: defaultdict[str, list[int]] = defaultdict(list)
+
+    def _close(self, kinds: Iterable[str], stop: Iterable[str]) -> None:
+        """Close the last open element of kinds with all in it, unless one of stop stands after it."""
+        last = max((self.places[k][-1] for k in kinds if self.places[k]), default=0)
+        if last and not any(self.places[k] and self.places[k][-1] > last for k in stop):
+            self._cut_open(last)
 
-    def _close(self, kinds: set[str] | frozenset[str], stop: set[str] | frozenset[str]) -> None:
-        for k in range(len(self.open) - 1, 0, -1):
-            if self.open[k].tag in kinds:
-                del self.open[k:]
-                return
-            if self.open[k].tag in stop:
-                return
+    def _cut_open(self, at: int) -> None:
+        while len(self.open) > at:
+            self.places[self.open.pop().tag].pop()
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in ("html", "body"):
             if tag == "body":
-                del self.open[1:]
+                self._cut_open(1)
             return
-        if tag in BLOCKS:
-            self._close({"p"}, P_SCOPE)
+        if tag in BLOCKS and self.places["p"]:
+            self._close(("p",), P_SCOPE)
         if tag in ENDS:
             self._close(*ENDS[tag])
         node = Node(tag, self.open[-1], *cut_by(tag, attrs))
@@ -148,6 +156,7 @@ class TreeBuilder(HTMLParser):
         self.open[-1].parts.append(node)
         self.nodes.append(node)
         if tag not in VOID:
+            self.places[tag].append(len(self.open))
             self.open.append(node)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -155,9 +164,9 @@ class TreeBuilder(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCKS:
-            self._close({tag}, frozenset())
-        else:  # an inline end tag does not reach out of its block
-            self._close({tag}, BLOCKS - {"p"} if tag != "head" else frozenset())
+            self._close((tag,), ())
+        elif self.places[tag]:  # an inline end tag does not reach out of its block
+            self._close((tag,), NO_P if tag != "head" else ())
 
     def handle_data(self, data: str) -> None:
         self.open[-1].parts.append(data)
@@ -187,11 +196,8 @@ def weigh(nodes: list[Node]) -> None:
     for n in nodes:
         if not n.cut and n.chars and n.tag in BLOCKS:
             n.density = density(n, links)
-            p = n.parent
-            while p is not None and p.tag not in BLOCKS:
-                p = p.parent
-            if p is not None:
-                p.score += n.density
+            if n.block is not None:
+                n.block.score += n.density
 
 
 def run_of(parts: list) -> Node:
