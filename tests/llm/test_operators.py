@@ -71,8 +71,8 @@ def features_by_hand(text: str | None) -> tuple:
                 found.append((t, f + 1))
     pairs = []
     for i, (t, f) in enumerate(found):
-        for t2, f2 in found[i + 1 : i + 1 + media.FAN]:
-            if 0 < t2 - t <= media.REACH:
+        for t2, f2 in [x for x in found[i + 1 :] if x[0] > t][: media.FAN]:  # of later frames
+            if t2 - t <= media.REACH:
                 pairs.append((t << 24) | (f << 16) | (f2 << 8) | (t2 - t))
     return payload, sorted(pairs)
 
@@ -138,6 +138,54 @@ def test_main_text_of_all_pages(spark):
         assert r["n_chars"] == len(r["text"])
 
 
+WRAPS = ['<div class="content no-sidebar">', '<div class="has-cookie-notice">', '<div class="page with-sidebar">', '<div class="post share">', '<div class="entry-content related-enabled">', '<div class="layout no-sidebar"><article>', "<form>"]
+
+
+@pytest.mark.parametrize("wrap", WRAPS)
+def test_a_wrapper_never_cuts_the_article(wrap):
+    html = f"<body><nav><a href=/>Home</a></nav>{wrap}<p>First paragraph of the article, with some words.</p><p>Second one, with a few more of them.</p></body>"
+    assert html_text.main_text(html) == "First paragraph of the article, with some words.\n\nSecond one, with a few more of them."
+
+
+LINKS = "<div>" + "".join(f"<div><a href=/{k}>Other story {k}</a></div>" for k in range(12)) + "</div>"
+BARE = "<body>" + LINKS + "<div>" + "".join(f"<p>Paragraph {k} of a text that goes on for a while, as articles do, and has no links at all in it.</p>" for k in range(6)) + "</div>" + LINKS + "</body>"
+
+
+def test_density_alone_finds_the_article(monkeypatch):
+    """No tag, role or name tells the parts of this page apart."""
+    want = "\n\n".join(f"Paragraph {k} of a text that goes on for a while, as articles do, and has no links at all in it." for k in range(6))
+    assert html_text.main_text(BARE) == want
+    monkeypatch.setattr(html_text, "content", lambda nodes: [nodes[0]])
+    assert html_text.main_text(BARE) != want
+
+
+def test_main_text_without_names_and_article_tags():
+    import duckdb
+
+    same = total = 0
+    for (html,) in duckdb.execute("SELECT html FROM '/root/testdata/sf0.01/pages.parquet'").fetchall():
+        bare = re.sub(r"<(/?)(article|main)\b", r"<\1div", re.sub(r"\s(class|id|role)=(\"[^\"]*\"|'[^']*'|[^\s>]+)", "", html))
+        total, same = total + 1, same + (html_text.main_text(bare) == html_text.main_text(html))
+    assert same >= 0.95 * total
+
+
+@pytest.mark.parametrize("html", ["<div>" * 50_000 + "deep", "<p><button>" + "<div>" * 50_000 + "deep", "<b>" + "<span>" * 50_000 + "deep</b>", "<span><div>" * 25_000 + "deep"])
+def test_deep_pages_take_linear_time(html):
+    import time
+
+    began = time.perf_counter()
+    assert html_text.main_text(html) in ("deep", "")
+    assert time.perf_counter() - began < 5
+
+
+def test_pages_odd(spark):
+    schema = "page_id long, url string, html string"
+    rows = [(None, "u", "<p>a</p>"), (1, None, None), (2, "v", ""), (2, "v", "")]
+    got = html_text.extract(spark.createDataFrame(rows, schema)).collect()
+    assert sorted([(r["page_id"], r["url"], r["text"], r["n_chars"]) for r in got], key=repr) == sorted([(None, "u", "a", 1), (1, None, "", 0), (2, "v", "", 0), (2, "v", "", 0)], key=repr)
+    assert html_text.extract(spark.createDataFrame([], schema)).collect() == []
+
+
 # 3 language
 
 
@@ -159,11 +207,91 @@ def test_language_odd(odd_docs):
     assert kept.columns == odd_docs.columns and kept.count() == 12 - 4
 
 
-def test_ngram_counts_of_parts(monkeypatch):
-    text = "abc déf  GHI " * 50
-    whole = dict(zip(*language.ngram_counts(text)))
-    assert whole and language.ngram_counts("12 !")[0].size == 0
-    assert dict(zip(*language.ngram_counts(text.upper()))) == whole
+def test_ngram_counts_of_parts():
+    text = "abc déf  GHI " * 50 + "   7 7   xyz!!"
+    on, counts = language.ngram_counts(text)
+    assert counts.sum() and language.ngram_counts("12 !")[0].size == 0
+    for part in (1, 2, 3, 4, 5, 7, 64, 1000):
+        got = language.ngram_counts(text, part)
+        assert (got[0].tolist(), got[1].tolist()) == (on.tolist(), counts.tolist())
+    assert [x.tolist() for x in language.ngram_counts(text.upper())] == [on.tolist(), counts.tolist()]
+
+
+def buckets_by_hand(text: str) -> dict:
+    letters = re.sub(r" +", " ", " " + "".join(c.lower() if c.isalpha() else " " for c in text))
+    found, m = {}, 1 << 32
+    x = [ord(c) for c in letters]
+    two = [(p * 0x9E3779B1 + q) % m for p, q in zip(x, x[1:])]
+    hashes = [h * 0x27D4EB2F % m for h in two] + [((h * 0x85EBCA6B) ^ (c * 0xC2B2AE35)) % m * 0x165667B1 % m for h, c in zip(two, x[2:])]
+    for h in hashes:
+        k = (h ^ (h >> 15)) >> 17
+        found[k] = found.get(k, 0) + 1
+    return found
+
+
+def test_language_equals_plain_loops():
+    """N-grams, TF-IDF, FTRL and predictions with dicts and loops."""
+    rng = np.random.default_rng(1)
+    texts = [(" ".join("".join(rng.choice(list(letters), 4)) for _ in range(6)), k) for _ in range(12) for k, letters in enumerate(("abcd", "cdef", "eföx"))]
+    counted = [buckets_by_hand(t) for t, _ in texts]
+    for (t, _), want in zip(texts, counted):
+        assert dict(zip(*(x.tolist() for x in language.ngram_counts(t)))) == want
+    df = {}
+    for c in counted:
+        for k in c:
+            df[k] = df.get(k, 0) + 1
+    idf = np.zeros(language.BUCKETS)
+    for k, n in df.items():
+        idf[k] = np.log((1 + len(texts)) / (1 + n)) + 1
+
+    def weighed(c: dict) -> dict:
+        x = {k: np.log(1 + n) * idf[k] for k, n in c.items()}
+        length = sum(v * v for v in x.values()) ** 0.5
+        return {k: v / length for k, v in x.items()}
+
+    l1, l2, alpha, beta, classes = 0.05, 0.05, 1.0, 1.0, 3
+    z, n = {}, {}
+
+    def weight(k, j):
+        zi, ni = z.get((k, j), 0.0), n.get((k, j), 0.0)
+        return 0.0 if abs(zi) <= l1 else -(zi - np.sign(zi) * l1) / ((beta + ni**0.5) / alpha + l2)
+
+    def chances(x, scale=1.0):
+        s = [sum(v * weight(k, j) for k, v in x.items()) / scale for j in range(classes)]
+        e = [np.exp(v - max(s)) for v in s]
+        return [v / sum(e) for v in e]
+
+    order = np.random.default_rng(7)
+    for _ in range(2):
+        for i in order.permutation(len(texts)):
+            x = weighed(counted[i])
+            p = chances(x)
+            w = {(k, j): weight(k, j) for k in x for j in range(classes)}
+            for (k, j), old in w.items():
+                g = x[k] * (p[j] - (j == texts[i][1]))
+                before = n.get((k, j), 0.0)
+                z[k, j] = z.get((k, j), 0.0) + g - ((before + g * g) ** 0.5 - before**0.5) / alpha * old
+                n[k, j] = before + g * g
+    rows = []
+    for t, _ in texts:
+        on, counts = language.ngram_counts(t)
+        rows.append((on, language.tfidf(on, counts, idf)))
+    got = language.follow_the_regularised_leader(rows, np.array([k for _, k in texts]), classes, l1, l2, alpha, beta, 2, 7)
+    assert all(abs(got[k, j] - weight(k, j)) < 1e-9 for k in df for j in range(classes))
+    assert (got == 0).mean() > 0.9
+    model = language.LanguageModel(["a", "b", "c"], idf, got, 0.7)
+    for (t, _), c in zip(texts, counted):
+        p = chances(weighed(c), 0.7)
+        assert model.predict(t)[0] == "abc"[int(np.argmax(p))] and abs(model.predict(t)[1] - max(p)) < 1e-9
+
+
+def test_every_language_is_learned_from_few_rows_each(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join("".join(rng.choice(list(chr(0x4E00 + 9 * k + j) for j in range(9)), 3)) for _ in range(8)), f"l{k}") for i, k in enumerate(rng.integers(0, 300, 6000).tolist())]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_language=10)
+    assert len(model.labels) == 300
+    hits = [model.predict(t)[0] == lang for _, t, lang in rows[:500]]
+    assert np.mean(hits) > 0.9
 
 
 def test_temperature_finds_the_scale():
@@ -188,6 +316,37 @@ def test_licenses_odd(odd_docs, spark):
         licenses.template_shingles({"x": "too short"})
 
 
+def test_no_template_is_missed_more_often_than_stated():
+    sizes = [len(x) for _, _, x in licenses.template_shingles(licenses.TEMPLATES)]
+    assert min(sizes) == 1
+    n = licenses.bands_for(sizes)
+    for m in sizes:
+        shared = -(-4 * m // 5)
+        s = shared / (licenses.WINDOW - licenses.SHINGLE + 1 + m - shared)
+        assert (1 - s) ** n <= 0.001
+
+
+def test_templates_of_several_parts(spark):
+    """A template of 100 words is found where enough of its parts are, at any place, also among all others."""
+    rng = np.random.default_rng(3)
+    body = [f"clause{k}" for k in range(100)]
+    templates = {**licenses.TEMPLATES, "long": " ".join(body)}
+    parts = [set(x) for name, _, x in licenses.template_shingles(templates) if name == "long"]
+    assert len(parts) > 3 and set.union(*parts) == {" ".join(body[k : k + 5]) for k in range(96)}
+    noise = " . ".join(licenses.TEMPLATES.values())
+    rows, want = [], set()
+    for k in range(40):
+        kept = [w if rng.random() > (k % 4) * 0.004 else "changed" for w in body[: 100 - (k % 5) * 3]]
+        rows.append((k, " ".join([f"w{j}" for j in range(k)] + kept + noise.split())))
+        windows = [set(" ".join(w[a + j : a + j + 5]) for j in range(60)) for w in [re.findall(r"[^\W_]+", rows[-1][1].lower())] for a in range(0, len(w), 32)]
+        found = [p for p in parts if any(len(p & w) >= 0.8 * len(p) for w in windows)]
+        if len(found) >= 0.8 * len(parts):
+            want.add(k)
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), templates).collect()
+    assert {r["doc_id"] for r in got if r["license_id"] == "long"} == want and 5 < len(want) < 40
+    assert {r["license_id"] for r in got} == templates.keys()
+
+
 # 5 suffixes
 
 
@@ -299,9 +458,32 @@ def test_encoder_equals_tokenizers():
 
 
 def test_sum_of_squares_rule():
-    where, offset, made = packing.sum_of_squares(np.array([600, 600, 400, 424, 1024]), 1024)
-    assert made == 3 and len(set(where.tolist())) == 3
-    assert json.dumps(sorted(zip(where.tolist(), offset.tolist()))).count("[") == 6
+    """Placement equals a plain loop that tries every gap and sums the squares of all counts."""
+    rng = np.random.default_rng(12)
+    for capacity, n in ((10, 60), (64, 300), (1024, 400)):
+        lengths = rng.integers(1, capacity + 1, n)
+        where, offset, made = packing.sum_of_squares(lengths, capacity)
+        gaps, got = {}, {}  # sequence -> gap by hand
+        for i in np.argsort(-lengths, kind="stable").tolist():
+            s = int(lengths[i])
+            counts = np.bincount([g for g in gaps.values() if g < capacity], minlength=capacity + 1)
+            counts[0] = 0
+            best = None
+            for gap in sorted({g for g in gaps.values() if g >= s}):
+                after = counts.copy()
+                after[gap] -= 1
+                if gap > s:
+                    after[gap - s] += 1
+                cost = int((after.astype(np.int64) ** 2).sum())
+                if best is None or cost < best[0]:
+                    best = (cost, gap)
+            gap = best[1] if best else capacity
+            assert int(offset[i]) == capacity - gap
+            assert best is None or gaps[int(where[i])] == gap
+            assert best is not None or int(where[i]) not in gaps
+            gaps[int(where[i])] = gap - s
+            got[int(where[i])] = got.get(int(where[i]), 0) + s
+        assert made == len(gaps) and max(got.values()) <= capacity
 
 
 # 7 WARC
@@ -335,6 +517,27 @@ def test_revisits(spark):
     assert got[1][4] == {"content-type": "text/html", "vary": "new", "date": "21"}
 
 
+@pytest.mark.parametrize(
+    ("url", "want"),
+    [
+        ("http://x.com/AT&T", "x.com/AT&T"), ("http://x.com/AT?T", "x.com/AT?T"), ("x.com/a&ref=1", "x.com/a&ref=1"), ("HTTPS://WWW.X.com:443/a/?utm_source=z#f", "x.com/a"),
+        ("x.com/?utm_a=1&b=2&gclid=3", "x.com/?b=2"), ("x.com/?b=2&ref=q&c=&d", "x.com/?b=2&c=&d"), ("x.com", "x.com"), ("x.com/a?b=/", "x.com/a?b=/"), ("x.com/a?", "x.com/a"), ("x.com?q", "x.com?q"), (None, None),
+    ],
+)
+def test_canonical_url(spark, url, want):
+    assert spark.createDataFrame([(url,)], "url string").select(warc.canonical_url(F.col("url"))).first()[0] == want
+
+
+def test_revisits_at_equal_times_split(spark):
+    """One URL, all captures at two times: slices cut through both."""
+    rows = [record(k, "a.com", 10, "response", f'"{k}"') for k in range(40)] + [record(100 + k, "a.com", 10 + k % 2, etag='"39"') for k in range(60)]
+    schema = "record_id long, url string, s long, kind string, etag string, last_modified string, headers map<string,string>, payload_sha256 string, payload_bytes long"
+    df = spark.createDataFrame(rows, schema).withColumn("ts", F.timestamp_seconds("s"))
+    for slices in (1, 7, 30):
+        got = {(r["record_id"], r["status"], r["response_id"]) for r in warc.resolve_revisits(df, slices=slices).collect()}
+        assert got == {(100 + k, "resolved", 39) if k % 2 else (100 + k, "orphan", None) for k in range(60)}
+
+
 def test_revisits_of_nothing(spark):
     assert warc.op7_warc_revisits.__name__ and warc.resolve_revisits(warc.capture_log(spark.createDataFrame([], "page_id long, url string, html string"))).collect() == []
 
@@ -424,6 +627,30 @@ def test_links_over_many_shards(spark):
     assert [roots.get(i, i) for i in range(len(fps))] == whole.tolist()
 
 
+def test_large_shards_are_split_on(spark):
+    fps = planted(2000, 11)
+    classes = spark.createDataFrame([(int(np.int64(f)), i) for i, f in enumerate(fps.view(np.int64))], "fp long, node long")
+    whole = simhash.shard_links(fps, 2)
+    for settings in ({"tree": 2, "most_rows": 700}, {"tree": 1, "most_rows": 1500}):
+        roots = {r["node"]: r["root"] for r in simhash.components(simhash.links(classes, **settings)).collect()}
+        assert [roots.get(i, i) for i in range(len(fps))] == whole.tolist()
+
+
+def test_shards_that_do_not_split_are_dealt_in_chunks(spark):
+    fps = np.array([0, *(1 << np.arange(64, dtype=np.uint64)), *(np.uint64(7) << np.arange(8, 58, dtype=np.uint64))], np.uint64)
+    classes = spark.createDataFrame([(int(np.int64(f)), i) for i, f in enumerate(fps.view(np.int64))], "fp long, node long")
+    roots = {r["node"]: r["root"] for r in simhash.components(simhash.links(classes, most_rows=10)).collect()}
+    assert [roots.get(i, i) for i in range(len(fps))] == simhash.shard_links(fps, 2).tolist()
+
+
+def test_fingerprints_of_parts(monkeypatch):
+    texts = [" ".join(f"w{k * 7 % 91}" for k in range(n)) for n in (0, 1, 2, 3, 9, 10, 11, 100, 1000)] + ["A b", ""]
+    whole = simhash.fingerprints(texts).tolist()
+    assert whole == [fingerprint_by_hand(t) for t in texts]
+    monkeypatch.setattr(simhash, "CHUNK", 64)  # parts of eight words
+    assert simhash.fingerprints(texts).tolist() == whole
+
+
 def test_long_chain_of_links(spark):
     chain = spark.createDataFrame([(i + 1, i) for i in range(200)] + [(500, 499)], "node long, root long")
     roots = {r["node"]: r["root"] for r in simhash.components(chain).collect()}
@@ -473,6 +700,29 @@ def test_mix_odd(odd_docs):
     assert out.select(F.sum(F.regexp_count("text", F.lit(mixing.WORD)))).first()[0] == taken
 
 
+def test_mix_is_the_same_where_the_plan_is_not_sent(documents, odd_docs, monkeypatch):
+    for docs in (documents, odd_docs):
+        columns = ("doc_id", "source", "size", "target", "reps", "taken")
+        sent = sorted(map(repr, mixing.mix(docs).select(*columns).collect()))
+        repeated = sorted(map(repr, mixing.repeat_documents(docs).collect()))
+        with monkeypatch.context() as m:
+            m.setattr(mixing, "MOST_SENT", 0)
+            assert sorted(map(repr, mixing.mix(docs).select(*columns).collect())) == sent
+            assert sorted(map(repr, mixing.repeat_documents(docs).collect())) == repeated
+
+
+def test_targets_of_many_sources(spark):
+    sizes = {f"s{k:05}": 1 + (k * 7919) % 1000 for k in range(3000)}
+    df = spark.createDataFrame(list(sizes.items()), "source string, size long")
+    got = {r["source"]: r["target"] for r in mixing.source_targets(df).collect()}
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(sorted(sizes))}
+    low, high = 0.0, 1e7
+    for _ in range(200):
+        level = (low + high) / 2
+        low, high = (level, high) if sum(min(3 * sizes[s], level * weight[s]) for s in sizes) < sum(sizes.values()) else (low, level)
+    assert got == pytest.approx({s: min(3 * sizes[s], low * weight[s]) for s in sizes})
+
+
 # 10 exact dedup
 
 
@@ -492,3 +742,13 @@ def test_exact_odd_and_colliding_digests(odd_docs):
     kept = exact_dedup.deduplicate(odd_docs)
     assert kept.columns == odd_docs.columns
     assert sorted([r["doc_id"] for r in kept.collect()], key=repr) == sorted([None, 4, 5, 6, 7, 8, 9, 10], key=repr)
+
+
+def test_copies_without_id_all_stay(spark):
+    rows = [(None, "x", 1), (None, "x", 2), (None, "y", 3), (5, "y", 4), (5, "y", 5), (6, None, 6), (None, "", 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, salt int")
+    report = exact_dedup.duplicate_report(df).collect()
+    kept = exact_dedup.deduplicate(df).collect()
+    assert sorted((r["doc_id"] is None, r["text"] or "") for r in kept) == [(False, ""), (False, "y"), (True, "x"), (True, "x")]
+    assert sum(r["kept"] for r in report) == 5 and {r["group_size"] for r in report} == {2, 3}
+    assert sorted(r["salt"] for r in kept if r["doc_id"] is None) == [1, 2]
