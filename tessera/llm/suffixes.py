@@ -6,10 +6,11 @@ earlier in the same document). Strings never cross documents and are judged on t
 1. Anchors. In every LENGTH-byte string the position of its smallest ``GRAM``-byte hash is its
    anchor, so equal strings have equal anchors, and about one position in 35 is one. The
    strings of an anchor lie within its context: LENGTH - GRAM bytes before it and LENGTH after.
-2. Whole contexts. Anchors are dealt by hash and sorted. Where one with the same context
-   (two independent 64-bit hashes) stands earlier, all its strings repeat. Tasks combine theirs
-   first, so copies cost a row a task. Of an anchor with several contexts, the first row of
-   each goes on.
+2. Whole contexts. Anchors are dealt by hash and sorted. Where one with the same context stands
+   earlier, all its strings repeat. Contexts are equal by hash here: 64 bits of polynomial hash
+   of the anchor's gram, and 64 of XXH3 of the whole context with its lengths; bytes are not
+   compared in this step. Tasks combine theirs first, so copies cost a row a task. Of an anchor
+   with several contexts, the first row of each goes on.
 3. Suffix sort. The contexts of these are cut from the texts and the suffixes that begin at
    anchors are put in order by mergesort. A comparison finds the common extension of two
    suffixes by binary search over their prefix polynomial hashes and looks at one byte after
@@ -17,11 +18,13 @@ earlier in the same document). Strings never cross documents and are judged on t
    suffixes are sorted by their bytes. For every distance between string start and anchor, equal strings are
    those within one run of common extensions whose bytes before the anchor are equal as well
    (prefix hashes backwards, verified by bytes); all but the earliest repeat.
-4. Anchors with more than ``MOST`` contexts in a task (a short phrase that a great many texts
-   share) are not gathered: each of their strings is grouped by 128 bits of hash instead.
+4. Hot anchors, with more than ``HOT`` contexts (a short phrase that a great many texts share),
+   would gather in one task. Their strings are dealt one by one instead, by their bytes, and
+   sorted: all but the first of equal strings repeat. Tasks combine equal strings first. The
+   answer is the same as by step 3, whatever HOT is.
 5. Repeats become spans of bytes per document, which are merged and cut out of its text.
 
-Hot anchors: a flush that meets ``HEAVY`` contexts of one anchor deals them to many tasks by
+Before that, in step 2, a flush that meets ``HEAVY`` contexts of one anchor deals them to many tasks by
 context, with a marker row wherever rows of that anchor can be, which tells that it has
 several contexts.
 
@@ -38,6 +41,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -52,8 +56,10 @@ SPAN = LENGTH - GRAM + 1
 CHUNK = 1 << 19
 #: Anchors that a task holds before it passes them on; contexts of one anchor in them that make it a hot one.
 FLUSH, HEAVY = 1_000_000, 1_000
-#: Contexts of one anchor that are sorted together, and in one call.
-MOST, AT_ONCE = 20_000, 30_000
+#: Contexts of one anchor that are sorted together, and rows in one call; strings of hot anchors that a task combines.
+HOT, AT_ONCE, STRINGS = 2_000, 30_000, 100_000
+#: Hot anchors are sent to the tasks up to so many.
+MOST_SENT = 1 << 20
 
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 _BYTES = np.random.default_rng(11).integers(1, 1 << 63, size=(2, 257), dtype=np.uint64) | np.uint64(1)
@@ -80,16 +86,13 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 class Prefixes:
-    """Prefix polynomial hashes of a buffer: the hash of any part by two lookups."""
+    """Prefix polynomial hashes of a buffer."""
 
     def __init__(self, raw: np.ndarray, k: int):
         up, self.down = _powers(k)
         self.sums = np.zeros(len(raw) + 1, np.uint64)
         np.cumsum(_BYTES[k][raw] * up[: len(raw)], out=self.sums[1:])
 
-    def part(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return (self.sums[end] - self.sums[start]) * self.down[start]
-
     def grams(self, n: int) -> np.ndarray:
         m = len(self.sums) - n
         return (self.sums[n:] - self.sums[:m]) * self.down[:m]
@@ -104,8 +107,7 @@ def anchors(raw: np.ndarray, first: np.ndarray, last: np.ndarray, low: np.ndarra
     kept = last > first
     if not kept.any():
         return np.zeros((0, 6), np.int64)
-    one, two = Prefixes(raw, 0), Prefixes(raw, 1)
-    grams = _mix(one.grams(GRAM))
+    grams = _mix(Prefixes(raw, 0).grams(GRAM))
     mask = np.uint64((1 << 20) - 1)
     least = (grams & ~mask) | np.arange(len(grams), dtype=np.uint64)
     width = 1
@@ -122,7 +124,8 @@ def anchors(raw: np.ndarray, first: np.ndarray, last: np.ndarray, low: np.ndarra
     end = np.append(new[1:], len(at)) - 1
     q, part = at[new], part[new]
     a, b = np.maximum(q - BEFORE, low[part]), np.minimum(q + LENGTH, high[part])
-    context = _mix(two.part(a, b) + ((q - a) * 1024 + (b - q)).astype(np.uint64))
+    whole = raw.tobytes()
+    context = np.fromiter((xxhash.xxh3_64_intdigest(whole[i:j], k) for i, j, k in zip(a.tolist(), b.tolist(), ((q - a) * 1024 + (b - q)).tolist())), np.uint64, len(q))
     return np.stack([grams[q].view(np.int64), context.view(np.int64), part, q, start[new], start[end]], axis=1)
 
 
@@ -289,7 +292,7 @@ def _batch(columns: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], names=ROW.names)
 
 
-def _combined(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _combined(rows: np.ndarray, heavy: int = HEAVY) -> Iterator[pa.RecordBatch]:
     """rows (h, ctx, doc, v, q, lo, hi) of a flush: the first of every context, the rest as repeats."""
     rows = rows[np.lexsort((rows[:, 4], rows[:, 3], rows[:, 2], rows[:, 1], rows[:, 0]))]
     h, ctx = rows[:, 0], rows[:, 1]
@@ -305,10 +308,10 @@ def _combined(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
     h = first[:, 0]
     begin = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
     count = np.diff(np.append(begin, len(h)))
-    hot = np.repeat(count >= HEAVY, count)
+    hot = np.repeat(count >= heavy, count)
     spread = np.where(hot, _mix(first[:, 1].view(np.uint64)).view(np.int64) >> 56, 0) + h
     yield _batch([spread, h, first[:, 1], np.zeros(len(h)), *(first[:, k] for k in range(2, 7))])
-    mark = np.repeat(h[begin][count >= HEAVY], 256)
+    mark = np.repeat(h[begin][count >= heavy], 256)
     zero = np.zeros(len(mark), np.int64)
     yield _batch([mark + np.resize(np.arange(-128, 128), len(mark)), mark, zero, zero + 3, zero, zero, zero, zero, zero])
 
@@ -355,47 +358,77 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield _batch(list(judged(np.zeros((0, len(ROW)), np.int64), True).T))
 
 
-CUT = T.StructType(
-    [T.StructField(c, T.LongType()) for c in ("h", "doc", "v", "q", "least", "most")] + [T.StructField(c, T.BinaryType()) for c in ("left", "right")]
-)
-FOUND = T.StructType([T.StructField(c, T.LongType()) for c in ("kind", "doc", "v", "lo", "hi", "w1", "w2")])
+# kind 0: a context of an anchor (h, position q, its strings' distances least to most, bytes); 1: string starts q to most
+# repeat; 2: a string of a hot anchor that starts at q, its bytes in left.
+CUT = T.StructType([T.StructField(c, T.LongType()) for c in ("kind", "h", "doc", "v", "q", "least", "most")] + [T.StructField(c, T.BinaryType()) for c in ("left", "right")])
+FOUND = T.StructType([T.StructField(c, T.LongType()) for c in ("doc", "v", "lo", "hi")])
+
+
+def _found(doc, v, lo, hi) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (doc, v, lo, hi)], names=FOUND.names)
+
+
+def _cut_batch(numbers: np.ndarray, left: list[bytes], right: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*(pa.array(numbers[:, k]) for k in range(7)), pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=CUT.names)
 
 
-def _found(kind: int, doc, v, lo, hi, w1=None, w2=None) -> pa.RecordBatch:
+def _combined_strings(rows: list[tuple[bytes, int, int, int]]) -> pa.RecordBatch:
+    """rows (string, doc, v, start) of a task: the first of equal strings, and the rest as repeats."""
+    rows = sorted(set(rows))
+    first = [k == 0 or rows[k][0] != rows[k - 1][0] for k in range(len(rows))]
+    new = [r for r, on in zip(rows, first) if on]
+    again = np.array([r[1:] for r, on in zip(rows, first) if not on], dtype=np.int64).reshape(-1, 3)
+    doc, v, lo, hi = join_runs(again[:, 0], again[:, 1], again[:, 2], again[:, 2])
     zero = np.zeros(len(doc), np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in (zero + kind, doc, v, lo, hi, zero if w1 is None else w1, zero if w2 is None else w2)], names=FOUND.names)
+    places = np.array([r[1:] for r in new], dtype=np.int64).reshape(-1, 3)
+    none = np.zeros(len(new), np.int64)
+    numbers = np.concatenate([np.stack([zero + 1, zero, doc, v, lo, zero, hi], axis=1), np.stack([none + 2, none, *places.T, none, none], axis=1)])
+    return _cut_batch(numbers, [b""] * len(doc) + [r[0] for r in new], [b""] * len(numbers))
 
 
-def _sorted_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Contexts sorted by h: string starts that repeat (kind 1), or every string of an anchor with too many (kind 4)."""
+def _cut_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The contexts of anchors, cut from texts; of hot anchors their strings."""
+    held: list[tuple[bytes, int, int, int]] = []
+    for batch in batches:
+        for part in (batch.slice(a, 200) for a in range(0, batch.num_rows, 200)):
+            rows, left, right = [], [], []
+            for doc, v, text, at in zip(*(part.column(c).to_pylist() for c in ("doc", "v", "text", "at"))):
+                text = text.encode()
+                for x in at:
+                    q = x["q"]
+                    if x["hot"]:
+                        held += [(text[k : k + LENGTH], doc, v, k) for k in range(x["lo"], x["hi"] + 1)]
+                    else:
+                        rows.append((0, x["h"], doc, v, q, q - x["hi"], q - x["lo"]))
+                        left.append(text[max(0, q - BEFORE) : q][::-1])
+                        right.append(text[q : q + LENGTH])
+                if len(held) >= STRINGS:
+                    yield _combined_strings(held)
+                    held = []
+            if rows:
+                yield _cut_batch(np.array(rows, dtype=np.int64), left, right)
+    if held:
+        yield _combined_strings(held)
 
-    def columns(t: pa.Table) -> tuple:
-        return (*(t.column(c).to_numpy() for c in ("h", "doc", "v", "q", "least", "most")), t.column("left").to_pylist(), t.column("right").to_pylist())
+
+def _sorted_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """String starts that repeat, from contexts sorted by h and strings sorted by bytes and place."""
 
     def search(t: pa.Table) -> pa.RecordBatch:
-        h, doc, v, q, least, most, left, right = columns(t)
+        h, doc, v, q, least, most = (t.column(c).to_numpy() for c in ("h", "doc", "v", "q", "least", "most"))
         by = np.lexsort((q, v, doc))
         step = np.append(0, (doc[by][1:] != doc[by][:-1]) | (v[by][1:] != v[by][:-1]) | (q[by][1:] != q[by][:-1]))[: len(by)]
         rank = np.empty(len(by), np.int64)
         rank[by] = np.cumsum(step)
-        again = repeats(h, right, left, least, most, rank)
+        again = repeats(h, t.column("right").to_pylist(), t.column("left").to_pylist(), least, most, rank)
         edge = np.zeros((len(h), 1), bool)
         change = np.diff(np.concatenate([edge, again, edge], axis=1).astype(np.int8), axis=1)
         i, a = np.nonzero(change == 1)
         _, b = np.nonzero(change == -1)
-        return _found(1, doc[i], v[i], q[i] - (b - 1), q[i] - a)
-
-    def strings(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        for part in (t.slice(a, 5_000) for a in range(0, t.num_rows, 5_000)):
-            h, doc, v, q, least, most, left, right = columns(part)
-            raw, back = padded(right, LENGTH), padded(left, BEFORE)
-            f, g = [row_prefixes(raw, k) for k in (0, 1)], [row_prefixes(back, k) for k in (1, 0)]
-            for o in range(BEFORE + 1):
-                on = np.flatnonzero((least <= o) & (o <= most))
-                w = [_mix(f[k][on, LENGTH - o] * np.uint64(0x9FB21C651E98DF25) + _mix(g[k][on, o] + np.uint64(o))).view(np.int64) for k in (0, 1)]
-                yield _found(4, doc[on], v[on], q[on] - o, q[on] - o, *w)
+        return _found(doc[i], v[i], q[i] - (b - 1), q[i] - a)
 
     held: list[pa.Table] = []
+    last: tuple = (None, None)  # the string at hand and the place where it starts first
 
     def drain(all_: bool) -> Iterator[pa.RecordBatch]:
         nonlocal held
@@ -404,32 +437,35 @@ def _sorted_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         if t is None or not t.num_rows:
             return
         h = t.column("h").to_numpy()
-        begin = np.append(np.flatnonzero(np.append(True, h[1:] != h[:-1])), len(h))
-        if not all_:  # the last anchor's rows may go on
-            begin = begin[:-1]
-            held = [t.slice(begin[-1])]
-        sizes = np.diff(begin)
-        for k in np.flatnonzero(sizes > MOST):
-            yield from strings(t.slice(begin[k], sizes[k]))
-        small = np.repeat(sizes <= MOST, sizes)
-        if small.any():
-            yield search(t.slice(0, begin[-1]).filter(pa.array(small)))
-
-    open_h = None  # of an anchor that has passed MOST already: its rows go out as they come
+        end = len(h)
+        if not all_ and h[0] != h[-1]:  # the last anchor's rows may go on
+            end = int(np.searchsorted(h, h[-1]))
+            held = [t.slice(end)]
+        elif not all_:
+            held, end = [t], 0
+        if end:
+            yield search(t.slice(0, end))
+
     for batch in batches:
-        t = pa.Table.from_batches([batch])
-        if open_h is not None:
-            h = t.column("h").to_numpy()
-            n = int((h == open_h).sum())
-            yield from strings(t.slice(0, n))
-            t, open_h = t.slice(n), open_h if n == len(h) else None
-        held.append(t)
-        if sum(x.num_rows for x in held) >= AT_ONCE:
-            yield from drain(False)
-            if held and held[0].num_rows > MOST:
-                open_h = held[0].column("h")[0].as_py()
-                yield from strings(held[0])
-                held = []
+        kind = batch.column("kind").to_numpy()
+        on = batch.filter(pa.array(kind == 1))
+        if on.num_rows:
+            yield _found(*(on.column(c).to_numpy() for c in ("doc", "v", "q", "most")))
+        on = batch.filter(pa.array(kind == 2))
+        if on.num_rows:
+            doc, v, q = (on.column(c).to_numpy() for c in ("doc", "v", "q"))
+            again = np.zeros(on.num_rows, bool)
+            for k, (string, place) in enumerate(zip(on.column("left").to_pylist(), zip(doc.tolist(), v.tolist(), q.tolist()))):
+                if string == last[0]:
+                    again[k] = place != last[1]
+                else:
+                    last = (string, place)
+            yield _found(doc[again], v[again], q[again], q[again])
+        on = batch.filter(pa.array(kind == 0))
+        if on.num_rows:
+            held.append(pa.Table.from_batches([on]))
+            if sum(x.num_rows for x in held) >= AT_ONCE:
+                yield from drain(False)
     yield from drain(True)
 
 
@@ -447,8 +483,11 @@ def identified(docs: DataFrame) -> DataFrame:
     return keyed.select("doc_id", "doc", "text", F.coalesce("n", F.lit(0)).cast("long").alias("v"))
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept: the bytes that stay, for each row of docs."""
+def remove_repeats(docs: DataFrame, flush: int = FLUSH, heavy: int = HEAVY, hot: int = HOT) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept: the bytes that stay, for each row of docs.
+
+    flush, heavy and hot bear on how the work is dealt, not on results.
+    """
     texts = identified(docs)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -459,38 +498,26 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 doc, v = part.column("doc").to_numpy()[rows[:, 2]], part.column("v").to_numpy()[rows[:, 2]]
                 held.append(np.column_stack([rows[:, 0], rows[:, 1], doc, v, rows[:, 3], rows[:, 4], rows[:, 5]]))
                 n += len(rows)
-                if n >= FLUSH:
-                    yield from _combined(np.concatenate(held))
+                if n >= flush:
+                    yield from _combined(np.concatenate(held), heavy)
                     held, n = [], 0
         if n:
-            yield from _combined(np.concatenate(held))
+            yield from _combined(np.concatenate(held), heavy)
 
     dealt = texts.select("doc", "v", "text").mapInArrow(find, ROW).repartition("spread")
     ordered = dealt.sortWithinPartitions("h", "ctx", F.col("kind") != 3, "doc", "v", "q")
     judged = durable(ordered.mapInArrow(_contexts, ROW).select("h", "kind", "doc", "v", "q", "lo", "hi"), "suffix-contexts")
 
-    wanted = judged.filter("kind = 2").groupBy(F.col("doc").alias("d"), F.col("v").alias("w")).agg(F.collect_list(F.struct("h", "q", "lo", "hi")).alias("at"))
-
-    def cut_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in (batch.slice(a, 200) for a in range(0, batch.num_rows, 200)):
-                rows, left, right = [], [], []
-                for doc, v, text, at in zip(*(part.column(c).to_pylist() for c in ("doc", "v", "text", "at"))):
-                    text = text.encode()
-                    for x in at:
-                        q = x["q"]
-                        rows.append((x["h"], doc, v, q, q - x["hi"], q - x["lo"]))
-                        left.append(text[max(0, q - BEFORE) : q][::-1])
-                        right.append(text[q : q + LENGTH])
-                numbers = np.array(rows, dtype=np.int64).reshape(-1, 6)
-                yield pa.RecordBatch.from_arrays([*(pa.array(numbers[:, k]) for k in range(6)), pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=CUT.names)
-
+    several = judged.filter("kind = 2").select("h", "doc", "v", "q", "lo", "hi")
+    many = durable(several.groupBy("h").count().filter(F.col("count") > hot).select(F.col("h").alias("of"), F.lit(True).alias("hot")), "hot-anchors")
+    several = several.join(F.broadcast(many) if many.count() <= MOST_SENT else many, F.col("h") == F.col("of"), "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    wanted = several.groupBy(F.col("doc").alias("d"), F.col("v").alias("w")).agg(F.collect_list(F.struct("h", "q", "lo", "hi", "hot")).alias("at"))
     with_text = texts.select("doc", "v", "text").join(wanted, (F.col("doc") == F.col("d")) & (F.col("v") == F.col("w"))).select("doc", "v", "text", "at")
-    contexts = with_text.mapInArrow(cut_contexts, CUT).repartition("h").sortWithinPartitions("h")
+    cut = with_text.mapInArrow(_cut_contexts, CUT)
+    contexts = cut.repartition(F.when(F.col("kind") == 0, F.col("h")).when(F.col("kind") == 1, F.xxhash64("doc", "q")).otherwise(F.xxhash64("left")))
+    contexts = contexts.sortWithinPartitions("kind", "h", F.when(F.col("kind") == 2, F.col("left")), "doc", "v", "q")
     found = durable(contexts.mapInArrow(_sorted_suffixes, FOUND), "suffix-repeats")
-    place = F.struct("doc", "v", "lo")
-    strings = found.filter("kind = 4").withColumn("first", F.min(place).over(Window.partitionBy("w1", "w2"))).filter(place != F.col("first"))
-    runs = judged.filter("kind = 1").select("doc", "v", "lo", "hi").unionAll(found.filter("kind = 1").select("doc", "v", "lo", "hi")).unionAll(strings.select("doc", "v", "lo", "hi"))
+    runs = judged.filter("kind = 1").select("doc", "v", "lo", "hi").unionAll(found)
     spans = runs.groupBy(F.col("doc").alias("d"), F.col("v").alias("w")).agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
     fields = [docs.schema["doc_id"]] + [T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")] + [T.StructField("kept_sha256", T.StringType()), T.StructField("kept", T.BinaryType())]
     schema = T.StructType(fields)
