@@ -49,3 +49,23 @@ def answers(spark, docs: list[tuple], partitions: int = 3) -> dict:
 def test_equals_brute_force(spark, seed):
     docs = corpus(seed)
     assert answers(spark, docs) == brute_force(docs)
+
+
+def hot_corpus(seed: int, n: int = 150) -> list[tuple]:
+    """One phrase with ever other text around it, and one long passage that many texts end or begin with."""
+    rng = np.random.default_rng(seed)
+    word = lambda: "".join(rng.choice(list("abc "), rng.integers(1, 9)))
+    phrase, passage = "the very common phrase that all of these share ", "".join(word() for _ in range(60))
+    docs = []
+    for i in range(n):
+        around = ["".join(word() for _ in range(int(rng.integers(0, 12)))) for _ in range(3)]
+        docs.append((i, around[0] + phrase + around[1] + (passage if i % 3 else passage[: int(rng.integers(90, 200))]) + around[2] + (phrase if i % 4 == 0 else "")))
+    return [docs[k] for k in rng.permutation(n)]
+
+
+@pytest.mark.parametrize("settings", [{}, {"hot": 5}, {"heavy": 3, "flush": 40}, {"hot": 0, "heavy": 2, "flush": 10}])
+def test_hot_anchors_change_nothing(spark, settings):
+    docs = hot_corpus(3) + [(1000 + i, t) for i, t in corpus(4, 12)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffixes.remove_repeats(df, **settings).collect()}
+    assert got == brute_force(docs)
