@@ -8,41 +8,67 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import numbers, text
+from tessera.operators.lineage import cut
+
+#: Rules that are sent to the tasks, at most. Ids of a range whose sums are taken first.
+MOST_RULES, RANGE = 10_000, 4_096
+
+
+def _once(**columns: Column) -> Column:
+    """Columns made by a generator, so that they are computed once and not again in every filter above."""
+    return F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()])))
 
 
 def detect(docs: DataFrame, rules: DataFrame, key: str = "doc_id") -> DataFrame:
     """Leads of texts: rules whose keywords occur, with evidence long enough, no exclusion in it and wanted context.
 
     rules: rule_code, lead_type, severity, keywords, excluded, context, least. A text gives a
-    lead of each type at most, by the first rule. Rules are few and are sent to the texts.
+    lead of each type at most, by the first rule. Rules are sent to the texts, MOST_RULES at most.
     """
-    body = F.lower("text")
+    if rules.count() > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} rules")
     has = lambda c, words: F.filter(words, lambda w: F.contains(c, w))
     every = rules.agg(F.collect_list(F.struct(*rules.columns)).alias("rules"))  # one row
-    rows = docs.select(key, "source", "text").join(F.broadcast(every))
-    rows = rows.select(key, "source", "text", F.inline(F.filter("rules", lambda r: F.exists(r["keywords"], lambda k: F.contains(body, k)))))
-    rows = rows.withColumn("keywords", has(body, F.col("keywords")))
-    rows = rows.withColumn("evidence", text.evidence(F.col("text"), F.get("keywords", F.lit(0))))
-    kept = rows.filter(
-        (F.length("evidence") >= F.col("least"))
-        & (F.size(has(F.lower("evidence"), F.col("excluded"))) == 0)
-        & ((F.size("context") == 0) | (F.size(has(body, F.col("context"))) > 0))
-    )
+    parts = F.transform(text.sentences(F.col("text")), lambda s: F.struct(s.alias("s"), F.lower(s).alias("low")))
+    rows = docs.select(key, "source", _once(body=F.lower("text"), parts=parts)).join(F.broadcast(every))
+    rows = rows.select(key, "source", "body", "parts", F.inline(F.filter("rules", lambda r: F.exists(r["keywords"], lambda k: F.contains(F.col("body"), k)))))
+    rows = rows.filter((F.size("context") == 0) | F.exists("context", lambda w: F.contains(F.col("body"), w)))
+    kept = [key, "source", "parts", "rule_code", "lead_type", "severity", "excluded", "least"]
+    rows = rows.select(*kept, _once(keywords=has(F.col("body"), F.col("keywords")))).withColumn("word", F.lower(F.get("keywords", F.lit(0))))
+    found = F.transform(F.filter("parts", lambda p: F.contains(p["low"], F.col("word"))), lambda p: p["s"])
+    rows = rows.select(*[c for c in kept if c != "parts"], "keywords", _once(evidence=F.substring(F.array_join(found, ". "), 1, 300)))
+    rows = rows.filter((F.length("evidence") >= F.col("least")) & ~F.exists("excluded", lambda w: F.contains(F.lower("evidence"), w)))
     first = F.min_by(F.struct("source", "rule_code", "severity", "keywords", "evidence"), "rule_code").alias("l")
-    return kept.groupBy(key, "lead_type").agg(first).select(key, "l.source", "lead_type", "l.rule_code", "l.severity", "l.keywords", "l.evidence")
+    return rows.groupBy(key, "lead_type").agg(first).select(key, "l.source", "lead_type", "l.rule_code", "l.severity", "l.keywords", "l.evidence")
+
 
+def evidence_unique(evidence: Column, past: Column) -> Column:
+    """The per cent of evidence's ten longest words that past lacks; 60 if it has no word."""
+    words = F.array_distinct(text.find_all(evidence, "[A-Za-z]{4,}"))
+    longest = F.slice(F.reverse(F.array_sort(F.transform(words, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))), 1, 10)
+    missing = F.size(F.filter(longest, lambda x: ~F.contains(past, F.lower(x["w"]))))
+    return F.when(F.size(longest) == 0, 60).otherwise(F.floor(F.try_divide(missing * 100, F.size(longest)))).cast("int")
 
-def novelty(docs: DataFrame, fresh: Sequence[str], gone: Sequence[str]) -> DataFrame:
-    """How new a text is to its source: by its key words against those of earlier texts, and by how much it says so."""
-    rows = docs.select("doc_id", "source", text.hits(F.col("text"), fresh).alias("fresh"), text.hits(F.col("text"), gone).alias("gone"))
-    earlier = Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
+
+def novelty(docs: DataFrame, fresh: Sequence[str], gone: Sequence[str], evidence: Column, past_text: Column) -> DataFrame:
+    """How new a text is to its source: key words against those of earlier texts (40 %), how much it says so (30 %), new evidence (30 %).
+
+    What stands earlier is summed by ranges of RANGE doc_ids first, so no task holds all texts of a source.
+    """
+    rows = docs.select("doc_id", "source", text.hits(F.col("text"), fresh).alias("fresh"), text.hits(F.col("text"), gone).alias("gone"), evidence_unique(evidence, past_text).alias("ev"))
+    rows = cut(rows.withColumn("part", F.floor(F.col("doc_id") / RANGE)))
+    before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = rows.groupBy("source", "part").agg(F.sum("fresh").alias("words")).withColumn("earlier", F.sum("words").over(before)).drop("words")
+    within = Window.partitionBy("source", "part").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    same = F.col("source").eqNullSafe(F.col("of")) & (F.col("part") == F.col("of_part"))
+    rows = rows.withColumn("near", zero(F.sum("fresh").over(within))).join(ranges.select(F.col("source").alias("of"), F.col("part").alias("of_part"), "earlier"), same)
+    rows = rows.withColumn("past", F.col("near") + zero(F.col("earlier")))
     total = F.col("fresh") + F.col("gone")
     said = F.when(total >= 5, 95).when(total >= 3, 80).when(total >= 1, 65).otherwise(30)
-    past = F.coalesce(F.sum("fresh").over(earlier), F.lit(0))
-    rows = rows.withColumn("past", past)
     now = F.col("fresh") > 0
     words = F.when(now & (F.col("past") == 0), 95).when(now & (F.col("fresh") > 5), 70).when(now, 30).when(F.col("past") > 0, 85).otherwise(50)
-    return rows.select("doc_id", words.alias("kw"), said.alias("ai"), (words * 0.4 + said * 0.6).cast("int").alias("score"))
+    return rows.select("doc_id", words.alias("kw"), said.alias("ai"), "ev", (words * 0.4 + said * 0.3 + F.col("ev") * 0.3).cast("int").alias("score"))
 
 
 def match_score(rows: DataFrame, today: Column) -> DataFrame:

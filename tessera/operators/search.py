@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions import text
+from tessera.operators.lineage import cut
+
 
 def _counts(docs: DataFrame, key: str, pattern: str) -> DataFrame:
     words = F.regexp_extract_all(F.lower("text"), F.lit(pattern), F.lit(0))
@@ -14,14 +17,13 @@ def _counts(docs: DataFrame, key: str, pattern: str) -> DataFrame:
 
 
 def bm25(docs: DataFrame, terms: Sequence[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """doc_id, score of documents that hold any of the terms. Texts are counted in place: only hits are shuffled."""
-    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))
+    """doc_id, score of documents that hold any of the terms, runs of a-z. Texts are counted in place: only hits are shuffled."""
 
     def count(term: str):
-        return F.struct(F.lit(term).alias("term"), F.size(F.filter("words", lambda w: w == term)).alias("tf"))
+        return F.struct(F.lit(term).alias("term"), F.regexp_count(F.lower("text"), F.lit(f"(?<![a-z]){term}(?![a-z])")).alias("tf"))
 
-    tf = F.array(*map(count, terms))
-    rows = docs.select("doc_id", words.alias("words")).select("doc_id", F.size("words").alias("dl"), tf.alias("tf"))
+    # written once: statistics and hits both read these few numbers a text
+    rows = cut(docs.select("doc_id", F.regexp_count(F.lower("text"), F.lit("[a-z]+")).alias("dl"), F.array(*map(count, terms)).alias("tf")))
     stats = rows.filter("dl > 0").agg(F.count("*").alias("n"), (F.sum("dl") / F.count("*")).alias("avgdl"))
     hits = rows.select("doc_id", "dl", F.inline("tf")).filter("tf > 0")
     df = hits.groupBy("term").agg(F.count("*").alias("df"))  # a row a query term
@@ -33,9 +35,15 @@ def bm25(docs: DataFrame, terms: Sequence[str], k1: float = 1.2, b: float = 0.75
 
 def tfidf(docs: DataFrame, key: str, pattern: str = "[a-z]{4,}") -> DataFrame:
     """key, w, score: term frequency within a key times ln(keys / (1 + keys with the term))."""
-    counts = _counts(docs, key, pattern)
+    counts = cut(_counts(docs, key, pattern))  # read three times
     df = counts.groupBy("w").agg(F.count("*").alias("df"))
     totals = counts.groupBy(key).agg(F.sum("f").alias("total"))
     keys = totals.agg(F.count("*").alias("keys"))  # one row
     rows = counts.join(df, "w").join(totals, key).join(F.broadcast(keys))
     return rows.select(key, "w", (F.col("f") / F.col("total") * F.log(F.col("keys") / (1 + F.col("df")))).alias("score"))
+
+
+def phrase_search(docs: DataFrame, phrase: str, reach: int = 75) -> DataFrame:
+    """doc_id, n, snippet of documents that hold the phrase in any case: how often, and the text around its first place."""
+    hits = docs.filter(F.contains(F.lower("text"), F.lit(phrase.lower())))
+    return hits.select("doc_id", text.count_of(F.lower("text"), phrase.lower()).cast("long").alias("n"), text.window_around(F.col("text"), phrase, reach).alias("snippet"))

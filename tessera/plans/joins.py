@@ -239,10 +239,10 @@ def _(t):
     return t.questionnaires.groupBy("corp_code", "status").agg(F.max("q_id").alias("q_id"))
 
 
-@query("join_news_corp", "SELECT l.id AS lead_id, w.id AS news_id, w.tier FROM leads l JOIN news w USING (corp_code) WHERE w.tier IN ('T1', 'T2', 'RESEARCH') AND l.severity = 5")
+@query("join_news_corp", "SELECT l.id AS lead_id, w.id AS news_id, w.tier FROM leads l JOIN news w USING (corp_code) WHERE w.tier IN ('T1', 'T2', 'RESEARCH')")
 def _(t):
     chosen = t.news.filter(F.col("tier").isin("T1", "T2", "RESEARCH")).select(F.col("id").alias("news_id"), "corp_code", "tier")
-    return t.leads.filter("severity = 5").select(F.col("id").alias("lead_id"), "corp_code").join(chosen, "corp_code").drop("corp_code")
+    return t.leads.select(F.col("id").alias("lead_id"), "corp_code").join(chosen, "corp_code").drop("corp_code")
 
 
 @query(
@@ -322,11 +322,11 @@ def _(t):
 
 @query(
     "join_industry_name",
-    """WITH codes AS (SELECT DISTINCT substr(partner_name, 10, k) AS code, k FROM edges, range(6, 10) r(k) WHERE partner_id % 3 = 0) SELECT c.corp_code, coalesce(a.code, b.code, d.code, e.code) AS code FROM companies c
+    """WITH codes AS (SELECT DISTINCT substr(partner_name, 10, k) AS code, k FROM edges, range(6, 10) r(k) WHERE relation = 'customer') SELECT c.corp_code, coalesce(a.code, b.code, d.code, e.code) AS code FROM companies c
     LEFT JOIN codes a ON a.k = 9 AND a.code = substr(c.corp_name, 10, 9) LEFT JOIN codes b ON b.k = 8 AND b.code = substr(c.corp_name, 10, 8) LEFT JOIN codes d ON d.k = 7 AND d.code = substr(c.corp_name, 10, 7) LEFT JOIN codes e ON e.k = 6 AND e.code = substr(c.corp_name, 10, 6)""",
 )
 def _(t):
-    codes = t.edges.filter("partner_id % 3 = 0").select(F.explode(F.transform(F.sequence(F.lit(6), F.lit(9)), lambda k: F.substring(F.col("partner_name"), F.lit(10), k))).alias("code")).distinct()
+    codes = t.edges.filter("relation = 'customer'").select(F.explode(F.transform(F.sequence(F.lit(6), F.lit(9)), lambda k: F.substring(F.col("partner_name"), F.lit(10), k))).alias("code")).distinct()
     rows = t.companies.select("corp_code", "corp_name")
     for k in (9, 8, 7, 6):  # the longest prefix that has a name
         rows = rows.join(codes.filter(F.length("code") == k).withColumnRenamed("code", f"c{k}"), F.substring("corp_name", 10, k) == F.col(f"c{k}"), "left")

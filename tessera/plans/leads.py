@@ -48,29 +48,32 @@ def _(t):
     return rules(t).select("rule_code", "lead_type", "severity", F.size("keywords").alias("n_keywords"))
 
 
+UNIQUE_SQL = """SELECT doc_id, len(cand) AS n, CASE WHEN len(cand) = 0 THEN 60 ELSE len(list_filter(cand, lambda w: NOT contains(past, lower(w[2])))) * 100 // len(cand) END::INT AS score FROM
+    (SELECT doc_id, (list_reverse_sort(list_transform(list_distinct(regexp_extract_all(substr(text, 1, 300), '[A-Za-z]{4,}')), lambda w: (length(w), w))))[1:10] AS cand, lower(substr(text, 301)) AS past FROM documents)"""
+
+
+def lead_and_past():
+    """The tables hold no lead's evidence of its own: a text's first 300 characters stand for it, and the rest for the texts before it."""
+    return F.substring("text", 1, 300), F.lower(F.expr("substring(text, 301)"))
+
+
 @query(
     "l_novelty",
-    """WITH a AS (SELECT doc_id, source, (len(regexp_extract_all(text, 'tion')) + len(regexp_extract_all(text, 'new'))) AS fresh, len(regexp_extract_all(text, 'heed')) AS gone, text FROM documents),
+    f"""WITH a AS (SELECT doc_id, source, (len(regexp_extract_all(text, 'tion')) + len(regexp_extract_all(text, 'new'))) AS fresh, len(regexp_extract_all(text, 'heed')) AS gone FROM documents),
     b AS (SELECT *, CASE WHEN fresh + gone >= 5 THEN 95 WHEN fresh + gone >= 3 THEN 80 WHEN fresh + gone >= 1 THEN 65 ELSE 30 END AS ai, sum(fresh) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS past FROM a),
     c AS (SELECT *, CASE WHEN fresh > 0 AND coalesce(past, 0) = 0 THEN 95 WHEN fresh > 0 AND fresh > 5 THEN 70 WHEN fresh > 0 THEN 30 WHEN past > 0 THEN 85 ELSE 50 END AS kw FROM b)
-    SELECT doc_id, kw, ai, trunc(kw * 0.4::DOUBLE + ai * 0.6::DOUBLE)::INT AS score FROM c""",
+    SELECT doc_id, kw, ai, ev, trunc(kw * 0.4::DOUBLE + ai * 0.3::DOUBLE + ev * 0.3::DOUBLE)::INT AS score, CASE WHEN score >= 70 THEN 'A/B' WHEN score >= 50 THEN 'C' ELSE 'D' END AS grade FROM c JOIN (SELECT doc_id, score AS ev FROM ({UNIQUE_SQL})) USING (doc_id)""",
 )
 def _(t):
-    return L.novelty(t.documents, ["tion", "new"], ["heed"])
+    rows = L.novelty(t.documents, ["tion", "new"], ["heed"], *lead_and_past())
+    return rows.withColumn("grade", F.when(F.col("score") >= 70, "A/B").when(F.col("score") >= 50, "C").otherwise("D"))
 
 
-@query(
-    "l_evidence_unique",
-    """WITH e AS (SELECT doc_id, (list_reverse_sort(list_transform(list_distinct(regexp_extract_all(substr(text, 1, 300), '[A-Za-z]{4,}')), lambda w: (length(w), w))))[1:10] AS cand, lower(substr(text, 301, 30000)) AS past FROM documents)
-    SELECT doc_id, len(cand) AS n, CASE WHEN len(cand) = 0 THEN 60 ELSE len(list_filter(cand, lambda w: NOT contains(past, lower(w[2])))) * 100 // len(cand) END::INT AS score FROM e""",
-)
+@query("l_evidence_unique", UNIQUE_SQL)
 def _(t):
-    words = F.array_distinct(text.find_all(F.substring("text", 1, 300), "[A-Za-z]{4,}"))
-    longest = F.slice(F.reverse(F.array_sort(F.transform(words, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))), 1, 10)
-    past = F.lower(F.substring("text", 301, 30000))
-    rows = t.documents.select("doc_id", longest.alias("c"), past.alias("past"))
-    missing = F.size(F.filter("c", lambda x: ~F.contains(F.col("past"), F.lower(x["w"]))))
-    return rows.select("doc_id", F.size("c").cast("long").alias("n"), F.when(F.size("c") == 0, 60).otherwise(F.floor(F.try_divide(missing * 100, F.size("c")))).cast("int").alias("score"))
+    lead, past = lead_and_past()
+    words = F.array_distinct(text.find_all(lead, "[A-Za-z]{4,}"))
+    return t.documents.select("doc_id", F.least(F.lit(10), F.size(words)).cast("long").alias("n"), L.evidence_unique(lead, past).alias("score"))
 
 
 CLASS_SQL = "CASE WHEN greatest(a, b, c, d) = 0 THEN 'CHANGED' WHEN a = greatest(a, b, c, d) THEN 'NEW' WHEN b = greatest(a, b, c, d) THEN 'REMOVED' WHEN c = greatest(a, b, c, d) THEN 'EXPANDED' ELSE 'SHRUNK' END"
@@ -108,12 +111,12 @@ def _(t):
 
 RECENCY_SQL = f"CASE WHEN abs(DATE '{AS_OF}' - published_at) <= 30 THEN 1.0 WHEN abs(DATE '{AS_OF}' - published_at) <= 60 THEN 0.85 WHEN abs(DATE '{AS_OF}' - published_at) <= 90 THEN 0.7 WHEN abs(DATE '{AS_OF}' - published_at) <= 180 THEN 0.5 ELSE 0.3 END::DOUBLE"
 MATCH_SQL = f"""SELECT l.id AS lead_id, w.id AS news_id, w.tier, round((CASE WHEN contains(lower(w.title), right(l.title, 1)) THEN 1.0 ELSE 0.0 END)::DOUBLE * 0.5::DOUBLE + w.weight * 0.3::DOUBLE + {RECENCY_SQL} * 0.2::DOUBLE, 3) AS score
-    FROM leads l JOIN news w USING (corp_code) WHERE w.tier IN ('T1', 'T2', 'RESEARCH') AND l.severity = 5"""
+    FROM leads l JOIN news w USING (corp_code) WHERE w.tier IN ('T1', 'T2', 'RESEARCH')"""
 
 
 def matched(t):
     sources = t.news.filter(F.col("tier").isin("T1", "T2", "RESEARCH")).select(F.col("id").alias("news_id"), "corp_code", "tier", "weight", "published_at", F.lower("title").alias("shown"))
-    rows = t.leads.filter("severity = 5").select(F.col("id").alias("lead_id"), "corp_code", F.array(F.right("title", F.lit(1))).alias("keywords")).join(sources, "corp_code")
+    rows = t.leads.select(F.col("id").alias("lead_id"), "corp_code", F.array(F.right("title", F.lit(1))).alias("keywords")).join(sources, "corp_code")
     return L.match_score(rows, F.lit(AS_OF).cast("date"))
 
 

@@ -61,15 +61,15 @@ def _(t):
 PARTICLES = ["tion", "ing", "es", "ent", "n"]
 
 
-@query("txt_strip_particle", "SELECT word, regexp_replace(word, '(tion|ing|es|ent|n)$', '') AS stem FROM (SELECT DISTINCT unnest(regexp_extract_all(substr(text, 1, 200), '[a-z]{3,}')) AS word FROM documents)")
+@query("txt_strip_particle", "SELECT word, regexp_replace(word, '(tion|ing|es|ent|n)$', '') AS stem FROM (SELECT DISTINCT unnest(regexp_extract_all(text, '[a-z]{3,}')) AS word FROM documents)")
 def _(t):
-    words = t.documents.select(F.explode(text.find_all(F.substring("text", 1, 200), "[a-z]{3,}")).alias("word")).distinct()
+    words = t.documents.select(F.explode(text.find_all(TEXT(), "[a-z]{3,}")).alias("word")).distinct()
     return words.select("word", F.regexp_replace("word", "(tion|ing|es|ent|n)$", "").alias("stem"))
 
 
-@query("txt_strip_particle2", "SELECT word, regexp_replace(word, '^(.{2,}?)(tion|ent|ing|es|n)$', '\\1') AS stem FROM (SELECT DISTINCT unnest(regexp_extract_all(substr(text, 1, 200), '[a-z]{3,}')) AS word FROM documents)")
+@query("txt_strip_particle2", "SELECT word, regexp_replace(word, '^(.{2,}?)(tion|ent|ing|es|n)$', '\\1') AS stem FROM (SELECT DISTINCT unnest(regexp_extract_all(text, '[a-z]{3,}')) AS word FROM documents)")
 def _(t):
-    words = t.documents.select(F.explode(text.find_all(F.substring("text", 1, 200), "[a-z]{3,}")).alias("word")).distinct()
+    words = t.documents.select(F.explode(text.find_all(TEXT(), "[a-z]{3,}")).alias("word")).distinct()
     return words.select("word", text.strip_particle(F.col("word"), PARTICLES).alias("stem"))
 
 
@@ -180,10 +180,10 @@ def _(t):
 SECTOR_KEYS = [("energy", "ration"), ("energy", "ing"), ("food", "heat"), ("food", "eat")]
 
 
-@query("txt_detect_sectors", f"SELECT doc_id, sector, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(substr(text, 1, 300)), '[a-z]{{3,}}')) AS w FROM documents) JOIN (VALUES {', '.join(map(str, SECTOR_KEYS))}) k(sector, word) ON contains(w, word) OR contains(word, w) GROUP BY 1, 2")
+@query("txt_detect_sectors", f"SELECT doc_id, sector, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{{3,}}')) AS w FROM documents) JOIN (VALUES {', '.join(map(str, SECTOR_KEYS))}) k(sector, word) ON contains(w, word) OR contains(word, w) GROUP BY 1, 2")
 def _(t):
     keys = t.spark.createDataFrame(SECTOR_KEYS, "sector string, word string")
-    words = t.documents.select("doc_id", F.explode(F.array_distinct(text.find_all(F.lower(F.substring("text", 1, 300)), "[a-z]{3,}"))).alias("w"))
+    words = t.documents.select("doc_id", F.explode(F.array_distinct(text.find_all(F.lower("text"), "[a-z]{3,}"))).alias("w"))
     # matched once a distinct word, not once a document
     match = words.select("w").distinct().join(keys, F.contains("w", "word") | F.contains("word", "w"))
     return words.join(match, "w").groupBy("doc_id", "sector").agg(n())
@@ -326,6 +326,14 @@ def _(t):
     return bm25(t.documents, ["thtion", "heed", "the"]).withColumn("score", F.round("score", 6))
 
 
+@query("txt_search_phrase", """SELECT doc_id, n, CASE WHEN lo > 1 THEN '...' ELSE '' END || substr(text, lo, hi - lo + 1) || CASE WHEN hi < length(text) THEN '...' ELSE '' END AS snippet FROM (SELECT doc_id, text, (length(text) - length(replace(lower(text), 'of the', ''))) // 6 AS n,
+    greatest(instr(lower(text), 'of the') - 75, 1) AS lo, least(instr(lower(text), 'of the') + 80, length(text)) AS hi FROM documents WHERE contains(lower(text), 'of the'))""")
+def _(t):
+    from tessera.operators.search import phrase_search
+
+    return phrase_search(t.documents, "of the")
+
+
 @query("srt_relevance", "SELECT doc_id, n FROM (SELECT doc_id, len(regexp_extract_all(lower(text), 'heed')) AS n FROM documents) WHERE n > 0 ORDER BY n DESC, doc_id LIMIT 20")
 def _(t):
     rows = t.documents.select("doc_id", F.regexp_count(F.lower("text"), F.lit("heed")).cast("long").alias("n")).filter("n > 0")
@@ -476,10 +484,10 @@ def _(t):
     return t.leads.select("id", (F.col("severity") * 20 * 0.4 + F.col("signal_count") * 0.3 + F.col("id") % 101 * 0.3).cast("int").alias("score"))
 
 
-@query("num_tolerance_match", "SELECT l.id, EXISTS (SELECT 1 FROM financials f WHERE f.corp_code = l.corp_code AND abs(f.inventory - l.signal_count) <= 2) AS matched FROM leads l WHERE severity = 5")
+@query("num_tolerance_match", "SELECT l.id, EXISTS (SELECT 1 FROM financials f WHERE f.corp_code = l.corp_code AND abs(f.inventory - l.signal_count) <= 2) AS matched FROM leads l")
 def _(t):
     truth = t.financials.groupBy("corp_code").agg(F.collect_set("inventory").alias("truth"))  # a few years a company
-    rows = t.leads.filter("severity = 5").join(truth, "corp_code", "left")
+    rows = t.leads.join(truth, "corp_code", "left")
     return rows.select("id", F.coalesce(F.exists("truth", lambda v: F.abs(v - F.col("signal_count")) <= 2), F.lit(False)).alias("matched"))
 
 
