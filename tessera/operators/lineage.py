@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,8 +26,15 @@ def shared_base(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the shared folder."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_base(df.sparkSession))
-    return df.checkpoint()
+    """df written to the shared folder and read back: computed once, and lineage ends there. Removed when the session's process ends."""
+    spark = df.sparkSession
+    path = f"{shared_base(spark)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    atexit.register(_remove, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    if spark.sparkContext._jsc is not None:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
