@@ -108,8 +108,32 @@ def speculation(c: Column, phrases: Sequence[str], citation: str, reach: int = 1
     return F.size(F.filter(spans, lambda s: ~s.rlike(citation)))
 
 
-def normalise_name(c: Column, forms: Sequence[str]) -> Column:
-    return F.lower(F.regexp_replace(F.regexp_replace(c, "|".join(forms), ""), r"[\s#.,&()-]+", ""))
+# Legal forms and kinds of bodies in names.
+LEGAL_PREFIXES = ["주식회사 ", "유한회사 ", "합자회사 ", "합명회사 ", "주식회사", "㈜ ", "(주) "]
+LEGAL_SUFFIXES = [" 주식회사", " (주)", " ㈜", "(주)", "㈜", " 주식회사.", "주식회사", " 유한회사", " 유한책임회사"]
+LEGAL_WITHIN = ["㈜", "(주)"]
+BODY_SUFFIXES = [" 주식회사", " 공사", " 공단", " 재단", " 연구원", " 연구소", " 학교", " 대학교", " 대학", " 병원"]
+
+
+def normalise_corp(c: Column) -> Column:
+    """A company's name without legal forms and spaces; null is empty."""
+    return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), "\\(주\\)|주식회사|㈜|（주）|[ \t]", ""))
+
+
+def normalise_partner(c: Column) -> Column:
+    """A partner's name without legal forms before, after and within it, one kind of body, and a Latin reading in parentheses."""
+    plain = lambda p: "\\Q" + p + "\\E"
+    out = F.trim(c)
+    for pattern in [*("^" + plain(p) for p in LEGAL_PREFIXES), *(plain(p) + "$" for p in LEGAL_SUFFIXES), *map(plain, LEGAL_WITHIN), "(?:" + "|".join(map(plain, BODY_SUFFIXES)) + ")$"]:
+        out = F.trim(F.regexp_replace(out, pattern, ""))
+    return F.trim(F.regexp_replace(out, r"\s*\([A-Za-z0-9 .,&-]+\)\s*$", ""))
+
+
+def clean_partner(c: Column) -> Column:
+    """A name as a filing writes it, without legal forms, short parentheses, circled numbers and punctuation at its ends."""
+    out = F.regexp_replace(c, r"\s*\(주\)\s*|\s*주식회사\s*", "")
+    out = F.regexp_replace(F.regexp_replace(out, r"\([^)]{0,30}\)|[①②③④⑤⑥⑦⑧⑨⑩]", ""), "\t", " ")
+    return F.regexp_replace(F.regexp_replace(out, r"^\s+|\s+$", ""), r"^[,.;:·•\s-]+|[,.;:·•\s-]+$", "")
 
 
 def is_noise(c: Column, words: Sequence[str] = ("other", "total", "various")) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import numbers, text
+from tessera.operators import filings, financial
 from tessera.operators.relational import first_match, top_per_key
 from tessera.plans.registry import query
 from tessera.sources.adapters import AS_OF
@@ -82,25 +83,37 @@ def _(t):
     return t.pages.select("page_id", joined(F.slice(words, 1, 100)).alias("keywords"))
 
 
-@query("txt_headline_kw", "SELECT page_id, array_to_string((regexp_extract_all(lower(regexp_extract(html, '<title>([^<]*)</title>', 1)), '[a-z]{6,}'))[1:1], '|') AS kw FROM pages")
+@query("txt_headline_kw", """SELECT page_id, array_to_string(list_transform((list_sort(list_transform(list_distinct(w), lambda x: {'at': list_position(w, x), 'x': x})))[1:3], lambda x: x.x), '|') AS kw FROM (SELECT page_id, regexp_extract_all(lower(regexp_extract(html, '<title>([^<]*)</title>', 1)), '[a-z]{4,}') AS w FROM pages)""")
 def _(t):
-    words = F.array_distinct(text.find_all(F.lower(F.regexp_extract("html", "<title>([^<]*)</title>", 1)), "[a-z]{6,}"))
-    return t.pages.select("page_id", joined(F.slice(words, 1, 1)).alias("kw"))
+    words = F.array_distinct(text.find_all(F.lower(F.regexp_extract("html", "<title>([^<]*)</title>", 1)), "[a-z]{4,}"))
+    return t.pages.select("page_id", joined(F.slice(words, 1, 3)).alias("kw"))
 
 
-@query("txt_normalize_corp", "SELECT corp_code, lower(regexp_replace(regexp_replace(corp_name, '^Customer', ''), '[\\s#.,&()-]+', '', 'g')) AS name FROM companies")
+# The tables' names have no legal forms: they are written around them here, and taken off again.
+
+
+def dressed(name: str, key: str, forms) -> str:
+    """SQL of both engines: name between the parts of one of the forms, by key."""
+    return "CASE " + " ".join(f"WHEN {key} % {len(forms)} = {k} THEN '{a}' || {name} || '{b}'" for k, (a, b) in enumerate(forms)) + " END"
+
+
+CORP_FORMS, PARTNER_FORMS = [("(주)", ""), ("", " 주식회사"), ("㈜ ", ""), ("（주） ", " ")], [("주식회사 ", ""), ("", " (주)"), ("㈜ ", " 연구소"), ("", "㈜ (Co-op 7)")]
+WRITTEN_FORMS = [("(주)", ""), ("① ", ","), ("", " (a client)"), ("· ", ";")]
+
+
+@query("txt_normalize_corp", "SELECT corp_code, corp_name AS name FROM companies")
 def _(t):
-    return t.companies.select("corp_code", text.normalise_name(F.col("corp_name"), ["^Customer"]).alias("name"))
+    return t.companies.select("corp_code", text.normalise_corp(F.expr(dressed("corp_name", "corp_code", CORP_FORMS))).alias("name"))
 
 
-@query("txt_normalize_partner", "SELECT DISTINCT partner_name, upper(regexp_replace(regexp_replace(partner_name, '^Supplier#0*', 'S-'), '7$', '(7)')) AS name FROM edges")
+@query("txt_normalize_partner", "SELECT DISTINCT partner_id, partner_name AS name FROM edges")
 def _(t):
-    return t.edges.select("partner_name").distinct().withColumn("name", F.upper(F.regexp_replace(F.regexp_replace("partner_name", "^Supplier#0*", "S-"), "7$", "(7)")))
+    return t.edges.select("partner_id", "partner_name").distinct().select("partner_id", text.normalise_partner(F.expr(dressed("partner_name", "partner_id", PARTNER_FORMS))).alias("name"))
 
 
-@query("txt_clean_partner", "SELECT DISTINCT partner_name, trim(regexp_replace(partner_name, '(Supplier|#)', ' ', 'g')) AS name FROM edges")
+@query("txt_clean_partner", "SELECT DISTINCT partner_id, partner_name AS name FROM edges")
 def _(t):
-    return t.edges.select("partner_name").distinct().withColumn("name", F.trim(F.regexp_replace("partner_name", "(Supplier|#)", " ")))
+    return t.edges.select("partner_id", "partner_name").distinct().select("partner_id", text.clean_partner(F.expr(dressed("partner_name", "partner_id", WRITTEN_FORMS))).alias("name"))
 
 
 @query("txt_keyword_clean", "SELECT p_partkey, array_to_string(list_filter(list_transform(string_split(replace(p_name || ', ' || p_type || '; x', ';', ','), ','), lambda x: trim(x)), lambda x: length(x) >= 2), '|') AS names FROM part")
@@ -280,27 +293,45 @@ def _(t):
     return t.reports.select("id", F.when(m <= 3, "annual").when(m <= 5, "q1").when(m <= 8, "half").otherwise("q3").alias("label"))
 
 
-SECTION = "(?m)^"
+# The tables hold no filing texts: they are written here from reports and edges, by SQL of both
+# engines, and the checks take the parts as they were before they were written.
 
+OVERVIEW = "'1. 사업의 개요' || chr(10) || corp_name || ' filed ' || report_type || ' on ' || rcept_dt"
+PRODUCTS = "' 2. 주요 제품' || chr(10) || biz_content"
+CONTRACTS = "'6. 주요계약 및 연구개발활동' || chr(10) || 'contract ' || id || ', III of ' || n_chars"
+FILING = f"'II. 사업의 내용' || chr(10) || {OVERVIEW} || chr(10) || coalesce({PRODUCTS} || chr(10), '') || {CONTRACTS} || chr(10) || 'III. 재무에 관한 사항' || chr(10) || repeat('figures ', 12)"
 
-@query("txt_split_sections", "SELECT doc_id, (i - 1)::INT AS pos, s AS content, length(s) AS n FROM (SELECT doc_id, unnest(p) AS s, generate_subscripts(p, 1) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents)) WHERE length(s) >= 20")
+
+@query(
+    "txt_split_sections",
+    f"""SELECT id, code, title, content, length(content) AS n FROM (SELECT id, 'overview' AS code, '사업의 개요' AS title, {OVERVIEW} AS content FROM reports UNION ALL SELECT id, 'products', '주요 제품 및 서비스', trim({PRODUCTS}) FROM reports WHERE biz_content IS NOT NULL
+    UNION ALL SELECT id, 'contracts', '주요계약 및 연구개발', {CONTRACTS} FROM reports) WHERE length(content) >= 20""",
+)
 def _(t):
-    parts = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "content"))
-    return parts.withColumn("n", F.length("content").cast("long")).filter("n >= 20")
+    return filings.sections(t.reports.select("id", F.expr(FILING).alias("body")), "id", "body")
+
 
+CHAPTER = "'II. 사업의 내용' || chr(10) || repeat(corp_name || ' makes parts' || chr(10), CAST(5 + id % 40 AS INT))"
 
-@query("txt_section_cut", """SELECT doc_id, CASE WHEN a > 0 THEN substr(text, a, 300) END AS section FROM (SELECT doc_id, text, CASE WHEN instr(substr(text, p + 1), 'the ') > 0 AND p > 0 THEN p + instr(substr(text, p + 1), 'the ') ELSE p END AS a FROM (SELECT doc_id, text, instr(text, 'the ') AS p FROM documents))""")
+
+@query("txt_section_cut", f"SELECT id, CASE WHEN length(c) >= 300 THEN c END AS section FROM (SELECT id, rtrim({CHAPTER}, chr(10)) AS c FROM reports)")
 def _(t):
-    p = F.instr("text", "the ")
-    again = F.instr(F.substr("text", p + 1), "the ")  # the second heading where there are two: the first is the table of contents
-    at = F.when((p > 0) & (again > 0), p + again).otherwise(p)
-    return t.documents.select("doc_id", F.when(at > 0, F.substr("text", at, F.lit(300))).alias("section"))
+    written = F.expr(f"'II. 사업의 내용 ... 4' || chr(10) || 'III. 재무 ... 9' || chr(10) || {CHAPTER} || 'III. 재무에 관한 사항' || chr(10) || rcept_dt")
+    return t.reports.select("id", written.alias("body")).select("id", filings.chapter(F.col("body")).alias("section"))
+
 
+LISTS = {"supplier": "주요 공급사: ", "customer": "핵심 고객: ", "partner": "전략적 파트너: "}
 
-@query("txt_relation_extract", "SELECT doc_id, count(DISTINCT lower(w)) AS names FROM (SELECT doc_id, unnest(regexp_extract_all(regexp_extract(text, 'token[^\\n]*|[^|\\n]+\\|[^\\n]*'), '[A-Za-z]{4,}')) AS w FROM documents) GROUP BY 1")
+
+@query(
+    "txt_relation_extract",
+    """WITH s AS (SELECT DISTINCT corp_code, relation, partner_name AS name FROM edges), l AS (SELECT corp_code, relation, string_agg(name, ', ' ORDER BY name) AS line, count(*) AS n FROM s GROUP BY 1, 2)
+    SELECT corp_code, relation, name FROM s UNION ALL SELECT corp_code, relation, line FROM l WHERE n > 1 AND length(line) <= 60""",
+)
 def _(t):
-    block = F.regexp_extract("text", r"token[^\n]*|[^|\n]+\|[^\n]*", 0)
-    return t.documents.select("doc_id", F.explode(text.find_all(block, "[A-Za-z]{4,}")).alias("w")).groupBy("doc_id").agg(F.count_distinct(F.lower("w")).alias("names"))
+    said = lambda r: F.coalesce(F.concat(F.lit(LISTS[r]), F.nullif(joined(F.array_sort(F.collect_set(F.when(F.col("relation") == r, F.col("partner_name")))), ", "), F.lit("")), F.lit("\n\n")), F.lit(""))
+    written = t.edges.groupBy("corp_code").agg(F.concat(*map(said, LISTS)).alias("body"))
+    return filings.relations(written, "corp_code", "body").drop("context")
 
 
 @query("txt_change_hint", "SELECT id, CASE WHEN lead_type = 'risk' AND severity >= 4 THEN 'urgent' WHEN contains(title, '7') THEN 'detail' ELSE 'general' END AS hint, array_to_string((list_concat(['why'], CASE WHEN severity >= 3 THEN ['how much', 'when'] ELSE [] END, ['what next']))[1:3], '|') AS questions FROM leads")
@@ -505,29 +536,14 @@ def _(t):
     return rows.groupBy("thread_id").agg(F.round(F.min(us - F.col("s")) / 86400000000.0, 6).alias("days"))
 
 
-SIGNALS_SQL = """SELECT corp_code, fiscal_year, array_to_string(list_sort(list_filter([CASE WHEN inventory > 1.3::DOUBLE * p_inv AND revenue <= p_rev THEN 'STOCK_PILES_UP' END, CASE WHEN operating_income < 0 AND p_op > 0 THEN 'TURNS_TO_LOSS' END,
-    CASE WHEN operating_income > 0 AND p_op < 0 THEN 'TURNS_TO_PROFIT' END, CASE WHEN total_equity <= 0 THEN 'EQUITY_GONE' END, CASE WHEN total_liabilities > 2 * total_equity AND total_equity > 0 THEN 'LEVERAGE' END, CASE WHEN net_income > operating_income THEN 'EARNINGS_QUALITY' END], lambda x: x IS NOT NULL)), '|') AS signals
-    FROM (SELECT *, lag(inventory) OVER w AS p_inv, lag(revenue) OVER w AS p_rev, lag(operating_income) OVER w AS p_op FROM financials WINDOW w AS (PARTITION BY corp_code ORDER BY fiscal_year))"""
-
-
-def signals(financials):
-    w = Window.partitionBy("corp_code").orderBy("fiscal_year")
-    rows = financials.withColumns({"p_inv": F.lag("inventory").over(w), "p_rev": F.lag("revenue").over(w), "p_op": F.lag("operating_income").over(w)})
-    rules = {
-        "STOCK_PILES_UP": "inventory > 1.3D * p_inv AND revenue <= p_rev", "TURNS_TO_LOSS": "operating_income < 0 AND p_op > 0", "TURNS_TO_PROFIT": "operating_income > 0 AND p_op < 0",
-        "EQUITY_GONE": "total_equity <= 0", "LEVERAGE": "total_liabilities > 2 * total_equity AND total_equity > 0", "EARNINGS_QUALITY": "net_income > operating_income",
-    }
-    return rows.withColumn("signals", F.array_sort(F.array_compact(F.array(*[F.when(F.expr(c), k) for k, c in rules.items()]))))
-
-
-@query("num_signal_rules", SIGNALS_SQL)
+@query("num_signal_rules", financial.SIGNALS_SQL)
 def _(t):
-    return signals(t.financials).select("corp_code", "fiscal_year", joined("signals").alias("signals"))
+    return financial.signals(t.financials).select("corp_code", "fiscal_year", joined("signals").alias("signals"))
 
 
-@query("f_financial_block", f"WITH s AS ({SIGNALS_SQL}) SELECT s.*, rank FROM s JOIN (SELECT corp_code, fiscal_year, row_number() OVER (PARTITION BY corp_code ORDER BY fiscal_year DESC) AS rank FROM financials) USING (corp_code, fiscal_year) WHERE rank <= 3")
+@query("f_financial_block", f"WITH s AS ({financial.SIGNALS_SQL}) SELECT s.*, rank FROM s JOIN (SELECT corp_code, fiscal_year, row_number() OVER (PARTITION BY corp_code ORDER BY fiscal_year DESC) AS rank FROM financials) USING (corp_code, fiscal_year) WHERE rank <= 3")
 def _(t):
-    rows = signals(t.financials).select("corp_code", "fiscal_year", joined("signals").alias("signals"))
+    rows = financial.signals(t.financials).select("corp_code", "fiscal_year", joined("signals").alias("signals"))
     return top_per_key(rows, ["corp_code"], 3, F.desc("fiscal_year"))
 
 

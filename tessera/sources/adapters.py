@@ -53,7 +53,7 @@ def _financials(t) -> DataFrame:
     return sums.selectExpr(
         "corp_code", "fiscal_year", "revenue", "operating_income", "net_income", "total_liabilities", "inventory",
         "revenue AS total_assets", "revenue - total_liabilities AS total_equity", "revenue div 2 AS current_assets",
-        "total_liabilities div 2 AS current_liabilities", "inventory * 100 AS cash",
+        "total_liabilities div 2 AS current_liabilities", "inventory * 100 AS cash", "net_income * 2 - operating_income AS operating_cf",
     )
 
 
@@ -177,7 +177,7 @@ SELECT s_name AS partner_name, CASE WHEN s_acctbal > 0 THEN s_suppkey END AS map
   CASE WHEN s_acctbal > 5000 THEN 'exact' WHEN s_acctbal > 0 THEN 'normalised' ELSE 'unlisted' END AS match_type FROM supplier""",
     "financials": """
 SELECT *, revenue AS total_assets, revenue - total_liabilities AS total_equity, revenue // 2 AS current_assets,
-  total_liabilities // 2 AS current_liabilities, inventory * 100 AS cash FROM (
+  total_liabilities // 2 AS current_liabilities, inventory * 100 AS cash, net_income * 2 - operating_income AS operating_cf FROM (
 SELECT o_custkey AS corp_code, year(o_orderdate)::INT AS fiscal_year, sum(floor(l_extendedprice)::BIGINT)::BIGINT AS revenue,
   sum(floor(l_extendedprice * (0.06::DOUBLE - l_discount))::BIGINT)::BIGINT AS operating_income,
   sum(floor(l_extendedprice * (0.05::DOUBLE - l_discount))::BIGINT)::BIGINT AS net_income,
