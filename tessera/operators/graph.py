@@ -105,6 +105,17 @@ def neighbourhood(edges: DataFrame, start: DataFrame, per_node: int = 20) -> Dat
     return first.unionByName(second)
 
 
+def impact(edges: DataFrame, company: int, classes: dict[tuple[str, str], str]) -> DataFrame:
+    """(impact, other): companies that trouble at one reaches, by class of (side, relation); relations without a class reach none.
+
+    Side own: edges that the company names; side other: edges of those that name it.
+    """
+    side = lambda key, other, name: edges.filter(F.col(key) == company).select(F.lit(name).alias("side"), "relation", F.col(other).alias("other"))
+    rows = side("corp_code", "partner_id", "own").unionByName(side("partner_id", "corp_code", "other"))
+    named = F.coalesce(*[F.when((F.col("side") == s) & (F.col("relation") == r), c) for (s, r), c in classes.items()])
+    return rows.select(named.alias("impact"), "other").filter("impact IS NOT NULL")
+
+
 def hops_from(edges: DataFrame, start: DataFrame, max_depth: int) -> DataFrame:
     """(node, hops, path): breadth-first search from start (node), at most max_depth hops.
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import numbers, text
 from tessera.operators.lineage import cut
+from tessera.operators.relational import top_per_key
 
 #: Rules that are sent to the tasks, at most. Ids of a range whose sums are taken first.
 MOST_RULES, RANGE = 10_000, 4_096
@@ -82,12 +83,21 @@ def flag(rows: DataFrame, score: str) -> DataFrame:
     return rows.withColumn("flag", F.when(s >= 80, "SAFE").when(s >= 65, "LOW").when(s >= 50, "MEDIUM").otherwise("HIGH"))
 
 
-def related_companies(named: DataFrame, edges: DataFrame, companies: DataFrame) -> DataFrame:
-    """Companies that news (id, named) concerns: named 100, in the supply chain 60, of sector and home 30."""
-    direct = named.select("id", F.col("named").alias("corp_code"), F.lit(100).alias("score"), F.lit("direct").alias("reason"))
-    chain = named.join(edges.select(F.col("partner_id").alias("named"), "corp_code").distinct(), "named").filter("corp_code <> named")
-    chain = chain.select("id", "corp_code", F.lit(60).alias("score"), F.lit("supply chain").alias("reason"))
-    home = ["sector", "market", "nation"]
-    peers = named.join(companies.select(F.col("corp_code").alias("named"), *home), "named").join(companies.select("corp_code", *home), home).filter("corp_code <> named")
-    peers = peers.select("id", "corp_code", F.lit(30).alias("score"), F.lit("sector").alias("reason"))
-    return direct.unionByName(chain).unionByName(peers).groupBy("id", "corp_code").agg(F.sum("score").alias("score"), F.array_sort(F.collect_list("reason")).alias("reasons"))
+def related_companies(news: DataFrame, edges: DataFrame, companies: DataFrame, sector_words: Mapping[str, Sequence[str]], never: Sequence[str], sectors: int = 3, most: int = 20) -> DataFrame:
+    """The ``most`` companies that each news (id, named, words) concerns: named 100, in the supply chain 60, else of its leading sectors 30.
+
+    Of a sector only its first ``most`` names are held against the news: whoever else is of it stands
+    behind them, and those of them that are named or in the chain rank before all that is of the sector alone.
+    """
+    own = companies.filter(~F.col("sector").isin(*never)).select("corp_code", "corp_name", "sector")
+    direct = news.select("id", F.col("named").alias("corp_code"), F.lit(100).alias("score"), F.lit("direct").alias("reason"))
+    chain = news.join(edges.select(F.col("partner_id").alias("named"), "corp_code").distinct(), "named").filter("corp_code <> named")
+    known = direct.unionByName(chain.select("id", "corp_code", F.lit(60).alias("score"), F.lit("supply chain").alias("reason")))
+    hits = lambda words: sum((F.size(F.filter("words", lambda x: F.contains(x, F.lit(w)) | F.contains(F.lit(w), x))) for w in words), F.lit(0))
+    said = F.array(*[F.struct((-hits(words)).alias("n"), F.lit(s).alias("sector")) for s, words in sector_words.items() if s not in never])
+    leading = F.slice(F.array_sort(F.filter(said, lambda s: s["n"] < 0)), 1, sectors)
+    first = top_per_key(own, ["sector"], most, F.col("corp_name"), F.col("corp_code")).select("sector", "corp_code")
+    peers = news.select("id", F.explode(leading).alias("s")).select("id", "s.sector").join(first, "sector").join(known.select("id", "corp_code"), ["id", "corp_code"], "left_anti")
+    every = known.unionByName(peers.select("id", "corp_code", F.lit(30).alias("score"), F.lit("sector").alias("reason")))
+    summed = every.groupBy("id", "corp_code").agg(F.sum("score").alias("score"), F.array_sort(F.collect_list("reason")).alias("reasons")).join(own.drop("sector"), "corp_code")
+    return top_per_key(summed, ["id"], most, F.desc("score"), F.col("corp_name"), F.col("corp_code")).select("id", "corp_code", "score", "reasons", "rank")

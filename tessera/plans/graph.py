@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import graph
 from tessera.operators.relational import top_per_key
+from tessera.plans import leads
 from tessera.plans.registry import query
 from tessera.sources.adapters import AS_OF
 
@@ -91,18 +92,21 @@ def _(t):
     return t.edges.filter("partner_id = 3").join(t.companies, "corp_code").groupBy("relation", "corp_name").agg(n(), F.min("context").alias("context"))
 
 
-@query("g_impact", """SELECT side, relation, count(*) AS links, count(DISTINCT other) AS companies FROM (SELECT 'direct' AS side, relation, partner_id AS other FROM edges WHERE corp_code = 5 UNION ALL SELECT 'reverse', relation, corp_code FROM edges WHERE partner_id = 5) GROUP BY 1, 2""")
+#: What a company's trouble does to others, by the side of the edge and its relation.
+IMPACTS = {("own", "customer"): "customer impact", ("own", "supplier"): "supplier impact", ("other", "supplier"): "dependent", ("other", "customer"): "revenue exposed"}
+
+
+@query("g_impact", """SELECT impact, count(*) AS links, count(DISTINCT other) AS companies FROM (SELECT relation || ' impact' AS impact, partner_id AS other FROM edges WHERE corp_code = 5 AND relation <> 'partner'
+    UNION ALL SELECT CASE relation WHEN 'supplier' THEN 'dependent' ELSE 'revenue exposed' END, corp_code FROM edges WHERE partner_id = 5 AND relation <> 'partner') GROUP BY 1""")
 def _(t):
-    direct = t.edges.filter("corp_code = 5").select(F.lit("direct").alias("side"), "relation", F.col("partner_id").alias("other"))
-    reverse = t.edges.filter("partner_id = 5").select(F.lit("reverse").alias("side"), "relation", F.col("corp_code").alias("other"))
-    return direct.unionByName(reverse).groupBy("side", "relation").agg(n("links"), F.count_distinct("other").alias("companies"))
+    return graph.impact(t.edges, 5, IMPACTS).groupBy("impact").agg(n("links"), F.count_distinct("other").alias("companies"))
 
 
-@query("g_path_bfs", """WITH RECURSIVE thin AS (SELECT corp_code AS a, partner_id AS b FROM edges WHERE pct = 100 AND corp_code <> partner_id), steps AS (SELECT DISTINCT a, b FROM (SELECT a, b FROM thin UNION ALL SELECT b, a FROM thin)),
+@query("g_path_bfs", """WITH RECURSIVE thin AS (SELECT corp_code AS a, partner_id AS b FROM edges WHERE corp_code <> partner_id), steps AS (SELECT DISTINCT a, b FROM (SELECT a, b FROM thin UNION ALL SELECT b, a FROM thin)),
 walk(node, hops) AS (SELECT 1::BIGINT, 0 UNION SELECT s.b, w.hops + 1 FROM walk w JOIN steps s ON s.a = w.node WHERE w.hops < 3) SELECT node, min(hops) AS hops FROM walk GROUP BY 1""")
 def _(t):
     start = t.spark.range(1, 2).select(F.col("id").alias("node"))
-    return graph.hops_from(t.edges.filter("pct = 100"), start, 3).select("node", "hops")
+    return graph.hops_from(t.edges, start, 3).select("node", "hops")
 
 
 @query("g_risk_scenario", """WITH pairs AS (SELECT corp_code AS a, partner_id AS b FROM edges WHERE corp_code <> partner_id), steps AS (SELECT DISTINCT a, b FROM (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs)),
@@ -128,9 +132,9 @@ def _(t):
 
 @query("g_profile", f"WITH {RISK} SELECT corp_code, risk_level, exposure, CASE WHEN exposure >= 10 THEN 'hub' WHEN cust_count > supp_count THEN 'seller' WHEN supp_count > cust_count THEN 'buyer' ELSE 'balanced' END AS position, coalesce(l.n, 0) AS leads FROM risk LEFT JOIN (SELECT corp_code, count(*) AS n FROM leads GROUP BY 1) l USING (corp_code)")
 def _(t):
-    r, leads = graph.risk_rank(t.edges), t.leads.groupBy("corp_code").agg(n("leads"))
+    r, found = graph.risk_rank(t.edges), t.leads.groupBy("corp_code").agg(n("leads"))
     position = F.when(F.col("exposure") >= 10, "hub").when(F.col("cust_count") > F.col("supp_count"), "seller").when(F.col("supp_count") > F.col("cust_count"), "buyer").otherwise("balanced")
-    return r.join(leads, "corp_code", "left").select("corp_code", "risk_level", "exposure", position.alias("position"), F.coalesce("leads", F.lit(0)).alias("leads"))
+    return r.join(found, "corp_code", "left").select("corp_code", "risk_level", "exposure", position.alias("position"), F.coalesce("leads", F.lit(0)).alias("leads"))
 
 
 @query("g_daily_briefing", f"""WITH {DIFF} SELECT corp_code, source, score FROM (SELECT corp_code, 'change' AS source, {SIGNIFICANCE} AS score FROM alerts WHERE {SIGNIFICANCE} >= 20
@@ -261,24 +265,28 @@ def _(t):
 
 @query("x_new_business_funding", "SELECT l.corp_code, count(DISTINCT l.id) AS leads, count(DISTINCT d.rcept_no) AS filings FROM leads l JOIN disclosures d USING (corp_code) WHERE l.status = 'new' AND l.lead_type = 'strategy' AND d.report_nm = 'rights issue' GROUP BY 1")
 def _(t):
-    leads = t.leads.filter("status = 'new' AND lead_type = 'strategy'").groupBy("corp_code").agg(F.count_distinct("id").alias("leads"))
+    found = t.leads.filter("status = 'new' AND lead_type = 'strategy'").groupBy("corp_code").agg(F.count_distinct("id").alias("leads"))
     filings = t.disclosures.filter("report_nm = 'rights issue'").groupBy("corp_code").agg(F.count_distinct("rcept_no").alias("filings"))
-    return leads.join(filings, "corp_code")  # both sides counted before they meet
+    return found.join(filings, "corp_code")  # both sides counted before they meet
 
 
 @query("x_industry_wave", f"""SELECT l.lead_type, l.sector, l.n AS leads, d.n AS filings FROM (SELECT lead_type, sector, count(*) AS n FROM leads JOIN companies USING (corp_code) GROUP BY 1, 2 HAVING count(*) >= 4) l
     JOIN (SELECT sector, count(*) AS n FROM disclosures JOIN companies USING (corp_code) WHERE report_nm IN ('merger plan', 'rights issue') AND {recent_sql(90)} GROUP BY 1 HAVING count(*) >= 2) d USING (sector)""")
 def _(t):
     sector = t.companies.select("corp_code", "sector")
-    leads = t.leads.join(sector, "corp_code").groupBy("lead_type", "sector").agg(n("leads")).filter("leads >= 4")
+    found = t.leads.join(sector, "corp_code").groupBy("lead_type", "sector").agg(n("leads")).filter("leads >= 4")
     filings = t.disclosures.filter(F.col("report_nm").isin("merger plan", "rights issue") & recent(90)).join(sector, "corp_code").groupBy("sector").agg(n("filings")).filter("filings >= 2")
-    return leads.join(filings, "sector")
+    return found.join(filings, "sector")
+
+
+#: The tables' companies all have drafts, so none has a gap of 90.
+HIDDEN_GAP = 60
 
 
-@query("x_hidden_change", f"SELECT corp_code, count(*) AS filings FROM disclosures WHERE {recent_sql(60)} GROUP BY 1 HAVING count(*) >= 3 AND bool_or(report_nm = 'merger plan')")
+@query("x_hidden_change", f"WITH gap AS ({leads.GAP_SQL}) SELECT corp_code, score AS gap, filings FROM (SELECT corp_code, count(*) AS filings FROM disclosures WHERE {recent_sql(60)} GROUP BY 1 HAVING count(*) >= 3 AND bool_or(report_nm = 'merger plan')) JOIN gap USING (corp_code) WHERE score >= {HIDDEN_GAP}")
 def _(t):
-    per = t.disclosures.filter(recent(60)).groupBy("corp_code").agg(n("filings"), F.bool_or(F.col("report_nm") == "merger plan").alias("strong"))
-    return per.filter("filings >= 3 AND strong").drop("strong")
+    per = t.disclosures.filter(recent(60)).groupBy("corp_code").agg(n("filings"), F.bool_or(F.col("report_nm") == "merger plan").alias("strong")).filter("filings >= 3 AND strong")
+    return leads.info_gap(t).filter(F.col("score") >= HIDDEN_GAP).join(per, "corp_code").select("corp_code", F.col("score").alias("gap"), "filings")
 
 
 @query("x_global_risk", "SELECT partner_name, count(DISTINCT corp_code) AS companies, count(DISTINCT corp_code) FILTER (WHERE risky) AS at_risk FROM (SELECT e.*, e.corp_code IN (SELECT corp_code FROM leads WHERE severity = 5 AND lead_type = 'risk') AS risky FROM edges e) GROUP BY 1 HAVING companies >= 5 AND at_risk >= 2")

@@ -152,11 +152,11 @@ def _(t):
 @query(
     "join_pairs_shared",
     """SELECT a, b, relation, count(*) AS shared FROM (SELECT DISTINCT x.corp_code AS a, y.corp_code AS b, x.relation, x.partner_name FROM edges x JOIN edges y ON x.partner_name = y.partner_name AND x.relation = y.relation
-    AND x.period = y.period AND x.corp_code < y.corp_code WHERE x.pct >= 90 AND y.pct >= 90) GROUP BY 1, 2, 3 HAVING count(*) >= 2""",
+    AND x.period = y.period AND x.corp_code < y.corp_code) GROUP BY 1, 2, 3 HAVING count(*) >= 2""",
 )
 def _(t):
-    strong = t.edges.filter("pct >= 90").select("corp_code", "partner_name", "relation", "period").distinct()
-    a, b = strong.withColumnRenamed("corp_code", "a"), strong.withColumnRenamed("corp_code", "b")
+    named = t.edges.select("corp_code", "partner_name", "relation", "period").distinct()
+    a, b = named.withColumnRenamed("corp_code", "a"), named.withColumnRenamed("corp_code", "b")
     pairs = a.join(b, ["partner_name", "relation", "period"]).filter("a < b").select("a", "b", "relation", "partner_name").distinct()
     return pairs.groupBy("a", "b", "relation").agg(n("shared")).filter("shared >= 2")
 

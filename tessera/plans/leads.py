@@ -93,14 +93,14 @@ ARTICLE_STEPS, HUB_STEPS = [(0, 100), (1, 80), (3, 60), (5, 40)], [(0, 100), (2,
 SIZE_STEPS = [(1000, 100), (3000, 85), (5000, 65), (7000, 45), (9000, 25)]
 
 
-@query(
-    "l_info_gap",
-    f"""SELECT corp_code, trunc({numbers.ladder_sql("coalesce(w.n, 0)", NEWS_STEPS, 10)} * 0.4::DOUBLE + CASE WHEN equity <= 0 THEN 60 ELSE {numbers.ladder_sql("equity", SIZE_STEPS, 10)} END * 0.2::DOUBLE
+GAP_SQL = f"""SELECT corp_code, trunc({numbers.ladder_sql("coalesce(w.n, 0)", NEWS_STEPS, 10)} * 0.4::DOUBLE + CASE WHEN equity <= 0 THEN 60 ELSE {numbers.ladder_sql("equity", SIZE_STEPS, 10)} END * 0.2::DOUBLE
     + {numbers.ladder_sql("coalesce(d.n, 0)", ARTICLE_STEPS, 20)} * 0.2::DOUBLE + {numbers.ladder_sql("coalesce(e.n, 0)", HUB_STEPS, 10)} * 0.2::DOUBLE)::INT AS score, coalesce(w.n, 0) AS news, coalesce(d.n, 0) AS drafts, coalesce(e.n, 0) AS named
     FROM companies c LEFT JOIN (SELECT corp_code, count(*) AS n FROM news GROUP BY 1) w USING (corp_code) LEFT JOIN (SELECT corp_code, count(*) AS n FROM drafts GROUP BY 1) d USING (corp_code)
-    LEFT JOIN (SELECT partner_id AS corp_code, count(*) AS n FROM edges GROUP BY 1) e USING (corp_code)""",
-)
-def _(t):
+    LEFT JOIN (SELECT partner_id AS corp_code, count(*) AS n FROM edges GROUP BY 1) e USING (corp_code)"""
+
+
+def info_gap(t):
+    """How little is known of each company: few news (40 %), a small size, few drafts and few that name it (20 % each)."""
     count = lambda df, key, name: df.groupBy(F.col(key).alias("corp_code")).agg(n(name))
     rows = t.companies.join(count(t.news, "corp_code", "news"), "corp_code", "left").join(count(t.drafts, "corp_code", "drafts"), "corp_code", "left").join(count(t.edges, "partner_id", "named"), "corp_code", "left")
     rows = rows.fillna(0, ["news", "drafts", "named"])
@@ -109,6 +109,11 @@ def _(t):
     return rows.select("corp_code", score.cast("int").alias("score"), "news", "drafts", "named")
 
 
+@query("l_info_gap", GAP_SQL)
+def _(t):
+    return info_gap(t)
+
+
 RECENCY_SQL = f"CASE WHEN abs(DATE '{AS_OF}' - published_at) <= 30 THEN 1.0 WHEN abs(DATE '{AS_OF}' - published_at) <= 60 THEN 0.85 WHEN abs(DATE '{AS_OF}' - published_at) <= 90 THEN 0.7 WHEN abs(DATE '{AS_OF}' - published_at) <= 180 THEN 0.5 ELSE 0.3 END::DOUBLE"
 MATCH_SQL = f"""SELECT l.id AS lead_id, w.id AS news_id, w.tier, round((CASE WHEN contains(lower(w.title), right(l.title, 1)) THEN 1.0 ELSE 0.0 END)::DOUBLE * 0.5::DOUBLE + w.weight * 0.3::DOUBLE + {RECENCY_SQL} * 0.2::DOUBLE, 3) AS score
     FROM leads l JOIN news w USING (corp_code) WHERE w.tier IN ('T1', 'T2', 'RESEARCH')"""
@@ -222,14 +227,25 @@ def _(t):
 # News
 
 
-RELATED = """WITH m AS (SELECT id, corp_code FROM news WHERE tier = 'T1'), scores AS (SELECT id, corp_code, 100 AS score, 'direct' AS reason FROM m UNION ALL SELECT DISTINCT m.id, e.corp_code, 60, 'supply chain' FROM m JOIN edges e ON e.partner_id = m.corp_code AND e.pct >= 98 WHERE e.corp_code <> m.corp_code
-    UNION ALL SELECT m.id, c.corp_code, 30, 'sector' FROM m JOIN companies o ON o.corp_code = m.corp_code JOIN companies c ON c.sector = o.sector AND c.market = o.market AND c.nation = o.nation WHERE c.corp_code <> m.corp_code)"""
+#: Words of titles that speak of a sector; sectors that news never relates.
+SECTOR_WORDS = {"AUTOMOBILE": ["tion", "heed"], "BUILDING": ["ing"], "HOUSEHOLD": ["eau", "sch"], "MACHINERY": ["the"], "FURNITURE": ["ent"]}
+NEVER_RELATED = ["MACHINERY", "FURNITURE"]
+_PAIRS, _NEVER = ", ".join(str((s, w)) for s, words in SECTOR_WORDS.items() for w in words), ", ".join(f"'{s}'" for s in NEVER_RELATED)
 
 
-@query("n_related_stocks", RELATED + " SELECT id, corp_code, sum(score)::BIGINT AS score, string_agg(reason, '|' ORDER BY reason) AS reasons FROM scores GROUP BY 1, 2")
+@query(
+    "n_related_stocks",
+    f"""WITH w AS (SELECT id, corp_code AS named, list_distinct(regexp_extract_all(lower(title), '[a-z]{{3,}}')) AS words FROM news),
+    known AS (SELECT id, named AS corp_code, 100 AS score, 'direct' AS reason FROM w UNION ALL SELECT DISTINCT w.id, e.corp_code, 60, 'supply chain' FROM w JOIN edges e ON e.partner_id = w.named WHERE e.corp_code <> w.named),
+    said AS (SELECT id, sector, count(*) AS n FROM (SELECT id, unnest(words) AS x FROM w) JOIN (VALUES {_PAIRS}) k(sector, word) ON contains(x, word) OR contains(word, x) WHERE sector NOT IN ({_NEVER}) GROUP BY 1, 2),
+    top AS (SELECT id, sector FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DESC, sector) AS k FROM said) WHERE k <= 3),
+    scores AS (SELECT * FROM known UNION ALL SELECT t.id, c.corp_code, 30, 'sector' FROM top t JOIN companies c USING (sector) WHERE NOT EXISTS (SELECT 1 FROM known k WHERE k.id = t.id AND k.corp_code = c.corp_code)),
+    summed AS (SELECT id, corp_code, sum(score)::BIGINT AS score, string_agg(reason, '|' ORDER BY reason) AS reasons FROM scores GROUP BY 1, 2)
+    SELECT id, corp_code, score, reasons, rank FROM (SELECT s.*, row_number() OVER (PARTITION BY id ORDER BY score DESC, corp_name, corp_code) AS rank FROM summed s JOIN companies USING (corp_code) WHERE sector NOT IN ({_NEVER})) WHERE rank <= 20""",
+)
 def _(t):
-    named = t.news.filter("tier = 'T1'").select("id", F.col("corp_code").alias("named"))
-    return L.related_companies(named, t.edges.filter("pct >= 98"), t.companies).withColumn("reasons", F.array_join("reasons", "|"))
+    news = t.news.select("id", F.col("corp_code").alias("named"), F.array_distinct(text.find_all(F.lower("title"), "[a-z]{3,}")).alias("words"))
+    return L.related_companies(news, t.edges, t.companies, SECTOR_WORDS, NEVER_RELATED).withColumn("reasons", F.array_join("reasons", "|"))
 
 
 @query("n_supply_related", "SELECT id, corp_code, relation FROM (SELECT w.id, e.corp_code, e.relation, row_number() OVER (PARTITION BY w.id, e.corp_code ORDER BY e.id) AS rank FROM news w JOIN edges e ON e.partner_id = w.corp_code WHERE w.tier = 'T2') WHERE rank = 1")
