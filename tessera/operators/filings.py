@@ -6,7 +6,7 @@ marker, as the filing store has a limit there.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -75,6 +75,11 @@ def sections(filings: DataFrame, key: str, body: str, least: int = 20, whole: in
     return rows.select(key, named(0).alias("code"), named(2).alias("title"), "content", F.col("n").cast("long").alias("n"))
 
 
+def _once(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f of c, with c computed once however often f names it."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def chapter(c: Column, starts: Sequence[str] = CHAPTER_STARTS, ends: Sequence[str] = CHAPTER_ENDS, least: int = 300, most: int = 80_000, gap: int = 50) -> Column:
     """The business chapter: from the second match of the first start that occurs (the first match is the table of contents), or its only one, to the nearest end.
 
@@ -86,12 +91,12 @@ def chapter(c: Column, starts: Sequence[str] = CHAPTER_STARTS, ends: Sequence[st
         after = first + F.length(F.regexp_extract(c, p, 0))
         again = F.regexp_instr(F.substr(c, after), F.lit(p))
         found.append(F.when(first > 0, F.when(again > 0, after + again - 1).otherwise(first)))
-    body = F.substr(c, F.coalesce(*found))
-    rest = F.substr(body, F.lit(11))
-    at = F.array(*[F.regexp_instr(rest, F.lit(p)) for p in ends])
-    end = F.coalesce(F.array_min(F.filter(at, lambda p: p > gap + 1)) - 1, F.length(rest))
-    out = strip(F.substr(body, F.lit(1), end + 10))
-    return F.when(F.length(out) < least, None).when(F.length(out) > most, F.concat(F.substring(out, 1, most), F.lit(CUT_MARKER))).otherwise(out)
+    def to_end(rest: Column) -> Column:
+        at = F.array(*[F.regexp_instr(rest, F.lit(p)) for p in ends])
+        return F.coalesce(F.array_min(F.filter(at, lambda p: p > gap + 1)) - 1, F.length(rest))
+
+    out = _once(F.substr(c, F.coalesce(*found)), lambda body: strip(F.substr(body, F.lit(1), _once(F.substr(body, F.lit(11)), to_end) + 10)))
+    return _once(out, lambda o: F.when(F.length(o) < least, None).when(F.length(o) > most, F.concat(F.substring(o, 1, most), F.lit(CUT_MARKER))).otherwise(o))
 
 
 def names_of(line: Column) -> Column:
