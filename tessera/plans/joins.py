@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.operators.relational import pick_first, top_per_key
+from tessera.plans import parted
 from tessera.plans.registry import query
 from tessera.sources.adapters import AS_OF
 
@@ -365,17 +366,18 @@ def _(t):
     return pick_first(leads.unionByName(events).unionByName(compared), ["corp_code"], F.col("prio")).drop("prio")
 
 
-@query("set_token_overlap", "SELECT doc_id, round(len(list_intersect(a, b)) / len(a)::DOUBLE, 6) AS overlap FROM (SELECT doc_id, list_distinct(regexp_extract_all(lower(substr(text, 1, 200)), '[a-z]{3,}')) AS a, list_distinct(regexp_extract_all(lower(text), '[a-z]{4,}')) AS b FROM documents) WHERE len(a) > 0")
+@query("set_token_overlap", f"SELECT doc_id, round(len(list_intersect(a, b)) / len(a)::DOUBLE, 6) AS overlap FROM (SELECT doc_id, list_distinct(regexp_extract_all(lower({parted.EVIDENCE_SQL}), '[a-z]{{3,}}')) AS a, list_distinct(regexp_extract_all(lower({parted.REST_SQL}), '[a-z]{{3,}}')) AS b FROM documents) WHERE len(a) > 0")
 def _(t):
-    words = lambda c, k: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(f"[a-z]{{{k},}}"), F.lit(0)))
-    rows = t.documents.select("doc_id", words(F.substring("text", 1, 200), 3).alias("a"), words(F.col("text"), 4).alias("b")).filter(F.size("a") > 0)
+    words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z]{3,}"), F.lit(0)))
+    lead, rest = parted.parted()
+    rows = t.documents.select("doc_id", words(lead).alias("a"), words(rest).alias("b")).filter(F.size("a") > 0)
     return rows.select("doc_id", F.round(F.size(F.array_intersect("a", "b")) / F.size("a"), 6).alias("overlap"))
 
 
-@query("set_missing_tokens", "SELECT doc_id, len(list_filter(a, lambda x: NOT list_contains(b, x))) AS missing FROM (SELECT doc_id, list_distinct(regexp_extract_all(lower(substr(text, 1, 200)), '[a-z]{3,}')) AS a, list_distinct(regexp_extract_all(lower(substr(text, 200)), '[a-z]{3,}')) AS b FROM documents)")
+@query("set_missing_tokens", f"SELECT doc_id, len(list_filter(a, lambda x: NOT list_contains(b, x))) AS missing FROM (SELECT doc_id, list_distinct(regexp_extract_all(lower({parted.EVIDENCE_SQL}), '[a-z]{{3,}}')) AS a, list_distinct(regexp_extract_all(lower({parted.REST_SQL}), '[a-z]{{3,}}')) AS b FROM documents)")
 def _(t):
     words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z]{3,}"), F.lit(0)))
-    return t.documents.select("doc_id", F.size(F.array_except(words(F.substring("text", 1, 200)), words(F.expr("substring(text, 200)")))).cast("long").alias("missing"))
+    return t.documents.select("doc_id", F.size(F.array_except(*map(words, parted.parted()))).cast("long").alias("missing"))
 
 
 # Windows and per-key sequences

@@ -8,6 +8,7 @@ from tessera.functions import numbers, text
 from tessera.functions.contact import sendable
 from tessera.operators import leads as L
 from tessera.operators.relational import pick_first, top_per_key
+from tessera.plans import parted
 from tessera.plans.registry import query
 from tessera.plans.text import FAMILIES, NEWS_STEPS
 from tessera.sources.adapters import AS_OF
@@ -48,13 +49,14 @@ def _(t):
     return rules(t).select("rule_code", "lead_type", "severity", F.size("keywords").alias("n_keywords"))
 
 
-UNIQUE_SQL = """SELECT doc_id, len(cand) AS n, CASE WHEN len(cand) = 0 THEN 60 ELSE len(list_filter(cand, lambda w: NOT contains(past, lower(w[2])))) * 100 // len(cand) END::INT AS score FROM
-    (SELECT doc_id, (list_reverse_sort(list_transform(list_distinct(regexp_extract_all(substr(text, 1, 300), '[A-Za-z]{4,}')), lambda w: (length(w), w))))[1:10] AS cand, lower(substr(text, 301)) AS past FROM documents)"""
+UNIQUE_SQL = f"""SELECT doc_id, len(cand) AS n, CASE WHEN len(cand) = 0 THEN 60 ELSE len(list_filter(cand, lambda w: NOT contains(past, lower(w[2])))) * 100 // len(cand) END::INT AS score FROM
+    (SELECT doc_id, (list_reverse_sort(list_transform(list_distinct(regexp_extract_all({parted.EVIDENCE_SQL}, '[A-Za-z]{{4,}}')), lambda w: (length(w), w))))[1:10] AS cand, lower({parted.REST_SQL}) AS past FROM documents)"""
 
 
 def lead_and_past():
-    """The tables hold no lead's evidence of its own: a text's first 300 characters stand for it, and the rest for the texts before it."""
-    return F.substring("text", 1, 300), F.lower(F.expr("substring(text, 301)"))
+    """The tables hold no lead's evidence of its own: a text's sentences with the key word stand for it, the others for the texts before it."""
+    lead, past = parted.parted()
+    return lead, F.lower(past)
 
 
 @query(
@@ -148,12 +150,13 @@ NUMBERS_SQL = "list_distinct(regexp_extract_all({}, '\\b[0-9]{{2,6}}\\b'))"
 
 @query(
     "l_cross_check",
-    f"""WITH x AS (SELECT doc_id, {NUMBERS_SQL.format("text")} AS nums, list_distinct(regexp_extract_all(substr(text, 1, 300), '[A-Z][a-z]{{3,}}')) AS nouns, lower(substr(text, 301)) AS body FROM documents)
+    f"""WITH x AS (SELECT doc_id, {NUMBERS_SQL.format("text")} AS nums, list_distinct(regexp_extract_all({parted.EVIDENCE_SQL}, '[A-Z][a-z]{{3,}}')) AS nouns, lower({parted.REST_SQL}) AS body FROM documents)
     SELECT doc_id, trunc(CASE WHEN len(nums) = 0 THEN 70 ELSE len(list_filter(nums, lambda v: v::INT % 2 = 0)) * 100 // len(nums) END * 0.6::DOUBLE + CASE WHEN len(nouns) = 0 THEN 80 ELSE len(list_filter(nouns, lambda w: contains(body, lower(w)))) * 100 // len(nouns) END * 0.4::DOUBLE)::INT AS score FROM x""",
 )
 def _(t):
-    nums, nouns = F.array_distinct(text.find_all(F.col("text"), r"\b[0-9]{2,6}\b")), F.array_distinct(text.find_all(F.substring("text", 1, 300), "[A-Z][a-z]{3,}"))
-    rows = t.documents.select("doc_id", nums.alias("nums"), nouns.alias("nouns"), F.lower(F.expr("substring(text, 301)")).alias("body"))
+    lead, past = lead_and_past()
+    nums, nouns = F.array_distinct(text.find_all(F.col("text"), r"\b[0-9]{2,6}\b")), F.array_distinct(text.find_all(lead, "[A-Z][a-z]{3,}"))
+    rows = t.documents.select("doc_id", nums.alias("nums"), nouns.alias("nouns"), past.alias("body"))
     numeric = F.when(F.size("nums") == 0, 70).otherwise(F.floor(F.try_divide(F.size(F.filter("nums", lambda v: v.cast("int") % 2 == 0)) * 100, F.size("nums"))))
     grounded = F.when(F.size("nouns") == 0, 80).otherwise(F.floor(F.try_divide(F.size(F.filter("nouns", lambda w: F.contains(F.col("body"), F.lower(w)))) * 100, F.size("nouns"))))
     return rows.select("doc_id", (numeric * 0.6 + grounded * 0.4).cast("int").alias("score"))
@@ -189,23 +192,25 @@ def _(t):
     return rows.select("doc_id", F.when(even, 75).when((F.col("up") > F.col("down")) == (F.col("sign") > 0), 100).otherwise(30).alias("score"))
 
 
-COVER_SQL = "SELECT doc_id, CASE WHEN len(w) {few} THEN {otherwise} ELSE least(100, len(list_filter(w, lambda x: contains(body, x))) * {factor} // len(w)) END::INT AS score FROM (SELECT doc_id, list_distinct(regexp_extract_all({head}, '{pattern}')) AS w, lower(substr(text, 301)) AS body FROM documents)"
+COVER_SQL = "SELECT doc_id, CASE WHEN len(w) {few} THEN {otherwise} ELSE least(100, len(list_filter(w, lambda x: contains(body, lower(x)))) * {factor} // len(w)) END::INT AS score FROM (SELECT doc_id, list_distinct(regexp_extract_all({head}, '{pattern}')) AS w, lower({body}) AS body FROM documents)"
 
 
 def cover(t, words, few, otherwise: int, factor: int):
-    rows = t.documents.select("doc_id", F.array_distinct(words).alias("w"), F.lower(F.expr("substring(text, 301)")).alias("body"))
-    found = F.size(F.filter("w", lambda x: F.contains(F.col("body"), x)))
+    """The share of the lead's words, a function of its evidence, that the rest of the text contains."""
+    lead, past = lead_and_past()
+    rows = t.documents.select("doc_id", F.array_distinct(words(lead)).alias("w"), past.alias("body"))
+    found = F.size(F.filter("w", lambda x: F.contains(F.col("body"), F.lower(x))))
     return rows.select("doc_id", F.when(few(F.size("w")), otherwise).otherwise(F.least(F.lit(100), F.floor(F.try_divide(found * factor, F.size("w"))))).cast("int").alias("score"))
 
 
-@query("v_evidence", COVER_SQL.format(few="< 3", otherwise=70, factor=200, head="lower(substr(text, 1, 300))", pattern="[a-z]{3,}"))
+@query("v_evidence", COVER_SQL.format(few="< 3", otherwise=70, factor=200, head=f"lower({parted.EVIDENCE_SQL})", body=parted.REST_SQL, pattern="[a-z]{3,}"))
 def _(t):
-    return cover(t, text.find_all(F.lower(F.substring("text", 1, 300)), "[a-z]{3,}"), lambda k: k < 3, 70, 200)
+    return cover(t, lambda lead: text.find_all(F.lower(lead), "[a-z]{3,}"), lambda k: k < 3, 70, 200)
 
 
-@query("v_grounding", COVER_SQL.format(few="= 0", otherwise=80, factor=120, head="lower(substr(text, 1, 300))", pattern="[a-z]{6,}"))
+@query("v_grounding", COVER_SQL.format(few="= 0", otherwise=80, factor=120, head=parted.EVIDENCE_SQL, body=parted.REST_SQL, pattern="[A-Z][a-z]{3,}"))
 def _(t):
-    return cover(t, text.find_all(F.lower(F.substring("text", 1, 300)), "[a-z]{6,}"), lambda k: k == 0, 80, 120)
+    return cover(t, lambda lead: text.find_all(lead, "[A-Z][a-z]{3,}"), lambda k: k == 0, 80, 120)
 
 
 TOTAL = "trunc(coalesce(score, 50) * 0.3::DOUBLE + char_count % 100 * 0.25::DOUBLE + draft_id % 100 * 0.25::DOUBLE + lead_id % 90 * 0.2::DOUBLE)::INT"

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import numbers, text
 from tessera.operators import filings, financial
 from tessera.operators.relational import first_match, top_per_key
+from tessera.plans import parted
 from tessera.plans.registry import query
 from tessera.sources.adapters import AS_OF
 
@@ -183,11 +184,19 @@ def _(t):
     return t.part.select("p_partkey", F.coalesce(first_match([("ring", has("ring") & ~has("small")), ("small", has("small"))]), F.lit("rest")).alias("sector"))
 
 
-@query("txt_sector_weighted", "SELECT doc_id, CASE WHEN a = 0 AND b = 0 THEN 'none' WHEN a >= b THEN 'tion' ELSE 'heed' END AS sector FROM (SELECT doc_id, contains(substr(text, 1, 100), 'tion')::INT * 3 + contains(text, 'tion')::INT AS a, contains(substr(text, 1, 100), 'heed')::INT * 3 + contains(text, 'heed')::INT AS b FROM documents)")
+#: A text's first sentence, and the others.
+HEADLINE_SQL, BODY_SQL = f"coalesce(({parted.SENTENCES_SQL})[1], '')", f"coalesce(array_to_string(({parted.SENTENCES_SQL})[2:], '. '), '')"
+WEIGHTED_SQL = "contains(head, '{0}')::INT * 3 + contains(body, '{0}')::INT * 2 + contains(text, '{0}')::INT"
+
+
+@query("txt_sector_weighted", f"SELECT doc_id, CASE WHEN a = 0 AND b = 0 THEN 'none' WHEN a >= b THEN 'tion' ELSE 'heed' END AS sector FROM (SELECT doc_id, {WEIGHTED_SQL.format('tion')} AS a, {WEIGHTED_SQL.format('heed')} AS b FROM (SELECT doc_id, text, {HEADLINE_SQL} AS head, {BODY_SQL} AS body FROM documents))")
 def _(t):
-    score = lambda w: F.contains(F.substring("text", 1, 100), F.lit(w)).cast("int") * 3 + F.contains("text", F.lit(w)).cast("int")
+    parts = text.sentences(F.col("text"))
+    body = F.array_join(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), ". ")
+    rows = t.documents.select("doc_id", "text", F.coalesce(F.get(parts, F.lit(0)), F.lit("")).alias("head"), F.coalesce(body, F.lit("")).alias("body"))
+    score = lambda w: sum((F.contains(F.col(c), F.lit(w)).cast("int") * k for c, k in (("head", 3), ("body", 2))), F.contains("text", F.lit(w)).cast("int"))
     a, b = score("tion"), score("heed")
-    return t.documents.select("doc_id", F.when((a == 0) & (b == 0), "none").when(a >= b, "tion").otherwise("heed").alias("sector"))
+    return rows.select("doc_id", F.when((a == 0) & (b == 0), "none").when(a >= b, "tion").otherwise("heed").alias("sector"))
 
 
 SECTOR_KEYS = [("energy", "ration"), ("energy", "ing"), ("food", "heat"), ("food", "eat")]
@@ -241,10 +250,11 @@ def _(t):
     return t.documents.select("doc_id", text.speculation(TEXT(), ["[0-9]+"], "@|http").cast("long").alias("n"))
 
 
-@query("txt_external_knowledge", "SELECT a.doc_id, len(w) AS candidates, len(list_filter(w, lambda x: contains(s, x))) AS known FROM (SELECT doc_id, list_distinct(regexp_extract_all(substr(text, 1, 400), '[A-Z][a-z]{3,}')) AS w, lower(substr(text, 401)) AS s FROM documents) a")
+@query("txt_external_knowledge", f"SELECT a.doc_id, len(w) AS candidates, len(list_filter(w, lambda x: contains(s, lower(x)))) AS known FROM (SELECT doc_id, list_distinct(regexp_extract_all({parted.EVIDENCE_SQL}, '[A-Z][a-z]{{3,}}')) AS w, lower({parted.REST_SQL}) AS s FROM documents) a")
 def _(t):
-    words, source = F.array_distinct(text.find_all(F.substring("text", 1, 400), "[A-Z][a-z]{3,}")), F.lower(F.expr("substring(text, 401)"))
-    return t.documents.select("doc_id", F.size(words).cast("long").alias("candidates"), F.size(F.filter(words, lambda x: F.contains(source, x))).cast("long").alias("known"))
+    named, rest = parted.parted()
+    words, source = F.array_distinct(text.find_all(named, "[A-Z][a-z]{3,}")), F.lower(rest)
+    return t.documents.select("doc_id", F.size(words).cast("long").alias("candidates"), F.size(F.filter(words, lambda x: F.contains(source, F.lower(x)))).cast("long").alias("known"))
 
 
 @query("txt_contact_block", "SELECT doc_id, len(regexp_extract_all(right(text, 1500), '[A-Za-z0-9._-]+@[A-Za-z0-9.-]+')) AS emails, len(regexp_extract_all(right(text, 1500), '[0-9]{3}-[0-9]{4}')) AS phones FROM documents")
@@ -423,9 +433,10 @@ def _(t):
 NOISE_SQL = "CASE WHEN w IS NULL OR length(trim(w)) < 2 THEN 'TOO_SHORT' WHEN length(w) > 60 THEN 'TOO_LONG' WHEN lower(w) IN ('other', 'total', 'various') THEN 'GENERIC' WHEN regexp_matches(w, '^[0-9]') THEN 'DIGIT_START' WHEN regexp_matches(w, '\\([^)]{15,}\\)') THEN 'LONG_PAREN' END"
 
 
-@query("flt_noise_reason", f"SELECT doc_id, {NOISE_SQL} AS reason FROM (SELECT doc_id, substr(text, 1, (doc_id % 70)::INT) AS w FROM documents)")
+@query("flt_noise_reason", f"SELECT doc_id, reason, count(*) AS n FROM (SELECT doc_id, {NOISE_SQL} AS reason FROM (SELECT doc_id, unnest({parted.SENTENCES_SQL}) AS w FROM documents)) GROUP BY ALL")
 def _(t):
-    return t.documents.select("doc_id", text.is_noise(F.substr("text", F.lit(1), (F.col("doc_id") % 70).cast("int"))).alias("reason"))
+    parts = t.documents.select("doc_id", F.explode(text.sentences(F.col("text"))).alias("w"))
+    return parts.groupBy("doc_id", text.is_noise(F.col("w")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("flt_noise_pattern", "SELECT doc_id FROM documents WHERE length(text) > 38 AND (regexp_matches(text, '^[0-9A-Z]\\)') OR regexp_matches(text, '(ing|ed)\\.$') OR regexp_matches(text, '^[0-9]'))")
