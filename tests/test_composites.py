@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text
 from tessera.operators import filings, financial, graph, leads
+from tessera.plans import parted
 
 
 def one(spark, value, column):
@@ -80,3 +81,11 @@ def test_related_companies_rank_named_chain_and_leading_sectors(spark):
     rows = leads.related_companies(news, edges, companies, words, ["X"], sectors=2, most=3).collect()
     # B has two hits and leads, A has one and stands before C; the company of sector X goes
     assert sorted((r.id, r["rank"], r.corp_code, r.score, r.reasons) for r in rows) == [(1, 1, 0, 100, ["direct"]), (1, 2, 3, 60, ["supply chain"]), (1, 3, 1, 30, ["sector"]), (2, 1, 6, 100, ["direct"])]
+
+
+def test_texts_in_two_parts(spark):
+    docs = spark.createDataFrame([(1, "A station. No hit!\nMotion ends? Last"), (2, ""), (3, None), (4, "none here")], "id long, text string")
+    lead, rest = parted.parted()
+    assert {r["id"]: (r["a"], r["b"]) for r in docs.select("id", lead.alias("a"), rest.alias("b")).collect()} == {
+        1: ("A station. Motion ends", "No hit. Last"), 2: ("", ""), 3: ("", ""), 4: ("", "none here")
+    }
