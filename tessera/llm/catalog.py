@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import exact_dedup, html_text, language, licenses, media, mixing, packing, simhash, suffixes, warc
+from tessera.llm import exact_dedup, html_text, language, licenses, media, mixing, negatives, packing, periodic, pieces, simhash, suffixes, warc
 
 QUERIES = {
     "op1_media_fingerprints": media.op1_media_fingerprints,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_simhash": simhash.op8_simhash,
     "op9_mix_sources": mixing.op9_mix_sources,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+    "op11_sentencepiece": pieces.op11_sentencepiece,
+    "op12_hard_negatives": negatives.op12_hard_negatives,
+    "op13_periodic_runs": periodic.op13_periodic_runs,
 }
 
-ORACLE_SQL = {**exact_dedup.SQL, **licenses.SQL, **mixing.SQL, **warc.SQL}
+ORACLE_SQL = {**exact_dedup.SQL, **licenses.SQL, **mixing.SQL, **negatives.SQL, **warc.SQL}
