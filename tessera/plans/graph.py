@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tessera.operators import graph
 from tessera.operators.relational import top_per_key
 from tessera.plans import leads
+from tessera.plans.joins import PAIRS_SQL, closest_pairs
 from tessera.plans.registry import query
 from tessera.sources.adapters import AS_OF
 
@@ -180,19 +181,9 @@ def _(t):
     return per.withColumn("severity", F.when(F.col("companies") >= 100, 20).otherwise(10))
 
 
-CLUSTER_DEGREE = 40
-
-
-@query("s_cluster", f"""WITH p AS (SELECT DISTINCT corp_code, partner_name FROM edges WHERE pct >= 95), rare AS (SELECT partner_name FROM p GROUP BY 1 HAVING count(*) <= {CLUSTER_DEGREE}), q AS (SELECT * FROM p WHERE partner_name IN (SELECT partner_name FROM rare))
-    SELECT a.corp_code AS a, b.corp_code AS b, count(*) AS shared, CASE WHEN count(*) >= 5 THEN 10 ELSE 5 END AS severity FROM q a JOIN q b ON a.partner_name = b.partner_name AND a.corp_code < b.corp_code GROUP BY 1, 2 HAVING count(*) >= 2""")
+@query("s_cluster", f"SELECT *, CASE WHEN shared >= 5 THEN 10 ELSE 5 END AS severity FROM ({PAIRS_SQL})")
 def _(t):
-    pairs = t.edges.filter("pct >= 95").select("corp_code", "partner_name").distinct()
-    # Partners that many share tell nothing of a cluster, and would make a square of pairs.
-    rare = pairs.groupBy("partner_name").agg(n("degree")).filter(F.col("degree") <= CLUSTER_DEGREE)
-    own = pairs.join(rare.select("partner_name"), "partner_name")
-    a, b = own.withColumnRenamed("corp_code", "a"), own.withColumnRenamed("corp_code", "b")
-    shared = a.join(b, "partner_name").filter("a < b").groupBy("a", "b").agg(n("shared")).filter("shared >= 2")
-    return shared.withColumn("severity", F.when(F.col("shared") >= 5, 10).otherwise(5))
+    return closest_pairs(t).withColumn("severity", F.when(F.col("shared") >= 5, 10).otherwise(5))
 
 
 GLOBAL_NAMES = ["Supplier#000000004", "Supplier#000000008", "Supplier#00000001"]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tessera.operators.pairs import shared_pairs
 from tessera.operators.relational import pick_first, top_per_key
 from tessera.plans import parted
 from tessera.plans.registry import query
@@ -150,16 +151,19 @@ def _(t):
     return parts.join(words, "word", "left_semi").groupBy("word").agg(n("companies"))
 
 
-@query(
-    "join_pairs_shared",
-    """SELECT a, b, relation, count(*) AS shared FROM (SELECT DISTINCT x.corp_code AS a, y.corp_code AS b, x.relation, x.partner_name FROM edges x JOIN edges y ON x.partner_name = y.partner_name AND x.relation = y.relation
-    AND x.period = y.period AND x.corp_code < y.corp_code) GROUP BY 1, 2, 3 HAVING count(*) >= 2""",
-)
+#: Pairs of companies that name three or more partners alike, the first thirty.
+PAIRS_SQL = """SELECT a, b, count(*) AS shared FROM (SELECT DISTINCT x.corp_code AS a, y.corp_code AS b, x.relation, x.partner_name FROM (SELECT DISTINCT corp_code, relation, partner_name FROM edges) x
+    JOIN (SELECT DISTINCT corp_code, relation, partner_name FROM edges) y ON x.partner_name = y.partner_name AND x.relation = y.relation AND x.corp_code < y.corp_code)
+    GROUP BY 1, 2 HAVING count(*) >= 3 ORDER BY shared DESC, a, b LIMIT 30"""
+
+
+def closest_pairs(t):
+    return shared_pairs(t.edges, "corp_code", ["partner_name", "relation"], 3).orderBy(F.desc("shared"), "a", "b").limit(30)
+
+
+@query("join_pairs_shared", PAIRS_SQL)
 def _(t):
-    named = t.edges.select("corp_code", "partner_name", "relation", "period").distinct()
-    a, b = named.withColumnRenamed("corp_code", "a"), named.withColumnRenamed("corp_code", "b")
-    pairs = a.join(b, ["partner_name", "relation", "period"]).filter("a < b").select("a", "b", "relation", "partner_name").distinct()
-    return pairs.groupBy("a", "b", "relation").agg(n("shared")).filter("shared >= 2")
+    return closest_pairs(t)
 
 
 @query(
