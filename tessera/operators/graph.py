@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.dictionary import containing
 from tessera.operators.lineage import cut
 from tessera.operators.relational import top_per_key
 
@@ -153,5 +154,18 @@ def sector_flows(edges: DataFrame, companies: DataFrame, least: int = 3) -> Data
     return per.filter(F.col("n") >= least)
 
 
+def group_links(edges: DataFrame, groups: DataFrame) -> DataFrame:
+    """Edges (corp_name, partner_name, ...) inside a group: both names contain one of its keywords. groups: (grp, keyword), any number.
+
+    Adds grp; an edge stands once for each of its groups. Keywords are looked up once for each different name.
+    """
+
+    def members(column: str) -> DataFrame:
+        hits = containing(edges, column, groups, "keyword")
+        return hits.join(groups, F.col("name") == F.col("keyword")).select(F.col("text").alias(column), "grp").distinct()
+
+    return edges.join(members("corp_name"), "corp_name").join(members("partner_name"), ["partner_name", "grp"])
+
+
 def shares_of(weights: DataFrame, keys: list[str]) -> DataFrame:
     return weights.withColumn("share", F.col("w") * 100.0 / F.sum("w").over(Window.partitionBy(*keys)))

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.operators import graph
+from tessera.operators.dictionary import containing, longest_prefix
 from tessera.operators.relational import top_per_key
 from tessera.plans import leads
-from tessera.plans.joins import PAIRS_SQL, closest_pairs
+from tessera.plans.joins import GROUP_SQL, PAIRS_SQL, closest_pairs, internal_links
 from tessera.plans.registry import query
 from tessera.sources.adapters import AS_OF
 
@@ -175,46 +176,63 @@ def _(t):
 # Signals from the graph
 
 
-@query("s_hub", "SELECT partner_name, relation, count(DISTINCT corp_code) AS companies, CASE WHEN count(DISTINCT corp_code) >= 100 THEN 20 ELSE 10 END AS severity FROM edges GROUP BY 1, 2 HAVING count(DISTINCT corp_code) >= 5")
+def severity(count: str, high: int, middle: int):
+    """5, 4 or 3 by a count."""
+    return F.when(F.col(count) >= high, 5).when(F.col(count) >= middle, 4).otherwise(3).alias("severity")
+
+
+def severity_sql(count: str, high: int, middle: int) -> str:
+    return f"CASE WHEN {count} >= {high} THEN 5 WHEN {count} >= {middle} THEN 4 ELSE 3 END AS severity"
+
+
+@query("s_hub", f"SELECT partner_name, relation, count(DISTINCT corp_code) AS companies, {severity_sql('count(DISTINCT corp_code)', 20, 10)} FROM edges GROUP BY 1, 2 HAVING count(DISTINCT corp_code) >= 5")
 def _(t):
     per = t.edges.groupBy("partner_name", "relation").agg(F.count_distinct("corp_code").alias("companies")).filter("companies >= 5")
-    return per.withColumn("severity", F.when(F.col("companies") >= 100, 20).otherwise(10))
+    return per.select("*", severity("companies", 20, 10))
 
 
-@query("s_cluster", f"SELECT *, CASE WHEN shared >= 5 THEN 10 ELSE 5 END AS severity FROM ({PAIRS_SQL})")
+@query("s_cluster", f"SELECT *, {severity_sql('shared', 10, 5)} FROM ({PAIRS_SQL})")
 def _(t):
-    return closest_pairs(t).withColumn("severity", F.when(F.col("shared") >= 5, 10).otherwise(5))
+    return closest_pairs(t).select("*", severity("shared", 10, 5))
 
 
-GLOBAL_NAMES = ["Supplier#000000004", "Supplier#000000008", "Supplier#00000001"]
+GLOBAL_NAMES = ["Supplier#000000004", "supplier#000000008", "Supplier#00000001", "9"]
 
 
-@query("s_global", f"SELECT g.name, count(*) AS links, count(DISTINCT e.corp_code) AS companies, CASE WHEN count(*) >= 1000 THEN 10 ELSE 5 END AS severity FROM edges e JOIN (SELECT unnest({GLOBAL_NAMES}) AS name) g ON contains(e.partner_name, g.name) GROUP BY 1 HAVING count(*) >= 2")
+@query("s_global", f"""SELECT g.name, count(*) AS links, count(DISTINCT e.corp_code) AS companies, {severity_sql("count(*)", 10, 5)} FROM edges e
+    JOIN (SELECT unnest({GLOBAL_NAMES}) AS name) g ON contains(lower(e.partner_name), lower(g.name)) GROUP BY 1 HAVING count(*) >= 2""")
 def _(t):
-    names = t.spark.createDataFrame([(x,) for x in GLOBAL_NAMES], "name string")
-    hits = t.edges.select("partner_name").distinct().join(names, F.contains("partner_name", "name"))  # matched once a name, not once an edge
-    per = t.edges.join(hits, "partner_name").groupBy("name").agg(n("links"), F.count_distinct("corp_code").alias("companies")).filter("links >= 2")
-    return per.withColumn("severity", F.when(F.col("links") >= 1000, 10).otherwise(5))
+    names = t.spark.createDataFrame([(x,) for x in GLOBAL_NAMES], "name string").withColumn("low", F.lower("name"))
+    links = t.edges.select("corp_code", F.lower("partner_name").alias("text"))
+    hits = containing(links, "text", names, "low").withColumnRenamed("name", "low").join(names, "low")  # looked up once a name, not once an edge
+    per = links.join(hits, "text").groupBy("name").agg(n("links"), F.count_distinct("corp_code").alias("companies")).filter("links >= 2")
+    return per.select("*", severity("links", 10, 5))
 
 
-@query("s_vertical", "SELECT c.market, count(*) AS links, count(DISTINCT e.corp_code) AS companies, CASE WHEN count(*) >= 100 THEN 15 ELSE 8 END AS severity FROM edges e JOIN companies c ON c.corp_code = e.corp_code JOIN companies p ON p.corp_code = e.partner_id AND p.market = c.market WHERE e.relation <> 'partner' GROUP BY 1 HAVING count(*) >= 3 AND count(DISTINCT e.corp_code) >= 2")
+@query("s_vertical", f"SELECT grp, count(*) AS links, count(DISTINCT corp_code) AS companies, {severity_sql('count(*)', 15, 8)} FROM ({GROUP_SQL}) GROUP BY 1 HAVING count(*) >= 3 AND count(DISTINCT corp_code) >= 2")
 def _(t):
-    own = t.companies.select("corp_code", "market")
-    rows = t.edges.filter("relation <> 'partner'").join(own, "corp_code").join(own.withColumnRenamed("corp_code", "partner_id"), ["partner_id", "market"])
-    per = rows.groupBy("market").agg(n("links"), F.count_distinct("corp_code").alias("companies")).filter("links >= 3 AND companies >= 2")
-    return per.withColumn("severity", F.when(F.col("links") >= 100, 15).otherwise(8))
+    per = internal_links(t).groupBy("grp").agg(n("links"), F.count_distinct("corp_code").alias("companies")).filter("links >= 3 AND companies >= 2")
+    return per.select("*", severity("links", 15, 8))
 
 
-@query("s_dependence", "SELECT corp_code, partner_name, max(v) AS pct FROM (SELECT corp_code, partner_name, regexp_extract(context, '([0-9]+)%', 1)::INT AS v FROM edges) WHERE v > 5 AND v < 100 GROUP BY 1, 2 HAVING max(v) >= 30")
-def _(t):
+#: The greatest share that an edge's context names, by company and partner, from 30 % on.
+DEPENDENCE_SQL = "SELECT corp_code, partner_id, partner_name, max(v) AS pct FROM (SELECT corp_code, partner_id, partner_name, unnest(regexp_extract_all(context, '([0-9]+)%', 1))::INT AS v FROM edges) WHERE v > 5 AND v < 100 GROUP BY 1, 2, 3 HAVING max(v) >= 30"
+
+
+def dependence(t):
     v = F.array_max(F.filter(F.transform(F.regexp_extract_all("context", F.lit("([0-9]+)%"), F.lit(1)), lambda x: x.cast("int")), lambda x: (x > 5) & (x < 100)))
-    return t.edges.groupBy("corp_code", "partner_name").agg(F.max(v).alias("pct")).filter("pct >= 30")
+    return t.edges.groupBy("corp_code", "partner_id", "partner_name").agg(F.max(v).alias("pct")).filter("pct >= 30")
 
 
-@query("s_industry", "SELECT sector, count(DISTINCT corp_code) AS companies, count(*) AS links, CASE WHEN count(*) >= 10000 THEN 30 ELSE 15 END AS severity FROM edges JOIN companies USING (corp_code) GROUP BY 1 HAVING count(DISTINCT corp_code) >= 5")
+@query("s_dependence", f"SELECT corp_code, partner_name, pct, {severity_sql('pct', 50, 40)} FROM ({DEPENDENCE_SQL})")
+def _(t):
+    return dependence(t).select("corp_code", "partner_name", "pct", severity("pct", 50, 40))
+
+
+@query("s_industry", f"SELECT sector, count(DISTINCT corp_code) AS companies, count(*) AS links, {severity_sql('count(DISTINCT corp_code)', 30, 15)} FROM edges JOIN companies USING (corp_code) GROUP BY 1 HAVING count(DISTINCT corp_code) >= 5")
 def _(t):
     per = t.edges.join(t.companies, "corp_code").groupBy("sector").agg(F.count_distinct("corp_code").alias("companies"), n("links")).filter("companies >= 5")
-    return per.withColumn("severity", F.when(F.col("links") >= 10000, 30).otherwise(15))
+    return per.select("*", severity("companies", 30, 15))
 
 
 @query("s_impact", "SELECT corp_code, count(DISTINCT partner_name) AS partners, count(*) AS links FROM edges WHERE corp_code IN (SELECT corp_code FROM leads WHERE severity = 5 AND lead_type = 'risk') AND length(partner_name) <= 60 GROUP BY 1 HAVING count(*) >= 3")
@@ -241,11 +259,16 @@ def recent_sql(days: int) -> str:
     return f"ts >= DATE '{AS_OF}' - {days}"
 
 
-@query("x_concentration_shift", f"SELECT corp_code, rcept_no, rank FROM (SELECT d.corp_code, d.rcept_no, row_number() OVER (PARTITION BY d.corp_code ORDER BY d.ts DESC, d.rcept_no) AS rank FROM disclosures d WHERE d.corp_code IN (SELECT partner_id FROM edges WHERE pct >= 90) AND {recent_sql(60)}) WHERE rank <= 5")
+#: Disclosures that say much of a partner.
+WEIGHTY = ["merger plan", "rights issue"]
+
+
+@query("x_concentration_shift", f"""SELECT p.corp_code, p.partner_name, p.pct, d.rcept_no, d.rank, CASE WHEN p.pct >= 50 THEN 5 ELSE 4 END AS severity FROM ({DEPENDENCE_SQL}) p
+    JOIN (SELECT corp_code, rcept_no, row_number() OVER (PARTITION BY corp_code ORDER BY ts DESC, rcept_no) AS rank FROM disclosures WHERE report_nm IN ('merger plan', 'rights issue')) d ON d.corp_code = p.partner_id WHERE d.rank <= 5""")
 def _(t):
-    strong = t.edges.filter("pct >= 90").select(F.col("partner_id").alias("corp_code"))
-    rows = t.disclosures.filter(recent(60)).join(strong, "corp_code", "left_semi")
-    return top_per_key(rows, ["corp_code"], 5, F.desc("ts"), F.col("rcept_no")).select("corp_code", "rcept_no", "rank")
+    latest = top_per_key(t.disclosures.filter(F.col("report_nm").isin(*WEIGHTY)), ["corp_code"], 5, F.desc("ts"), F.col("rcept_no"))  # five a company, before they meet the leads
+    found = dependence(t).join(latest.select(F.col("corp_code").alias("partner_id"), "rcept_no", "rank"), "partner_id")
+    return found.select("corp_code", "partner_name", "pct", "rcept_no", "rank", F.when(F.col("pct") >= 50, 5).otherwise(4).alias("severity"))
 
 
 @query("x_supply_ripple", "SELECT e.partner_id AS corp_code, count(DISTINCT e.corp_code) AS named_by FROM edges e WHERE e.partner_id IN (SELECT corp_code FROM leads WHERE severity >= 4) GROUP BY 1 HAVING count(DISTINCT e.corp_code) >= 5")
@@ -287,10 +310,20 @@ def _(t):
     return named.groupBy("partner_name").agg(n("companies"), F.count_if("risky").alias("at_risk")).filter("companies >= 5 AND at_risk >= 2")
 
 
-@query("x_group_restructuring", f"SELECT substr(corp_name, 1, 15) AS grp, count(*) AS filings, count(DISTINCT corp_code) AS companies FROM disclosures JOIN companies USING (corp_code) WHERE report_nm = 'merger plan' AND {recent_sql(180)} GROUP BY 1 HAVING count(*) >= 2 AND count(DISTINCT corp_code) >= 2")
+#: Groups by how their companies' names begin; of several beginnings the longest holds.
+BEGINNINGS = {"all": ["Customer#00000"], "hundreds": ["Customer#0000001", "Customer#0000002"], "first": ["Customer#00000000", "Customer#00000001"]}
+_BEGINNINGS = ", ".join(str((g, p)) for g, ps in BEGINNINGS.items() for p in ps)
+
+
+@query("x_group_restructuring", f"""SELECT grp, count(*) AS filings, count(DISTINCT corp_code) AS companies, CASE WHEN count(DISTINCT corp_code) >= 3 THEN 5 ELSE 4 END AS severity FROM disclosures
+    JOIN (SELECT corp_code, arg_max(grp, length(prefix)) AS grp FROM companies JOIN (VALUES {_BEGINNINGS}) g(grp, prefix) ON starts_with(corp_name, prefix) GROUP BY 1) USING (corp_code)
+    WHERE report_nm = 'merger plan' AND {recent_sql(180)} GROUP BY 1 HAVING count(*) >= 2 AND count(DISTINCT corp_code) >= 2""")
 def _(t):
-    rows = t.disclosures.filter((F.col("report_nm") == "merger plan") & recent(180)).join(t.companies, "corp_code")
-    return rows.groupBy(F.substring("corp_name", 1, 15).alias("grp")).agg(n("filings"), F.count_distinct("corp_code").alias("companies")).filter("filings >= 2 AND companies >= 2")
+    groups = t.spark.createDataFrame([(g, p) for g, ps in BEGINNINGS.items() for p in ps], "grp string, prefix string")
+    own = longest_prefix(t.companies, "corp_name", groups, "prefix").join(groups, "prefix").select(F.col("name").alias("corp_name"), "grp")
+    rows = t.disclosures.filter((F.col("report_nm") == "merger plan") & recent(180)).join(t.companies.select("corp_code", "corp_name"), "corp_code").join(own, "corp_name")
+    per = rows.groupBy("grp").agg(n("filings"), F.count_distinct("corp_code").alias("companies")).filter("filings >= 2 AND companies >= 2")
+    return per.withColumn("severity", F.when(F.col("companies") >= 3, 5).otherwise(4))
 
 
 @query("x_ownership_decision", "SELECT corp_code, count(*) AS filings FROM disclosures d WHERE report_nm = 'insider holding' AND corp_code IN (SELECT corp_code FROM leads WHERE lead_type = 'strategy') GROUP BY 1 HAVING count(*) >= 2")

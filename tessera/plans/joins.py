@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tessera.operators import graph
 from tessera.operators.pairs import shared_pairs
 from tessera.operators.relational import pick_first, top_per_key
 from tessera.plans import parted
@@ -166,15 +167,23 @@ def _(t):
     return closest_pairs(t)
 
 
-@query(
-    "join_group_internal",
-    """SELECT c.sector AS grp, count(*) AS links, count(DISTINCT e.corp_code) AS companies FROM edges e JOIN companies c ON c.corp_code = e.corp_code JOIN companies p ON p.corp_code = e.partner_id AND p.sector = c.sector GROUP BY 1 HAVING count(*) >= 3""",
-)
+#: Groups by keywords that their companies' names contain.
+GROUPS = {"teens": ["#00000001"], "low": ["#00000002", "#00000003"], "high": ["#00000008", "#00000009", "r#0000001"], "sevens": ["7"]}
+_KEYWORDS = ", ".join(str((g, k)) for g, keys in GROUPS.items() for k in keys)
+#: (grp, corp_code, corp_name) of edges inside a group.
+GROUP_SQL = f"""SELECT g.grp, e.id, e.corp_code, c.corp_name FROM edges e JOIN companies c USING (corp_code) JOIN (SELECT DISTINCT grp FROM (VALUES {_KEYWORDS}) k(grp, word)) g
+    ON EXISTS (SELECT 1 FROM (VALUES {_KEYWORDS}) k(grp, word) WHERE k.grp = g.grp AND contains(c.corp_name, word)) AND EXISTS (SELECT 1 FROM (VALUES {_KEYWORDS}) k(grp, word) WHERE k.grp = g.grp AND contains(e.partner_name, word))"""
+
+
+def internal_links(t):
+    groups = t.spark.createDataFrame([(g, k) for g, keys in GROUPS.items() for k in keys], "grp string, keyword string")
+    named = t.edges.join(t.companies.select("corp_code", "corp_name"), "corp_code").select("id", "corp_code", "corp_name", "partner_name")
+    return graph.group_links(named, groups)
+
+
+@query("join_group_internal", f"SELECT grp, count(*) AS links, count(DISTINCT corp_code) AS companies FROM ({GROUP_SQL}) GROUP BY 1 HAVING count(*) >= 3")
 def _(t):
-    own = t.companies.select("corp_code", F.col("sector").alias("grp"))
-    partner = t.companies.select(F.col("corp_code").alias("partner_id"), F.col("sector").alias("grp"))
-    rows = t.edges.join(own, "corp_code").join(partner, ["partner_id", "grp"])
-    return rows.groupBy("grp").agg(n("links"), F.count_distinct("corp_code").alias("companies")).filter("links >= 3")
+    return internal_links(t).groupBy("grp").agg(n("links"), F.count_distinct("corp_code").alias("companies")).filter("links >= 3")
 
 
 @query("join_semi_in_subquery", "SELECT id, corp_code FROM contacts WHERE corp_code IN (SELECT corp_code FROM leads WHERE severity = 5)")

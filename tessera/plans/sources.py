@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.plans.registry import query
 from tessera.sources import landing
+from tessera.sources.adapters import AS_OF
 
 
 @query("src_table_scan", "SELECT l_orderkey, l_partkey, l_quantity FROM lineitem WHERE l_shipdate >= TIMESTAMP '2001-01-01'")
@@ -50,11 +51,15 @@ def _(t):
 MEDIA = [("blog.therat.example.net", "T1"), ("ththed.example.org", "T2"), ("thther.example.org", "T2"), ("therea.example.net", "T3")]
 
 
-@query("src_news_api", f"SELECT url, tier, min(name) AS name FROM news w JOIN (VALUES {', '.join(map(str, MEDIA))}) m(host, outlet) USING (host) JOIN (SELECT unnest(['the', 'and', 'la']) AS name) n ON contains(title, name) GROUP BY 1, 2".replace("SELECT url, tier", "SELECT url, outlet AS tier"))
+NAMES = ["the", "and", "la", "e", "Th", "ou"]
+
+
+@query("src_news_api", f"""SELECT url, outlet AS tier, min(name) AS name FROM news w JOIN (VALUES {', '.join(map(str, MEDIA))}) m(host, outlet) USING (host) JOIN (SELECT unnest({NAMES}) AS name) n ON contains(title, name)
+    WHERE outlet IN ('T1', 'T2') AND (published_at IS NULL OR published_at >= DATE '{AS_OF}' - 90) GROUP BY 1, 2""")
 def _(t):
     media = t.spark.createDataFrame(MEDIA, "host string, tier string")
-    names = t.spark.createDataFrame([("the",), ("and",), ("la",)], "name string")
-    return landing.news_items(t.news.select("url", "title", "host"), media, names).select("url", "tier", "name")
+    names = t.spark.createDataFrame([(x,) for x in NAMES], "name string")
+    return landing.news_items(t.news.select("url", "title", "host", "published_at"), media, names, AS_OF).select("url", "tier", "name")
 
 
 @query("src_rss", "SELECT 'item ' || c_custkey AS title, 'http://x.example.com/' || c_custkey AS link FROM customer WHERE c_custkey % 45 <= 30")

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import io
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import strip_html
+from tessera.operators.dictionary import containing
 from tessera.operators.relational import pick_first
 
 FILING = "rcept_no STRING, corp_code STRING, corp_name STRING, report_nm STRING, rcept_dt STRING"
@@ -45,7 +46,7 @@ def accounts(lists: DataFrame) -> DataFrame:
     names = lists.sparkSession.createDataFrame(known, "alias string, field string, prio int")
     amount = F.regexp_replace("amount", ",", "").try_cast("double")
     alias = F.lower(F.regexp_replace("account_nm", r"\s", ""))
-    rows = lists.withColumns({"alias": alias, "amount": amount}).filter("amount IS NOT NULL").join(F.broadcast(names), "alias")
+    rows = lists.withColumns({"alias": alias, "amount": amount}).filter("amount IS NOT NULL").join(names, "alias")
     rank = F.struct(F.when(F.col("fs_div") == "CFS", 0).otherwise(1), "prio")
     keys = ["corp_code", "fiscal_year"]
     best = rows.groupBy(*keys, "field").agg(F.min_by("amount", rank).alias("amount"))
@@ -62,10 +63,19 @@ def rss_items(feeds: DataFrame, today: str, days: int = 30) -> DataFrame:
     return rows.filter(F.col("published").isNull() | (F.col("published") >= F.date_sub(F.lit(today).cast("date"), days)))
 
 
-def news_items(items: DataFrame, media: DataFrame, names: DataFrame) -> DataFrame:
-    """Search results (url, title, host) of known media that name a company, each URL once."""
-    kept = items.join(F.broadcast(media), "host").join(names, F.contains("title", "name"))
-    return pick_first(kept.select("url", "title", "tier", "name"), ["url"], F.col("name"))
+def news_items(items: DataFrame, media: DataFrame, names: DataFrame, today: str, days: int = 90, tiers: Sequence[str] = ("T1", "T2"), shown: Sequence[str] = ("title",)) -> DataFrame:
+    """Search results (url, host, published_at, shown columns) of media of the tiers that name a company in a shown column, each URL once, with its first name.
+
+    Results older than days go; undated ones stay. names: (name); any number of them.
+    """
+    fresh = F.col("published_at").isNull() | (F.col("published_at") >= F.date_sub(F.lit(today).cast("date"), days))
+    kept = items.filter(fresh).join(media.filter(F.col("tier").isin(*tiers)), "host")
+    first = None
+    for column in shown:
+        named = containing(kept, column, names, "name").groupBy("text").agg(F.min("name").alias("name"))
+        met = kept.join(named, F.col(column) == F.col("text")).select("url", *shown, "tier", "name")
+        first = met if first is None else first.unionByName(met)
+    return pick_first(first, ["url"], F.col("name"), *shown)
 
 
 def zip_texts(files: DataFrame, most: int = 64 << 20) -> DataFrame:
