@@ -49,3 +49,43 @@ def recency(c: Column, today: Column) -> Column:
     """By age in days, a coming date like a past one; unknown is old."""
     age = F.abs(F.datediff(today, c))
     return F.when(age <= 30, 1.0).when(age <= 60, 0.85).when(age <= 90, 0.7).when(age <= 180, 0.5).otherwise(0.3)
+
+
+# Unit words of amounts and what they stand for.
+UNIT_WORDS = {"조": 1e12, "억": 1e8, "천만": 1e7, "백만": 1e6, "만": 1e4}
+AMOUNT = r"[0-9][0-9,]*\.?[0-9]*\s*(?:" + "|".join(UNIT_WORDS) + ")"
+PER_CENT = r"[+-]?[0-9.,]+\s*%"
+LEXED = "array<struct<raw:string,value:double,per_cent:boolean>>"
+
+
+def lex(c: Column) -> Column:
+    """Amounts with a unit word, then percentages with their sign, as (raw, value, per_cent); what is no number is left out."""
+    word = lambda raw: F.regexp_extract(raw, "(" + "|".join(UNIT_WORDS) + ")$", 1)
+    factors = F.create_map(*[F.lit(x) for pair in UNIT_WORDS.items() for x in pair])
+    bare = lambda raw, rest: F.regexp_replace(raw, rf"[,\s]|{rest}", "").try_cast("double")
+    amounts = F.transform(F.regexp_extract_all(c, F.lit(AMOUNT), F.lit(0)), lambda r: F.struct(r.alias("raw"), (bare(r, "|".join(UNIT_WORDS)) * factors[word(r)]).alias("value"), F.lit(False).alias("per_cent")))
+    shares = F.transform(F.regexp_extract_all(c, F.lit(PER_CENT), F.lit(0)), lambda r: F.struct(r.alias("raw"), bare(r, "%").alias("value"), F.lit(True).alias("per_cent")))
+    return F.filter(F.concat(amounts.cast(LEXED), shares.cast(LEXED)), lambda x: x["value"].isNotNull())
+
+
+LARGE, NEAR, POINTS = 1e6, 0.05, 2.0
+
+
+def agrees(value: Column, per_cent: Column, truth: Column) -> Column:
+    """A percentage within 2 points; amounts within 5 % of the greater if both are above a million, else equal."""
+    large = (value > LARGE) & (truth > LARGE)
+    near = F.when(large, F.try_divide(F.abs(truth - value), F.greatest(truth, value)) <= NEAR).otherwise(truth == value)
+    return F.when(per_cent, F.abs(truth - value) <= POINTS).otherwise(near)
+
+
+def agrees_sql(value: str, per_cent: str, truth: str) -> str:
+    return f"CASE WHEN {per_cent} THEN abs({truth} - {value}) <= 2.0 WHEN {value} > 1e6 AND {truth} > 1e6 THEN abs({truth} - {value}) / greatest({truth}, {value}) <= 0.05::DOUBLE ELSE {truth} = {value} END"
+
+
+def lex_sql(c: str) -> str:
+    """lex in another engine's SQL."""
+    units = "|".join(UNIT_WORDS)
+    factor = "CASE " + " ".join(f"WHEN r LIKE '%{u}' THEN {int(f)}::DOUBLE" for u, f in sorted(UNIT_WORDS.items(), key=lambda x: -len(x[0]))) + " END"
+    amounts = f"list_transform(regexp_extract_all({c}, '{AMOUNT}'), lambda r: {{'raw': r, 'value': try_cast(regexp_replace(r, '[,\\s]|{units}', '', 'g') AS DOUBLE) * {factor}, 'per_cent': false}})"
+    shares = f"list_transform(regexp_extract_all({c}, '{PER_CENT}'), lambda r: {{'raw': r, 'value': try_cast(regexp_replace(r, '[,\\s]|%', '', 'g') AS DOUBLE), 'per_cent': true}})"
+    return f"list_filter(list_concat({amounts}, {shares}), lambda x: x.value IS NOT NULL)"

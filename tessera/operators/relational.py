@@ -83,3 +83,23 @@ def sync(rules: DataFrame, stored: DataFrame, key: str, compared: Sequence[str])
 def first_match(rules: Sequence[tuple[str, Column]]) -> Column:
     """The name of the first rule that holds; null if none does."""
     return F.coalesce(*[F.when(condition, F.lit(name)) for name, condition in rules])
+
+
+def as_of(left: DataFrame, right: DataFrame, keys: Sequence[str], at: str, then: str, columns: Sequence[str], part: str = "month") -> DataFrame:
+    """left, and the columns of the latest row of right with its keys that is not after it (then <= at); nulls where there is none.
+
+    Of right rows at one time the greatest stands. A key's rows are ordered within parts of time (``month``, ``day``, ...) and not as
+    a whole; what a part begins with is carried over from the parts before, a row each. So a hot key is many tasks' work.
+    """
+    last = lambda w: F.last("_r", ignorenulls=True).over(w)
+    rows = right.select(*keys, F.struct(*columns).alias("_r"), F.col(then).cast("timestamp").alias("_t")).dropna(subset=[*keys, "_t"])
+    rows = rows.withColumns({"_part": F.date_trunc(part, "_t"), "_left": F.lit(False)})
+    asked = left.withColumns({"_t": F.col(at).cast("timestamp"), "_left": F.lit(True)}).withColumn("_part", F.date_trunc(part, "_t"))
+    both = asked.unionByName(rows, allowMissingColumns=True)
+    within = both.withColumn("_r", last(Window.partitionBy(*keys, "_part").orderBy("_t", "_left", "_r"))).filter("_left")
+    parts = rows.groupBy(*keys, "_part").agg(F.max_by("_r", F.struct("_t", "_r")).alias("_r"))
+    parts = parts.unionByName(asked.select(*keys, "_part").distinct(), allowMissingColumns=True).groupBy(*keys, "_part").agg(F.max("_r").alias("_r"))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = parts.select(*keys, "_part", last(before).alias("_before")).filter("_before IS NOT NULL")
+    found = within.join(carried, [*keys, "_part"], "left").withColumn("_r", F.coalesce("_r", "_before"))
+    return found.select(*left.columns, *[F.col("_r")[c].alias(c) for c in columns])

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from tessera.functions import numbers, text
 from tessera.functions.contact import sendable
 from tessera.operators import leads as L
+from tessera.operators import verification as V
 from tessera.operators.relational import pick_first, top_per_key
-from tessera.plans import parted
+from tessera.plans import drafted, parted
 from tessera.plans.registry import query
 from tessera.plans.text import FAMILIES, NEWS_STEPS
 from tessera.sources.adapters import AS_OF
@@ -145,51 +146,61 @@ def _(t):
     return rows.select("corp_code", F.when(F.coalesce("n", F.lit(0)) == 0, "exclusive").when(F.col("n") <= 2, "partial").otherwise("covered").alias("status"))
 
 
-NUMBERS_SQL = "list_distinct(regexp_extract_all({}, '\\b[0-9]{{2,6}}\\b'))"
+#: Parts of the scores of an article (plans/drafted.py) in SQL.
+_SOME = lambda pool, test: f"len(list_filter({pool}, lambda v: {test})) > 0"
+_TOKENS = "list_distinct(list_concat(regexp_extract_all({0}, '[가-힣]{{2,}}'), list_transform(regexp_extract_all({0}, '[A-Za-z]{{3,}}'), lambda w: lower(w))))".format
+_COMMON = "[" + ", ".join(f"'{w}'" for w in V.COMMON) + "]"
+_UNCOMMON = lambda c: f"list_filter({_TOKENS(c)}, lambda w: NOT list_contains({_COMMON}, w))"
+_SHARE = lambda part, whole, factor: f"trunc(least(({part})::DOUBLE / ({whole}) * {factor}, 100.0::DOUBLE))::INT"
+_SAID = lambda words: " + ".join(f"(length(body) - length(replace(body, '{w}', ''))) // {len(w)}" for w in words)
+_MOVED = lambda c: f"""CASE WHEN last[1].{c} IS NULL OR last[2].{c} IS NULL THEN NULL WHEN last[2].{c} = 0 THEN CASE WHEN last[1].{c} > 0 THEN 'up' WHEN last[1].{c} < 0 THEN 'down' ELSE 'flat' END
+    WHEN (last[1].{c} - last[2].{c})::DOUBLE / abs(last[2].{c}) > 0.02::DOUBLE THEN 'up' WHEN (last[1].{c} - last[2].{c})::DOUBLE / abs(last[2].{c}) < -0.02::DOUBLE THEN 'down' ELSE 'flat' END"""
+NUMERIC_SQL = f"CASE WHEN amounts IS NULL THEN 50 WHEN len(found) = 0 THEN 70 ELSE {_SHARE(f'len(list_filter(found, lambda x: {_SOME("list_concat(amounts, ratios)", numbers.agrees_sql("x.value", "x.per_cent", "v"))}))', 'len(found)', 100)} END"
+SAYS_SQL = f"CASE WHEN {_SAID(V.UP)} > ({_SAID(V.DOWN)}) * 1.3::DOUBLE THEN 'up' WHEN {_SAID(V.DOWN)} > ({_SAID(V.UP)}) * 1.3::DOUBLE THEN 'down' ELSE 'mixed' END"
+DIRECTION_SQL = f"CASE WHEN coalesce(len(last), 0) < 2 OR moved IS NULL THEN 70 WHEN says = 'mixed' THEN 75 WHEN says = moved THEN 100 ELSE 30 END"
+EVIDENCE_SQL = f"CASE WHEN length(evidence) < 30 OR len(told) = 0 THEN 70 ELSE {_SHARE(f'len(list_filter(told, lambda w: list_contains({_TOKENS("body")}, w)))', 'len(told)', 200)} END"
+GROUNDING_SQL = f"CASE WHEN len(named) = 0 THEN 80 ELSE {_SHARE(f'len(list_filter(named, lambda w: list_contains({_TOKENS("source")}, w)))', 'len(named)', 120)} END"
+SCORES_SQL = f"""SELECT draft_id, body, source, amounts, ratios, found, {NUMERIC_SQL} AS numeric, {DIRECTION_SQL} AS direction, {EVIDENCE_SQL} AS evidence, {GROUNDING_SQL} AS grounding FROM (
+    SELECT *, ai || ' ' || biz AS source, {numbers.lex_sql("body")} AS found, coalesce({", ".join(map(_MOVED, ("operating_income", "net_income", "revenue")))}) AS moved, {SAYS_SQL} AS says,
+    {_UNCOMMON("evidence")} AS told, list_filter({_UNCOMMON("body")}, lambda w: length(w) >= 4) AS named FROM ({drafted.ARTICLES_SQL}))"""
+
+
+def scores(t):
+    """draft_id and the four scores of its article, with what they were made of."""
+    rows = drafted.articles(t).withColumns({"found": numbers.lex(F.col("body")), "source": F.concat_ws(" ", "ai", "biz")})
+    c = F.col
+    return rows.select(
+        "draft_id", "body", "source", "amounts", "ratios", V.numeric_score(c("found"), c("amounts"), c("ratios")).alias("numeric"), V.direction_score(c("body"), c("last")).alias("direction"),
+        V.evidence_score(c("body"), c("evidence")).alias("evidence"), V.grounding_score(c("body"), c("source")).alias("grounding"),
+    )
+
+
+_NEAR_SQL = _SOME("coalesce(amounts, [])", "v > 1e6 AND abs(v - x.value) / greatest(v, x.value) <= 0.05::DOUBLE")
+_POINTS_SQL = _SOME("coalesce(ratios, [])", "abs(v - x.value) <= 2.0::DOUBLE")
 
 
 @query(
     "l_cross_check",
-    f"""WITH x AS (SELECT doc_id, {NUMBERS_SQL.format("text")} AS nums, list_distinct(regexp_extract_all({parted.EVIDENCE_SQL}, '[A-Z][a-z]{{3,}}')) AS nouns, lower({parted.REST_SQL}) AS body FROM documents)
-    SELECT doc_id, trunc(CASE WHEN len(nums) = 0 THEN 70 ELSE len(list_filter(nums, lambda v: v::INT % 2 = 0)) * 100 // len(nums) END * 0.6::DOUBLE + CASE WHEN len(nouns) = 0 THEN 80 ELSE len(list_filter(nouns, lambda w: contains(body, lower(w)))) * 100 // len(nouns) END * 0.4::DOUBLE)::INT AS score FROM x""",
+    f"""WITH x AS (SELECT draft_id, amounts, ratios, lower(source) AS source, found, list_distinct(list_concat(regexp_extract_all(body, '[가-힣]{{3,}}'), list_transform(regexp_extract_all(body, '[A-Za-z]{{4,}}'), lambda w: lower(w)))) AS nouns FROM ({SCORES_SQL}))
+    SELECT draft_id, trunc(CASE WHEN len(found) = 0 THEN 100 ELSE {_SHARE(f'len(list_filter(found, lambda x: CASE WHEN x.per_cent THEN {_POINTS_SQL} ELSE x.value > 0 AND {_NEAR_SQL} END))', 'len(found)', 100)} END * 0.6::DOUBLE
+      + CASE WHEN len(nouns) = 0 THEN 100.0::DOUBLE ELSE len(list_filter(nouns, lambda w: contains(source, w)))::DOUBLE / len(nouns) * 100 END * 0.4::DOUBLE)::INT AS score FROM x""",
 )
 def _(t):
-    lead, past = lead_and_past()
-    nums, nouns = F.array_distinct(text.find_all(F.col("text"), r"\b[0-9]{2,6}\b")), F.array_distinct(text.find_all(lead, "[A-Z][a-z]{3,}"))
-    rows = t.documents.select("doc_id", nums.alias("nums"), nouns.alias("nouns"), past.alias("body"))
-    numeric = F.when(F.size("nums") == 0, 70).otherwise(F.floor(F.try_divide(F.size(F.filter("nums", lambda v: v.cast("int") % 2 == 0)) * 100, F.size("nums"))))
-    grounded = F.when(F.size("nouns") == 0, 80).otherwise(F.floor(F.try_divide(F.size(F.filter("nouns", lambda w: F.contains(F.col("body"), F.lower(w)))) * 100, F.size("nouns"))))
-    return rows.select("doc_id", (numeric * 0.6 + grounded * 0.4).cast("int").alias("score"))
+    c = F.col
+    return drafted.articles(t).select("draft_id", V.cross_check(c("body"), c("amounts"), c("ratios"), F.concat_ws(" ", "ai", "biz")).alias("score"))
 
 
 # Verification of articles
 
 
-V_NUMERIC = "CASE WHEN len(nums) = 0 THEN 70 WHEN truth IS NULL THEN 50 ELSE len(list_filter(nums, lambda v: len(list_filter(truth, lambda t: abs(t - v::BIGINT) <= 2)) > 0)) * 100 // len(nums) END"
-
-
-@query("v_numeric", f"""SELECT doc_id, ({V_NUMERIC})::INT AS score FROM (SELECT doc_id, {NUMBERS_SQL.format("text")} AS nums FROM documents) LEFT JOIN (SELECT corp_code, list_distinct(list(inventory)) AS truth FROM financials GROUP BY 1) ON corp_code = doc_id""")
+@query("v_numeric", f"SELECT draft_id, numeric AS score FROM ({SCORES_SQL})")
 def _(t):
-    truth = t.financials.groupBy(F.col("corp_code").alias("doc_id")).agg(F.collect_set("inventory").alias("truth"))
-    rows = t.documents.select("doc_id", F.array_distinct(text.find_all(F.col("text"), r"\b[0-9]{2,6}\b")).alias("nums")).join(truth, "doc_id", "left")
-    hit = F.size(F.filter("nums", lambda v: F.exists("truth", lambda x: F.abs(x - v.cast("long")) <= 2)))
-    score = F.when(F.size("nums") == 0, 70).when(F.col("truth").isNull(), 50).otherwise(F.floor(F.try_divide(hit * 100, F.size("nums"))))
-    return rows.select("doc_id", score.cast("int").alias("score"))
+    return scores(t).select("draft_id", F.col("numeric").alias("score"))
 
 
-@query(
-    "v_direction",
-    """WITH y AS (SELECT corp_code, CASE WHEN revenue > p THEN 1 WHEN revenue < p THEN -1 ELSE 0 END AS sign FROM (SELECT corp_code, revenue, fiscal_year, lag(revenue) OVER (PARTITION BY corp_code ORDER BY fiscal_year) AS p, row_number() OVER (PARTITION BY corp_code ORDER BY fiscal_year DESC) AS k FROM financials) WHERE k = 1),
-    w AS (SELECT doc_id, len(regexp_extract_all(text, 'tion ')) AS up, len(regexp_extract_all(text, 'and ')) AS down FROM documents)
-    SELECT doc_id, CASE WHEN sign IS NULL OR (up <= 1.3::DOUBLE * down AND down <= 1.3::DOUBLE * up) THEN 75 WHEN (up > down) = (sign > 0) THEN 100 ELSE 30 END AS score FROM w LEFT JOIN y ON corp_code = doc_id""",
-)
+@query("v_direction", f"SELECT draft_id, direction AS score FROM ({SCORES_SQL})")
 def _(t):
-    last = t.financials.groupBy(F.col("corp_code").alias("doc_id")).agg(F.sort_array(F.collect_list(F.struct("fiscal_year", "revenue")), asc=False).alias("y"))
-    now, then = F.get("y", F.lit(0))["revenue"], F.get("y", F.lit(1))["revenue"]
-    sign = last.select("doc_id", F.when(now > then, 1).when(now < then, -1).otherwise(0).alias("sign"))
-    rows = t.documents.select("doc_id", text.hits(F.col("text"), ["tion "]).alias("up"), text.hits(F.col("text"), ["and "]).alias("down")).join(sign, "doc_id", "left")
-    even = F.col("sign").isNull() | ((F.col("up") <= 1.3 * F.col("down")) & (F.col("down") <= 1.3 * F.col("up")))
-    return rows.select("doc_id", F.when(even, 75).when((F.col("up") > F.col("down")) == (F.col("sign") > 0), 100).otherwise(30).alias("score"))
+    return scores(t).select("draft_id", F.col("direction").alias("score"))
 
 
 COVER_SQL = "SELECT doc_id, CASE WHEN len(w) {few} THEN {otherwise} ELSE least(100, len(list_filter(w, lambda x: contains(body, lower(x)))) * {factor} // len(w)) END::INT AS score FROM (SELECT doc_id, list_distinct(regexp_extract_all({head}, '{pattern}')) AS w, lower({body}) AS body FROM documents)"
@@ -213,13 +224,11 @@ def _(t):
     return cover(t, lambda lead: text.find_all(lead, "[A-Z][a-z]{3,}"), lambda k: k == 0, 80, 120)
 
 
-TOTAL = "trunc(coalesce(score, 50) * 0.3::DOUBLE + char_count % 100 * 0.25::DOUBLE + draft_id % 100 * 0.25::DOUBLE + lead_id % 90 * 0.2::DOUBLE)::INT"
-
-
-@query("v_total", f"SELECT draft_id, total, CASE WHEN total >= 80 THEN 'SAFE' WHEN total >= 65 THEN 'LOW' WHEN total >= 50 THEN 'MEDIUM' ELSE 'HIGH' END AS flag FROM (SELECT draft_id, {TOTAL} AS total FROM drafts)")
+@query("v_total", f"""SELECT *, CASE WHEN total >= 80 THEN 'SAFE' WHEN total >= 65 THEN 'LOW' WHEN total >= 50 THEN 'MEDIUM' ELSE 'HIGH' END AS flag FROM (SELECT draft_id, numeric, direction, evidence, grounding,
+    trunc(numeric * 0.30::DOUBLE + direction * 0.25::DOUBLE + evidence * 0.25::DOUBLE + grounding * 0.20::DOUBLE)::INT AS total FROM ({SCORES_SQL}))""")
 def _(t):
-    total = (F.coalesce("score", F.lit(50)) * 0.3 + F.col("char_count") % 100 * 0.25 + F.col("draft_id") % 100 * 0.25 + F.col("lead_id") % 90 * 0.2).cast("int")
-    return L.flag(t.drafts.select("draft_id", total.alias("total")), "total")
+    parts = ["numeric", "direction", "evidence", "grounding"]
+    return L.flag(scores(t).select("draft_id", *parts, V.total(*map(F.col, parts)).alias("total")), "total")
 
 
 @query("v_postprocess", "SELECT doc_id, greatest(0, least(100, 100 - spec * 8 - CASE WHEN nums >= 5 THEN (nums - 4) * 3 ELSE 0 END))::INT AS score FROM (SELECT doc_id, len(regexp_extract_all(text, 'only|from')) AS spec, len(regexp_extract_all(text, '\\b[0-9]+\\b')) AS nums FROM documents)")

@@ -6,9 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import numbers, text
-from tessera.operators import filings, financial
+from tessera.operators import filings, financial, verification
 from tessera.operators.relational import first_match, top_per_key
-from tessera.plans import parted
+from tessera.plans import drafted, parted
 from tessera.plans.registry import query
 from tessera.sources.adapters import AS_OF
 
@@ -497,11 +497,23 @@ def _(t):
     return t.part.select("p_partkey", numbers.parse_unit(F.concat(F.col("p_size").cast("string"), F.lit(" "), unit)).alias("amount"))
 
 
-@query("num_extract_units", "SELECT doc_id, len(x) AS n, coalesce(list_sum(list_transform(x, lambda v: v::BIGINT)), 0)::BIGINT AS total FROM (SELECT doc_id, regexp_extract_all(text, '\\b[0-9]{1,9}\\b') AS x FROM documents)")
+#: Numbers of the texts get a unit by the letter of the next word.
+UNIT_STEPS = [("([0-9]) ([a-f])", "만"), ("([0-9]) ([g-m])", "백만"), ("([0-9]) ([n-s])", "%"), ("([0-9]) ([t-z])", "억")]
+WITH_UNITS_SQL = "text"
+for _pattern, _unit in UNIT_STEPS:
+    WITH_UNITS_SQL = f"regexp_replace({WITH_UNITS_SQL}, '{_pattern}', '\\1{_unit} \\2', 'g')"
+
+
+def with_units(c):
+    for pattern, unit in UNIT_STEPS:
+        c = F.regexp_replace(c, pattern, f"$1{unit} $2")
+    return c
+
+
+@query("num_extract_units", f"SELECT doc_id, len(x) AS n, len(list_filter(x, lambda v: v.per_cent)) AS shares, list_max(list_transform(x, lambda v: v.value)) AS largest FROM (SELECT doc_id, {numbers.lex_sql('body')} AS x FROM (SELECT doc_id, {WITH_UNITS_SQL} AS body FROM documents))")
 def _(t):
-    found = text.find_all(TEXT(), r"\b[0-9]{1,9}\b")
-    total = F.aggregate(F.transform(found, lambda v: v.cast("long")), F.lit(0).cast("long"), lambda a, b: a + b)
-    return t.documents.select("doc_id", F.size(found).cast("long").alias("n"), total.alias("total"))
+    rows = t.documents.select("doc_id", numbers.lex(with_units(TEXT())).alias("x"))
+    return rows.select("doc_id", F.size("x").cast("long").alias("n"), F.size(F.filter("x", lambda v: v["per_cent"])).cast("long").alias("shares"), F.array_max("x.value").alias("largest"))
 
 
 RATIOS = {"debt_ratio": ("total_liabilities", "total_equity"), "equity_ratio": ("total_equity", "total_assets"), "current_ratio": ("current_assets", "current_liabilities"), "cash_ratio": ("cash", "current_liabilities"), "operating_margin": ("operating_income", "revenue"), "net_margin": ("net_income", "revenue"), "roe": ("net_income", "total_equity"), "roa": ("net_income", "total_assets")}
@@ -526,11 +538,18 @@ def _(t):
     return t.leads.select("id", (F.col("severity") * 20 * 0.4 + F.col("signal_count") * 0.3 + F.col("id") % 101 * 0.3).cast("int").alias("score"))
 
 
-@query("num_tolerance_match", "SELECT l.id, EXISTS (SELECT 1 FROM financials f WHERE f.corp_code = l.corp_code AND abs(f.inventory - l.signal_count) <= 2) AS matched FROM leads l")
+#: What a lead says in numbers: a share, and two amounts.
+SAID_SQL = "title || ': ' || signal_count || '% and ' || signal_count * 9 || '만, of ' || signal_count % 7 || '백만'"
+
+
+@query("num_tolerance_match", f"""SELECT id, count(*) AS tested, count(*) FILTER (WHERE len(list_filter(coalesce(truth, []), lambda v: {numbers.agrees_sql('x.value', 'x.per_cent', 'v')})) > 0) AS matched
+    FROM (SELECT id, corp_code, unnest({numbers.lex_sql(SAID_SQL)}) AS x FROM leads) LEFT JOIN (SELECT corp_code, list_concat(amounts, ratios) AS truth FROM ({drafted.TRUTH_SQL})) USING (corp_code) GROUP BY 1""")
 def _(t):
-    truth = t.financials.groupBy("corp_code").agg(F.collect_set("inventory").alias("truth"))  # a few years a company
-    rows = t.leads.join(truth, "corp_code", "left")
-    return rows.select("id", F.coalesce(F.exists("truth", lambda v: F.abs(v - F.col("signal_count")) <= 2), F.lit(False)).alias("matched"))
+    said = F.expr("concat(title, ': ', signal_count, '% and ', signal_count * 9, '만, of ', signal_count % 7, '백만')")
+    found = t.leads.select("id", "corp_code", F.posexplode(numbers.lex(said)).alias("k", "x")).select(F.struct("id", "k").alias("number"), "corp_code", "x.value", "x.per_cent")
+    held = verification.truth(t.financials).select("corp_code", F.explode(F.concat("amounts", "ratios")).alias("truth"))
+    hit = verification.tolerance_matches(found, held, ["corp_code"], "number").withColumn("hit", F.lit(1))
+    return found.join(hit, "number", "left").groupBy("number.id").agg(n("tested"), F.count("hit").alias("matched"))
 
 
 @query("num_grade", "SELECT draft_id, CASE WHEN score >= 85 THEN 'NEW_STRONG' WHEN score >= 70 THEN 'NEW' WHEN score >= 60 THEN 'MAYBE' WHEN score >= 50 THEN 'WEAK' ELSE 'EXISTING' END AS grade FROM drafts")
