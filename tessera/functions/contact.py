@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,3 +17,12 @@ def is_placeholder(email: str = "email") -> Column:
 def sendable() -> Column:
     """An address that mail may go to: present, no placeholder, active, and not bounced too often."""
     return F.col("email").isNotNull() & ~is_placeholder() & F.col("is_active") & (F.coalesce("bounced_count", F.lit(0)) < MOST_BOUNCES)
+
+
+def domain_category(host: Column, generic: Sequence[str], agencies: Sequence[str], endings: Sequence[str]) -> Column:
+    """none, generic, agency, org or company, by the host of an address."""
+    low = F.lower(host)
+    org = F.lit(False)
+    for e in endings:
+        org = org | low.endswith(e)
+    return F.when(~F.contains(F.coalesce(low, F.lit("")), F.lit(".")), "none").when(low.isin(*generic), "generic").when(low.isin(*agencies), "agency").when(org, "org").otherwise("company")

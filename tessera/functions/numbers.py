@@ -89,3 +89,24 @@ def lex_sql(c: str) -> str:
     amounts = f"list_transform(regexp_extract_all({c}, '{AMOUNT}'), lambda r: {{'raw': r, 'value': try_cast(regexp_replace(r, '[,\\s]|{units}', '', 'g') AS DOUBLE) * {factor}, 'per_cent': false}})"
     shares = f"list_transform(regexp_extract_all({c}, '{PER_CENT}'), lambda r: {{'raw': r, 'value': try_cast(regexp_replace(r, '[,\\s]|%', '', 'g') AS DOUBLE), 'per_cent': true}})"
     return f"list_filter(list_concat({amounts}, {shares}), lambda x: x.value IS NOT NULL)"
+
+
+def weighted_int(*parts: tuple[Column, float]) -> Column:
+    """The weighted sum, cut towards zero to a whole number."""
+    total = None
+    for value, weight in parts:
+        total = value * weight if total is None else total + value * weight
+    return total.cast("int")
+
+
+def fmt_amount(c: Column) -> Column:
+    """An amount in 억 (1e8), from 10,000 of them on in 조 with one decimal; N/A for null."""
+    hundred_millions = c / 1e8
+    wide = F.abs(hundred_millions) >= 10000
+    shown = F.when(wide, F.format_string("%,.1f조", hundred_millions / 10000)).otherwise(F.format_string("%,.0f억", hundred_millions))
+    return F.when(c.isNull(), "N/A").otherwise(shown)
+
+
+def fmt_per_cent(c: Column) -> Column:
+    """A percentage with its sign and one decimal; N/A for null."""
+    return F.when(c.isNull(), "N/A").when(c == 0, "0.0%").otherwise(F.format_string("%+.1f%%", c))

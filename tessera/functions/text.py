@@ -145,3 +145,21 @@ def is_noise(c: Column, words: Sequence[str] = ("other", "total", "various")) ->
         F.when(c.rlike("^[0-9]"), "DIGIT_START"),
         F.when(c.rlike(r"\([^)]{15,}\)"), "LONG_PAREN"),
     )
+
+
+def parse_loose(c: Column, fields: Sequence[str]) -> Column:
+    """JSON out of an answer that should be JSON: (step, then each field as a string).
+
+    Readings in this order, the first that works: the whole text, what a fence holds, what stands from the first brace to the last, and each
+    field by its quoted key. step names it: whole, fenced, braces, keys, none. Values that the answer lacks are null.
+    """
+    fenced = F.regexp_extract(c, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1)
+    braces = F.regexp_extract(c, r"(?s)(\{.*\})", 1)
+    readings = [("whole", F.trim(c)), ("fenced", fenced), ("braces", braces)]
+    is_object = lambda v: F.when(F.schema_of_variant(v).startswith("OBJECT"), v)
+    tried = [F.struct(F.lit(step).alias("step"), is_object(F.try_parse_json(F.nullif(r, F.lit("")))).alias("v")) for step, r in readings]
+    by_key = lambda f: F.nullif(F.regexp_extract(c, rf"(?s)[\"']{f}[\"']\s*:\s*[\"'](.*?)[\"']\s*(?=[,}}]|$)", 1), F.lit(""))
+    values = lambda read: [F.try_variant_get(read["v"], f"$.{f}", "string").alias(f) for f in fields]
+    keyed = F.transform(F.array(F.struct(*[by_key(f).alias(f) for f in fields])), lambda k: F.struct(F.when(F.coalesce(*[k[f] for f in fields]).isNotNull(), "keys").otherwise("none").alias("step"), *[k[f].alias(f) for f in fields]))
+    read = F.transform(F.filter(F.array(*tried), lambda r: r["v"].isNotNull()), lambda r: F.struct(r["step"].alias("step"), *values(r)))
+    return F.coalesce(F.get(read, F.lit(0)), F.get(keyed, F.lit(0)))

@@ -55,29 +55,37 @@ HEADING, CHAPTER = "\u0001", "\u0002"
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.btrim(c, F.lit(" \t\n\x0b\f\r"))
+
+
+def _once(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f of c, with c computed once however often f names it."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
 
 
 def sections(filings: DataFrame, key: str, body: str, least: int = 20, whole: int = 100) -> DataFrame:
     """(key, code, title, content, n): each heading's section, up to the next heading; the last one up to the next chapter.
 
-    Texts under ``whole`` characters have no sections; sections under ``least`` are left out.
+    Texts under ``whole`` characters have no sections; sections under ``least`` are left out. Every pattern runs once over a
+    text, and a section's code and title come from one look at its heading's stem.
     """
-    c = F.regexp_replace(F.col(body), f"[{HEADING}{CHAPTER}]", " ")
+    c = F.translate(body, HEADING + CHAPTER, "  ")
     c = F.regexp_replace(c, rf"(?m)^(?=\s*\d+\.\s*(?:{'|'.join(h for _, h, _ in HEADINGS)}))", HEADING)
     c = F.regexp_replace(c, rf"(?m)^(?=\s*{NEXT_CHAPTER})", CHAPTER)
-    parts = F.split(c, HEADING)
-    rows = filings.filter(F.length(body) >= whole).select(key, F.size(parts).alias("of"), F.posexplode(parts)).filter("pos > 0")
-    last = F.substring_index("col", CHAPTER, 1)
-    content = strip(F.when(F.col("pos") == F.col("of") - 1, last).otherwise(F.replace("col", F.lit(CHAPTER), F.lit(""))))
-    rows = rows.select(key, content.alias("content"), F.length(content).alias("n")).filter(F.col("n") >= least)
-    named = lambda k: F.coalesce(*[F.when(F.col("content").rlike(rf"^\d+\.\s*{h[1]}"), h[k]) for h in HEADINGS])
-    return rows.select(key, named(0).alias("code"), named(2).alias("title"), "content", F.col("n").cast("long").alias("n"))
+    stems = [h.split("(")[0].removesuffix(r"\s*") for _, h, _ in HEADINGS]
+    names = F.create_map(*[x for stem, (code, _, title) in zip(stems, HEADINGS) for x in (F.lit(stem.replace(r"\s*", "")), F.struct(F.lit(code).alias("code"), F.lit(title).alias("title")))])
 
+    def named(content: Column) -> Column:
+        stem = F.regexp_extract(content, rf"^\d+\.\s*({'|'.join(stems)})", 1)
+        return F.struct(names[F.regexp_replace(stem, r"\s", "")].alias("name"), content.alias("content"), F.length(content).cast("long").alias("n"))
 
-def _once(c: Column, f: Callable[[Column], Column]) -> Column:
-    """f of c, with c computed once however often f names it."""
-    return F.get(F.transform(F.array(c), f), F.lit(0))
+    def cut(parts: Column) -> Column:
+        ends = lambda p, i: F.when(i == F.size(parts) - 1, F.substring_index(p, CHAPTER, 1)).otherwise(F.translate(p, CHAPTER, ""))
+        contents = F.transform(parts, lambda p, i: F.when(i > 0, strip(ends(p, i))))
+        return F.transform(F.filter(contents, lambda p: F.length(p) >= least), named)
+
+    rows = filings.filter(F.length(body) >= whole).select(key, F.inline(_once(F.split(c, HEADING), cut)))
+    return rows.select(key, "name.code", "name.title", "content", "n")
 
 
 def chapter(c: Column, starts: Sequence[str] = CHAPTER_STARTS, ends: Sequence[str] = CHAPTER_ENDS, least: int = 300, most: int = 80_000, gap: int = 50) -> Column:

@@ -78,20 +78,29 @@ def match_score(rows: DataFrame, today: Column) -> DataFrame:
     return rows.withColumn("score", F.round(share * 0.5 + F.col("weight") * 0.3 + numbers.recency(F.col("published_at"), today) * 0.2, 3))
 
 
+def decide(tier: Column, score: Column) -> Column:
+    """PASS, PARTIAL or FAIL of a citation by its outlet's tier and its cross-check score."""
+    steps = lambda high, low: F.when(score >= high, "PASS").when(score >= low, "PARTIAL").otherwise("FAIL")
+    weak = F.when(score >= 80, "PARTIAL").otherwise("FAIL")
+    return F.when(tier == "T1", steps(70, 50)).when(tier == "T2", steps(80, 60)).when(tier.isin("T3", "UNKNOWN"), weak).otherwise("FAIL")
+
+
 def flag(rows: DataFrame, score: str) -> DataFrame:
     s = F.col(score)
     return rows.withColumn("flag", F.when(s >= 80, "SAFE").when(s >= 65, "LOW").when(s >= 50, "MEDIUM").otherwise("HIGH"))
 
 
 def related_companies(news: DataFrame, edges: DataFrame, companies: DataFrame, sector_words: Mapping[str, Sequence[str]], never: Sequence[str], sectors: int = 3, most: int = 20) -> DataFrame:
-    """The ``most`` companies that each news (id, named, words) concerns: named 100, in the supply chain 60, else of its leading sectors 30.
+    """The ``most`` companies that each news (id, named, words; a row a news) concerns: named 100, in the supply chain 60, else of its leading sectors 30.
 
-    Of a sector only its first ``most`` names are held against the news: whoever else is of it stands
-    behind them, and those of them that are named or in the chain rank before all that is of the sector alone.
+    Who names a company scores the same, and so do the companies of a sector. So only the first ``most`` names of either (one more of the
+    namers, as one may be named itself) are held against the news: whoever comes after them stands behind them.
     """
     own = companies.filter(~F.col("sector").isin(*never)).select("corp_code", "corp_name", "sector")
     direct = news.select("id", F.col("named").alias("corp_code"), F.lit(100).alias("score"), F.lit("direct").alias("reason"))
-    chain = news.join(edges.select(F.col("partner_id").alias("named"), "corp_code").distinct(), "named").filter("corp_code <> named")
+    namers = edges.select(F.col("partner_id").alias("named"), "corp_code").distinct().join(own.select("corp_code", "corp_name"), "corp_code")
+    namers = top_per_key(namers, ["named"], most + 1, F.col("corp_name"), F.col("corp_code")).select("named", "corp_code")
+    chain = news.select("id", "named").join(namers, "named").filter("corp_code <> named")
     known = direct.unionByName(chain.select("id", "corp_code", F.lit(60).alias("score"), F.lit("supply chain").alias("reason")))
     hits = lambda words: sum((F.size(F.filter("words", lambda x: F.contains(x, F.lit(w)) | F.contains(F.lit(w), x))) for w in words), F.lit(0))
     said = F.array(*[F.struct((-hits(words)).alias("n"), F.lit(s).alias("sector")) for s, words in sector_words.items() if s not in never])

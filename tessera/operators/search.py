@@ -35,7 +35,7 @@ def bm25(docs: DataFrame, terms: Sequence[str], k1: float = 1.2, b: float = 0.75
 
 def tfidf(docs: DataFrame, key: str, pattern: str = "[a-z]{4,}") -> DataFrame:
     """key, w, score: term frequency within a key times ln(keys / (1 + keys with the term))."""
-    counts = _counts(docs, key, pattern)
+    counts = cut(_counts(docs, key, pattern))  # texts are split once; what follows reads a row a key and word
     df = counts.groupBy("w").agg(F.count("*").alias("df"))
     totals = counts.groupBy(key).agg(F.sum("f").alias("total"))
     keys = totals.agg(F.count("*").alias("keys"))  # one row

@@ -27,13 +27,13 @@ def _(t):
     "join_left_chain",
     """SELECT l.id, coalesce(d.score, 50) AS score, coalesce(q.n, 0) AS questions, coalesce(c.status, 'none') AS comparison FROM leads l
     LEFT JOIN (SELECT lead_id, max(score) AS score FROM drafts GROUP BY 1) d ON d.lead_id = l.id LEFT JOIN (SELECT lead_id, count(*) AS n FROM questionnaires GROUP BY 1) q ON q.lead_id = l.id
-    LEFT JOIN comparisons c ON c.id = l.comparison_id WHERE l.severity = 5""",
+    LEFT JOIN comparisons c ON c.id = l.comparison_id""",
 )
 def _(t):
     drafts = t.drafts.groupBy(F.col("lead_id").alias("id")).agg(F.max("score").alias("score"))
     asked = t.questionnaires.groupBy(F.col("lead_id").alias("id")).agg(n("questions"))
     compared = t.comparisons.select(F.col("id").alias("comparison_id"), F.col("status").alias("comparison"))
-    rows = t.leads.filter("severity = 5").select("id", "comparison_id").join(drafts, "id", "left").join(asked, "id", "left").join(compared, "comparison_id", "left")
+    rows = t.leads.select("id", "comparison_id").join(drafts, "id", "left").join(asked, "id", "left").join(compared, "comparison_id", "left")
     return rows.select("id", F.coalesce("score", F.lit(50)).alias("score"), F.coalesce("questions", F.lit(0)).alias("questions"), F.coalesce("comparison", F.lit("none")).alias("comparison"))
 
 

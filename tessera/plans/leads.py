@@ -11,7 +11,7 @@ from tessera.operators import verification as V
 from tessera.operators.relational import pick_first, top_per_key
 from tessera.plans import drafted, parted
 from tessera.plans.registry import query
-from tessera.plans.text import FAMILIES, NEWS_STEPS
+from tessera.plans.text import CHANGE_SQL, NEWS_STEPS, changes_of_leads
 from tessera.sources.adapters import AS_OF
 
 
@@ -79,17 +79,14 @@ def _(t):
     return t.documents.select("doc_id", F.least(F.lit(10), F.size(words)).cast("long").alias("n"), L.evidence_unique(lead, past).alias("score"))
 
 
-CLASS_SQL = "CASE WHEN greatest(a, b, c, d) = 0 THEN 'CHANGED' WHEN a = greatest(a, b, c, d) THEN 'NEW' WHEN b = greatest(a, b, c, d) THEN 'REMOVED' WHEN c = greatest(a, b, c, d) THEN 'EXPANDED' ELSE 'SHRUNK' END"
-CLASS_FROM = "(SELECT doc_id, source, len(regexp_extract_all(text, 'tion')) + len(regexp_extract_all(text, 'new')) AS a, len(regexp_extract_all(text, 'heed')) + len(regexp_extract_all(text, 'ent ')) AS b, len(regexp_extract_all(text, 'and ')) AS c, len(regexp_extract_all(text, 'less')) AS d FROM documents)"
-
-
-@query("l_change_class", f"SELECT doc_id, change, CASE WHEN others >= 5 THEN 'INDUSTRY' WHEN others >= 2 THEN 'MIXED' ELSE 'INDIVIDUAL' END AS scope FROM (SELECT doc_id, {CLASS_SQL} AS change, count(*) OVER (PARTITION BY source, {CLASS_SQL}) - 1 AS others FROM {CLASS_FROM})")
+@query("l_change_class", f"""SELECT id, change, CASE WHEN sector IS NULL THEN 'UNKNOWN' WHEN others >= 5 THEN 'INDUSTRY' WHEN others >= 2 THEN 'MIXED' ELSE 'INDIVIDUAL' END AS scope
+    FROM (SELECT id, change, sector, count(*) OVER (PARTITION BY sector, change) - 1 AS others FROM ({CHANGE_SQL}) LEFT JOIN companies USING (corp_code))""")
 def _(t):
-    rows = t.documents.select("doc_id", "source", text.best_family(F.col("text"), FAMILIES, "CHANGED").alias("change"))
+    rows = changes_of_leads(t).join(t.companies.select("corp_code", "sector"), "corp_code", "left")
     # Counted apart and joined back, so that a large class is a row a task and not a window.
-    size = rows.groupBy("source", "change").agg((F.count("*") - 1).alias("others"))
-    scope = F.when(F.col("others") >= 5, "INDUSTRY").when(F.col("others") >= 2, "MIXED").otherwise("INDIVIDUAL")
-    return rows.join(size, ["source", "change"]).select("doc_id", "change", scope.alias("scope"))
+    size = rows.groupBy("sector", "change").agg((F.count("*") - 1).alias("others"))
+    scope = F.when(F.col("sector").isNull(), "UNKNOWN").when(F.col("others") >= 5, "INDUSTRY").when(F.col("others") >= 2, "MIXED").otherwise("INDIVIDUAL")
+    return rows.join(size, ["sector", "change"], "left").select("id", "change", scope.alias("scope"))
 
 
 ARTICLE_STEPS, HUB_STEPS = [(0, 100), (1, 80), (3, 60), (5, 40)], [(0, 100), (2, 80), (5, 60), (15, 40), (50, 20)]
@@ -133,13 +130,6 @@ def _(t):
     return matched(t).select("lead_id", "news_id", "tier", "score")
 
 
-@query("l_decide_tier", f"SELECT lead_id, news_id, CASE WHEN tier = 'T1' THEN 'PASS' WHEN tier = 'T2' AND score >= 0.8 THEN 'PASS' WHEN tier = 'T2' AND score >= 0.5 THEN 'PARTIAL' WHEN tier = 'RESEARCH' AND score >= 0.6 THEN 'PARTIAL' ELSE 'FAIL' END AS decision FROM ({MATCH_SQL})")
-def _(t):
-    tier, s = F.col("tier"), F.col("score")
-    decision = F.when(tier == "T1", "PASS").when((tier == "T2") & (s >= 0.8), "PASS").when((tier == "T2") & (s >= 0.5), "PARTIAL").when((tier == "RESEARCH") & (s >= 0.6), "PARTIAL").otherwise("FAIL")
-    return matched(t).select("lead_id", "news_id", decision.alias("decision"))
-
-
 @query("l_news_status", "SELECT corp_code, CASE WHEN coalesce(n, 0) = 0 THEN 'exclusive' WHEN n <= 2 THEN 'partial' ELSE 'covered' END AS status FROM companies LEFT JOIN (SELECT corp_code, count(*) AS n FROM news GROUP BY 1) USING (corp_code)")
 def _(t):
     rows = t.companies.join(t.news.groupBy("corp_code").agg(n()), "corp_code", "left")
@@ -179,15 +169,27 @@ _NEAR_SQL = _SOME("coalesce(amounts, [])", "v > 1e6 AND abs(v - x.value) / great
 _POINTS_SQL = _SOME("coalesce(ratios, [])", "abs(v - x.value) <= 2.0::DOUBLE")
 
 
-@query(
-    "l_cross_check",
-    f"""WITH x AS (SELECT draft_id, amounts, ratios, lower(source) AS source, found, list_distinct(list_concat(regexp_extract_all(body, '[가-힣]{{3,}}'), list_transform(regexp_extract_all(body, '[A-Za-z]{{4,}}'), lambda w: lower(w)))) AS nouns FROM ({SCORES_SQL}))
-    SELECT draft_id, trunc(CASE WHEN len(found) = 0 THEN 100 ELSE {_SHARE(f'len(list_filter(found, lambda x: CASE WHEN x.per_cent THEN {_POINTS_SQL} ELSE x.value > 0 AND {_NEAR_SQL} END))', 'len(found)', 100)} END * 0.6::DOUBLE
-      + CASE WHEN len(nouns) = 0 THEN 100.0::DOUBLE ELSE len(list_filter(nouns, lambda w: contains(source, w)))::DOUBLE / len(nouns) * 100 END * 0.4::DOUBLE)::INT AS score FROM x""",
-)
-def _(t):
+CHECK_SQL = f"""SELECT draft_id, trunc(CASE WHEN len(found) = 0 THEN 100 ELSE {_SHARE(f'len(list_filter(found, lambda x: CASE WHEN x.per_cent THEN {_POINTS_SQL} ELSE x.value > 0 AND {_NEAR_SQL} END))', 'len(found)', 100)} END * 0.6::DOUBLE
+      + CASE WHEN len(nouns) = 0 THEN 100.0::DOUBLE ELSE len(list_filter(nouns, lambda w: contains(source, w)))::DOUBLE / len(nouns) * 100 END * 0.4::DOUBLE)::INT AS score FROM (SELECT draft_id, amounts, ratios, lower(source) AS source, found, list_distinct(list_concat(regexp_extract_all(body, '[가-힣]{{3,}}'), list_transform(regexp_extract_all(body, '[A-Za-z]{{4,}}'), lambda w: lower(w)))) AS nouns FROM ({SCORES_SQL}))"""
+
+
+def checked(t):
+    """draft_id, corp_code and how far the draft's article holds against figures and sources."""
     c = F.col
-    return drafted.articles(t).select("draft_id", V.cross_check(c("body"), c("amounts"), c("ratios"), F.concat_ws(" ", "ai", "biz")).alias("score"))
+    return drafted.articles(t).select("draft_id", "corp_code", V.cross_check(c("body"), c("amounts"), c("ratios"), F.concat_ws(" ", "ai", "biz")).alias("score"))
+
+
+@query("l_cross_check", CHECK_SQL)
+def _(t):
+    return checked(t).select("draft_id", "score")
+
+
+@query("l_decide_tier", f"""SELECT draft_id, tier, score, CASE WHEN tier = 'T1' THEN CASE WHEN score >= 70 THEN 'PASS' WHEN score >= 50 THEN 'PARTIAL' ELSE 'FAIL' END WHEN tier = 'T2' THEN CASE WHEN score >= 80 THEN 'PASS' WHEN score >= 60 THEN 'PARTIAL' ELSE 'FAIL' END
+    WHEN tier IN ('T3', 'UNKNOWN') AND score >= 80 THEN 'PARTIAL' ELSE 'FAIL' END AS decision FROM (SELECT x.draft_id, coalesce(w.tier, 'UNKNOWN') AS tier, x.score FROM ({CHECK_SQL}) x JOIN drafts d USING (draft_id) LEFT JOIN (SELECT corp_code, arg_min(tier, id) AS tier FROM news GROUP BY 1) w ON w.corp_code = d.corp_code)""")
+def _(t):
+    outlet = t.news.groupBy("corp_code").agg(F.min_by("tier", "id").alias("tier"))  # the outlet that cites the company
+    rows = checked(t).join(outlet, "corp_code", "left").withColumn("tier", F.coalesce("tier", F.lit("UNKNOWN")))
+    return rows.select("draft_id", "tier", "score", L.decide(F.col("tier"), F.col("score")).alias("decision"))
 
 
 # Verification of articles
@@ -295,12 +297,14 @@ def _(t):
     return t.contacts.filter("email LIKE '%@%'").select("id", F.when(e.startswith("ir@"), 1).when(e.startswith("info@"), 2).when(e.startswith("sales@"), 3).otherwise(9).alias("priority"))
 
 
-@query("c_best_contact", "SELECT grp, id FROM (SELECT corp_code % 50 AS grp, id, row_number() OVER (PARTITION BY corp_code % 50 ORDER BY user_verified DESC, CASE confidence WHEN 'verified' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 WHEN 'low' THEN 3 ELSE 9 END, id) AS rank FROM contacts WHERE email IS NOT NULL AND substr(email, 1, 1) <> '_' AND is_active AND coalesce(bounced_count, 0) < 3) WHERE rank = 1")
+@query("c_best_contact", """SELECT corp_code, id FROM (SELECT corp_code, id, row_number() OVER (PARTITION BY corp_code ORDER BY user_verified DESC, CASE confidence WHEN 'verified' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 WHEN 'low' THEN 3 ELSE 9 END, id) AS rank
+    FROM (SELECT * FROM contacts UNION ALL SELECT * REPLACE (id + 1000000000 AS id, corp_code - corp_code % 4 AS corp_code) FROM contacts) WHERE email IS NOT NULL AND substr(email, 1, 1) <> '_' AND is_active AND coalesce(bounced_count, 0) < 3) WHERE rank = 1""")
 def _(t):
     from tessera.plans.joins import confidence_rank
 
-    rows = t.contacts.filter(sendable()).select((F.col("corp_code") % 50).alias("grp"), "id", "user_verified", confidence_rank().alias("c"))
-    return pick_first(rows, ["grp"], -F.col("user_verified"), F.col("c"), F.col("id")).select("grp", "id")
+    shared = t.contacts.withColumns({"id": F.col("id") + 1000000000, "corp_code": F.col("corp_code") - F.col("corp_code") % 4})  # some companies have several
+    rows = t.contacts.unionByName(shared).filter(sendable()).select("corp_code", "id", "user_verified", confidence_rank().alias("c"))
+    return pick_first(rows, ["corp_code"], -F.col("user_verified"), F.col("c"), F.col("id")).select("corp_code", "id")
 
 
 @query("c_domain_match", "SELECT c.id, h.corp_code AS matched, CASE WHEN h.corp_code = c.corp_code THEN c.confidence ELSE 'domain' END AS confidence FROM contacts c JOIN (SELECT regexp_extract(hm_url, 'www\\.([^/]+)', 1) AS domain, min(corp_code) AS corp_code FROM companies GROUP BY 1) h ON h.domain = split_part(c.email, '@', 2)")

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tessera.functions import numbers, text
+from tessera.functions import changes, numbers, text
+from tessera.functions.contact import domain_category
 from tessera.operators import filings, financial, verification
+from tessera.operators.citations import uncited_phrases
+from tessera.operators.keywords import sector_of, tags, weighted_sector
 from tessera.operators.relational import first_match, top_per_key
 from tessera.plans import drafted, parted
 from tessera.plans.registry import query
@@ -144,12 +147,23 @@ def _(t):
     return t.documents.select("doc_id", text.hits(TEXT(), ["tion ", " the "]).alias("n"))
 
 
-FAMILIES = {"NEW": ["tion", "new"], "REMOVED": ["heed", "ent "], "EXPANDED": ["and "], "SHRUNK": ["less"]}
+#: What leads say of a change: two phrases by their id.
+SAYINGS = ["신규 사업 진출", "폐지했다고 하며 사업 철수", "비중 증가", "감축됐고 점유율 하락", "변경했고 통합됐다", "그대로다", "새로운 분야와 증설했"]
+_SAYING = lambda engine: " || ' 그리고 ' || ".join(f"({SAYINGS})[id % {k} + 1]" if engine == "sql" else f"element_at(array({', '.join(map(repr, SAYINGS))}), CAST(id % {k} AS INT) + 1)" for k in (7, 5))
+CHANGE_TEXT, CHANGE_TEXT_SQL = "title || ': ' || " + _SAYING("spark"), "title || ': ' || " + _SAYING("sql")
+_HITS = {f: " + ".join(f"len(regexp_extract_all(said, '{p}'))" for p in ps) for f, ps in changes.FAMILIES.items()}
+_MOST = f"greatest({', '.join(f'f{k}' for k in range(len(_HITS)))})"
+CHANGE_SQL = f"""SELECT id, corp_code, CASE WHEN {_MOST} = 0 THEN 'UNKNOWN' {" ".join(f"WHEN f{k} = {_MOST} THEN '{f}'" for k, f in enumerate(_HITS))} END AS change
+    FROM (SELECT id, corp_code, {", ".join(f"{hits} AS f{k}" for k, hits in enumerate(_HITS.values()))} FROM (SELECT id, corp_code, {CHANGE_TEXT_SQL} AS said FROM leads))"""
 
 
-@query("txt_classify_change", "SELECT doc_id, CASE WHEN greatest(a, b, c, d) = 0 THEN 'CHANGED' WHEN a = greatest(a, b, c, d) THEN 'NEW' WHEN b = greatest(a, b, c, d) THEN 'REMOVED' WHEN c = greatest(a, b, c, d) THEN 'EXPANDED' ELSE 'SHRUNK' END AS change FROM (SELECT doc_id, len(regexp_extract_all(text, 'tion')) + len(regexp_extract_all(text, 'new')) AS a, len(regexp_extract_all(text, 'heed')) + len(regexp_extract_all(text, 'ent ')) AS b, len(regexp_extract_all(text, 'and ')) AS c, len(regexp_extract_all(text, 'less')) AS d FROM documents)")
+def changes_of_leads(t):
+    return t.leads.select("id", "corp_code", changes.change_of(F.expr(CHANGE_TEXT)).alias("change"))
+
+
+@query("txt_classify_change", f"SELECT id, change FROM ({CHANGE_SQL})")
 def _(t):
-    return t.documents.select("doc_id", text.best_family(TEXT(), FAMILIES, "CHANGED").alias("change"))
+    return changes_of_leads(t).select("id", "change")
 
 
 EVENT_RULES = [("MA", "merger"), ("CAPITAL", "rights|issue"), ("INSIDER", "insider")]
@@ -167,39 +181,55 @@ def _(t):
     return rows.select("rcept_no", "corp_code", "kind", F.when(F.col("kind") == "MA", 5).when(F.col("kind") == "CAPITAL", 4).otherwise(3).alias("severity"))
 
 
-@query("txt_sector_of", "SELECT p_partkey, CASE WHEN p_type = 'ECONOMY' THEN 'basic' WHEN regexp_matches(p_name, '(?i)ring|widget') THEN 'parts' WHEN starts_with(p_name, 'blue') THEN 'blue' ELSE 'other' END AS sector FROM part")
+SECTOR_EXACT = {"blue ring": "rings", "small": "small things", "red anvil": "forge", "old": "never by prefix", "cold gizmo": "cold chain", "large g": "large goods"}
+SECTOR_PATTERNS = [("BOLT|rod$", "fasteners"), ("^hot ", "heat"), ("widget", "parts"), ("^(new|old) (plate|gear)", "machines")]
+_PATTERNS = " ".join(f"WHEN regexp_matches(p_name, '(?i){p}') THEN '{x}'" for p, x in SECTOR_PATTERNS)
+_EXACT = " ".join(f"WHEN p_name = '{k}' THEN '{x}'" for k, x in SECTOR_EXACT.items())
+_BEGINS = " ".join(f"WHEN starts_with(p_name, '{k}') THEN '{x}'" for k, x in SECTOR_EXACT.items() if len(k) >= 4)
+
+
+@query("txt_sector_of", f"SELECT p_partkey, CASE {_EXACT} {_PATTERNS} {_BEGINS} WHEN p_type <> 'PROMO' THEN lower(p_type) ELSE 'other' END AS sector FROM part")
 def _(t):
-    name = F.col("p_name")
-    return t.part.select("p_partkey", F.when(F.col("p_type") == "ECONOMY", "basic").when(name.rlike("(?i)ring|widget"), "parts").when(name.startswith("blue"), "blue").otherwise("other").alias("sector"))
+    fallback = F.when(F.col("p_type") != "PROMO", F.lower("p_type"))  # stands for a company's own sector
+    return sector_of(t.part, "p_name", SECTOR_EXACT, SECTOR_PATTERNS, fallback, "other").select("p_partkey", "sector")
+
+
+#: Sectors by words of names, the first that has one; and rules of words that must and must not occur.
+SECTOR_NAMES = [("fasteners", ["bolt", "rod"]), ("round", ["ring", "gear"]), ("flat", ["plate"]), ("bright", ["red", "blue"])]
+SECTOR_RULES = [("hot metal", ["hot"], ["gizmo"]), ("tools", ["anvil", "widget"], ["small", "old"]), ("small", ["small"], []), ("gizmos", ["gizmo"], ["red"]), ("new", ["new"], [])]
 
 
-@query("txt_sector_keywords", "SELECT p_partkey, CASE WHEN contains(p_name, 'ring') THEN 'ring' WHEN contains(p_name, 'red') THEN 'red' ELSE 'none' END AS sector FROM part")
+@query("txt_sector_keywords", "SELECT p_partkey, CASE " + " ".join(f"WHEN {' OR '.join(f"contains(p_name, '{w}')" for w in ws)} THEN '{x}'" for x, ws in SECTOR_NAMES) + " ELSE 'none' END AS sector FROM part")
 def _(t):
-    return t.part.select("p_partkey", text.first_class(F.col("p_name"), [("ring", "ring"), ("red", "red")], "none").alias("sector"))
+    return t.part.select("p_partkey", text.first_class(F.col("p_name"), [(x, "|".join(ws)) for x, ws in SECTOR_NAMES], "none").alias("sector"))
 
 
-@query("txt_sector_rules", "SELECT p_partkey, coalesce(CASE WHEN contains(p_name, 'ring') AND NOT contains(p_name, 'small') THEN 'ring' END, CASE WHEN contains(p_name, 'small') THEN 'small' END, 'rest') AS sector FROM part")
+@query("txt_sector_rules", "SELECT p_partkey, CASE " + " ".join(f"WHEN ({' OR '.join(f"contains(p_name, '{w}')" for w in yes)}) {' '.join(f"AND NOT contains(p_name, '{w}')" for w in no)} THEN '{x}'" for x, yes, no in SECTOR_RULES) + " ELSE 'rest' END AS sector FROM part")
 def _(t):
-    has = lambda w: F.contains("p_name", F.lit(w))
-    return t.part.select("p_partkey", F.coalesce(first_match([("ring", has("ring") & ~has("small")), ("small", has("small"))]), F.lit("rest")).alias("sector"))
+    has = lambda words: F.exists(F.array(*map(F.lit, words)).cast("array<string>"), lambda w: F.contains("p_name", w))
+    return t.part.select("p_partkey", F.coalesce(first_match([(x, has(yes) & ~has(no)) for x, yes, no in SECTOR_RULES]), F.lit("rest")).alias("sector"))
 
 
 #: A text's first sentence, and the others.
 HEADLINE_SQL, BODY_SQL = f"coalesce(({parted.SENTENCES_SQL})[1], '')", f"coalesce(array_to_string(({parted.SENTENCES_SQL})[2:], '. '), '')"
-WEIGHTED_SQL = "contains(head, '{0}')::INT * 3 + contains(body, '{0}')::INT * 2 + contains(text, '{0}')::INT"
+SECTOR_WORDS = [("energy", ["ration", "tion", "power"]), ("food", ["heed", "eat"]), ("trade", ["and the", "keit", "ción"]), ("land", ["eau", "sch", "ment"])]
+_WEIGHED = [" + ".join(f"contains(head, '{w}')::INT * 3 + contains(body, '{w}')::INT * 2 + contains(text, '{w}')::INT" for w in ws) for _, ws in SECTOR_WORDS]
+_TOP = f"greatest({', '.join(f's{k}' for k in range(len(_WEIGHED)))})"
 
 
-@query("txt_sector_weighted", f"SELECT doc_id, CASE WHEN a = 0 AND b = 0 THEN 'none' WHEN a >= b THEN 'tion' ELSE 'heed' END AS sector FROM (SELECT doc_id, {WEIGHTED_SQL.format('tion')} AS a, {WEIGHTED_SQL.format('heed')} AS b FROM (SELECT doc_id, text, {HEADLINE_SQL} AS head, {BODY_SQL} AS body FROM documents))")
+@query(
+    "txt_sector_weighted",
+    f"""SELECT doc_id, CASE WHEN {_TOP} = 0 THEN 'none' {" ".join(f"WHEN s{k} = {_TOP} THEN '{x}'" for k, (x, _) in enumerate(SECTOR_WORDS))} END AS sector
+    FROM (SELECT doc_id, {", ".join(f"{w} AS s{k}" for k, w in enumerate(_WEIGHED))} FROM (SELECT doc_id, text, {HEADLINE_SQL} AS head, {BODY_SQL} AS body FROM documents))""",
+)
 def _(t):
     parts = text.sentences(F.col("text"))
     body = F.array_join(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), ". ")
     rows = t.documents.select("doc_id", "text", F.coalesce(F.get(parts, F.lit(0)), F.lit("")).alias("head"), F.coalesce(body, F.lit("")).alias("body"))
-    score = lambda w: sum((F.contains(F.col(c), F.lit(w)).cast("int") * k for c, k in (("head", 3), ("body", 2))), F.contains("text", F.lit(w)).cast("int"))
-    a, b = score("tion"), score("heed")
-    return rows.select("doc_id", F.when((a == 0) & (b == 0), "none").when(a >= b, "tion").otherwise("heed").alias("sector"))
+    return rows.select("doc_id", weighted_sector(F.col("head"), F.col("body"), F.col("text"), SECTOR_WORDS, "none").alias("sector"))
 
 
-SECTOR_KEYS = [("energy", "ration"), ("energy", "ing"), ("food", "heat"), ("food", "eat")]
+SECTOR_KEYS = [("energy", "ration"), ("energy", "ing"), ("energy", "tion"), ("food", "heat"), ("food", "eat"), ("land", "eau"), ("land", "schach"), ("trade", "keit"), ("trade", "mento"), ("law", "ment"), ("law", "laws")]
 
 
 @query("txt_detect_sectors", f"SELECT doc_id, sector, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{{3,}}')) AS w FROM documents) JOIN (VALUES {', '.join(map(str, SECTOR_KEYS))}) k(sector, word) ON contains(w, word) OR contains(word, w) GROUP BY 1, 2")
@@ -234,20 +264,59 @@ def _(t):
     return t.news.select("id", F.split_part(text.url_host(F.col("url")), F.lit("."), F.lit(1)).alias("root"))
 
 
-@query("txt_domain_category", "SELECT id, CASE WHEN host LIKE '%.com' THEN 'company' WHEN host LIKE '%.org' THEN 'org' WHEN host IN ('blog.theran.example.net') THEN 'agency' ELSE 'generic' END AS kind FROM news")
+#: Numbers of the texts get a unit by the letter of the next word.
+UNIT_STEPS = [("([0-9]) ([a-f])", "만"), ("([0-9]) ([g-m])", "백만"), ("([0-9]) ([n-s])", "%"), ("([0-9]) ([t-z])", "억")]
+WITH_UNITS_SQL = "text"
+for _pattern, _unit in UNIT_STEPS:
+    WITH_UNITS_SQL = f"regexp_replace({WITH_UNITS_SQL}, '{_pattern}', '\\1{_unit} \\2', 'g')"
+
+
+def with_units(c):
+    for pattern, unit in UNIT_STEPS:
+        c = F.regexp_replace(c, pattern, f"$1{unit} $2")
+    return c
+
+
+GENERIC_HOSTS = ["theran.example.net", "theand.example.com", "example.net"]
+AGENCY_HOSTS = ["blog.theran.example.net", "blog.therea.example.net", "ththed.example.org"]
+
+
+@query("txt_domain_category", f"SELECT id, CASE WHEN host IS NULL OR host = '' OR NOT contains(host, '.') THEN 'none' WHEN host IN ({str(GENERIC_HOSTS)[1:-1]}) THEN 'generic' WHEN host IN ({str(AGENCY_HOSTS)[1:-1]}) THEN 'agency' WHEN host LIKE '%.org' OR host LIKE '%.or.kr' OR host LIKE '%.go.kr' THEN 'org' ELSE 'company' END AS kind FROM news")
 def _(t):
-    host = F.col("host")
-    return t.news.select("id", F.when(host.endswith(".com"), "company").when(host.endswith(".org"), "org").when(host.isin("blog.theran.example.net"), "agency").otherwise("generic").alias("kind"))
+    return t.news.select("id", domain_category(F.col("host"), GENERIC_HOSTS, AGENCY_HOSTS, [".org", ".or.kr", ".go.kr"]).alias("kind"))
+
 
+#: Speculative phrases of the texts, and what counts as a citation.
+SPECULATIVE = ["might", "only", "from"]
+CITED = [r"\([^()]{1,80}\)", "[A-Za-z]@[A-Za-z]", "https?://"]
+#: Numbers with a unit.
+NUMBERED = [r"[0-9][0-9,]*\.?[0-9]*\s*(?:조|억|천만|백만|만|%p|%)"]
 
-@query("txt_speculation", "SELECT doc_id, len(list_filter(regexp_extract_all(text, '(?s).{0,100}?(?:might|only|from).{0,100}'), lambda s: NOT regexp_matches(s, '\\('))) AS n FROM documents")
+
+def spots_sql(texts: str, pattern: str) -> str:
+    """doc_id, hit, at (from 0): places of a pattern, from the lengths of what lies between them."""
+    return f"""SELECT doc_id, hit, (sum(length(piece)) OVER w + sum(length(hit)) OVER w - length(hit))::BIGINT AS at FROM (SELECT doc_id, unnest(hits) AS hit, unnest(pieces[1:len(hits)]) AS piece, generate_subscripts(hits, 1) AS k
+    FROM (SELECT doc_id, regexp_extract_all(text, '{pattern}') AS hits, regexp_split_to_array(text, '{pattern}') AS pieces FROM ({texts}))) WINDOW w AS (PARTITION BY doc_id ORDER BY k)"""
+
+
+def uncited_sql(texts: str, phrases: list[str]) -> str:
+    hits = " UNION ALL ".join(spots_sql(texts, p) for p in phrases)
+    cited = " UNION ALL ".join(spots_sql(texts, p) for p in CITED)
+    return f"""SELECT doc_id, count(h.at) AS n, min(h.at)::INT AS first FROM documents LEFT JOIN (SELECT * FROM ({hits}) h WHERE NOT EXISTS (SELECT 1 FROM ({cited}) c WHERE c.doc_id = h.doc_id AND c.at >= h.at - 100 AND c.at + length(c.hit) <= h.at + 100)) h USING (doc_id) GROUP BY 1"""
+
+
+def counted(found):
+    return F.size(found).cast("long").alias("n"), F.array_min(found["position"]).alias("first")
+
+
+@query("txt_speculation", uncited_sql("SELECT doc_id, text FROM documents", SPECULATIVE))
 def _(t):
-    return t.documents.select("doc_id", text.speculation(TEXT(), ["might", "only", "from"], r"\(").cast("long").alias("n"))
+    return t.documents.select("doc_id", uncited_phrases(SPECULATIVE, CITED)(TEXT()).alias("found")).select("doc_id", *counted(F.col("found")))
 
 
-@query("txt_unsourced_numbers", "SELECT doc_id, len(list_filter(regexp_extract_all(text, '(?s).{0,100}?[0-9]+.{0,100}'), lambda s: NOT regexp_matches(s, '@|http'))) AS n FROM documents")
+@query("txt_unsourced_numbers", uncited_sql(f"SELECT doc_id, {WITH_UNITS_SQL} AS text FROM documents", NUMBERED))
 def _(t):
-    return t.documents.select("doc_id", text.speculation(TEXT(), ["[0-9]+"], "@|http").cast("long").alias("n"))
+    return t.documents.select("doc_id", uncited_phrases(NUMBERED, CITED)(with_units(TEXT())).alias("found")).select("doc_id", *counted(F.col("found")))
 
 
 @query("txt_external_knowledge", f"SELECT a.doc_id, len(w) AS candidates, len(list_filter(w, lambda x: contains(s, lower(x)))) AS known FROM (SELECT doc_id, list_distinct(regexp_extract_all({parted.EVIDENCE_SQL}, '[A-Z][a-z]{{3,}}')) AS w, lower({parted.REST_SQL}) AS s FROM documents) a")
@@ -351,11 +420,17 @@ def _(t):
     return t.leads.select("id", hint.alias("hint"), joined(F.slice(asked, 1, 3)).alias("questions"))
 
 
-@query("txt_parse_json_loose", "SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k, 'x' || props AS broken FROM events")
+#: Answers in every form that a model gives them in.
+ANSWER = """CASE event_id % 6 WHEN 0 THEN obj WHEN 1 THEN concat('Here it is:\\n```json\\n', obj, '\\n``` {done}') WHEN 2 THEN concat('So ', obj, ' it is') WHEN 3 THEN concat('{"headline": "event ', event_id, '", "body": "cut off')
+    WHEN 4 THEN concat("{'headline': 'event ", event_id, "', 'body': 'of ", event_type, "'}") ELSE concat('no answer ', event_id) END"""
+
+
+@query("txt_parse_json_loose", """SELECT event_id, (['whole', 'fenced', 'braces', 'keys', 'keys', 'none'])[event_id % 6 + 1] AS step, CASE WHEN event_id % 6 < 5 THEN 'event ' || event_id END AS headline,
+    CASE WHEN event_id % 6 IN (0, 1, 2, 4) THEN 'of ' || event_type END AS body, CASE WHEN event_id % 6 < 3 THEN json_extract_string(props, '$.k') END AS k FROM events""")
 def _(t):
-    fenced = F.concat(F.lit("```json\n"), "props", F.lit("\n```"))
-    parsed = F.from_json(F.regexp_extract(fenced, r"(?s)\{.*\}", 0), "k BIGINT")
-    return t.events.select("event_id", parsed["k"].alias("k"), F.concat(F.lit("x"), "props").alias("broken"))
+    obj = F.to_json(F.struct(F.concat(F.lit("event "), "event_id").alias("headline"), F.concat(F.lit("of "), "event_type").alias("body"), F.get_json_object("props", "$.k").cast("long").alias("k")))
+    rows = t.events.select("event_id", "event_type", obj.alias("obj")).select("event_id", F.expr(ANSWER).alias("said"))
+    return rows.select("event_id", text.parse_loose(F.col("said"), ["headline", "body", "k"]).alias("p")).select("event_id", "p.*")
 
 
 @query("txt_search", """WITH q AS (SELECT unnest(['thtion', 'heed', 'the']) AS term), tok AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term FROM documents), len AS (SELECT doc_id, count(*) AS dl FROM tok GROUP BY 1),
@@ -401,14 +476,21 @@ def _(t):
     return rows.filter("v > 0 AND v < 110").groupBy("source").agg(n("mentions"), F.round(F.avg("v"), 6).alias("mean"))
 
 
-TAXONOMY = [("tech", "chip", "tion"), ("tech", "soft", "ing"), ("land", "farm", "eau"), ("land", "wood", "sch")]
+#: sector (here a language), axis, category, keyword.
+TAXONOMY = [
+    ("en", "tech", "chip", "Tion"), ("en", "tech", "chip", "ing"), ("en", "tech", "soft", "tions"), ("en", "land", "farm", "the th"), ("en", "land", "wood", "zzz"),
+    ("de", "tech", "chip", "keit"), ("de", "land", "wood", "sch"), ("de", "land", "wood", "Schein"), ("fr", "land", "farm", "eau"), ("fr", "tech", "soft", "ai"), ("es", "land", "wood", "ción"),
+]
+_TAXONOMY = ", ".join(map(str, TAXONOMY))
+_SAID = "(length(lower({0})) - length(replace(lower({0}), lower(keyword), ''))) // length(keyword)".format
 
 
-@query("t_taxonomy", f"SELECT doc_id, axis, category, n, CASE WHEN n >= 20 THEN 'HIGH' WHEN n >= 5 THEN 'MEDIUM' ELSE 'LOW' END AS confidence FROM (SELECT doc_id, axis, category, ((length(text) - length(replace(text, word, ''))) // length(word))::INT AS n FROM documents, (VALUES {', '.join(map(str, TAXONOMY))}) x(axis, category, word)) WHERE n > 0")
+@query("t_taxonomy", f"""SELECT doc_id, axis, category, n, CASE WHEN n >= 5 AND core > 0 THEN 'HIGH' WHEN n >= 5 OR (n >= 2 AND core > 0) THEN 'MEDIUM' ELSE 'LOW' END AS confidence, matched FROM (
+    SELECT doc_id, axis, category, sum(n)::INT AS n, sum(c) AS core, string_agg(keyword, '|' ORDER BY keyword) FILTER (WHERE n > 0) AS matched FROM (
+    SELECT doc_id, axis, category, keyword, {_SAID("text")} AS n, {_SAID("core")} AS c FROM (SELECT doc_id, lang, text, {parted.EVIDENCE_SQL} AS core FROM documents) JOIN (VALUES {_TAXONOMY}) x(sector, axis, category, keyword) ON sector = lang) GROUP BY 1, 2, 3) WHERE n > 0""")
 def _(t):
-    counts = F.array(*[F.struct(F.lit(a).alias("axis"), F.lit(c).alias("category"), text.count_of(TEXT(), w).alias("n")) for a, c, w in TAXONOMY])
-    rows = t.documents.select("doc_id", F.inline(counts)).filter("n > 0")
-    return rows.withColumn("confidence", F.when(F.col("n") >= 20, "HIGH").when(F.col("n") >= 5, "MEDIUM").otherwise("LOW"))
+    rows = t.documents.select("doc_id", "lang", "text", parted.parted()[0].alias("core"))  # the sentences with a key word stand for core sections
+    return tags(rows, ["doc_id"], "lang", "text", "core", TAXONOMY).withColumn("matched", F.array_join("matched", "|"))
 
 
 @query("c_email_score", """SELECT id, email, s, CASE WHEN s >= 80 THEN 'A' WHEN s >= 60 THEN 'B' WHEN s >= 40 THEN 'C' ELSE 'D' END AS grade FROM (SELECT c.id, c.email, CASE WHEN split_part(c.email, '@', 2) = regexp_extract(h.hm_url, 'www\\.([^/]+)', 1) THEN 50 WHEN c.id % 2 = 0 THEN -5 ELSE -25 END
@@ -497,19 +579,6 @@ def _(t):
     return t.part.select("p_partkey", numbers.parse_unit(F.concat(F.col("p_size").cast("string"), F.lit(" "), unit)).alias("amount"))
 
 
-#: Numbers of the texts get a unit by the letter of the next word.
-UNIT_STEPS = [("([0-9]) ([a-f])", "만"), ("([0-9]) ([g-m])", "백만"), ("([0-9]) ([n-s])", "%"), ("([0-9]) ([t-z])", "억")]
-WITH_UNITS_SQL = "text"
-for _pattern, _unit in UNIT_STEPS:
-    WITH_UNITS_SQL = f"regexp_replace({WITH_UNITS_SQL}, '{_pattern}', '\\1{_unit} \\2', 'g')"
-
-
-def with_units(c):
-    for pattern, unit in UNIT_STEPS:
-        c = F.regexp_replace(c, pattern, f"$1{unit} $2")
-    return c
-
-
 @query("num_extract_units", f"SELECT doc_id, len(x) AS n, len(list_filter(x, lambda v: v.per_cent)) AS shares, list_max(list_transform(x, lambda v: v.value)) AS largest FROM (SELECT doc_id, {numbers.lex_sql('body')} AS x FROM (SELECT doc_id, {WITH_UNITS_SQL} AS body FROM documents))")
 def _(t):
     rows = t.documents.select("doc_id", numbers.lex(with_units(TEXT())).alias("x"))
@@ -533,9 +602,10 @@ def _(t):
     return t.disclosures.groupBy("corp_code").agg(n()).withColumn("score", numbers.ladder(F.col("n"), NEWS_STEPS, 10))
 
 
-@query("num_weighted_int", "SELECT id, trunc(severity * 20 * 0.4::DOUBLE + signal_count * 0.3::DOUBLE + id % 101 * 0.3::DOUBLE)::INT AS score FROM leads")
+@query("num_weighted_int", "SELECT id, trunc(severity * 20 * 0.4::DOUBLE + coalesce(signal_count, 0) * 0.3::DOUBLE + coalesce(score, 50) * 0.3::DOUBLE)::INT AS score FROM leads LEFT JOIN (SELECT lead_id AS id, score FROM drafts) USING (id)")
 def _(t):
-    return t.leads.select("id", (F.col("severity") * 20 * 0.4 + F.col("signal_count") * 0.3 + F.col("id") % 101 * 0.3).cast("int").alias("score"))
+    rows = t.leads.select("id", "severity", "signal_count").join(t.drafts.select(F.col("lead_id").alias("id"), "score"), "id", "left")
+    return rows.select("id", numbers.weighted_int((F.col("severity") * 20, 0.4), (F.coalesce("signal_count", F.lit(0)), 0.3), (F.coalesce("score", F.lit(50)), 0.3)).alias("score"))
 
 
 #: What a lead says in numbers: a share, and two amounts.
@@ -577,10 +647,14 @@ def _(t):
     return top_per_key(rows, ["corp_code"], 3, F.desc("fiscal_year"))
 
 
-@query("num_fmt", "SELECT corp_code, fiscal_year, CASE WHEN revenue >= 1000000 THEN (revenue // 100000 / 10.0)::DECIMAL(18,1)::VARCHAR || 'm' ELSE revenue::VARCHAR END AS shown FROM financials")
+_FIXED = lambda x, d: f"printf('%,.{d}f', {x})"
+
+
+@query("num_fmt", f"""SELECT corp_code, fiscal_year, CASE WHEN v IS NULL THEN 'N/A' WHEN abs(v / 1e8::DOUBLE) >= 10000 THEN {_FIXED("v / 1e8::DOUBLE / 10000", 1)} || '조' ELSE {_FIXED("v / 1e8::DOUBLE", 0)} || '억' END AS shown, CASE WHEN margin IS NULL THEN 'N/A' WHEN margin = 0 THEN '0.0%' ELSE printf('%+.1f%%', round(margin, 1)) END AS share
+    FROM (SELECT corp_code, fiscal_year, revenue * 1000003.0::DOUBLE AS v, round(operating_income::DOUBLE / nullif(revenue, 0) * 100, 4) AS margin FROM financials)""")
 def _(t):
-    r = F.col("revenue")
-    return t.financials.select("corp_code", "fiscal_year", F.when(r >= 1000000, F.concat((F.floor(r / 100000) / 10).cast("decimal(18,1)").cast("string"), F.lit("m"))).otherwise(r.cast("string")).alias("shown"))
+    margin = numbers.per_cent(F.col("operating_income"), F.col("revenue"))
+    return t.financials.select("corp_code", "fiscal_year", numbers.fmt_amount(F.col("revenue") * 1000003.0).alias("shown"), numbers.fmt_per_cent(margin).alias("share"))
 
 
 @query("d_sector_compare", """SELECT f.corp_code, f.fiscal_year, CASE WHEN f.m > s.m + 1 THEN 'above' WHEN f.m < s.m - 1 THEN 'below' ELSE 'near' END AS level FROM (SELECT corp_code, fiscal_year, sector, operating_income * 100.0::DOUBLE / revenue AS m FROM financials JOIN companies USING (corp_code) WHERE revenue > 0) f
