@@ -15,8 +15,11 @@ Status: ``resolved``, ``mismatch`` (a validator differs), ``unverified`` (none t
 ``orphan`` (no earlier response). Only resolved revisits get response_id, payload figures and
 headers.
 
-Behaviour: a null URL matches nothing (orphan). A null time is before all others. Rows that
-repeat are answered each. An empty table gives an empty result. Other columns are not read.
+Behaviour: a null URL matches nothing (orphan). A null time is before all others. Revisits that
+repeat are answered each, and once each: of responses with one URL, time and record_id the one with
+the greatest digest stands. A response with a null record_id is one like any other, ranks behind those
+of its time that have one, and shows as a null response_id. Null headers are none. An empty table gives an
+empty result. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -67,23 +70,26 @@ def resolve_revisits(records: DataFrame, slices: int | None = None) -> DataFrame
     pointed = near.join(carried, ["canonical", "slice"], "left").withColumn("to", F.coalesce("near", "carried")).drop("near", "carried", "response")
     pointed = pointed.unionByName(own.filter("NOT full AND canonical IS NULL").withColumn("to", F.lit(None).cast("struct<at:bigint,record_id:bigint>")))
 
-    full = own.filter("full").select(F.col("record_id").alias("of"), F.col("canonical").alias("of_url"), F.col("at").alias("of_at"), response.alias("r"))
-    both = pointed.join(full, (F.col("to.record_id") == F.col("of")) & (F.col("canonical") == F.col("of_url")) & (F.col("to.at") == F.col("of_at")), "left")
+    digest = F.struct("payload_sha256", "etag", "last_modified", "payload_bytes", F.to_json("headers"))
+    full = own.filter("full AND canonical IS NOT NULL").groupBy(F.col("canonical").alias("of_url"), F.col("at").alias("of_at"), F.col("record_id").alias("of"))
+    full = full.agg(F.max_by(response, digest).alias("r"))  # a response that repeats answers once
+    both = pointed.join(full, F.col("to.record_id").eqNullSafe(F.col("of")) & (F.col("canonical") == F.col("of_url")) & (F.col("to.at") == F.col("of_at")), "left")
 
     def weak(tag: Column) -> Column:
         return F.regexp_replace(tag, "^W/", "")
 
     agrees = F.coalesce(weak(F.col("etag")) == weak(F.col("r.etag")), F.col("last_modified") == F.col("r.last_modified"))
     via = F.when(F.col("etag").isNotNull() & F.col("r.etag").isNotNull(), "etag").when(F.col("last_modified").isNotNull() & F.col("r.last_modified").isNotNull(), "last-modified")
-    status = F.when(F.col("of").isNull(), "orphan").when(agrees, "resolved").when(agrees.isNull(), "unverified").otherwise("mismatch")
-    update = F.map_filter("headers", lambda k, v: k.isin(*PERMITTED))
-    merged = F.map_concat(F.map_filter("r.headers", lambda k, v: ~F.array_contains(F.map_keys(F.col("update")), k)), F.col("update"))
+    status = F.when(F.col("of_at").isNull(), "orphan").when(agrees, "resolved").when(agrees.isNull(), "unverified").otherwise("mismatch")
+    none = F.create_map().cast("map<string,string>")
+    update = F.map_filter(F.coalesce("headers", none), lambda k, v: k.isin(*PERMITTED))
+    merged = F.map_concat(F.map_filter(F.coalesce("r.headers", none), lambda k, v: ~F.array_contains(F.map_keys(F.col("update")), k)), F.col("update"))
     ok = F.col("status") == "resolved"
     return (
-        both.withColumns({"status": status, "via": via, "update": F.coalesce(update, F.map_filter("r.headers", lambda k, v: F.lit(False)))})
+        both.withColumns({"status": status, "via": via, "update": update})
         .withColumn("merged", F.when(ok, merged))
         .select(
-            "record_id", "url", F.col("canonical").alias("canonical_url"), "ts", "status", F.when(F.col("of").isNotNull(), F.col("via")).alias("via"),
+            "record_id", "url", F.col("canonical").alias("canonical_url"), "ts", "status", F.when(F.col("of_at").isNotNull(), F.col("via")).alias("via"),
             F.when(ok, F.col("of")).alias("response_id"), F.when(ok, F.col("r.payload_sha256")).alias("payload_sha256"),
             F.when(ok, F.col("r.payload_bytes")).alias("payload_bytes"), F.col("merged").alias("headers"),
         )
