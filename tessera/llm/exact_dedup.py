@@ -8,6 +8,9 @@ unequal texts never merge even if their digests do:
    one for each ``SALT_ROWS`` rows of the table;
 3. per (digest, text) over the salt winners, at most ``salts`` rows a text.
 
+Answers go back the same way: a text's winner is spread to its (digest, salt) groups, and rows meet
+it there, so that no key of the last join has more rows than a salt.
+
 Behaviour: null text counts as the empty text. Null doc_ids lose to any other; a group of
 only null ids keeps all of its rows. Rows that repeat one doc_id (not null) and text are one
 document: all get the same answer, and ``deduplicate`` returns one of them. An empty table gives an
@@ -32,6 +35,10 @@ def sha256(text: Column) -> Column:
     return F.unhex(F.sha2(text, 256))
 
 
+def _salt(salts: int) -> Column:
+    return F.pmod(F.when(F.col("doc_id").isNull(), F.spark_partition_id()).otherwise(F.hash("doc_id")), F.lit(salts))
+
+
 def _classes(rows: DataFrame, salts: int) -> DataFrame:
     """(digest, text) -> keep_id, group_size."""
     salted = (
@@ -42,6 +49,12 @@ def _classes(rows: DataFrame, salts: int) -> DataFrame:
     return salted.groupBy("digest", "text").agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
 
 
+def _answered(rows: DataFrame, classes: DataFrame, keys: list[str]) -> DataFrame:
+    """rows (with salt) joined with their class by keys and salt: the class is first spread to the salts that it has."""
+    spread = rows.select(*keys, "salt").distinct().join(classes, keys)
+    return rows.join(spread, [*keys, "salt"])
+
+
 def duplicate_report(docs: DataFrame, salts: int | None = None, digest: Callable[[Column], Column] = sha256) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256; one row for each row of docs."""
     salts = salts or max(LEAST_SALTS, docs.count() // SALT_ROWS)
@@ -52,13 +65,13 @@ def duplicate_report(docs: DataFrame, salts: int | None = None, digest: Callable
         .agg(F.count(F.lit(1)).alias("n_texts"), F.max("keep_id").alias("keep_id"), F.max("group_size").alias("group_size")),
         "exact-classes",
     )
-    light = rows.select("doc_id", "digest", F.sha2("text", 256).alias("text_sha256"))
-    found = light.join(per_digest.filter("n_texts = 1").drop("n_texts"), "digest")
+    light = durable(rows.select("doc_id", "digest", F.sha2("text", 256).alias("text_sha256"), _salt(salts).alias("salt")), "exact-rows")
+    found = _answered(light, per_digest.filter("n_texts = 1").drop("n_texts"), ["digest"])
     clash = per_digest.filter("n_texts > 1").select("digest")
     if not clash.isEmpty():  # unequal texts under one digest: match those on the text itself
-        torn = rows.join(clash, "digest", "left_semi")
-        exact = torn.join(_classes(torn, salts), ["digest", "text"])
-        found = found.unionByName(exact.select("doc_id", "digest", F.sha2("text", 256).alias("text_sha256"), "keep_id", "group_size"))
+        torn = durable(rows.join(clash, "digest", "left_semi").withColumn("salt", _salt(salts)), "exact-torn")
+        exact = _answered(torn, _classes(torn, salts), ["digest", "text"])
+        found = found.unionByName(exact.select("digest", "salt", "doc_id", F.sha2("text", 256).alias("text_sha256"), "keep_id", "group_size"))
     return found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
