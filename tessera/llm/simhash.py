@@ -38,7 +38,7 @@ SHINGLE, SEED, RADIUS = 3, 42, 2
 #: Classes of the sample that the tree is built from, its leaves at most, and classes a leaf is meant for.
 SAMPLE, TREE, SHARD = 65_536, 4_096, 2_500
 #: Classes of a shard beyond which it is split on, and rounds of that after which its rest is dealt in chunks.
-MOST_ROWS, ROUNDS = 20_000, 40
+MOST_ROWS, ROUNDS, SALTS = 20_000, 40, 64
 #: Fingerprints that are compared outright.
 BLOCK = 384
 #: Bytes of text hashed at once.
@@ -237,6 +237,12 @@ def shard_links(fps: np.ndarray, radius: int) -> np.ndarray:
     return np.array([_find(parent, i) for i in range(len(fps))], dtype=np.int64)
 
 
+def _salted(rows: DataFrame, small: DataFrame, key: str, salts: int = SALTS) -> DataFrame:
+    """rows joined with small (a row a key) by key and a salt of the row, so that a key's rows are dealt over many tasks."""
+    dealt = small.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64("fp", "node"), F.lit(salts))).join(dealt, [key, "_salt"]).drop("_salt")
+
+
 def split_on(routed: DataFrame, most_rows: int, half: int) -> DataFrame:
     """Rows (shard, fp, node) as (shard, low, high, fp, node): no (shard, low, high) has more than about two times most_rows."""
     done = []
@@ -246,9 +252,9 @@ def split_on(routed: DataFrame, most_rows: int, half: int) -> DataFrame:
         if large.isEmpty():
             break
         apart = F.bit_count(F.col("fp").bitwiseXOR(F.col("vantage")))
-        held = durable(routed.join(large, "shard").withColumn("d", apart), "shard-large")
+        held = durable(_salted(routed, large, "shard").withColumn("d", apart), "shard-large")
         middle = held.groupBy("shard").agg(F.percentile_approx("d", 0.5).alias("mu"), F.first("n").alias("n"), F.count(F.lit(1)).alias("rows"))
-        sides = held.select("shard", "fp", "node", "d").join(middle.select("shard", "mu"), "shard")
+        sides = _salted(held.select("shard", "fp", "node", "d"), middle.select("shard", "mu"), "shard")
         sides = sides.withColumn("side", F.explode(F.array_compact(F.array(F.when(F.col("d") - half <= F.col("mu"), 0), F.when(F.col("d") + half > F.col("mu"), 1)))))
         sides = durable(sides.select("shard", "fp", "node", "side"), "shard-sides")
         grown = sides.groupBy("shard", "side").count().groupBy("shard").agg(F.max("count").alias("most")).join(large.select("shard", "n"), "shard")
@@ -323,7 +329,10 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     classes = durable(marked.groupBy("fp").agg(F.min("doc_id").alias("node")), "fingerprint-classes")
     roots = components(links(classes.filter("node IS NOT NULL"), radius))
     named = durable(classes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id")), "named-classes")
-    return marked.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    # a class is first spread to the salts that it has: rows of one fingerprint are dealt over many tasks
+    salted = marked.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
+    spread = salted.select("fp", "salt").distinct().join(named, "fp")
+    return salted.join(spread, ["fp", "salt"]).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def deduplicate(docs: DataFrame, **settings) -> DataFrame:
