@@ -1,19 +1,22 @@
 """Main text of HTML pages by composite text density.
 
 Each page becomes a DOM tree with implied end tags. Elements that are not article text by
-their tag, role or class (menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles, reader comments) are cut first, save where one holds an article or main
-element, or, with no such element outside it, most of the text: there density decides. For
-every node that stays, with C
+their tag or role (menus, headers, footers, sidebars, forms, scripts, styles) and boxes of reader
+comments are cut first, save where one holds an article or main element, or, with no such
+element outside it, most of the text: there density decides. A header inside an article is the
+article's. A class or id that speaks of a notice, an advert or a box is a hint: it cuts only what is
+rich in links or has fewer than three sentences, and nothing at all where that name stands on half of
+the page's text, as the names of page builders do. For every node that stays, with C
 characters, T tags, LC link characters and LT link tags below it,
 
     density = C / T * log(C / LC * T / LT) / log(ln(C / (C - LC) * LC + LCb / Cb * C + e))
 
 where b is the body and zero counts are one. The score of a node is the sum of its
 children's densities. Nodes are block elements: inline ones count as tags of their block.
-The node with the greatest score holds the article; the smallest density on the path from
-the body to it is the threshold. Starting at the body, every child at or over the threshold
-is main text; other children are searched in the same way. Strings and inline elements that
+The node with the greatest score holds the article; the smallest density on the path to it from
+below the body is the threshold (the body's own, if it is that node). Starting at the body, every child at or
+over the threshold is main text, and so is one of three sentences or more with under a tenth of links;
+other children are searched in the same way. Strings and inline elements that
 stand directly in a searched node are blocks of their own, by run or, where under a third of them
 is links, all runs of the node as one. Of such a child the main element around its best-scored
 node is taken, or its articles where that node is in one, else the child itself; where a third
@@ -62,14 +65,18 @@ ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd"
 P_SCOPE = frozenset("body button caption html object table td th template".split())
 NO_P = BLOCKS - {"p"}
 NAME = re.compile(r"[A-Za-z]+")
+#: Ends of sentences; words or else characters that make one; sentences of a block that no name cuts, and that count as text beside the article.
+SENTENCE_END, SENTENCE_WORDS, SENTENCE_CHARS, TEXT_SENTENCES = re.compile(r"[.!?。！？](?:\s+|$)"), 4, 20, 3
 
 
 class Node:
-    __slots__ = ("tag", "parent", "block", "parts", "cut", "soft", "chars", "tags", "link_chars", "link_tags", "density", "score", "blocky")
+    __slots__ = ("tag", "parent", "block", "parts", "cut", "soft", "named", "chars", "tags", "link_chars", "link_tags", "sentences", "density", "score", "blocky", "depth", "held")
 
-    def __init__(self, tag: str, parent: Node | None, cut: bool, soft: str = ""):
-        self.tag, self.parent, self.cut, self.soft, self.parts = tag, parent, cut, soft, []
-        self.chars = self.tags = self.link_chars = self.link_tags = 0
+    def __init__(self, tag: str, parent: Node | None, cut: bool, soft: str = "", named: bool = False):
+        self.tag, self.parent, self.cut, self.soft, self.named, self.parts = tag, parent, cut, soft, named, []
+        self.chars = self.tags = self.link_chars = self.link_tags = self.sentences = 0
+        self.depth = 0 if parent is None else parent.depth + 1
+        self.held = self if tag in ("article", "main") else None if parent is None else parent.held  # the nearest article or main, itself included
         self.density = self.score = 0.0
         self.blocky = tag in BLOCKS
         self.block = parent if parent is None or parent.tag in BLOCKS else parent.block  # the block element that it stands in
@@ -85,41 +92,68 @@ def named_cut(word: str) -> str:
     return parts[0] if parts[0] in CUT_NAMES and parts[-1] in BOXES else ""
 
 
-def cut_by(tag: str, attrs: list[tuple[str, str | None]]) -> tuple[bool, str]:
-    """Whether an element is cut in any case, and else the reason to cut it unless it is wrapped around the article."""
+def sentences_of(text: str) -> int:
+    """Sentences that are long enough to be ones."""
+    return sum(len(x) >= SENTENCE_CHARS or len(x.split()) >= SENTENCE_WORDS for x in SENTENCE_END.split(text)[:-1])
+
+
+def cut_by(tag: str, attrs: list[tuple[str, str | None]], inside: bool) -> tuple[bool, str, bool]:
+    """Whether an element is cut in any case; else the reason to cut it unless it is wrapped around the article; and whether that is a name only.
+
+    inside: it stands in an article or main element, whose header is its own.
+    """
     if tag in CUT_TAGS and tag not in SOFT_TAGS:
-        return True, ""
+        return True, "", False
     if tag in ("html", "body", "main"):
-        return False, ""
-    soft = tag if tag in SOFT_TAGS else ""
+        return False, "", False
+    soft, named = tag if tag in SOFT_TAGS and not (tag == "header" and inside) else "", False
     for name, value in attrs:
         if name == "hidden" or name == "aria-hidden" and value == "true":
-            return True, ""
-        if name == "role" and value and value.lower() in CUT_ROLES:
-            soft = soft or "role"
+            return True, "", False
+        if name == "role" and value and value.lower() in CUT_ROLES and not (value.lower() == "banner" and inside):
+            soft, named = soft if soft and not named else "role", False
         if name in ("class", "id") and value:
             for word in value.split():
                 found = named_cut(word)
-                if found and (tag != "article" or found in ("comment", "comments", "ad", "advert")):
-                    soft = found if found in COMMENTS else soft or found
-    return False, soft
+                if found and (tag != "article" or found in ("comment", "comments", "ad", "advert")) and not (found in ("header", "masthead") and inside):
+                    if found in COMMENTS:
+                        soft, named = found, False
+                    elif not soft:
+                        soft, named = found, True
+    return False, soft, named
 
 
 def settle_cuts(nodes: list[Node]) -> None:
-    """Cut what has a reason for it and is not wrapped around the article."""
-    text, holds = {id(n): 0 for n in nodes}, {id(n): 0 for n in nodes}
+    """Cut what has a reason for it and is not wrapped around the article; of what has a name alone, what doesn't read as text."""
+    n_ = {id(n): [0, 0, 0, 0] for n in nodes}  # characters outside of links, those in links, sentences outside of links, articles and mains
     for n in reversed(nodes):
         if n.cut:
             continue
-        text[id(n)] += sum(len(x.strip()) for x in n.parts if isinstance(x, str)) if n.tag != "a" else 0
-        text[id(n)] = 0 if n.tag == "a" else text[id(n)]
+        own = n_[id(n)]
+        strings = [x for x in n.parts if isinstance(x, str)]
+        own[0] += sum(len(x.strip()) for x in strings)
+        own[2] += sum(map(sentences_of, strings))
+        if n.tag == "a":
+            own[0], own[1], own[2] = 0, own[0] + own[1], 0
         if n.parent is not None:
-            text[id(n.parent)] += text[id(n)]
+            up = n_[id(n.parent)]
+            up[0], up[1], up[2] = up[0] + own[0], up[1] + own[1], up[2] + own[2]
             if not (n.tag == "article" and n.soft):  # a comment or advert, with what it holds
-                holds[id(n.parent)] += holds[id(n)] + (n.tag in ("article", "main"))
-    body = nodes[0]
+                up[3] += own[3] + (n.tag in ("article", "main"))
+    body = n_[id(nodes[0])]
+    under: dict[str, int] = defaultdict(int)  # text that stands under each name
+    outer: dict[int, frozenset] = {id(nodes[0]): frozenset()}
+    for n in nodes[1:]:
+        above = outer[id(n.parent)]
+        if n.named and n.soft not in above:
+            under[n.soft] += n_[id(n)][0]
+            above = above | {n.soft}
+        outer[id(n)] = above
     for n in nodes[1:]:
-        wraps = holds[id(n)] and not (n.tag == "article") or n.soft not in COMMENTS and holds[id(body)] == 0 and 2 * text[id(n)] > text[id(body)]
+        text, links, sentences, holds = n_[id(n)]
+        wraps = holds and not (n.tag == "article") or n.soft not in COMMENTS and body[3] == 0 and 2 * text > body[0]
+        if n.named and not wraps:
+            wraps = 2 * under[n.soft] >= body[0] or sentences >= TEXT_SENTENCES and 3 * links < text + links
         n.cut = n.cut or n.parent.cut or bool(n.soft) and not wraps
 
 
@@ -151,7 +185,7 @@ class TreeBuilder(HTMLParser):
             self._close(("p",), P_SCOPE)
         if tag in ENDS:
             self._close(*ENDS[tag])
-        node = Node(tag, self.open[-1], *cut_by(tag, attrs))
+        node = Node(tag, self.open[-1], *cut_by(tag, attrs, self.open[-1].held is not None))
         node.cut = node.cut or self.open[-1].cut
         self.open[-1].parts.append(node)
         self.nodes.append(node)
@@ -184,11 +218,14 @@ def weigh(nodes: list[Node]) -> None:
     for n in reversed(nodes):
         if n.cut:
             continue
-        n.chars += sum(len(x.strip()) for x in n.parts if isinstance(x, str))
+        for x in n.parts:
+            if isinstance(x, str):
+                n.chars, n.sentences = n.chars + len(x.strip()), n.sentences + sentences_of(x)
         if n.tag == "a":
-            n.link_chars, n.link_tags = n.chars, n.link_tags + 1
+            n.link_chars, n.link_tags, n.sentences = n.chars, n.link_tags + 1, 0
         if n.parent is not None:
             p = n.parent
+            p.sentences += n.sentences
             p.blocky = p.blocky or n.blocky
             p.chars, p.tags, p.link_chars, p.link_tags = p.chars + n.chars, p.tags + n.tags + 1, p.link_chars + n.link_chars, p.link_tags + n.link_tags
     body = nodes[0]
@@ -234,10 +271,9 @@ def units(n: Node, least: float, links: float) -> list[Node]:
 
 def articles(n: Node, best: Node) -> list[Node]:
     """The main element around the best-scored node of a subtree n; or the articles, if that is in one; or none."""
-    held, p = None, best
-    while p is not None:
-        held = p if p.tag in ("article", "main") else held
-        p = p.parent if p is not n else None
+    held, p = None, best.held
+    while p is not None and p.depth >= n.depth:  # of those around the best node only these are climbed
+        held, p = p, p.parent.held if p.parent is not None else None
     if held is None or held.tag == "main":
         return [held] if held else []
     found, todo = [], [n]
@@ -267,7 +303,7 @@ def content(nodes: list[Node]) -> list[Node]:
     if not top.score:
         return [body]
     least, n = top.density, top
-    while n is not None:
+    while n is not None and n is not body:
         least, n = min(least, n.density) if n.tag in BLOCKS else least, n.parent
     links = body.link_chars / max(body.chars, 1)
     found, todo, forced = [], [body] if top is body else units(body, least, links)[::-1], set()
@@ -278,7 +314,8 @@ def content(nodes: list[Node]) -> list[Node]:
         if n.parent is None and n is not body:  # a run
             found.append(n)
             continue
-        if n.density >= least or id(n) in forced:
+        text = n.sentences >= TEXT_SENTENCES and n.link_chars * 10 < n.chars
+        if n.density >= least or text or id(n) in forced:
             own = best[id(n)]
             held = articles(n, own)
             if held or n.link_chars * 3 < n.chars or own is n or id(n) in forced:
