@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.functions import numbers, text
+from tessera.functions import contact, numbers, text
 from tessera.functions.contact import sendable
 from tessera.operators import leads as L
 from tessera.operators import verification as V
 from tessera.operators.relational import pick_first, top_per_key
 from tessera.plans import drafted, parted
 from tessera.plans.registry import query
-from tessera.plans.text import CHANGE_SQL, NEWS_STEPS, changes_of_leads
+from tessera.plans.text import CHANGE_SQL, NEWS_STEPS, SIGNATURE_SQL, SIGNED, changes_of_leads
 from tessera.sources.adapters import AS_OF
+from tessera.streaming import jobs
+from tessera.streaming.jobs import FIELDS
 
 
 def n(name: str = "n"):
@@ -314,15 +316,26 @@ def _(t):
     return rows.select("id", "matched", F.when(F.col("matched") == F.col("corp_code"), F.col("confidence")).otherwise("domain").alias("confidence"))
 
 
+_FIRST = lambda f: f"arg_min({f}, (sent_at, msg_id)) FILTER (WHERE direction = 'inbound' AND {f} IS NOT NULL) AS {f}"
+
+
 @query(
     "r_reply_learn",
-    """SELECT thread_id, count(*) FILTER (WHERE direction = 'inbound') AS replies, round(avg(length(body)) FILTER (WHERE direction = 'inbound'), 6) AS avg_chars, max(regexp_extract(right(body, 200), '[a-z]+@[a-z.]+')) AS email FROM messages GROUP BY 1""",
+    f"""SELECT thread_id, count(*) FILTER (WHERE direction = 'inbound') AS replies, round(avg((epoch_us(sent_at) - epoch_us(sent)) / 86400000000.0::DOUBLE) FILTER (WHERE direction = 'inbound' AND sent_at >= sent), 6) AS avg_days,
+    (sum(CASE WHEN regexp_matches(said, '{"|".join(contact.EVASIONS)}') THEN greatest(0, least(100, length(said) // 10) - 30) ELSE least(100, length(said) // 10) END) FILTER (WHERE direction = 'inbound') // count(*) FILTER (WHERE direction = 'inbound'))::INT AS quality,
+    epoch_us(max(sent_at) FILTER (WHERE direction = 'inbound')) AS last_reply, {", ".join(map(_FIRST, FIELDS))}
+    FROM (SELECT *, min(CASE WHEN direction = 'outbound' THEN sent_at END) OVER (PARTITION BY thread_id) AS sent FROM ({SIGNATURE_SQL})) GROUP BY 1 HAVING count(*) FILTER (WHERE direction = 'inbound') > 0""",
 )
 def _(t):
-    inbound = F.col("direction") == "inbound"
-    return t.messages.groupBy("thread_id").agg(
-        F.count_if(inbound).alias("replies"), F.round(F.avg(F.when(inbound, F.length("body"))), 6).alias("avg_chars"), F.max(F.regexp_extract(F.right("body", F.lit(200)), "[a-z]+@[a-z.]+", 0)).alias("email")
-    )
+    rows = jobs.read_table_stream(t.spark, t.sf_dir, "conversations").withColumnsRenamed({"conv_id": "thread_id", "text": "body"})
+    at = F.timestamp_seconds(F.lit(1704067200) + F.col("thread_id") * 3600 + F.col("turn") * 5400)
+    direction = F.when(F.col("role") == "assistant", "outbound").otherwise("inbound")
+    said = rows.select(F.concat_ws("-", "thread_id", "turn").alias("msg_id"), "thread_id", direction.alias("direction"), at.alias("sent_at"), F.expr(SIGNED).alias("said"))
+    said = said.withColumns({"s": contact.signature(contact.contact_block(F.col("said"))), "quality": contact.reply_quality(F.col("said"))})
+    twice = said.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))  # every message comes twice
+    learned = jobs.learn_replies(twice.select("thread_id", "msg_id", "sent_at", "direction", "quality", "s.*"), "thread_id")
+    found = jobs.run_backlog(learned, "update", ["thread_id"])
+    return found.withColumns({"avg_days": F.round("avg_days", 6), "last_reply": F.unix_micros("last_reply")})
 
 
 @query("c_top_sources", "SELECT corp_code, id, rank FROM (SELECT corp_code, id, row_number() OVER (PARTITION BY corp_code ORDER BY weight DESC, id) AS rank FROM news) WHERE rank <= 2")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tessera.functions import changes, numbers, text
+from tessera.functions import changes, contact, numbers, text
 from tessera.functions.contact import domain_category
 from tessera.operators import filings, financial, verification
 from tessera.operators.citations import uncited_phrases
@@ -326,15 +326,36 @@ def _(t):
     return t.documents.select("doc_id", F.size(words).cast("long").alias("candidates"), F.size(F.filter(words, lambda x: F.contains(source, F.lower(x)))).cast("long").alias("known"))
 
 
-@query("txt_contact_block", "SELECT doc_id, len(regexp_extract_all(right(text, 1500), '[A-Za-z0-9._-]+@[A-Za-z0-9.-]+')) AS emails, len(regexp_extract_all(right(text, 1500), '[0-9]{3}-[0-9]{4}')) AS phones FROM documents")
+#: Messages as they are signed, by thread and turn; the tables' messages have no signatures.
+SIGNED = """concat(body, CASE (thread_id + turn) % 6
+    WHEN 0 THEN concat('\\n■ 문의처: 홍보팀 김철수 팀장 010-1234-', 1000 + thread_id % 9000, ', 02-555-', 1000 + turn, ' ir', thread_id, '@corp.example.com ir', thread_id, '@corp.example.com')
+    WHEN 1 THEN concat('\\nIR본부 남궁민(부장) 031.345.', 1000 + thread_id % 9000, ' / noreply@corp.example.com, pr@corp', turn, '.example.com')
+    WHEN 2 THEN '\\n담당자: 최고 책임 / 재무 비공개 admin@corp.example.com'
+    WHEN 3 THEN concat('\\nContact: 박영희 Manager 010 987 ', 1000 + turn, ' 답변 어렵습니다') WHEN 4 THEN '\\n홍길동입니다 감사합니다' ELSE '' END)"""
+SIGNED_SQL = """body || CASE (thread_id + turn) % 6
+    WHEN 0 THEN chr(10) || '■ 문의처: 홍보팀 김철수 팀장 010-1234-' || (1000 + thread_id % 9000) || ', 02-555-' || (1000 + turn) || ' ir' || thread_id || '@corp.example.com ir' || thread_id || '@corp.example.com'
+    WHEN 1 THEN chr(10) || 'IR본부 남궁민(부장) 031.345.' || (1000 + thread_id % 9000) || ' / noreply@corp.example.com, pr@corp' || turn || '.example.com'
+    WHEN 2 THEN chr(10) || '담당자: 최고 책임 / 재무 비공개 admin@corp.example.com'
+    WHEN 3 THEN chr(10) || 'Contact: 박영희 Manager 010 987 ' || (1000 + turn) || ' 답변 어렵습니다' WHEN 4 THEN chr(10) || '홍길동입니다 감사합니다' ELSE '' END"""
+_PERSON = f"(contains('{contact.SURNAMES}', substr({{0}}, 1, 1)) OR substr({{0}}, 1, 2) IN ({str(contact.LONG_SURNAMES)[1:-1]})) AND {{0}} NOT IN ({str(contact.NO_PERSONS)[1:-1]})"
+_NUMBERS = "list_transform(regexp_extract_all(block, '{0}'), lambda x: regexp_replace(x, '{0}', '\\1-\\2-\\3'))".format
+SIGNATURE_SQL = f"""SELECT msg_id, thread_id, turn, direction, sent_at, said, person[1] AS name, person[2] AS title, dept, mobile, list_filter({_NUMBERS(contact.PHONE)}, lambda p: p IS DISTINCT FROM mobile)[1] AS phone, email FROM (
+    SELECT *, list_filter(list_zip(regexp_extract_all(block, '{contact.TITLED}', 1), regexp_extract_all(block, '{contact.TITLED}', 2)), lambda x: {_PERSON.format("x[1]")})[1] AS person, {_NUMBERS(contact.MOBILE)}[1] AS mobile,
+      nullif(regexp_extract(block, '{contact.DEPARTMENT}', 1) || regexp_extract(block, '{contact.DEPARTMENT}', 2), '') AS dept,
+      list_filter(regexp_extract_all(block, '{contact.ADDRESS}'), lambda e: NOT regexp_matches(lower(e), '{"|".join(contact.NO_ADDRESSES)}'))[1] AS email FROM (
+    SELECT *, CASE WHEN regexp_matches(said, '{contact.BLOCK_STARTS}') THEN substr(said, length(regexp_split_to_array(said, '{contact.BLOCK_STARTS}')[1]) + 1, 1500) ELSE right(said, 1500) END AS block FROM (SELECT *, {SIGNED_SQL} AS said FROM messages)))"""
+
+
+@query("txt_contact_block", f"SELECT msg_id, name, title, dept, mobile, phone, email FROM ({SIGNATURE_SQL})")
 def _(t):
-    tail = F.right("text", F.lit(1500))
-    return t.documents.select("doc_id", F.size(text.find_all(tail, "[A-Za-z0-9._-]+@[A-Za-z0-9.-]+")).cast("long").alias("emails"), F.size(text.find_all(tail, "[0-9]{3}-[0-9]{4}")).cast("long").alias("phones"))
+    rows = t.messages.select("msg_id", contact.contact_block(F.expr(SIGNED)).alias("block"))
+    return rows.select("msg_id", contact.signature(F.col("block")).alias("s")).select("msg_id", "s.*")
 
 
-@query("txt_person_name", "SELECT doc_id, len(regexp_extract_all(text, ' (?:Th|An|En)[a-z]{2,4} ')) AS n FROM documents")
+@query("txt_person_name", f"SELECT msg_id, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all({SIGNED_SQL}, '[가-힣]{{2,4}}'), lambda w: {_PERSON.format('w')}))), '|') AS names FROM messages")
 def _(t):
-    return t.documents.select("doc_id", F.size(text.find_all(TEXT(), " (?:Th|An|En)[a-z]{2,4} ")).cast("long").alias("n"))
+    names = F.filter(F.array_distinct(text.find_all(F.expr(SIGNED), "[가-힣]{2,4}")), contact.is_person)
+    return t.messages.select("msg_id", joined(F.array_sort(names)).alias("names"))
 
 
 @query("txt_ir_links", "SELECT page_id, len(list_filter(regexp_extract_all(html, '<a href=\"([^\"]*)\">', 1), lambda x: regexp_matches(x, '(?i)th|en'))) AS n FROM pages")

@@ -94,3 +94,45 @@ def mark_repeats(events: DataFrame, hours: int = 24) -> DataFrame:
 
     groups = events.withWatermark("ts", LATENESS).groupBy("user_id")
     return groups.applyInPandasWithState(mark, "event_id long, user_id long, repeat boolean", "last long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+#: What is known of a contact: numbers, and the fields of a signature, each as it first came.
+LEARNED = "first_sent long, replies long, timed long, days double, quality long, last_reply long, name string, title string, dept string, mobile string, phone string, email string"
+FIELDS = ["name", "title", "dept", "mobile", "phone", "email"]
+STATS = "replies long, avg_days double, quality int, last_reply timestamp, name string, title string, dept string, mobile string, phone string, email string"
+
+
+def learn_replies(messages: DataFrame, key: str, keep: str = "180 days") -> DataFrame:
+    """For each key whose messages come, what its replies say so far: replies, avg_days from our first message, quality, last_reply and signature.
+
+    messages: key, msg_id, sent_at, direction (inbound or outbound), quality (of an inbound body), and FIELDS of its signature. A message
+    that comes twice counts once, while its first copy is within the lateness. State is one row a key, and goes when the key was silent for
+    ``keep``. Rows of a batch are taken in the order of their time, so batches in that order give what one batch of all gives.
+    """
+    kind = messages.schema[key].dataType.simpleString()
+    patience = int(pd.Timedelta(keep).total_seconds() * 1000)
+
+    def learn(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        first, replies, timed, days, quality, last, *fields = state.get if state.exists else (None, 0, 0, 0.0, 0, None, *[None] * len(FIELDS))
+        rows = pd.concat(list(batches)).sort_values(["sent_at", "msg_id"])
+        newest = 0
+        for row in rows.itertuples():
+            at = row.sent_at.value // 1000 if row.sent_at.unit == "ns" else int(row.sent_at.timestamp() * 1_000_000)
+            newest = max(newest, at)
+            if row.direction == "outbound":
+                first = at if first is None else min(first, at)
+                continue
+            replies, quality, last = replies + 1, quality + int(row.quality), max(last or at, at)
+            if first is not None and at >= first:
+                timed, days = timed + 1, days + (at - first) / 86_400_000_000
+            fields = [old if old is not None else new if isinstance(new, str) else None for old, new in zip(fields, (getattr(row, f) for f in FIELDS))]
+        state.update((first, replies, timed, days, quality, last, *fields))
+        state.setTimeoutTimestamp(max(newest // 1000 + patience, state.getCurrentWatermarkMs() + 1))
+        if replies:
+            yield pd.DataFrame([(k[0], replies, days / timed if timed else None, quality // replies, pd.Timestamp(last, unit="us"), *fields)], columns=[key, "replies", "avg_days", "quality", "last_reply", *FIELDS])
+
+    once = messages.withWatermark("sent_at", LATENESS).dropDuplicatesWithinWatermark([key, "msg_id"])
+    return once.groupBy(key).applyInPandasWithState(learn, f"{key} {kind}, {STATS}", LEARNED, "update", GroupStateTimeout.EventTimeTimeout)
