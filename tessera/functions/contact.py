@@ -39,7 +39,9 @@ ADDRESS = r"[A-Za-z0-9._+-]+@[A-Za-z0-9._-]+\.[A-Za-z]{2,}"
 MOBILE = r"(010|011|016|017|018|019)[- .)]?([0-9]{3,4})[- .]([0-9]{4})"
 PHONE = r"(0[0-9]{1,2})[- .)]([0-9]{3,4})[- .]([0-9]{4})"
 NO_ADDRESSES = ["noreply", "no-reply", "donotreply", "mailer", "postmaster", "webmaster", "admin@"]
-BLOCK_STARTS = r"■\s*문의\s*처?|■\s*담당|■\s*Contact|※\s*문의|\*\s*문의|문의\s*처?\s*[:：]|담당\s*자?\s*[:：]|연락처\s*[:：]|취재\s*문의|보도\s*문의|Contact\s*[:：]|#{2,}|={3,}|-{5,}"
+#: Words of a contact block's head: behind a mark, in front of a colon, or by themselves; and lines that part it off.
+MARKED, WITH_COLON, ALONE = ["문의", "담당", "Contact"], ["문의처?", "담당자?", "연락처", "Contact"], [r"취재\s*문의", r"보도\s*문의"]
+BLOCK_STARTS = rf"[■※*]\s*(?:{'|'.join(MARKED)})|(?:{'|'.join(WITH_COLON)})\s*[:：]|{'|'.join(ALONE)}|#{{2,}}|={{3,}}|-{{5,}}"
 
 
 def contact_block(c: Column, reach: int = 1500) -> Column:

@@ -101,13 +101,6 @@ def url_host(c: Column) -> Column:
     return F.regexp_replace(F.lower(F.regexp_extract(c, r"^[a-zA-Z]+://([^/?#:]+)", 1)), r"^www\.", "")
 
 
-def speculation(c: Column, phrases: Sequence[str], citation: str, reach: int = 100) -> Column:
-    """How often a speculative phrase has no citation within reach characters of it."""
-    alternation = "|".join(phrases)
-    spans = find_all(c, f"(?s).{{0,{reach}}}?(?:{alternation}).{{0,{reach}}}")
-    return F.size(F.filter(spans, lambda s: ~s.rlike(citation)))
-
-
 # Legal forms and kinds of bodies in names.
 LEGAL_PREFIXES = ["주식회사 ", "유한회사 ", "합자회사 ", "합명회사 ", "주식회사", "㈜ ", "(주) "]
 LEGAL_SUFFIXES = [" 주식회사", " (주)", " ㈜", "(주)", "㈜", " 주식회사.", "주식회사", " 유한회사", " 유한책임회사"]
@@ -130,10 +123,9 @@ def normalise_partner(c: Column) -> Column:
 
 
 def clean_partner(c: Column) -> Column:
-    """A name as a filing writes it, without legal forms, short parentheses, circled numbers and punctuation at its ends."""
-    out = F.regexp_replace(c, r"\s*\(주\)\s*|\s*주식회사\s*", "")
-    out = F.regexp_replace(F.regexp_replace(out, r"\([^)]{0,30}\)|[①②③④⑤⑥⑦⑧⑨⑩]", ""), "\t", " ")
-    return F.regexp_replace(F.regexp_replace(out, r"^\s+|\s+$", ""), r"^[,.;:·•\s-]+|[,.;:·•\s-]+$", "")
+    """A name as a filing writes it, without legal forms, short parentheses, circled numbers and marks at its ends; white space is one space."""
+    bare = F.regexp_replace(c, r"주식회사|㈜|\([^)]{0,30}\)|[①-⑳]|\s+", " ")
+    return F.btrim(F.regexp_replace(bare, " +", " "), F.lit(" ,.;:·•*-"))
 
 
 def is_noise(c: Column, words: Sequence[str] = ("other", "total", "various")) -> Column:

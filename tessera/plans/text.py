@@ -425,8 +425,7 @@ LISTS = {"supplier": "주요 공급사: ", "customer": "핵심 고객: ", "partn
 
 @query(
     "txt_relation_extract",
-    """WITH s AS (SELECT DISTINCT corp_code, relation, partner_name AS name FROM edges), l AS (SELECT corp_code, relation, string_agg(name, ', ' ORDER BY name) AS line, count(*) AS n FROM s GROUP BY 1, 2)
-    SELECT corp_code, relation, name FROM s UNION ALL SELECT corp_code, relation, line FROM l WHERE n > 1 AND length(line) <= 60""",
+    "SELECT DISTINCT corp_code, relation, partner_name AS name FROM edges",
 )
 def _(t):
     said = lambda r: F.coalesce(F.concat(F.lit(LISTS[r]), F.nullif(joined(F.array_sort(F.collect_set(F.when(F.col("relation") == r, F.col("partner_name")))), ", "), F.lit("")), F.lit("\n\n")), F.lit(""))

@@ -32,11 +32,35 @@ def test_chapter_begins_at_the_second_match_and_ends_at_the_nearest_end(spark):
     assert one(spark, "제 2 장 사업의 내용 " + "w" * 20 + " IV. " + "w" * 400 + " 4. 감사", filings.chapter).endswith("w")  # an end within 50 characters doesn't count; the later of another pattern does
 
 
+RELATION_ROWS = [
+    ("주요 고객 현황\nAlpha Corp  30%\n(주)Beta\t20%\n12.5\nALPHA CORP | 1\n\nGamma after the list", {("customer", "Alpha Corp"), ("customer", "Beta")}),
+    ("핵심 공급사: Gamma, Delta (metal, wood), 기타 등", {("supplier", "Gamma"), ("supplier", "Delta")}),
+    ("가. 국내외 경쟁업체\n① Zeta Works\n(단위: 억원)\n2023년 기준\n표 1\n----\n한빛전자", {("competitor", "Zeta Works"), ("competitor", "한빛전자")}),
+    ("- 전략적 파트너 ： Eta; Theta、Iota", {("partner", "Eta"), ("partner", "Theta"), ("partner", "Iota")}),
+    ("원재료 매입 현황\nKappa Steel\n주요 판매처 목록\nLambda\n3. 원재료 및 생산설비\nMu", {("supplier", "Kappa Steel"), ("customer", "Lambda")}),
+    ("고 객 사 명단\nNu Corp", {("customer", "Nu Corp")}),
+    ("당사는 주요 고객 현황을 다음 장에서 자세히 설명하고 있으며 그 내용은 아래의 표와 같습니다\nXi", set()),
+    ("고객을 위한 서비스\nOmicron", set()),
+    ("주요 거래처\n" + "\n".join(f"Name {k}" for k in range(40)), {("customer", f"Name {k}") for k in range(30)}),
+    ("", set()), (None, set()), ("주요 고객:", set()),
+]
+
+
 def test_relations_of_tables_and_lists(spark):
-    body = "주요 고객 현황\nAlpha Corp  30%\n(주)Beta\t20%\n12.5\nALPHA CORP | 1\n\n핵심 공급사: Gamma, Delta (metal), 기타 등\n\n주요 경쟁사 현황\nEpsilon Works  x\n"
-    rows = spark.createDataFrame([(1, body), (2, ""), (3, None)], "id int, body string")
-    found = {(r.id, r.relation, r.name) for r in filings.relations(rows, "id", "body").collect()}
-    assert found == {(1, "customer", "Alpha Corp"), (1, "customer", "Beta"), (1, "supplier", "Gamma"), (1, "supplier", "Delta"), (1, "supplier", "Gamma, Delta , 기타 등"), (1, "competitor", "Epsilon Works")}
+    rows = spark.createDataFrame([(i, body) for i, (body, _) in enumerate(RELATION_ROWS)], "id int, body string")
+    found = {}
+    for r in filings.relations(rows, "id", "body").collect():
+        found.setdefault(r.id, set()).add((r.relation, r.name))
+    for i, (body, want) in enumerate(RELATION_ROWS):
+        assert found.get(i, set()) == want, body
+    context = {r.name: r.context for r in filings.relations(rows.filter("id < 2"), "id", "body").collect()}
+    assert context == {"Alpha Corp": "주요 고객 현황 Alpha Corp  30%", "Beta": "주요 고객 현황 (주)Beta\t20%", "Gamma": "핵심 공급사: Gamma, Delta (metal, wood), 기타 등 Gamma, Delta (metal, wood), 기타 등", "Delta": "핵심 공급사: Gamma, Delta (metal, wood), 기타 등 Gamma, Delta (metal, wood), 기타 등"}
+
+
+def test_relations_by_own_words(spark):
+    rows = spark.createDataFrame([(1, "Main banks:\nRho, Sigma\n\nMain banks: Tau, Upsilon")], "id int, body string")
+    found = {(r.relation, r.name) for r in filings.relations(rows, "id", "body", {"bank": ["banks"]}, ["Main"], ["list"]).collect()}
+    assert found == {("bank", x) for x in ("Rho", "Sigma", "Tau", "Upsilon")}
 
 
 def test_names_lose_their_legal_forms(spark):

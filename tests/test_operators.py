@@ -115,7 +115,6 @@ def test_text_functions(spark):
     assert one(spark, text.strip_particle(F.col("x"), ["s", "ies"]), "parties") == "part"
     assert one(spark, text.best_family(F.col("x"), {"A": ["a"], "B": ["b"]}, "none"), "ab") == "A"
     assert one(spark, text.best_family(F.col("x"), {"A": ["a"], "B": ["b"]}, "none"), "") == "none"
-    assert one(spark, text.speculation(F.col("x"), ["might"], r"\[1\]", 10), "It might rain [1]. " + "z" * 40 + " It might snow.") == 1
     assert [one(spark, text.is_noise(F.col("x")), v) for v in (None, "a", "9 lives", "Total", "Good Co", "x" * 61)] == ["TOO_SHORT", "TOO_SHORT", "DIGIT_START", "GENERIC", None, "TOO_LONG"]
 
 
