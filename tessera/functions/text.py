@@ -155,3 +155,10 @@ def parse_loose(c: Column, fields: Sequence[str]) -> Column:
     keyed = F.transform(F.array(F.struct(*[by_key(f).alias(f) for f in fields])), lambda k: F.struct(F.when(F.coalesce(*[k[f] for f in fields]).isNotNull(), "keys").otherwise("none").alias("step"), *[k[f].alias(f) for f in fields]))
     read = F.transform(F.filter(F.array(*tried), lambda r: r["v"].isNotNull()), lambda r: F.struct(r["step"].alias("step"), *values(r)))
     return F.coalesce(F.get(read, F.lit(0)), F.get(keyed, F.lit(0)))
+
+
+def hinted_links(html: Column, anchor: str, hints: Sequence[str]) -> Column:
+    """(href, shown) of the anchors whose address or text has one of the hints, in any case. anchor: a pattern with both as groups."""
+    found = F.transform(F.arrays_zip(find_all(html, anchor, 1).alias("href"), find_all(html, anchor, 2).alias("shown")), lambda a: F.struct(a["href"].alias("href"), strip_tags(a["shown"]).alias("shown")))
+    has = lambda c: F.exists(F.array(*map(F.lit, hints)), lambda h: F.contains(F.lower(c), h))
+    return F.filter(found, lambda a: has(a["href"]) | has(a["shown"]))

@@ -73,8 +73,10 @@ def novelty(docs: DataFrame, fresh: Sequence[str], gone: Sequence[str], evidence
 
 
 def match_score(rows: DataFrame, today: Column) -> DataFrame:
-    """score of (keywords, shown text, weight, published_at): half keywords, the rest outlet and recency."""
-    share = F.coalesce(F.try_divide(F.size(F.filter("keywords", lambda k: F.contains(F.col("shown"), k))).cast("double"), F.size("keywords")), F.lit(0.5))
+    """matched and score of (keywords, shown text, weight, published_at): half keywords, the rest outlet and recency. Without keywords none are matched."""
+    words = F.coalesce("keywords", F.array().cast("array<string>"))
+    rows = rows.withColumn("matched", F.filter(words, lambda k: F.contains(F.col("shown"), k)))
+    share = F.size("matched").cast("double") / F.greatest(F.lit(1), F.size(words))
     return rows.withColumn("score", F.round(share * 0.5 + F.col("weight") * 0.3 + numbers.recency(F.col("published_at"), today) * 0.2, 3))
 
 

@@ -94,6 +94,13 @@ def cross_check(cited: Column, amounts: Column, ratios: Column, source: Column)
     return (numeric * 0.6 + cover * 0.4).cast("int")
 
 
+def postprocess_score(body: Column, headline: Column, speculation: Column, numbers_: Column, known: Column) -> Column:
+    """100 less half of what the headline's words lack in the body, 8 for each uncited speculation, 3 for each uncited number from the fifth on, and half of what known words (per cent) lack to 60; 0 for an empty body."""
+    counted = F.when(numbers_ >= 5, (numbers_ - 4) * 3).otherwise(0)
+    score = 100 - F.floor((100 - headline) / 2) - speculation * 8 - counted - F.greatest(F.lit(0), F.floor((60 - known) / 2))
+    return F.when(F.coalesce(body, F.lit("")) == "", 0).otherwise(F.greatest(F.lit(0), F.least(F.lit(100), score))).cast("int")
+
+
 #: Width of a bucket of logarithms: amounts within 5 % of the greater are in one or in neighbours.
 _WIDTH = -math.log(1 - numbers.NEAR) * 1.000001
 

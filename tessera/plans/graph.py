@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import graph
 from tessera.operators.dictionary import containing, longest_prefix
+from tessera.operators.postings import first_keywords, past_mentions, write_postings
 from tessera.operators.relational import top_per_key
 from tessera.plans import leads
 from tessera.plans.joins import GROUP_SQL, PAIRS_SQL, closest_pairs, internal_links
@@ -168,9 +169,21 @@ def _(t):
     return top_per_key(t.edges, ["corp_code", "relation"], 8, F.desc("pct"), F.col("id")).select("corp_code", "relation", "id", "rank")
 
 
-@query("d_past_mentions", "SELECT corp_code, partner_name, count(*) AS n, count(DISTINCT period) AS periods FROM edges WHERE period < 2000 GROUP BY 1, 2 HAVING count(*) > 1")
+#: A lead's keywords: the first five terms of its comparison's result.
+KEYWORDS_SQL = "list_sort(list_distinct(list_concat(regexp_extract_all({0}, '[가-힣]{{2,}}'), list_transform(regexp_extract_all({0}, '[A-Za-z]{{3,}}'), lambda w: lower(w)))))[1:5]"
+
+
+@query("d_past_mentions", f"""SELECT k.id, k.keyword, count(*) AS docs, sum(m.n)::BIGINT AS mentions, min(m.at) AS since FROM (SELECT l.id, l.corp_code, c.report_id_a AS a, c.report_id_b AS b, unnest({KEYWORDS_SQL.format("c.result")}) AS keyword FROM leads l JOIN comparisons c ON c.id = l.comparison_id WHERE l.status = 'new') k
+    JOIN (SELECT corp_code, id AS report, rcept_dt AS at, w, count(*) AS n FROM (SELECT corp_code, id, rcept_dt, lower(unnest(regexp_extract_all(biz_content || ' ' || raw_text, '[A-Za-z]{{3,}}'))) AS w FROM reports) GROUP BY 1, 2, 3, 4) m
+    ON m.corp_code = k.corp_code AND m.w = k.keyword WHERE m.report <> k.a AND m.report <> k.b GROUP BY 1, 2""")
 def _(t):
-    return t.edges.filter("period < 2000").groupBy("corp_code", "partner_name").agg(n(), F.count_distinct("period").alias("periods")).filter("n > 1")
+    filed = t.reports.select("corp_code", F.col("id").alias("report"), F.to_date("rcept_dt", "yyyyMMdd").alias("at"), F.concat_ws(" ", "biz_content", "raw_text").alias("body")).filter("body IS NOT NULL")
+    filed = filed.join(t.reports.filter("biz_content IS NOT NULL").select(F.col("id").alias("report")), "report", "left_semi")
+    table = write_postings(filed, ["corp_code", "report"], "body", "at")
+    compared = t.comparisons.select(F.col("id").alias("comparison_id"), F.array("report_id_a", "report_id_b").alias("compared"), first_keywords(F.col("result")).alias("keywords"))
+    asked = t.leads.filter("status = 'new'").join(compared, "comparison_id").select("id", "corp_code", F.explode("keywords").alias("keyword"), "compared")
+    found = past_mentions(asked, table, "id", "corp_code", "report", "at", "compared")
+    return found.withColumn("since", F.date_format("since", "yyyyMMdd"))
 
 
 # Signals from the graph

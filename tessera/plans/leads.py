@@ -8,10 +8,12 @@ from tessera.functions import contact, numbers, text
 from tessera.functions.contact import sendable
 from tessera.operators import leads as L
 from tessera.operators import verification as V
+from tessera.operators.citations import uncited_phrases
+from tessera.operators.postings import first_keywords
 from tessera.operators.relational import pick_first, top_per_key
 from tessera.plans import drafted, parted
 from tessera.plans.registry import query
-from tessera.plans.text import CHANGE_SQL, NEWS_STEPS, SIGNATURE_SQL, SIGNED, changes_of_leads
+from tessera.plans.text import BODY_SQL, CHANGE_SQL, CITED, HEADLINE_SQL, NEWS_STEPS, NUMBERED, SIGNATURE_SQL, SIGNED, SPECULATIVE, WITH_UNITS_SQL, changes_of_leads, uncited_sql, with_units
 from tessera.sources.adapters import AS_OF
 from tessera.streaming import jobs
 from tessera.streaming.jobs import FIELDS
@@ -117,19 +119,25 @@ def _(t):
 
 
 RECENCY_SQL = f"CASE WHEN abs(DATE '{AS_OF}' - published_at) <= 30 THEN 1.0 WHEN abs(DATE '{AS_OF}' - published_at) <= 60 THEN 0.85 WHEN abs(DATE '{AS_OF}' - published_at) <= 90 THEN 0.7 WHEN abs(DATE '{AS_OF}' - published_at) <= 180 THEN 0.5 ELSE 0.3 END::DOUBLE"
-MATCH_SQL = f"""SELECT l.id AS lead_id, w.id AS news_id, w.tier, round((CASE WHEN contains(lower(w.title), right(l.title, 1)) THEN 1.0 ELSE 0.0 END)::DOUBLE * 0.5::DOUBLE + w.weight * 0.3::DOUBLE + {RECENCY_SQL} * 0.2::DOUBLE, 3) AS score
-    FROM leads l JOIN news w USING (corp_code) WHERE w.tier IN ('T1', 'T2', 'RESEARCH')"""
+_TOKENS = "list_distinct(list_concat(regexp_extract_all({0}, '[가-힣]{{2,}}'), list_transform(regexp_extract_all({0}, '[A-Za-z]{{3,}}'), lambda w: lower(w))))".format
+#: A lead's keywords: the first five terms of its company's document, which stands for its evidence.
+WORDS_SQL = f"list_sort({_TOKENS('text')})[1:5]"
+MATCH_SQL = f"""SELECT l.id AS lead_id, w.id AS news_id, w.tier, coalesce(array_to_string(list_filter(keywords, lambda k: contains(lower(w.title), k)), '|'), '') AS matched,
+    round((len(list_filter(coalesce(keywords, []), lambda k: contains(lower(w.title), k)))::DOUBLE / greatest(1, len(coalesce(keywords, [])))) * 0.5::DOUBLE + w.weight * 0.3::DOUBLE + {RECENCY_SQL} * 0.2::DOUBLE, 3) AS score
+    FROM leads l JOIN news w USING (corp_code) LEFT JOIN (SELECT doc_id AS corp_code, {WORDS_SQL} AS keywords FROM documents) k USING (corp_code) WHERE w.tier IN ('T1', 'T2', 'RESEARCH')"""
 
 
 def matched(t):
     sources = t.news.filter(F.col("tier").isin("T1", "T2", "RESEARCH")).select(F.col("id").alias("news_id"), "corp_code", "tier", "weight", "published_at", F.lower("title").alias("shown"))
-    rows = t.leads.select(F.col("id").alias("lead_id"), "corp_code", F.array(F.right("title", F.lit(1))).alias("keywords")).join(sources, "corp_code")
-    return L.match_score(rows, F.lit(AS_OF).cast("date"))
+    words = t.documents.select(F.col("doc_id").alias("corp_code"), first_keywords(F.col("text")).alias("keywords"))
+    # a company's news are scored once, and not again for each of its leads
+    scored = L.match_score(sources.join(words, "corp_code", "left"), F.lit(AS_OF).cast("date"))
+    return t.leads.select(F.col("id").alias("lead_id"), "corp_code").join(scored, "corp_code")
 
 
 @query("l_match_sources", MATCH_SQL)
 def _(t):
-    return matched(t).select("lead_id", "news_id", "tier", "score")
+    return matched(t).select("lead_id", "news_id", "tier", F.array_join("matched", "|").alias("matched"), "score")
 
 
 @query("l_news_status", "SELECT corp_code, CASE WHEN coalesce(n, 0) = 0 THEN 'exclusive' WHEN n <= 2 THEN 'partial' ELSE 'covered' END AS status FROM companies LEFT JOIN (SELECT corp_code, count(*) AS n FROM news GROUP BY 1) USING (corp_code)")
@@ -140,7 +148,6 @@ def _(t):
 
 #: Parts of the scores of an article (plans/drafted.py) in SQL.
 _SOME = lambda pool, test: f"len(list_filter({pool}, lambda v: {test})) > 0"
-_TOKENS = "list_distinct(list_concat(regexp_extract_all({0}, '[가-힣]{{2,}}'), list_transform(regexp_extract_all({0}, '[A-Za-z]{{3,}}'), lambda w: lower(w))))".format
 _COMMON = "[" + ", ".join(f"'{w}'" for w in V.COMMON) + "]"
 _UNCOMMON = lambda c: f"list_filter({_TOKENS(c)}, lambda w: NOT list_contains({_COMMON}, w))"
 _SHARE = lambda part, whole, factor: f"trunc(least(({part})::DOUBLE / ({whole}) * {factor}, 100.0::DOUBLE))::INT"
@@ -235,11 +242,30 @@ def _(t):
     return L.flag(scores(t).select("draft_id", *parts, V.total(*map(F.col, parts)).alias("total")), "total")
 
 
-@query("v_postprocess", "SELECT doc_id, greatest(0, least(100, 100 - spec * 8 - CASE WHEN nums >= 5 THEN (nums - 4) * 3 ELSE 0 END))::INT AS score FROM (SELECT doc_id, len(regexp_extract_all(text, 'only|from')) AS spec, len(regexp_extract_all(text, '\\b[0-9]+\\b')) AS nums FROM documents)")
+_HEAD_WORDS = f"list_distinct(regexp_extract_all(lower({HEADLINE_SQL}), '[a-z]{{3,}}'))"
+_NAMED = f"list_distinct(regexp_extract_all({parted.EVIDENCE_SQL}, '[A-Z][a-z]{{3,}}'))"
+
+
+@query(
+    "v_postprocess",
+    f"""SELECT doc_id, CASE WHEN coalesce(text, '') = '' THEN 0 ELSE greatest(0, least(100, 100 - (100 - head) // 2 - spec * 8 - CASE WHEN nums >= 5 THEN (nums - 4) * 3 ELSE 0 END - greatest(0, floor((60 - known) / 2)))) END::INT AS score FROM (
+    SELECT doc_id, text, s.n AS spec, m.n AS nums, CASE WHEN len(w) = 0 THEN 100 ELSE len(list_filter(w, lambda x: contains(body, x))) * 100 // len(w) END AS head,
+      CASE WHEN len(e) = 0 THEN 100.0::DOUBLE ELSE round(len(list_filter(e, lambda x: contains(rest, lower(x))))::DOUBLE / len(e) * 100, 1) END AS known
+    FROM (SELECT doc_id, text, {_HEAD_WORDS} AS w, lower({BODY_SQL}) AS body, {_NAMED} AS e, lower({parted.REST_SQL}) AS rest FROM documents)
+    JOIN ({uncited_sql("SELECT doc_id, text FROM documents", SPECULATIVE)}) s USING (doc_id) JOIN ({uncited_sql(f"SELECT doc_id, {WITH_UNITS_SQL} AS text FROM documents", NUMBERED)}) m USING (doc_id))""",
+)
 def _(t):
-    rows = t.documents.select("doc_id", F.regexp_count("text", F.lit("only|from")).alias("spec"), F.regexp_count("text", F.lit(r"\b[0-9]+\b")).alias("nums"))
-    penalty = F.col("spec") * 8 + F.when(F.col("nums") >= 5, (F.col("nums") - 4) * 3).otherwise(0)
-    return rows.select("doc_id", F.greatest(F.lit(0), F.least(F.lit(100), 100 - penalty)).alias("score"))
+    parts = text.sentences(F.col("text"))
+    evidence, rest = parted.parted()
+    body = F.lower(F.array_join(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), ". "))
+    rows = t.documents.select(
+        "doc_id", "text", F.array_distinct(text.find_all(F.lower(F.get(parts, F.lit(0))), "[a-z]{3,}")).alias("w"), body.alias("body"), F.array_distinct(text.find_all(evidence, "[A-Z][a-z]{3,}")).alias("e"), F.lower(rest).alias("rest"),
+        F.size(uncited_phrases(SPECULATIVE, CITED)(F.col("text"))).alias("spec"), F.size(uncited_phrases(NUMBERED, CITED)(with_units(F.col("text")))).alias("nums"),
+    )
+    words = lambda w: F.coalesce(w, F.array().cast("array<string>"))
+    head = F.when(F.size(words("w")) == 0, 100).otherwise(F.floor(F.try_divide(F.size(F.filter("w", lambda x: F.contains("body", x))) * 100, F.size("w"))))
+    known = F.when(F.size(words("e")) == 0, 100.0).otherwise(F.round(F.try_divide(F.size(F.filter("e", lambda x: F.contains("rest", F.lower(x)))).cast("double"), F.size("e")) * 100, 1))
+    return rows.select("doc_id", V.postprocess_score(F.col("text"), head, F.col("spec"), F.col("nums"), known).alias("score"))
 
 
 # News
@@ -280,14 +306,20 @@ def _(t):
 
 @query(
     "p_quality_context",
-    f"""SELECT d.draft_id, coalesce(q.n, 0) AS questions, coalesce(w.n, 0) AS news, coalesce(f.n, 0) AS years FROM drafts d LEFT JOIN (SELECT draft_id, count(*) AS n FROM questionnaires GROUP BY 1) q USING (draft_id)
-    LEFT JOIN (SELECT corp_code, least(8, count(*)) AS n FROM news WHERE published_at >= DATE '{AS_OF}' - 60 GROUP BY 1) w USING (corp_code) LEFT JOIN (SELECT corp_code, least(4, count(*)) AS n FROM financials GROUP BY 1) f USING (corp_code)""",
+    f"""SELECT d.draft_id, coalesce(q.n, 0) AS questions, coalesce(w.n, 0) AS news, coalesce(w.titles, '') AS titles, coalesce(f.years, '') AS years, coalesce(b.excerpt, '') AS excerpt FROM drafts d LEFT JOIN (SELECT draft_id, count(*) AS n FROM questionnaires GROUP BY 1) q USING (draft_id)
+    LEFT JOIN (SELECT corp_code, count(*) AS n, string_agg(title, '|' ORDER BY k) AS titles FROM (SELECT corp_code, title, row_number() OVER (PARTITION BY corp_code ORDER BY published_at DESC, id) AS k FROM news WHERE published_at >= DATE '{AS_OF}' - 60) WHERE k <= 8 GROUP BY 1) w USING (corp_code)
+    LEFT JOIN (SELECT corp_code, string_agg(fiscal_year, '|' ORDER BY k) AS years FROM (SELECT corp_code, fiscal_year, row_number() OVER (PARTITION BY corp_code ORDER BY fiscal_year DESC) AS k FROM financials) WHERE k <= 4 GROUP BY 1) f USING (corp_code)
+    LEFT JOIN (SELECT corp_code, substr(arg_max(biz_content, (rcept_dt, id)), 1, 200) AS excerpt FROM reports WHERE biz_content IS NOT NULL GROUP BY 1) b USING (corp_code)""",
 )
 def _(t):
     asked = t.questionnaires.groupBy("draft_id").agg(n("questions"))
-    news = t.news.filter(F.col("published_at") >= F.date_sub(F.lit(AS_OF).cast("date"), 60)).groupBy("corp_code").agg(F.least(F.lit(8), F.count("*")).alias("news"))
-    years = t.financials.groupBy("corp_code").agg(F.least(F.lit(4), F.count("*")).alias("years"))
-    return t.drafts.select("draft_id", "corp_code").join(asked, "draft_id", "left").join(news, "corp_code", "left").join(years, "corp_code", "left").fillna(0).select("draft_id", "questions", "news", "years")
+    fresh = t.news.filter(F.col("published_at") >= F.date_sub(F.lit(AS_OF).cast("date"), 60)).select("corp_code", "title", "published_at", "id")
+    in_order = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", c))), lambda x: x[c].cast("string")), "|")
+    news = top_per_key(fresh, ["corp_code"], 8, F.desc("published_at"), F.col("id")).groupBy("corp_code").agg(n("news"), in_order("title").alias("titles"))
+    years = top_per_key(t.financials.select("corp_code", "fiscal_year"), ["corp_code"], 4, F.desc("fiscal_year")).groupBy("corp_code").agg(in_order("fiscal_year").alias("years"))
+    filed = t.reports.filter("biz_content IS NOT NULL").groupBy("corp_code").agg(F.substring(F.max_by("biz_content", F.struct("rcept_dt", "id")), 1, 200).alias("excerpt"))
+    rows = t.drafts.select("draft_id", "corp_code").join(asked, "draft_id", "left").join(news, "corp_code", "left").join(years, "corp_code", "left").join(filed, "corp_code", "left")
+    return rows.fillna(0, ["questions", "news"]).fillna("", ["titles", "years", "excerpt"]).select("draft_id", "questions", "news", "titles", "years", "excerpt")
 
 
 # Contacts

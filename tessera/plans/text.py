@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tessera.functions import changes, contact, numbers, text
+from tessera.functions import changes, contact, numbers, questions, text
 from tessera.functions.contact import domain_category
 from tessera.operators import filings, financial, verification
 from tessera.operators.citations import uncited_phrases
@@ -358,10 +358,16 @@ def _(t):
     return t.messages.select("msg_id", joined(F.array_sort(names)).alias("names"))
 
 
-@query("txt_ir_links", "SELECT page_id, len(list_filter(regexp_extract_all(html, '<a href=\"([^\"]*)\">', 1), lambda x: regexp_matches(x, '(?i)th|en'))) AS n FROM pages")
+#: Hints of contact pages in links or their texts.
+LINK_HINTS = ["contact", "invest", "/ir", "the", "heed", "ción"]
+ANCHOR = '(?is)<a\\s[^>]*href="([^"]*)"[^>]*>(.*?)</a>'
+
+
+@query("txt_ir_links", f"""SELECT page_id, len(x)::BIGINT AS n, x[1][1] AS first FROM (SELECT page_id, list_filter(list_zip(regexp_extract_all(html, '{ANCHOR}', 1), regexp_extract_all(html, '{ANCHOR}', 2)),
+    lambda a: regexp_matches(lower(a[1]), '{"|".join(LINK_HINTS)}') OR regexp_matches(lower(regexp_replace(a[2], '<[^>]+>', '', 'g')), '{"|".join(LINK_HINTS)}')) AS x FROM pages)""")
 def _(t):
-    links = F.filter(text.find_all(F.col("html"), '<a href="([^"]*)">', 1), lambda x: x.rlike("(?i)th|en"))
-    return t.pages.select("page_id", F.size(links).cast("long").alias("n"))
+    links = text.hinted_links(F.col("html"), ANCHOR, LINK_HINTS)
+    return t.pages.select("page_id", links.alias("x")).select("page_id", F.size("x").cast("long").alias("n"), F.get("x.href", F.lit(0)).alias("first"))
 
 
 PATHS = ["/ir", "/contact", "/about", "/ir"]
@@ -433,11 +439,25 @@ def _(t):
     return filings.relations(written, "corp_code", "body").drop("context")
 
 
-@query("txt_change_hint", "SELECT id, CASE WHEN lead_type = 'risk' AND severity >= 4 THEN 'urgent' WHEN contains(title, '7') THEN 'detail' ELSE 'general' END AS hint, array_to_string((list_concat(['why'], CASE WHEN severity >= 3 THEN ['how much', 'when'] ELSE [] END, ['what next']))[1:3], '|') AS questions FROM leads")
+#: Questions by kind of change, by type of lead, and for the rest.
+QUESTION_SETS = {
+    "NEW": ["why now?", "how much is invested?", "who is the customer?", "when does it pay?", "what is the risk?", "who else does it?"], "REMOVED": ["why is it given up?", "what becomes of the staff?"], "EXPANDED": ["by how much?"],
+    "CHANGED": ["what was it before?", "who decided?"], "risk": ["how likely is it?", "what is done?"], "supply": ["which suppliers?"], "default": ["what changed?", "what comes next?"],
+}
+HEADLINE = "concat(title, CASE id % 4 WHEN 0 THEN concat(', up ', signal_count, ' %') WHEN 1 THEN concat(', worth ', signal_count, '억원') WHEN 2 THEN concat(', 2.5억 and ', signal_count, '%') ELSE '' END)"
+_ABOUT = "title || CASE id % 4 WHEN 0 THEN ': as of when, and by which measure, is ' || signal_count || ' %?' WHEN 1 THEN ': what does ' || signal_count || '억원 rest on?' WHEN 2 THEN ': as of when, and by which measure, is ' || signal_count || '%?' END"
+_KIND = " ".join(f"WHEN {' OR '.join([*(f"contains(lower(title || ' ' || said), '{m}')" for m in marks), *(f"contains(said, '{w}')" for w in words)])} THEN '{k}'" for k, marks, words in questions.KINDS)
+_SETS = " ".join(f"WHEN '{k}' THEN {v}" for k, v in QUESTION_SETS.items() if k != "default")
+_OF_TYPE = " ".join(f"WHEN '{k}' THEN {v}" for k, v in QUESTION_SETS.items() if k.islower() and k != "default")
+_NONE = [k for k, _, _ in questions.KINDS if k not in QUESTION_SETS]
+
+
+@query("txt_change_hint", f"""SELECT id, kind, array_to_string(list_filter(list_concat([{_ABOUT}], own[1:5]), lambda q: q IS NOT NULL)[1:6], '|') AS questions FROM (SELECT *, CASE kind {_SETS} ELSE CASE lead_type {_OF_TYPE} ELSE {QUESTION_SETS["default"]} END END AS own
+    FROM (SELECT *, CASE {_KIND} END AS kind FROM (SELECT *, {CHANGE_TEXT_SQL} AS said FROM leads)))""")
 def _(t):
-    hint = F.when((F.col("lead_type") == "risk") & (F.col("severity") >= 4), "urgent").when(F.contains("title", F.lit("7")), "detail").otherwise("general")
-    asked = F.concat(F.array(F.lit("why")), F.when(F.col("severity") >= 3, F.array(F.lit("how much"), F.lit("when"))).otherwise(F.array().cast("array<string>")), F.array(F.lit("what next")))
-    return t.leads.select("id", hint.alias("hint"), joined(F.slice(asked, 1, 3)).alias("questions"))
+    rows = t.leads.select("id", "lead_type", F.expr(HEADLINE).alias("headline"), F.expr(CHANGE_TEXT).alias("said"))
+    headline, said = F.col("headline"), F.col("said")
+    return rows.select("id", questions.kind_of(headline, said).alias("kind"), joined(questions.questions(headline, said, F.col("lead_type"), QUESTION_SETS)).alias("questions"))
 
 
 #: Answers in every form that a model gives them in.

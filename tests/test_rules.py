@@ -8,9 +8,10 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.functions import changes, numbers, text
+from tessera.functions import changes, numbers, questions, text
 from tessera.functions.contact import domain_category
 from tessera.operators import keywords, leads
+from tessera.operators import verification as V
 from tessera.operators.citations import uncited, uncited_phrases
 
 
@@ -154,3 +155,31 @@ def test_related_companies_of_a_hub(spark):
                 score[c] = 30
         ranked = sorted((c for c in score if own[c][1] != "c"), key=lambda c: (-score[c], own[c][0], c))[:20]
         assert sorted(got.get(r["id"], [])) == [(k, c, score[c]) for k, c in enumerate(ranked, 1)]
+
+
+# Questions, links, post-processing
+
+
+def test_questions_of_a_headline(spark):
+    sets = {"NEW": [f"n{k}" for k in range(7)], "SHRUNK": ["s"], "risk": ["r"], "default": ["d"]}
+    rows = [
+        ("Alpha, up 12.5 %", "신규 사업", "risk"), ("Beta worth 3억원, so", "축소", "risk"), ("Gamma", "나머지", "risk"), ("Delta", "nothing", "other"), ("Shrunk eps", "", None), ("7억 and 8%, x", "none", "x"), ("Removed", "", "risk"), (None, None, None),
+    ]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, h string, c string, t string")
+    got = [tuple(r) for r in sorted(df.select("i", questions.kind_of(F.col("h"), F.col("c")).alias("k"), questions.questions(F.col("h"), F.col("c"), F.col("t"), sets).alias("q")).collect())]
+    assert [g[1:] for g in got] == [
+        ("NEW", ["Alpha: as of when, and by which measure, is 12.5 %?", "n0", "n1", "n2", "n3", "n4"]), ("SHRUNK", ["Beta worth 3억원: what does 3억원 rest on?", "s"]), (None, ["r"]), (None, ["d"]), ("SHRUNK", ["s"]),
+        (None, ["7억 and 8%: as of when, and by which measure, is 8%?", "d"]), ("REMOVED", ["r"]), (None, ["d"]),
+    ]
+
+
+def test_links_with_hints(spark):
+    html = '<a class=x href="/About">us</a><a href="/x"><b>Con</b>tact</a> <A HREF="/IR/en">more</A><a href="/y">y</a>'
+    got = column(spark, [html, "", None], lambda c: text.hinted_links(c, r'(?is)<a\s[^>]*href="([^"]*)"[^>]*>(.*?)</a>', ["contact", "/ir"]))
+    assert [y if y is None else [tuple(x) for x in y] for y in got] == [[("/x", "Contact"), ("/IR/en", "more")], [], None]
+
+
+@pytest.mark.parametrize("parts,score", [((100, 0, 0, 100.0), 100), ((81, 0, 0, 100.0), 91), ((100, 3, 4, 60.0), 76), ((100, 0, 6, 33.3), 81), ((0, 9, 0, 0.0), 0)])
+def test_postprocess_score(spark, parts, score):
+    row = spark.createDataFrame([("x", *parts), ("", *parts), (None, *parts)], "b string, h int, s int, n int, k double")
+    assert [r[0] for r in row.select(V.postprocess_score(*map(F.col, "bhsnk"))).collect()] == [score, 0, 0]
