@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tessera.operators.lineage import cut
 
 #: Members of an item up to which its pairs are made as they are.
 LIGHT = 1_000
+#: Members of a bucket, buckets and rows of one up to which pairs are counted in cells of two buckets; pairs made at once.
+BUCKET, MOST_BUCKETS, BUCKET_ROWS, AT_ONCE = 2_000, 64, 2_000_000, 2_000_000
 
 
 def _wedges(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -35,19 +41,81 @@ def _dealt_wedges(rows: DataFrame, light: int) -> DataFrame:
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
-def shared_pairs(named: DataFrame, member: str, items: Sequence[str], least: int = 3, light: int = LIGHT) -> DataFrame:
+def _wedge_places(left: np.ndarray, right: np.ndarray, starts: list[np.ndarray], width: int) -> Iterator[np.ndarray]:
+    """Places left * width + right of all pairs of rows with the same item, about AT_ONCE of them at once. starts: of each item's rows on either side, with ends."""
+    a0, a1, b0, b1 = starts
+    made = (a1 - a0) * (b1 - b0)
+    upto = np.cumsum(made)
+    k = 0
+    while k < len(made):
+        e = max(int(np.searchsorted(upto, (upto[k - 1] if k else 0) + AT_ONCE, "right")), k + 1)
+        rows = np.repeat(np.arange(k, e), (a1 - a0)[k:e])  # a left row of each item, with the item's number
+        at = np.concatenate([np.arange(x, y) for x, y in zip(a0[k:e], a1[k:e])])
+        wide = (b1 - b0)[rows]
+        begin = np.cumsum(wide) - wide
+        other = np.arange(int(wide.sum())) - np.repeat(begin, wide) + np.repeat(b0[rows], wide)
+        yield np.repeat(left[at], wide) * width + right[other]
+        k = e
+
+
+def _counted_in_cells(rows: DataFrame, least: int, buckets: int) -> DataFrame:
+    """(a, b, shared) of rows (no, m): each cell of two buckets of members counts all its pairs in one array, so no pair moves."""
+    kind = rows.schema["m"].dataType
+    schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind), T.StructField("shared", T.LongType())])
+    arrow = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in schema])
+
+    def count(cell: pa.Table) -> pa.Table:
+        no, own = cell.column("no").to_numpy(), cell.column("own").to_numpy()
+        names, m = np.unique(cell.column("m").to_numpy(zero_copy_only=False) if pa.types.is_primitive(cell.column("m").type) else np.array(cell.column("m").to_pylist(), dtype=object), return_inverse=True)
+        alone = cell.column("lo")[0].as_py() == cell.column("hi")[0].as_py()
+        first = np.ones(len(no), bool) if alone else own == cell.column("lo")[0].as_py()
+        second = first if alone else ~first
+        sides = []
+        for side in (first, second):
+            order = np.argsort(no[side], kind="stable")
+            item, member = no[side][order], m[side][order]
+            here, index = np.unique(member, return_inverse=True)
+            sides.append((item, index, here))
+        (item_a, index_a, here_a), (item_b, index_b, here_b) = sides
+        both = np.intersect1d(item_a, item_b)
+        starts = [np.searchsorted(x, both, side) for x in (item_a, item_b) for side in ("left", "right")]
+        counts = np.zeros(len(here_a) * len(here_b), np.int64)
+        for places in _wedge_places(index_a, index_b, starts, len(here_b)):
+            counts += np.bincount(places, minlength=len(counts))
+        at = np.flatnonzero(counts >= least)
+        a, b = here_a[at // len(here_b)], here_b[at % len(here_b)] if len(here_b) else at
+        keep = a < b if alone else a != b
+        a, b, n = a[keep], b[keep], counts[at][keep]
+        lower, upper = np.minimum(a, b), np.maximum(a, b)  # numbers of members ascend as members do
+        return pa.Table.from_arrays([pa.array(names[lower].tolist(), arrow.field(0).type), pa.array(names[upper].tolist(), arrow.field(1).type), pa.array(n, pa.int64())], schema=arrow)
+
+    own = F.pmod(F.xxhash64("m"), F.lit(buckets)).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.lit(buckets - 1)))
+    dealt = rows.select("no", "m", own.alias("own"), other.alias("other"))
+    dealt = dealt.select("no", "m", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+    cells = buckets * (buckets + 1) // 2
+    return dealt.repartition(cells, "lo", "hi").groupBy("lo", "hi").applyInArrow(count, schema)
+
+
+def shared_pairs(named: DataFrame, member: str, items: Sequence[str], least: int = 3, light: int = LIGHT, bucket: int = BUCKET, most_buckets: int = MOST_BUCKETS) -> DataFrame:
     """(a, b, shared): members a < b that share at least ``least`` different items, and how many. Exact.
 
     Take each member's items by how many share them, the most shared last. Two members with ``least`` items in
     common have one in common that is not among the last ``least`` - 1 of either. So a heavy
     item makes no pairs for those members of which it is one of the last; whether they share it too is looked up for the pairs
     that the other items make. What is left of heavy items is dealt out in cells.
-    Rows with a null member or item name nothing.
+    While members fit MOST_BUCKETS buckets, none of more than BUCKET_ROWS rows, cells of two buckets count their pairs in place instead, hubs or not: each row
+    goes to as many cells as there are buckets, and no pair moves. Both ways give the same. Rows with a null member or item name nothing.
     """
     known = named.select(F.col(member).alias("m"), *items).dropna().distinct()
     degrees = known.groupBy(*items).agg(F.count("*").alias("degree")).filter("degree > 1")
     degrees = cut(degrees.withColumn("no", F.monotonically_increasing_id()))
     rows = cut(known.join(degrees, list(items)).select("no", "m", "degree"))
+    buckets = -(-rows.select("m").distinct().count() // bucket)
+    if 0 < buckets <= most_buckets:
+        largest = rows.groupBy(F.pmod(F.xxhash64("m"), F.lit(buckets))).count().agg(F.max("count")).first()[0]
+        if largest <= BUCKET_ROWS:
+            return _counted_in_cells(rows.select("no", "m"), least, buckets)
     if not degrees.filter(F.col("degree") > light).limit(1).count():
         return _wedges(rows.select("no", "m"), ["no"]).groupBy("a", "b").agg(F.count("*").alias("shared")).filter(F.col("shared") >= least)
 

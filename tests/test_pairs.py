@@ -9,6 +9,7 @@ from itertools import combinations
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.operators import pairs
 from tessera.operators.pairs import shared_pairs
 
 
@@ -22,7 +23,7 @@ def brute_force(rows: list[tuple], least: int) -> set[tuple]:
 
 
 @pytest.mark.parametrize("least", [1, 2, 3, 5])
-def test_by_brute_force(spark, least):
+def test_by_brute_force(spark, monkeypatch, least):
     """Items of every size, a few hubs of which some members have several, repeated and null rows."""
     rng = random.Random(least)
     rows = [(rng.randrange(120), f"p{rng.randrange(60)}", rng.choice("xy")) for _ in range(900)]
@@ -30,8 +31,19 @@ def test_by_brute_force(spark, least):
     rows += rows[:50] + [(None, "p1", "x"), (1, None, "x"), (2, "p1", None)]
     df = spark.createDataFrame(rows, "corp long, partner string, relation string")
     for light in (1, 5, 20, 1000):
-        got = {tuple(r) for r in shared_pairs(df, "corp", ["partner", "relation"], least, light).collect()}
-        assert got == brute_force(rows, least), light
+        got = [tuple(r) for r in shared_pairs(df, "corp", ["partner", "relation"], least, light, most_buckets=0).collect()]
+        assert len(got) == len(set(got)) and set(got) == brute_force(rows, least), light
+    for bucket, at_once in ((1000, 10), (50, 1000), (7, 10**6)):
+        monkeypatch.setattr(pairs, "AT_ONCE", at_once)
+        got = [tuple(r) for r in shared_pairs(df, "corp", ["partner", "relation"], least, bucket=bucket).collect()]
+        assert len(got) == len(set(got)) and set(got) == brute_force(rows, least), bucket
+
+
+def test_members_by_name(spark):
+    rows = [("é", "x"), ("a", "x"), ("é", "y"), ("a", "y"), ("b", "y"), ("가", "x"), ("가", "y")]
+    df = spark.createDataFrame(rows, "corp string, partner string")
+    got = {tuple(r) for r in shared_pairs(df, "corp", ["partner"], 2, bucket=2).collect()}
+    assert got == {("a", "é", 2), ("a", "가", 2), ("é", "가", 2)} == {tuple(r) for r in shared_pairs(df, "corp", ["partner"], 2, most_buckets=0).collect()}
 
 
 def test_no_rows(spark):
@@ -44,15 +56,13 @@ def test_hub_makes_no_square_of_pairs(spark):
     members = spark.range(5000).withColumnRenamed("id", "corp")
     hub = members.select("corp", F.lit("hub").alias("partner"))
     light = members.select("corp", F.explode(F.array(*[F.concat(F.lit(f"p{k}-"), F.floor(F.col("corp") / (5 + k)).cast("string")) for k in range(3)])).alias("partner"))
-    got = shared_pairs(hub.unionByName(light), "corp", ["partner"], 3)
+    got = shared_pairs(hub.unionByName(light), "corp", ["partner"], 3, most_buckets=0)
     want = sum(1 for a in range(5000) for b in range(a + 1, min(a + 8, 5000)) if 1 + sum(a // (5 + k) == b // (5 + k) for k in range(3)) >= 3)
-    assert got.count() == want
+    assert got.count() == want == shared_pairs(hub.unionByName(light), "corp", ["partner"], 3).count()
 
 
 def test_dealt_hubs_leave_no_large_task(spark):
     """Members with many hubs: the hubs before their last two are dealt over cells, none of which has much more than the others."""
-    from tessera.operators import pairs
-
     rows = spark.range(5000).select(F.explode(F.array(*[F.lit(k).cast("long") for k in range(4)])).alias("no"), F.col("id").alias("m"), F.lit(5000).cast("long").alias("degree"))
     bits = F.length(F.bin(F.floor((F.col("degree") - 1) / 500)))
     assert rows.select(F.call_function("shiftleft", F.lit(1), bits).alias("k")).distinct().collect()[0].k == 16
