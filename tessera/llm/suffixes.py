@@ -7,10 +7,11 @@ earlier in the same document). Strings never cross documents and are judged on t
    anchor, so equal strings have equal anchors, and about one position in 35 is one. The
    strings of an anchor lie within its context: LENGTH - GRAM bytes before it and LENGTH after.
 2. Whole contexts. Anchors are dealt by hash and sorted. Where one with the same context stands
-   earlier, all its strings repeat. Contexts are equal by hash here: 64 bits of polynomial hash
-   of the anchor's gram, and 64 of XXH3 of the whole context with its lengths; bytes are not
-   compared in this step. Tasks combine theirs first, so copies cost a row a task. Of an anchor
-   with several contexts, the first row of each goes on.
+   earlier, all its strings repeat. Contexts are equal here if their keyed 128-bit BLAKE2b digests
+   are, which take in the context and its lengths: 2^40 contexts hold two unequal ones of one
+   digest with a probability of 2^-49, and to make two takes about 2^64 tries. Tasks combine
+   theirs first, so copies cost a row a task. Of an anchor with several contexts, the first row
+   of each goes on.
 3. Suffix sort. The contexts of these are cut from the texts and the suffixes that begin at
    anchors are put in order by mergesort. A comparison finds the common extension of two
    suffixes by binary search over their prefix polynomial hashes and looks at one byte after
@@ -41,7 +42,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -50,6 +50,8 @@ from tessera.llm.common import durable, table, text_or_empty
 
 LENGTH, GRAM = 100, 32
 BEFORE = LENGTH - GRAM
+#: Key of the digests of contexts.
+DIGEST_KEY = b"contexts of anchors"
 #: Windows of GRAM-byte hashes in a string.
 SPAN = LENGTH - GRAM + 1
 #: Bytes hashed at once, and of a document's text in one part; positions take 20 bits.
@@ -98,15 +100,26 @@ class Prefixes:
         return (self.sums[n:] - self.sums[:m]) * self.down[:m]
 
 
+def context_digests(raw: bytes, a: np.ndarray, b: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Keyed 128-bit digests, as two numbers, of raw[a:b] around q with the lengths on both sides of q."""
+    keyed = hashlib.blake2b(key=DIGEST_KEY, digest_size=16)
+    found = bytearray()
+    for i, j, k in zip(a.tolist(), b.tolist(), q.tolist()):
+        digest = keyed.copy()
+        digest.update(raw[i:j] + bytes((k - i, j - k)))
+        found += digest.digest()
+    return np.frombuffer(bytes(found), np.int64).reshape(-1, 2)
+
+
 def anchors(raw: np.ndarray, first: np.ndarray, last: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     """Anchors of the strings that start in parts of a buffer.
 
     Part k holds raw[low[k] : high[k]]; its strings start at first[k] to last[k] - 1. Returns rows
-    (hash, context, part, position, first start, last start).
+    (hash, digest of the context in two numbers, part, position, first start, last start).
     """
     kept = last > first
     if not kept.any():
-        return np.zeros((0, 6), np.int64)
+        return np.zeros((0, 7), np.int64)
     grams = _mix(Prefixes(raw, 0).grams(GRAM))
     mask = np.uint64((1 << 20) - 1)
     least = (grams & ~mask) | np.arange(len(grams), dtype=np.uint64)
@@ -124,13 +137,12 @@ def anchors(raw: np.ndarray, first: np.ndarray, last: np.ndarray, low: np.ndarra
     end = np.append(new[1:], len(at)) - 1
     q, part = at[new], part[new]
     a, b = np.maximum(q - BEFORE, low[part]), np.minimum(q + LENGTH, high[part])
-    whole = raw.tobytes()
-    context = np.fromiter((xxhash.xxh3_64_intdigest(whole[i:j], k) for i, j, k in zip(a.tolist(), b.tolist(), ((q - a) * 1024 + (b - q)).tolist())), np.uint64, len(q))
-    return np.stack([grams[q].view(np.int64), context.view(np.int64), part, q, start[new], start[end]], axis=1)
+    context = context_digests(raw.tobytes(), a, b, q)
+    return np.stack([grams[q].view(np.int64), *context.T, part, q, start[new], start[end]], axis=1)
 
 
 def text_anchors(texts: list[bytes]) -> np.ndarray:
-    """Rows (hash, context, text number, position, first start, last start) over all texts."""
+    """Rows (hash, digest of the context in two numbers, text number, position, first start, last start) over all texts."""
     found, parts, held = [], [], 0
 
     def flush() -> None:
@@ -141,10 +153,10 @@ def text_anchors(texts: list[bytes]) -> np.ndarray:
         number, offset, first, last, own_a, own_b = (np.array([p[k] for p in parts]) for k in range(1, 7))
         shift = low - offset
         rows = anchors(raw, first + shift, last + shift, low, low + sizes)
-        k = rows[:, 2]
-        rows[:, 3:6] -= shift[k][:, None]
-        mine = (rows[:, 4] >= own_a[k]) & (rows[:, 4] < own_b[k])
-        rows[:, 2] = number[k]
+        k = rows[:, 3]
+        rows[:, 4:7] -= shift[k][:, None]
+        mine = (rows[:, 5] >= own_a[k]) & (rows[:, 5] < own_b[k])
+        rows[:, 3] = number[k]
         found.append(rows[mine])
         parts, held = [], 0
 
@@ -159,7 +171,7 @@ def text_anchors(texts: list[bytes]) -> np.ndarray:
                 flush()
     if parts:
         flush()
-    return np.concatenate(found) if found else np.zeros((0, 6), np.int64)
+    return np.concatenate(found) if found else np.zeros((0, 7), np.int64)
 
 
 def merge_sort(forward: np.ndarray, size: np.ndarray, raw: np.ndarray, group: np.ndarray) -> np.ndarray:
@@ -283,9 +295,9 @@ def join_runs(doc: np.ndarray, v: np.ndarray, lo: np.ndarray, hi: np.ndarray) ->
     return doc[first], v[first], lo[first], np.maximum.reduceat(hi, first) if len(first) else hi
 
 
-# Rows between the steps. kind 0: an anchor (h, ctx, position q, its string starts lo to hi);
+# Rows between the steps. kind 0: an anchor (h, digest ctx and ctx2, position q, its string starts lo to hi);
 # 1: string starts lo to hi repeat; 2: an anchor whose context is one of several; 3: a marker of a hot anchor.
-ROW = T.StructType([T.StructField(c, T.LongType()) for c in ("spread", "h", "ctx", "kind", "doc", "v", "q", "lo", "hi")])
+ROW = T.StructType([T.StructField(c, T.LongType()) for c in ("spread", "h", "ctx", "ctx2", "kind", "doc", "v", "q", "lo", "hi")])
 
 
 def _batch(columns: list[np.ndarray]) -> pa.RecordBatch:
@@ -293,31 +305,29 @@ def _batch(columns: list[np.ndarray]) -> pa.RecordBatch:
 
 
 def _combined(rows: np.ndarray, heavy: int = HEAVY) -> Iterator[pa.RecordBatch]:
-    """rows (h, ctx, doc, v, q, lo, hi) of a flush: the first of every context, the rest as repeats."""
-    rows = rows[np.lexsort((rows[:, 4], rows[:, 3], rows[:, 2], rows[:, 1], rows[:, 0]))]
-    h, ctx = rows[:, 0], rows[:, 1]
-    new_h = np.append(True, h[1:] != h[:-1])
-    new = new_h | np.append(True, ctx[1:] != ctx[:-1])
+    """rows (h, ctx, ctx2, doc, v, q, lo, hi) of a flush: the first of every context, the rest as repeats."""
+    rows = rows[np.lexsort(rows[:, 5::-1].T)]
+    new = np.append(True, (rows[1:, :3] != rows[:-1, :3]).any(axis=1))
     head = np.maximum.accumulate(np.where(new, np.arange(len(rows)), 0))
-    same = (rows[:, 2:5] == rows[head, 2:5]).all(axis=1)  # a row that repeats its document
+    same = (rows[:, 3:6] == rows[head, 3:6]).all(axis=1)  # a row that repeats its document
     again = rows[~new & ~same]
-    doc, v, lo, hi = join_runs(again[:, 2], again[:, 3], again[:, 5], again[:, 6])
+    doc, v, lo, hi = join_runs(again[:, 3], again[:, 4], again[:, 6], again[:, 7])
     zero = np.zeros(len(doc), np.int64)
-    yield _batch([_mix(doc.view(np.uint64)).view(np.int64), zero, zero, zero + 1, doc, v, zero, lo, hi])
+    yield _batch([_mix(doc.view(np.uint64)).view(np.int64), zero, zero, zero, zero + 1, doc, v, zero, lo, hi])
     first = rows[new]
     h = first[:, 0]
     begin = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
     count = np.diff(np.append(begin, len(h)))
     hot = np.repeat(count >= heavy, count)
     spread = np.where(hot, _mix(first[:, 1].view(np.uint64)).view(np.int64) >> 56, 0) + h
-    yield _batch([spread, h, first[:, 1], np.zeros(len(h)), *(first[:, k] for k in range(2, 7))])
+    yield _batch([spread, *first[:, :3].T, np.zeros(len(h)), *first[:, 3:].T])
     mark = np.repeat(h[begin][count >= heavy], 256)
     zero = np.zeros(len(mark), np.int64)
-    yield _batch([mark + np.resize(np.arange(-128, 128), len(mark)), mark, zero, zero + 3, zero, zero, zero, zero, zero])
+    yield _batch([mark + np.resize(np.arange(-128, 128), len(mark)), mark, zero, zero, zero + 3, zero, zero, zero, zero, zero])
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (h, ctx, kind != 3, doc, v, q): repeats, and the first of each context of an anchor with several."""
+    """Rows sorted by (h, ctx, ctx2, kind != 3, doc, v, q): repeats, and the first of each context of an anchor with several."""
     pending, before = np.zeros((0, len(ROW)), np.int64), None  # a first row not yet judged, and the h of the one before it
 
     def judged(first: np.ndarray, close: bool) -> np.ndarray:
@@ -330,26 +340,26 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with_last = np.append(False, h[1:] == h[:-1])
         with_last[0] = before is not None and before == h[0]
         done = rows if close else rows[:-1]
-        out = done[(with_next | with_last)[: len(done)] & (done[:, 3] == 0)].copy()
+        out = done[(with_next | with_last)[: len(done)] & (done[:, 4] == 0)].copy()
         if not close:
             before = h[-2] if len(h) > 1 else before
             pending = rows[-1:]
-        out[:, 3] = 2
+        out[:, 4] = 2
         return out
 
     last = np.zeros((0, len(ROW)), np.int64)  # the first row of the context at hand
     for batch in batches:
         rows = np.stack([batch.column(k).to_numpy() for k in range(len(ROW))], axis=1)
-        yield _batch(list(rows[rows[:, 3] == 1].T))
-        rows = rows[rows[:, 3] != 1]
+        yield _batch(list(rows[rows[:, 4] == 1].T))
+        rows = rows[rows[:, 4] != 1]
         if not len(rows):
             continue
         rows = np.concatenate([last, rows])
-        new = np.append(True, (rows[1:, 1] != rows[:-1, 1]) | (rows[1:, 2] != rows[:-1, 2]) | (rows[1:, 3] != rows[:-1, 3]))
+        new = np.append(True, (rows[1:, 1:5] != rows[:-1, 1:5]).any(axis=1))
         head = np.maximum.accumulate(np.where(new, np.arange(len(rows)), 0))
-        again = ~new & (rows[:, 3] == 0) & (rows[:, 4:7] != rows[head][:, 4:7]).any(axis=1)
+        again = ~new & (rows[:, 4] == 0) & (rows[:, 5:8] != rows[head][:, 5:8]).any(axis=1)
         found = rows[again].copy()
-        found[:, 3] = 1
+        found[:, 4] = 1
         yield _batch(list(found.T))
         fresh = new.copy()
         fresh[0] = new[0] and not len(last)
@@ -495,8 +505,8 @@ def remove_repeats(docs: DataFrame, flush: int = FLUSH, heavy: int = HEAVY, hot:
         for batch in batches:
             for part in (batch.slice(a, 2_000) for a in range(0, batch.num_rows, 2_000)):
                 rows = text_anchors([t.as_py().encode() for t in part.column("text")])
-                doc, v = part.column("doc").to_numpy()[rows[:, 2]], part.column("v").to_numpy()[rows[:, 2]]
-                held.append(np.column_stack([rows[:, 0], rows[:, 1], doc, v, rows[:, 3], rows[:, 4], rows[:, 5]]))
+                doc, v = part.column("doc").to_numpy()[rows[:, 3]], part.column("v").to_numpy()[rows[:, 3]]
+                held.append(np.column_stack([rows[:, :3], doc, v, rows[:, 4:]]))
                 n += len(rows)
                 if n >= flush:
                     yield from _combined(np.concatenate(held), heavy)
@@ -505,7 +515,7 @@ def remove_repeats(docs: DataFrame, flush: int = FLUSH, heavy: int = HEAVY, hot:
             yield from _combined(np.concatenate(held), heavy)
 
     dealt = texts.select("doc", "v", "text").mapInArrow(find, ROW).repartition("spread")
-    ordered = dealt.sortWithinPartitions("h", "ctx", F.col("kind") != 3, "doc", "v", "q")
+    ordered = dealt.sortWithinPartitions("h", "ctx", "ctx2", F.col("kind") != 3, "doc", "v", "q")
     judged = durable(ordered.mapInArrow(_contexts, ROW).select("h", "kind", "doc", "v", "q", "lo", "hi"), "suffix-contexts")
 
     several = judged.filter("kind = 2").select("h", "doc", "v", "q", "lo", "hi")

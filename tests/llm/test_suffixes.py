@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessera.llm import suffixes
@@ -69,3 +70,26 @@ def test_hot_anchors_change_nothing(spark, settings):
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
     got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffixes.remove_repeats(df, **settings).collect()}
     assert got == brute_force(docs)
+
+
+def test_contexts_of_equal_gram_and_half_a_digest_are_apart():
+    """Whole contexts are one only if all 128 bits are, in a task and over tasks."""
+    rows = np.array([[7, 5, 1, 10, 0, 3, 0, 3], [7, 5, 2, 11, 0, 4, 1, 4], [7, 5, 1, 12, 0, 5, 2, 5], [8, 5, 1, 13, 0, 6, 3, 6]])
+    names = suffixes.ROW.names
+
+    def by_kind(batches):
+        out = [dict(zip(names, r)) for b in batches for r in zip(*(c.to_pylist() for c in b.columns))]
+        return {k: sorted(r["doc"] for r in out if r["kind"] == k) for k in (0, 1, 2)}
+
+    assert by_kind(suffixes._combined(rows)) == {0: [10, 11, 13], 1: [12], 2: []}
+    alone = [b for r in rows for b in suffixes._combined(r[None, :])]
+    table = pa.Table.from_batches(alone).sort_by([(c, "ascending") for c in ("h", "ctx", "ctx2", "doc")])
+    for size in (1, 2, 9):
+        assert by_kind(suffixes._contexts(iter(table.to_batches(max_chunksize=size)))) == {0: [], 1: [12], 2: [10, 11]}
+
+
+def test_digests_take_in_contexts_and_lengths():
+    raw = b"abcabcabc"
+    a, b, q = np.array([0, 3, 0, 0, 1]), np.array([3, 6, 3, 4, 4]), np.array([1, 4, 2, 1, 1])
+    found = [tuple(r) for r in suffixes.context_digests(raw, a, b, q)]
+    assert found[0] == found[1] and len(set(found)) == 4
