@@ -14,7 +14,10 @@ shingle in a window full of others). Retrieved pairs are kept where the window h
 
 Templates are a parameter, at most ``MOST_TEMPLATE_WORDS`` words in all (checked): what is
 joined by broadcast has that bound. Templates longer than STEP words are cut into parts of
-that length; a template is found where enough of its parts are.
+that length; a template is found where at least ``CONTAINMENT`` of its parts are, and the
+reported containment is that of the whole template: shingles held in parts that were found, of
+all it has. The templates are notices (``NOTICES``) and whole licences (``license_texts``); a
+text is reported for each that it holds, so for a licence's notice as well as for the licence.
 
 Behaviour: null and empty texts, and ones of fewer than five words, match nothing. A result
 row is one (document, template); rows that repeat a doc_id and text count once, unequal texts
@@ -32,9 +35,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import table, text_or_empty
+from tessera.llm.license_texts import TEXTS
 
 #: Notices as their licences word them.
-TEMPLATES = {
+NOTICES = {
     "agpl-3.0": "This program is distributed under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
     "apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
@@ -51,6 +55,7 @@ TEMPLATES = {
     "unlicense": "This is free and unencumbered software released into the public domain.",
     "zlib": "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
 }
+TEMPLATES = NOTICES | TEXTS
 
 SHINGLE, WINDOW, STEP, CONTAINMENT = 5, 64, 32, 0.8
 #: Probability that no band retrieves a template that a window holds, at most.
@@ -93,11 +98,11 @@ def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, shingle: int
     spark = docs.sparkSession
     parts = template_shingles(templates, shingle)
     known = spark.createDataFrame(parts, "license_id string, part int, wanted array<string>")
-    openings = sorted({s.split(" ", 1)[0] for _, _, shingles in parts for s in shingles})
+    ends = [sorted({s.split(" ")[k] for _, _, shingles in parts for s in shingles}) for k in (0, -1)]
 
     words = docs.select("doc_id", F.xxhash64(text_or_empty()).alias("text_key"), F.regexp_extract_all(F.lower(text_or_empty()), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)).alias("words"))
     positions = F.sequence(F.lit(0), F.size("words") - shingle)
-    at = F.filter(positions, lambda i: F.get(F.col("words"), i).isin(openings))  # a template's shingle begins with one of these words
+    at = F.filter(positions, lambda i: F.get(F.col("words"), i).isin(ends[0]) & F.get(F.col("words"), i + shingle - 1).isin(ends[1]))  # as some template's shingle does
     found = F.transform(at, lambda i: F.struct(i.alias("at"), F.array_join(F.slice("words", i + 1, shingle), " ").alias("shingle")))
     cut = words.filter(F.size("words") >= shingle).select("doc_id", "text_key", F.inline(found))
     vocabulary = known.select(F.explode("wanted").alias("shingle")).distinct()
@@ -117,18 +122,16 @@ def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, shingle: int
         .join(F.broadcast(bands), ["band", "value"])
         .dropDuplicates(["doc_id", "text_key", "window", "license_id", "part"])
     )
-    share = F.size(F.array_intersect("has", "wanted")) / F.size("wanted")
-    verified = retrieved.withColumn("containment", share).filter(F.col("containment") >= containment)
-    per_part = verified.groupBy("doc_id", "text_key", "license_id", "part").agg(
-        F.max("containment").alias("containment"), F.count(F.lit(1)).alias("n_windows"), F.min("window").alias("window")
-    )
-    n_parts = known.groupBy("license_id").agg(F.count(F.lit(1)).alias("n_parts"))
+    held = F.size(F.array_intersect("has", "wanted"))
+    verified = retrieved.withColumn("held", held).filter(F.col("held") / F.size("wanted") >= containment)
+    per_part = verified.groupBy("doc_id", "text_key", "license_id", "part").agg(F.max("held").alias("held"), F.count(F.lit(1)).alias("n_windows"), F.min("window").alias("window"))
+    whole = known.groupBy("license_id").agg(F.count(F.lit(1)).alias("n_parts"), F.sum(F.size("wanted")).alias("n_shingles"))
     return (
         per_part.groupBy("doc_id", "text_key", "license_id")
-        .agg(F.avg("containment").alias("containment"), F.sum("n_windows").alias("n_windows"), F.min("window").alias("window"), F.count(F.lit(1)).alias("parts"))
-        .join(F.broadcast(n_parts), "license_id")
-        .filter(F.col("parts") >= F.col("n_parts") * containment)
-        .select("doc_id", "license_id", "containment", "n_windows", (F.col("window") * STEP).cast("long").alias("first_word"))
+        .agg(F.sum("held").alias("held"), F.sum("n_windows").alias("n_windows"), F.min("window").alias("window"), F.count(F.lit(1)).alias("parts"))
+        .join(F.broadcast(whole), "license_id")
+        .filter(F.col("parts") / F.col("n_parts") >= containment)
+        .select("doc_id", "license_id", (F.col("held") / F.col("n_shingles")).alias("containment"), "n_windows", (F.col("window") * STEP).cast("long").alias("first_word"))
     )
 
 
@@ -137,9 +140,13 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    rows = ", ".join(f"('{name}', '{s}')" for name, _, shingles in template_shingles(TEMPLATES) for s in shingles)
+    rows = ", ".join(f"('{name}', {part}, '{s}')" for name, part, shingles in template_shingles(TEMPLATES) for s in shingles)
     return f"""
-WITH known(license_id, shingle) AS (VALUES {rows}),
+WITH known(license_id, part, shingle) AS (VALUES {rows}),
+sizes AS (
+  SELECT license_id, part, count(*) AS n FROM known GROUP BY 1, 2),
+wholes AS (
+  SELECT license_id, count(*) AS n_parts, sum(n) AS n_shingles FROM sizes GROUP BY 1),
 words AS (
   SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+') AS w FROM documents),
 places AS (
@@ -148,13 +155,16 @@ hits AS (
   SELECT doc_id, pos, array_to_string(w[pos + 1 : pos + {SHINGLE}], ' ') AS shingle FROM places),
 spread AS (
   SELECT doc_id, shingle, unnest([pos // {STEP}, pos // {STEP} - 1]) AS win, pos FROM hits WHERE shingle IN (SELECT shingle FROM known)),
-shares AS (
-  SELECT s.doc_id, k.license_id, s.win, count(DISTINCT k.shingle) / max(t.n)::DOUBLE AS share
-  FROM spread s JOIN known k USING (shingle) JOIN (SELECT license_id, count(*) AS n FROM known GROUP BY 1) t USING (license_id)
+windows AS (
+  SELECT s.doc_id, k.license_id, k.part, s.win, count(DISTINCT k.shingle) AS held
+  FROM spread s JOIN known k USING (shingle)
   WHERE s.win >= 0 AND s.pos + {SHINGLE} <= s.win * {STEP} + {WINDOW}
-  GROUP BY 1, 2, 3)
-SELECT doc_id, license_id, max(share) AS containment, count(*)::BIGINT AS n_windows, (min(win) * {STEP})::BIGINT AS first_word
-FROM shares WHERE share >= {CONTAINMENT} GROUP BY 1, 2"""
+  GROUP BY 1, 2, 3, 4),
+parts AS (
+  SELECT doc_id, license_id, part, max(held) AS held, count(*) AS n_windows, min(win) AS win
+  FROM windows JOIN sizes USING (license_id, part) WHERE held / n >= {CONTAINMENT} GROUP BY 1, 2, 3)
+SELECT doc_id, license_id, (sum(held) / any_value(n_shingles))::DOUBLE AS containment, sum(n_windows)::BIGINT AS n_windows, (min(win) * {STEP})::BIGINT AS first_word
+FROM parts JOIN wholes USING (license_id) GROUP BY 1, 2 HAVING count(*) / any_value(n_parts) >= {CONTAINMENT}"""
 
 
 SQL = {"op4_license_scan": _sql()}
