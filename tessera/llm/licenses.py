@@ -109,10 +109,12 @@ def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, shingle: int
     hits = cut.join(F.broadcast(vocabulary), "shingle", "left_semi")
 
     last = F.floor(F.col("at") / STEP).cast("int")
+    window = ["doc_id", "text_key", "window"]  # dealt by a stated number: windows are few bytes and much MinHash, which adaptive execution would put in one task
     windows = (
         hits.select("doc_id", "text_key", "at", "shingle", F.explode(F.array(last, last - 1)).alias("window"))
         .filter((F.col("window") >= 0) & (F.col("at") + shingle <= F.col("window") * STEP + WINDOW))
-        .groupBy("doc_id", "text_key", "window")
+        .repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *window)
+        .groupBy(*window)
         .agg(F.array_sort(F.collect_set("shingle")).alias("has"))
     )
     n = bands_for((len(shingles) for _, _, shingles in parts), shingle, containment)
@@ -120,7 +122,7 @@ def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, shingle: int
     retrieved = (
         windows.select("*", F.posexplode(_minhashes(F.col("has"), n)).alias("band", "value"))
         .join(F.broadcast(bands), ["band", "value"])
-        .dropDuplicates(["doc_id", "text_key", "window", "license_id", "part"])
+        .dropDuplicates([*window, "license_id", "part"])
     )
     held = F.size(F.array_intersect("has", "wanted"))
     verified = retrieved.withColumn("held", held).filter(F.col("held") / F.size("wanted") >= containment)
