@@ -71,3 +71,24 @@ def test_dealt_hubs_leave_no_large_task(spark):
     sizes = sorted(r["count"] for r in cells.select(F.least("x", "y"), F.greatest("x", "y")).groupBy("least(x, y)", "greatest(x, y)").count().collect())
     assert sum(sizes) == 5000 * 4999 // 2 and len(sizes) == 16 * 17 // 2
     assert sizes[-1] <= 3 * sizes[len(sizes) // 2]
+
+
+def test_no_pair_moves_without_hubs(spark):
+    """However many buckets members fill, pairs of items that are no hubs are counted where they are made, not shuffled."""
+    rows = [(m, k, "x") for k in range(40) for m in range(k, 200, 7)]
+    df = spark.createDataFrame(rows, "corp long, partner long, relation string")
+    found = shared_pairs(df, "corp", ["partner", "relation"], 3, most_buckets=0)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan and "keys=[a" not in plan
+    assert {tuple(r) for r in found.collect()} == brute_force(rows, 3)
+
+
+@pytest.mark.parametrize("most_buckets", [0, 64])
+def test_first_pairs(spark, most_buckets):
+    """Each cell keeps its own first pairs; ties go by a, then b."""
+    rng = random.Random(7)
+    rows = [(rng.randrange(90), rng.randrange(30), "x") for _ in range(1200)]
+    df = spark.createDataFrame(rows, "corp long, partner long, relation string")
+    want = sorted(brute_force(rows, 2), key=lambda p: (-p[2], p[0], p[1]))[:25]
+    got = shared_pairs(df, "corp", ["partner", "relation"], 2, light=45, bucket=20, most_buckets=most_buckets, first=25)
+    assert [tuple(r) for r in got.collect()] == want
