@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -42,6 +42,11 @@ def count_of(c: Column, word: Column | str) -> Column:
     return F.when(F.length(w) > 0, ((F.length(c) - F.length(F.replace(c, w, F.lit("")))) / F.length(w)).cast("int")).otherwise(0)
 
 
+def once(c: Column, use: Callable[[Column], Column]) -> Column:
+    """use(c), with c computed once a row, however often use names it."""
+    return F.get(F.transform(F.array(c), use), F.lit(0))
+
+
 def hits(c: Column, patterns: Sequence[str]) -> Column:
     total = F.lit(0)
     for p in patterns:
@@ -51,10 +56,10 @@ def hits(c: Column, patterns: Sequence[str]) -> Column:
 
 def best_family(c: Column, families: Mapping[str, Sequence[str]], otherwise: str) -> Column:
     """The pattern family with most hits; of equals the first."""
-    counts = F.array(*[hits(c, p) for p in families.values()])
     names = F.array(*map(F.lit, families))
-    top = F.array_max(counts)
-    return F.when(top > 0, F.element_at(names, F.array_position(counts, top).cast("int"))).otherwise(otherwise)
+    best = lambda counts, top: F.when(top > 0, F.element_at(names, F.array_position(counts, top).cast("int"))).otherwise(otherwise)
+    of = lambda text: once(F.array(*[hits(text, p) for p in families.values()]), lambda counts: best(counts, F.array_max(counts)))
+    return once(c, of)
 
 
 def first_class(c: Column, rules: Sequence[tuple[str, str]], otherwise: str) -> Column:

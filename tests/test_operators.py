@@ -177,3 +177,10 @@ def test_stream_state_goes_on_over_batches(spark, tmp_path):
 
 def test_missing_table_is_empty(spark):
     assert landing.table_or_empty(spark, "no_such_table_here", "id long").count() == 0
+
+
+def test_patterns_run_once_a_row(spark):
+    """A family's count is used several times, but each pattern stands once in the plan."""
+    rows = spark.createDataFrame([("ab",), ("b",), (None,)], "x string").select(text.best_family(F.col("x"), {"A": ["a"], "B": ["b", "c"]}, "none").alias("y"))
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 3
+    assert [r.y for r in rows.collect()] == ["A", "B", "none"]
