@@ -9,6 +9,7 @@ from tessera.functions.contact import sendable
 from tessera.operators import leads as L
 from tessera.operators import verification as V
 from tessera.operators.citations import uncited_phrases
+from tessera.operators.lineage import cut
 from tessera.operators.postings import first_keywords
 from tessera.operators.relational import pick_first, top_per_key
 from tessera.plans import drafted, parted
@@ -86,7 +87,7 @@ def _(t):
 @query("l_change_class", f"""SELECT id, change, CASE WHEN sector IS NULL THEN 'UNKNOWN' WHEN others >= 5 THEN 'INDUSTRY' WHEN others >= 2 THEN 'MIXED' ELSE 'INDIVIDUAL' END AS scope
     FROM (SELECT id, change, sector, count(*) OVER (PARTITION BY sector, change) - 1 AS others FROM ({CHANGE_SQL}) LEFT JOIN companies USING (corp_code))""")
 def _(t):
-    rows = changes_of_leads(t).join(t.companies.select("corp_code", "sector"), "corp_code", "left")
+    rows = cut(changes_of_leads(t).join(t.companies.select("corp_code", "sector"), "corp_code", "left").select("id", "change", "sector"))  # read twice, classified once
     # Counted apart and joined back, so that a large class is a row a task and not a window.
     size = rows.groupBy("sector", "change").agg((F.count("*") - 1).alias("others"))
     scope = F.when(F.col("sector").isNull(), "UNKNOWN").when(F.col("others") >= 5, "INDUSTRY").when(F.col("others") >= 2, "MIXED").otherwise("INDIVIDUAL")

@@ -183,3 +183,11 @@ def test_links_with_hints(spark):
 def test_postprocess_score(spark, parts, score):
     row = spark.createDataFrame([("x", *parts), ("", *parts), (None, *parts)], "b string, h int, s int, n int, k double")
     assert [r[0] for r in row.select(V.postprocess_score(*map(F.col, "bhsnk"))).collect()] == [score, 0, 0]
+
+
+def test_changes_are_classified_once(spark):
+    """l_change_class counts classes and joins them back: neither side classifies texts again."""
+    from tessera.plans import catalog
+
+    rows = catalog.QUERIES["l_change_class"](spark, "/root/testdata/sf0.001")
+    assert "regexp_extract_all" not in rows._jdf.queryExecution().optimizedPlan().toString()
