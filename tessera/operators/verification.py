@@ -40,9 +40,8 @@ def share(part: Column, whole: Column, factor: int = 100) -> Column:
 
 def numeric_score(found: Column, amounts: Column, ratios: Column) -> Column:
     """The per cent of lexed numbers that agree with a value of either kind; 50 if there are no values, 70 if there are no numbers."""
-    pool = F.concat(amounts, ratios)
-    agreed = F.size(F.filter(found, lambda x: F.exists(pool, lambda v: numbers.agrees(x["value"], x["per_cent"], v))))
-    return F.when(amounts.isNull(), 50).when(F.size(found) == 0, 70).otherwise(share(agreed, F.size(found)))
+    agreed = lambda found: text.once(F.concat(amounts, ratios), lambda pool: F.size(F.filter(found, lambda x: F.exists(pool, lambda v: numbers.agrees(x["value"], x["per_cent"], v)))))
+    return text.once(found, lambda found: F.when(amounts.isNull(), 50).when(F.size(found) == 0, 70).otherwise(share(agreed(found), F.size(found))))
 
 
 def moved(now: Column, then: Column) -> Column:
@@ -54,26 +53,27 @@ def moved(now: Column, then: Column) -> Column:
 
 def direction_score(body: Column, last: Column, up: Sequence[str] = UP, down: Sequence[str] = DOWN) -> Column:
     """100 if the words agree with how the result moved (operating income, else net income, else revenue), 30 if not, 75 if they are mixed, 70 without two years."""
-    said = lambda words: sum((text.count_of(body, w) for w in words), F.lit(0))
-    ups, downs = said(up), said(down)
-    says = F.when(ups > downs * 1.3, "up").when(downs > ups * 1.3, "down").otherwise("mixed")
+    said = lambda body, words: sum((text.count_of(body, w) for w in words), F.lit(0))
+    says = lambda n: F.when(n["ups"] > n["downs"] * 1.3, "up").when(n["downs"] > n["ups"] * 1.3, "down").otherwise("mixed")
+    counts = text.once(body, lambda body: F.struct(said(body, up).alias("ups"), said(body, down).alias("downs")))
     now, then = F.get(last, F.lit(0)), F.get(last, F.lit(1))
     actual = F.coalesce(*[moved(now[c], then[c]) for c in ("operating_income", "net_income", "revenue")])
-    return F.when(F.coalesce(F.size(last), F.lit(0)) < 2, 70).when(actual.isNull(), 70).when(says == "mixed", 75).when(says == actual, 100).otherwise(30)
+    score = lambda x: F.when(F.coalesce(F.size(last), F.lit(0)) < 2, 70).when(x["actual"].isNull(), 70).when(x["says"] == "mixed", 75).when(x["says"] == x["actual"], 100).otherwise(30)
+    return text.once(text.once(counts, lambda n: F.struct(says(n).alias("says"), actual.alias("actual"))), score)
 
 
 def evidence_score(body: Column, evidence: Column, common: Sequence[str] = COMMON) -> Column:
     """How many of the evidence's words the body has, half of them counting as all; 70 for evidence under 30 characters or without words."""
-    words = text.tokens(evidence, 3, common)
-    met = F.size(F.array_intersect(words, text.tokens(body, 3)))
-    return F.when(evidence.isNull() | (F.length(evidence) < 30) | (F.size(words) == 0), 70).otherwise(share(met, F.size(words), 200))
+    met = lambda words: F.size(F.array_intersect(words, text.tokens(body, 3)))
+    score = lambda words: F.when(evidence.isNull() | (F.length(evidence) < 30) | (F.size(words) == 0), 70).otherwise(share(met(words), F.size(words), 200))
+    return text.once(text.tokens(evidence, 3, common), score)
 
 
 def grounding_score(body: Column, source: Column, common: Sequence[str] = COMMON) -> Column:
     """How many of the body's words of four characters or more the source has; 80 if the body has none."""
-    words = F.filter(text.tokens(body, 3, common), lambda w: F.length(w) >= 4)
-    met = F.size(F.array_intersect(words, text.tokens(source, 3)))
-    return F.when(F.size(words) == 0, 80).otherwise(share(met, F.size(words), 120))
+    met = lambda words: F.size(F.array_intersect(words, text.tokens(source, 3)))
+    score = lambda words: F.when(F.size(words) == 0, 80).otherwise(share(met(words), F.size(words), 120))
+    return text.once(F.filter(text.tokens(body, 3, common), lambda w: F.length(w) >= 4), score)
 
 
 def total(numeric: Column, direction: Column, evidence: Column, grounding: Column) -> Column:
@@ -83,14 +83,13 @@ def total(numeric: Column, direction: Column, evidence: Column, grounding: Colum
 def cross_check(cited: Column, amounts: Column, ratios: Column, source: Column) -> Column:
     """.6 of how many numbers agree (percentages with ratios within 2 points, amounts within 5 % of large figures) and .4 of how many nouns the source contains."""
     none = F.array().cast("array<double>")
-    found = numbers.lex(cited)
     near = lambda v: F.exists(F.coalesce(amounts, none), lambda a: (a > numbers.LARGE) & (F.try_divide(F.abs(a - v), F.greatest(a, v)) <= numbers.NEAR))
     points = lambda v: F.exists(F.coalesce(ratios, none), lambda r: F.abs(r - v) <= numbers.POINTS)
-    agreed = F.size(F.filter(found, lambda x: F.when(x["per_cent"], points(x["value"])).otherwise((x["value"] > 0) & near(x["value"]))))
-    numeric = F.when(F.size(found) == 0, 100).otherwise(share(agreed, F.size(found)))
+    agreed = lambda found: F.size(F.filter(found, lambda x: F.when(x["per_cent"], points(x["value"])).otherwise((x["value"] > 0) & near(x["value"]))))
+    numeric = text.once(numbers.lex(cited), lambda found: F.when(F.size(found) == 0, 100).otherwise(share(agreed(found), F.size(found))))
     nouns = F.array_distinct(F.concat(text.find_all(cited, "[가-힣]{3,}"), F.transform(text.find_all(cited, "[A-Za-z]{4,}"), F.lower)))
-    low = F.lower(source)
-    cover = F.when(F.size(nouns) == 0, 100.0).otherwise(F.try_divide(F.size(F.filter(nouns, lambda w: F.contains(low, w))).cast("double"), F.size(nouns)) * 100)
+    held = lambda nouns: text.once(F.lower(source), lambda low: F.size(F.filter(nouns, lambda w: F.contains(low, w))))
+    cover = text.once(nouns, lambda nouns: F.when(F.size(nouns) == 0, 100.0).otherwise(F.try_divide(held(nouns).cast("double"), F.size(nouns)) * 100))
     return (numeric * 0.6 + cover * 0.4).cast("int")
 
 

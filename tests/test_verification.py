@@ -136,3 +136,12 @@ def test_as_of_without_rows(spark):
     assert as_of(a, b, ["k"], "at", "then", ["v"]).collect() == []
     one = spark.createDataFrame([(1, "a", dt.date(2020, 1, 1))], "id int, k string, at date")
     assert [tuple(r) for r in as_of(one, b, ["k"], "at", "then", ["v"]).collect()] == [(1, "a", dt.date(2020, 1, 1), None)]
+
+
+def test_scores_read_texts_once(spark):
+    """Numbers, nouns and words are found once a row, however often a score names them: the patterns stand once in the plan."""
+    df = spark.createDataFrame([("매출 120만, 이익률 5%", "매출 증가", [1.2e6], [5.0])], "body string, source string, amounts array<double>, ratios array<double>")
+    c = F.col
+    plan = lambda score: df.select(score.alias("y"))._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all")
+    assert plan(V.cross_check(c("body"), c("amounts"), c("ratios"), c("source"))) == 4
+    assert plan(V.evidence_score(c("body"), c("source"))) == 4 == plan(V.grounding_score(c("body"), c("source")))
