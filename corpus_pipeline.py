@@ -23,7 +23,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of texts whose five-word shingles have a Jaccard similarity of 0.8 or more."""
+    """One document of each component of texts that op8's SimHash fingerprints link, or whose five-word shingles have a Jaccard similarity of 0.8 or more."""
     return near_copies.deduplicate(docs)
 
 

@@ -1,4 +1,7 @@
-"""Near copies by words: documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+"""Near copies: documents whose SimHash fingerprints differ in two bits or fewer, or whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+
+The fingerprints and their links are op8's, by its operator (simhash): vantage-point shards over all texts. Two bits miss most
+pairs of that similarity, so an exact join by words finds these as well:
 
 1. Signatures. In one order of all shingles, two sets of a similarity of t or more share one of
    the first n - ceil(t n) + 1 of each set of n (prefix filter): no pair is lost, whatever the
@@ -15,7 +18,7 @@
    hashes) one is enough, and of a pair the block of its first common signature, as far as both
    have few enough signatures to carry them along. Blocks are dealt in chunks of at most ``CHUNK_ROWS`` members, each two
    chunks of a block to a task. These pairs are compared by their words and linked likewise.
-5. Components of the links, by simhash.components.
+5. Components of all links, of fingerprints and of words, by simhash.components.
 
 Behaviour: null text counts as empty. Texts without words are copies of each other; one with
 fewer words than a shingle is one shingle. Rows without doc_id stay. An empty table gives an
@@ -33,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.common import durable, text_or_empty
-from tessera.llm.simhash import CHUNK, components, xxh64
+from tessera.llm.simhash import CHUNK, components, near_duplicates, xxh64
 
 #: The similarity is OF / IN.
 SHINGLE, OF, IN = 5, 4, 5
@@ -266,14 +269,21 @@ def open_blocks(shared: DataFrame, marks: DataFrame, roots: DataFrame) -> DataFr
     return dealt.groupBy("key", F.least("chunk", "with").alias("low"), F.greatest("chunk", "with").alias("high")).agg(F.collect_list(member).alias("members")).select("key", "members")
 
 
+def fingerprint_links(texts: DataFrame) -> DataFrame:
+    """node, root: each text that op8's fingerprints link to one of a smaller node, and the smallest of these."""
+    found = near_duplicates(texts.select(F.col("node").alias("doc_id"), "text"))
+    return found.filter("doc_id <> component_id").select(F.col("doc_id").alias("node"), F.col("component_id").alias("root"))
+
+
 def near_links(docs: DataFrame) -> DataFrame:
     """node, root: the smallest doc_id of the component of every document that has a near copy of a smaller one."""
     texts = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("node"), text_or_empty().alias("text"))
+    alike = durable(fingerprint_links(texts), "fingerprint-links")
     marks = durable(signed(texts), "signed")
     shared = durable(shared_signatures(marks), "shared-signatures")
     fits = F.least("size", "root_size") * IN >= F.greatest("size", "root_size") * OF
     pairs = shared.filter((F.col("node") != F.col("root")) & fits).select(F.greatest("node", "root").alias("a"), F.least("node", "root").alias("b")).distinct()
-    first = durable(verified(durable(sieved(pairs, marks), "star-pairs"), texts), "star-links")
+    first = durable(alike.unionAll(verified(durable(sieved(pairs, marks), "star-pairs"), texts)), "first-links")
     roots = components(first)
     pairs = open_blocks(shared, marks, roots).mapInArrow(crossing, PAIR).distinct()
     rest = durable(verified(durable(pairs, "crossing-pairs"), texts), "crossing-links")

@@ -3,7 +3,7 @@ from __future__ import annotations
 import numpy as np
 
 import corpus_pipeline
-from tessera.llm import near_copies
+from tessera.llm import near_copies, simhash
 from tests.llm.conftest import SCHEMA, SF
 
 
@@ -92,3 +92,14 @@ def test_blocks_of_any_chunks_give_the_same(spark, monkeypatch):
     docs = spark.createDataFrame([(i, t, "en", "a", len(t), 1.0, "x") for i, t in texts.items()], SCHEMA).repartition(3)
     monkeypatch.setattr(near_copies, "CHUNK_ROWS", 7)
     assert sorted(r["doc_id"] for r in near_copies.deduplicate(docs).collect()) == kept_by_hand(texts)
+
+
+def test_texts_that_fingerprints_link_go(spark):
+    """Fingerprints count each repetition, sets of shingles don't: texts of one frequent line are linked by op8's rule alone."""
+    line = "a line that fills most of the text and comes again " * 60
+    texts = {3: line + " ".join(f"u{k}" for k in range(40)), 5: line + " ".join(f"v{k}" for k in range(40)), 7: "quite another text of some more words"}
+    assert kept_by_hand(texts) == [3, 5, 7]
+    x, y, z = simhash.fingerprints(list(texts.values()))
+    assert (int(x) ^ int(y)).bit_count() <= simhash.RADIUS < (int(x) ^ int(z)).bit_count()
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t), 1.0, "x") for i, t in texts.items()], SCHEMA)
+    assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, SF).collect()) == [3, 7]
