@@ -55,15 +55,17 @@ def recency(c: Column, today: Column) -> Column:
 UNIT_WORDS = {"조": 1e12, "억": 1e8, "천만": 1e7, "백만": 1e6, "만": 1e4}
 AMOUNT = r"[0-9][0-9,]*\.?[0-9]*\s*(?:" + "|".join(UNIT_WORDS) + ")"
 PER_CENT = r"[+-]?[0-9.,]+\s*%"
+#: What a number and its unit consist of beside the unit's word, so that characters part them without a pattern.
+NUMERIC, BLANKS = "0123456789.,", " \t\n\x0b\f\r"
 LEXED = "array<struct<raw:string,value:double,per_cent:boolean>>"
 
 
 def lex(c: Column) -> Column:
     """Amounts with a unit word, then percentages with their sign, as (raw, value, per_cent); what is no number is left out."""
-    word = lambda raw: F.regexp_extract(raw, "(" + "|".join(UNIT_WORDS) + ")$", 1)
+    word = lambda raw: F.translate(raw, NUMERIC + BLANKS, "")
     factors = F.create_map(*[F.lit(x) for pair in UNIT_WORDS.items() for x in pair])
-    bare = lambda raw, rest: F.regexp_replace(raw, rf"[,\s]|{rest}", "").try_cast("double")
-    amounts = F.transform(F.regexp_extract_all(c, F.lit(AMOUNT), F.lit(0)), lambda r: F.struct(r.alias("raw"), (bare(r, "|".join(UNIT_WORDS)) * factors[word(r)]).alias("value"), F.lit(False).alias("per_cent")))
+    bare = lambda raw, rest: F.translate(raw, "," + BLANKS + rest, "").try_cast("double")
+    amounts = F.transform(F.regexp_extract_all(c, F.lit(AMOUNT), F.lit(0)), lambda r: F.struct(r.alias("raw"), (bare(r, "".join(UNIT_WORDS)) * factors[word(r)]).alias("value"), F.lit(False).alias("per_cent")))
     shares = F.transform(F.regexp_extract_all(c, F.lit(PER_CENT), F.lit(0)), lambda r: F.struct(r.alias("raw"), bare(r, "%").alias("value"), F.lit(True).alias("per_cent")))
     return F.filter(F.concat(amounts.cast(LEXED), shares.cast(LEXED)), lambda x: x["value"].isNotNull())
 

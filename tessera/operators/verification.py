@@ -121,3 +121,11 @@ def tolerance_matches(found: DataFrame, values: DataFrame, keys: Sequence[str],
     right = values.filter(t.isNotNull()).select(*keys, "truth", F.inline(held)).distinct()
     met = left.join(right, [*keys, "kind", "at"])
     return met.filter(numbers.agrees(v, F.col("per_cent"), t)).select(id_).distinct()
+
+
+def agreeing(found: Column, truth: Column, large: Column) -> Column:
+    """How many of the lexed numbers agree with one of truth, whose values above a million are given as large, too; none of null."""
+    points = lambda v: F.exists(truth, lambda t: F.abs(t - v) <= numbers.POINTS)
+    near = lambda v: F.exists(large, lambda t: F.try_divide(F.abs(t - v), F.greatest(t, v)) <= numbers.NEAR)
+    agrees = lambda x: F.when(x["per_cent"], points(x["value"])).when(x["value"] > numbers.LARGE, near(x["value"])).otherwise(F.array_contains(truth, x["value"]))
+    return F.when(truth.isNull(), 0).otherwise(F.size(F.filter(found, agrees)))

@@ -656,10 +656,12 @@ SAID_SQL = "title || ': ' || signal_count || '% and ' || signal_count * 9 || '
     FROM (SELECT id, corp_code, unnest({numbers.lex_sql(SAID_SQL)}) AS x FROM leads) LEFT JOIN (SELECT corp_code, list_concat(amounts, ratios) AS truth FROM ({drafted.TRUTH_SQL})) USING (corp_code) GROUP BY 1""")
 def _(t):
     said = F.expr("concat(title, ': ', signal_count, '% and ', signal_count * 9, '만, of ', signal_count % 7, '백만')")
-    found = t.leads.select("id", "corp_code", F.posexplode(numbers.lex(said)).alias("k", "x")).select(F.struct("id", "k").alias("number"), "corp_code", "x.value", "x.per_cent")
-    held = verification.truth(t.financials).select("corp_code", F.explode(F.concat("amounts", "ratios")).alias("truth"))
-    hit = verification.tolerance_matches(found, held, ["corp_code"], "number").withColumn("hit", F.lit(1))
-    return found.join(hit, "number", "left").groupBy("number.id").agg(n("tested"), F.count("hit").alias("matched"))
+    held = verification.truth(t.financials).select("corp_code", F.array_distinct(F.concat("amounts", "ratios")).alias("truth"))
+    held = held.withColumn("large", F.filter("truth", lambda v: v > numbers.LARGE))
+    rows = t.leads.select("id", "corp_code", said.alias("said")).join(held, "corp_code", "left")  # a lead meets its company's values as one list
+    agreed = lambda found: verification.agreeing(found, F.col("truth"), F.col("large"))
+    counts = rows.select("id", text.once(numbers.lex(F.col("said")), lambda found: F.struct(F.size(found).alias("tested"), agreed(found).alias("matched"))).alias("c"))
+    return counts.filter("c.tested > 0").groupBy("id").agg(F.sum("c.tested").alias("tested"), F.sum("c.matched").alias("matched"))
 
 
 @query("num_grade", "SELECT draft_id, CASE WHEN score >= 85 THEN 'NEW_STRONG' WHEN score >= 70 THEN 'NEW' WHEN score >= 60 THEN 'MAYBE' WHEN score >= 50 THEN 'WEAK' ELSE 'EXISTING' END AS grade FROM drafts")
