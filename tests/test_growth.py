@@ -24,3 +24,18 @@ def test_numbers_are_parted_from_units_without_patterns(spark):
     x = numbers.lex(F.col("c"))
     assert [(r["value"], r["per_cent"]) for r in df.select(x.alias("x")).first().x] == [(1234.5e8, False), (12e7, False), (3e6, False), (-4.5, True)]
     assert "regexp_replace" not in df.select(x)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_accounts_are_picked_without_sorts(spark):
+    lists = spark.createDataFrame([("c", 2020, "OFS", "Sales", "1"), ("c", 2020, "CFS", "Revenue", "2"), ("c", 2020, "CFS", "Unknown", "3"), ("d", 2020, "OFS", "Sales", "x")], "corp_code string, fiscal_year int, fs_div string, account_nm string, amount string")
+    out = landing.accounts(lists)
+    assert [(r.corp_code, r.revenue) for r in out.collect()] == [("c", 2.0)]
+    assert "SortAggregate" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tasks_grow_with_the_rows(spark):
+    df = spark.range(10)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert relational.dealt(df, 10, "id").rdd.getNumPartitions() == tasks
+    assert relational.dealt(df, 40 * relational.ROWS_A_TASK, "id").rdd.getNumPartitions() == 40
+    assert relational.spread(df, 10, "id") is df and relational.spread(df, 40 * relational.ROWS_A_TASK, "id").rdd.getNumPartitions() == 40
