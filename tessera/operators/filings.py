@@ -138,8 +138,8 @@ def names_of(line: Column) -> Column:
     return F.filter(F.transform(items, text.clean_partner), is_name)
 
 
-def relations(filings: DataFrame, key: str, body: str, partners: Mapping[str, Sequence[str]] = PARTNERS, before: Sequence[str] = BEFORE, behind: Sequence[str] = BEHIND) -> DataFrame:
-    """(key, relation, name, context): partners that a text lists under a heading or behind a colon.
+def relations(filings: DataFrame, key: str, body: str, partners: Mapping[str, Sequence[str]] = PARTNERS, before: Sequence[str] = BEFORE, behind: Sequence[str] = BEHIND, context: bool = True) -> DataFrame:
+    """(key, relation, name, and context if wanted): partners that a text lists under a heading or behind a colon.
 
     A list goes on to an empty line, the next heading of a list or section, or LIST_LINES lines. A name counts once a relation,
     whatever its case, as it is first written; the context is its list's heading and its line, 200 characters at most.
@@ -163,6 +163,8 @@ def relations(filings: DataFrame, key: str, body: str, partners: Mapping[str, Se
     lines = F.transform(F.split(body, "\n"), strip)
     rows = filings.filter(F.col(body).isNotNull()).select(key, F.posexplode(_once(F.transform(lines, marked), listed)).alias("at", "b"))
     rows = rows.select(key, "b.relation", "b.head", "at", F.posexplode("b.lines").alias("row", "line"))
-    rows = rows.select(key, "relation", "at", "row", F.substring(F.concat_ws(" ", "head", F.when(F.col("line") != F.col("head"), F.col("line"))), 1, 200).alias("context"), F.posexplode(names_of(F.col("line"))).alias("nth", "name"))
-    first = F.min_by(F.struct("name", "context"), F.struct("at", "row", "nth")).alias("first")
-    return rows.groupBy(key, "relation", F.lower("name").alias("low")).agg(first).select(key, "relation", "first.name", "first.context")
+    said = [F.substring(F.concat_ws(" ", "head", F.when(F.col("line") != F.col("head"), F.col("line"))), 1, 200).alias("context")] if context else []
+    rows = rows.select(key, "relation", "at", "row", *said, F.posexplode(names_of(F.col("line"))).alias("nth", "name"))
+    kept = ["name", "context"] if context else ["name"]
+    first = F.min_by(F.struct(*kept), F.struct("at", "row", "nth")).alias("first")
+    return rows.groupBy(key, "relation", F.lower("name").alias("low")).agg(first).select(key, "relation", *[f"first.{c}" for c in kept])

@@ -10,7 +10,7 @@ from tessera.functions.contact import domain_category
 from tessera.operators import filings, financial, verification
 from tessera.operators.citations import uncited_phrases
 from tessera.operators.keywords import sector_of, tags, weighted_sector
-from tessera.operators.relational import first_match, top_per_key
+from tessera.operators.relational import dealt, first_match, top_per_key
 from tessera.plans import drafted, parted
 from tessera.plans.registry import query
 from tessera.sources.adapters import AS_OF
@@ -435,8 +435,9 @@ LISTS = {"supplier": "주요 공급사: ", "customer": "핵심 고객: ", "partn
 )
 def _(t):
     said = lambda r: F.coalesce(F.concat(F.lit(LISTS[r]), F.nullif(joined(F.array_sort(F.collect_set(F.when(F.col("relation") == r, F.col("partner_name")))), ", "), F.lit("")), F.lit("\n\n")), F.lit(""))
-    written = t.edges.groupBy("corp_code").agg(F.concat(*map(said, LISTS)).alias("body"))
-    return filings.relations(written, "corp_code", "body").drop("context")
+    rows = dealt(t.edges.select("corp_code", "relation", "partner_name"), t.lineitem.count(), "corp_code")  # tasks that gather lists grow in number with the edges
+    written = rows.groupBy("corp_code").agg(F.concat(*map(said, LISTS)).alias("body"))
+    return filings.relations(written, "corp_code", "body", context=False)
 
 
 #: Questions by kind of change, by type of lead, and for the rest.

@@ -39,3 +39,10 @@ def test_tasks_grow_with_the_rows(spark):
     assert relational.dealt(df, 10, "id").rdd.getNumPartitions() == tasks
     assert relational.dealt(df, 40 * relational.ROWS_A_TASK, "id").rdd.getNumPartitions() == 40
     assert relational.spread(df, 10, "id") is df and relational.spread(df, 40 * relational.ROWS_A_TASK, "id").rdd.getNumPartitions() == 40
+
+
+def test_contexts_are_not_written_where_not_wanted(spark):
+    df = spark.createDataFrame([(1, "주요 공급사: alpha, beta")], "id int, body string")
+    assert filings.relations(df, "id", "body", context=False).columns == ["id", "relation", "name"]
+    plan = QUERIES["txt_relation_extract"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "context" not in plan and "RepartitionByExpression" in plan
