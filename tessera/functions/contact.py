@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.functions import text
+
 MOST_BOUNCES = 3
 
 
@@ -78,7 +80,12 @@ def numbers_of(c: Column, pattern: str) -> Column:
 def signature(block: Column) -> Column:
     """name, title, dept, mobile, phone, email of a contact block, each the first found; null where there is none."""
     first = lambda a: F.get(a, F.lit(0))
-    person, mobile = first(people(block)), first(numbers_of(block, MOBILE))
+    found = F.struct(first(people(block)).alias("person"), first(numbers_of(block, MOBILE)).alias("mobile"))
+    return text.once(found, lambda x: _signed(block, x["person"], x["mobile"]))
+
+
+def _signed(block: Column, person: Column, mobile: Column) -> Column:
+    first = lambda a: F.get(a, F.lit(0))
     dept = F.concat(F.regexp_extract(block, DEPARTMENT, 1), F.regexp_extract(block, DEPARTMENT, 2))
     phone = first(F.filter(numbers_of(block, PHONE), lambda p: ~p.eqNullSafe(mobile)))
     return F.struct(person["name"].alias("name"), person["title"].alias("title"), F.nullif(dept, F.lit("")).alias("dept"), mobile.alias("mobile"), phone.alias("phone"), first(addresses(block)).alias("email"))

@@ -364,7 +364,8 @@ def _(t):
     at = F.timestamp_seconds(F.lit(1704067200) + F.col("thread_id") * 3600 + F.col("turn") * 5400)
     direction = F.when(F.col("role") == "assistant", "outbound").otherwise("inbound")
     said = rows.select(F.concat_ws("-", "thread_id", "turn").alias("msg_id"), "thread_id", direction.alias("direction"), at.alias("sent_at"), F.expr(SIGNED).alias("said"))
-    said = said.withColumns({"s": contact.signature(contact.contact_block(F.col("said"))), "quality": contact.reply_quality(F.col("said"))})
+    said = said.withColumn("block", contact.contact_block(F.col("said")))  # written once, looked at for each field
+    said = said.withColumns({"s": contact.signature(F.col("block")), "quality": contact.reply_quality(F.col("said"))})
     twice = said.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))  # every message comes twice
     learned = jobs.learn_replies(twice.select("thread_id", "msg_id", "sent_at", "direction", "quality", "s.*"), "thread_id")
     found = jobs.run_backlog(learned, "update", ["thread_id"])

@@ -99,7 +99,7 @@ def mark_repeats(events: DataFrame, hours: int = 24) -> DataFrame:
 #: What is known of a contact: numbers, and the fields of a signature, each as it first came.
 LEARNED = "first_sent long, replies long, timed long, days double, quality long, last_reply long, name string, title string, dept string, mobile string, phone string, email string"
 FIELDS = ["name", "title", "dept", "mobile", "phone", "email"]
-STATS = "replies long, avg_days double, quality int, last_reply timestamp, name string, title string, dept string, mobile string, phone string, email string"
+STATS = "replies long, avg_days double, quality int, last long, fields array<string>"
 
 
 def learn_replies(messages: DataFrame, key: str, keep: str = "180 days") -> DataFrame:
@@ -117,22 +117,23 @@ def learn_replies(messages: DataFrame, key: str, keep: str = "180 days") -> Data
             state.remove()
             return
         first, replies, timed, days, quality, last, *fields = state.get if state.exists else (None, 0, 0, 0.0, 0, None, *[None] * len(FIELDS))
-        rows = pd.concat(list(batches)).sort_values(["sent_at", "msg_id"])
+        rows = [r for b in batches for r in zip(*(b[c].tolist() for c in ("at", "msg_id", "direction", "quality", "fields")))]  # a key has few rows: lists are cheaper than frames
         newest = 0
-        for row in rows.itertuples():
-            at = row.sent_at.value // 1000 if row.sent_at.unit == "ns" else int(row.sent_at.timestamp() * 1_000_000)
+        for at, _, direction, points, news in sorted(rows, key=lambda r: r[:2]):
             newest = max(newest, at)
-            if row.direction == "outbound":
+            if direction == "outbound":
                 first = at if first is None else min(first, at)
                 continue
-            replies, quality, last = replies + 1, quality + int(row.quality), max(last or at, at)
+            replies, quality, last = replies + 1, quality + int(points), max(last or at, at)
             if first is not None and at >= first:
                 timed, days = timed + 1, days + (at - first) / 86_400_000_000
-            fields = [old if old is not None else new if isinstance(new, str) else None for old, new in zip(fields, (getattr(row, f) for f in FIELDS))]
+            fields = [old if old is not None else new if isinstance(new, str) else None for old, new in zip(fields, news)]
         state.update((first, replies, timed, days, quality, last, *fields))
         state.setTimeoutTimestamp(max(newest // 1000 + patience, state.getCurrentWatermarkMs() + 1))
         if replies:
-            yield pd.DataFrame([(k[0], replies, days / timed if timed else None, quality // replies, pd.Timestamp(last, unit="us"), *fields)], columns=[key, "replies", "avg_days", "quality", "last_reply", *FIELDS])
+            yield pd.DataFrame([(k[0], replies, days / timed if timed else None, quality // replies, last, fields)], columns=[key, "replies", "avg_days", "quality", "last", "fields"])
 
     once = messages.withWatermark("sent_at", LATENESS).dropDuplicatesWithinWatermark([key, "msg_id"])
-    return once.groupBy(key).applyInPandasWithState(learn, f"{key} {kind}, {STATS}", LEARNED, "update", GroupStateTimeout.EventTimeTimeout)
+    rows = once.select(key, "sent_at", F.unix_micros("sent_at").alias("at"), "msg_id", "direction", "quality", F.array(*FIELDS).alias("fields"))
+    found = rows.groupBy(key).applyInPandasWithState(learn, f"{key} {kind}, {STATS}", LEARNED, "update", GroupStateTimeout.EventTimeTimeout)
+    return found.select(key, "replies", "avg_days", "quality", F.timestamp_micros("last").alias("last_reply"), *[F.get("fields", F.lit(i)).alias(f) for i, f in enumerate(FIELDS)])

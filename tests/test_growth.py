@@ -46,3 +46,10 @@ def test_contexts_are_not_written_where_not_wanted(spark):
     assert filings.relations(df, "id", "body", context=False).columns == ["id", "relation", "name"]
     plan = QUERIES["txt_relation_extract"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "context" not in plan and "RepartitionByExpression" in plan
+
+
+def test_signatures_look_for_a_mobile_once(spark):
+    df = spark.createDataFrame([("홍보팀 김철수 팀장 010-1234-5678, 02-555-1000 a@b.com",)], "c string")
+    out = df.select(contact.signature(F.col("c")).alias("s"))
+    assert tuple(out.first().s) == ("김철수", "팀장", "홍보팀", "010-1234-5678", "02-555-1000", "a@b.com")
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(c#") == 5  # name, title, mobile, phone, address
