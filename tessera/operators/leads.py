@@ -45,10 +45,19 @@ def detect(docs: DataFrame, rules: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def evidence_unique(evidence: Column, past: Column) -> Column:
     """The per cent of evidence's ten longest words that past lacks; 60 if it has no word."""
+    return text.once(longest_words(evidence), lambda words: unique_share(words, past))
+
+
+def longest_words(evidence: Column, most: int = 10) -> Column:
+    """Different words of four letters or more, the longest first."""
     words = F.array_distinct(text.find_all(evidence, "[A-Za-z]{4,}"))
-    longest = F.slice(F.reverse(F.array_sort(F.transform(words, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))), 1, 10)
-    missing = F.size(F.filter(longest, lambda x: ~F.contains(past, F.lower(x["w"]))))
-    return F.when(F.size(longest) == 0, 60).otherwise(F.floor(F.try_divide(missing * 100, F.size(longest)))).cast("int")
+    return F.transform(F.slice(F.reverse(F.array_sort(F.transform(words, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))), 1, most), lambda x: x["w"])
+
+
+def unique_share(words: Column, past: Column) -> Column:
+    """The per cent of words that past lacks, which is written once and not once a word; 60 without words."""
+    missing = text.once(past, lambda past: F.size(F.filter(words, lambda w: ~F.contains(past, F.lower(w)))))
+    return F.when(F.size(words) == 0, 60).otherwise(F.floor(F.try_divide(missing * 100, F.size(words)))).cast("int")
 
 
 def novelty(docs: DataFrame, fresh: Sequence[str], gone: Sequence[str], evidence: Column, past_text: Column) -> DataFrame:

@@ -79,9 +79,10 @@ def _(t):
 
 @query("l_evidence_unique", UNIQUE_SQL)
 def _(t):
-    lead, past = lead_and_past()
-    words = F.array_distinct(text.find_all(lead, "[A-Za-z]{4,}"))
-    return t.documents.select("doc_id", F.least(F.lit(10), F.size(words)).cast("long").alias("n"), L.evidence_unique(lead, past).alias("score"))
+    rows = t.documents.select("doc_id", text.sentences(F.col("text")).alias("parts"))  # a text is cut into sentences once
+    lead, past = parted.parts_of(F.col("parts"))
+    rows = rows.select("doc_id", L.longest_words(lead).alias("words"), F.lower(past).alias("past"))
+    return rows.select("doc_id", F.size("words").cast("long").alias("n"), L.unique_share(F.col("words"), F.col("past")).alias("score"))
 
 
 @query("l_change_class", f"""SELECT id, change, CASE WHEN sector IS NULL THEN 'UNKNOWN' WHEN others >= 5 THEN 'INDUSTRY' WHEN others >= 2 THEN 'MIXED' ELSE 'INDIVIDUAL' END AS scope

@@ -16,7 +16,11 @@ EVIDENCE_SQL, REST_SQL = (_JOINED_SQL.format(SENTENCES_SQL, no, KEY) for no in (
 
 def parted() -> tuple[Column, Column]:
     """The sentences of the column text that contain the key word, and the others, each joined; empty if there are none."""
+    return parts_of(text.sentences(F.col("text")))
+
+
+def parts_of(parts: Column) -> tuple[Column, Column]:
+    """The same of a text's sentences."""
     has = lambda s: F.contains(F.lower(s), F.lit(KEY))
-    parts = text.sentences(F.col("text"))
     joined = lambda keep: F.coalesce(F.array_join(F.filter(parts, keep), ". "), F.lit(""))
     return joined(has), joined(lambda s: ~has(s))

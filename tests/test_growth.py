@@ -53,3 +53,8 @@ def test_signatures_look_for_a_mobile_once(spark):
     out = df.select(contact.signature(F.col("c")).alias("s"))
     assert tuple(out.first().s) == ("김철수", "팀장", "홍보팀", "010-1234-5678", "02-555-1000", "a@b.com")
     assert out._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(c#") == 5  # name, title, mobile, phone, address
+
+
+def test_sentences_of_evidence_are_cut_once(spark):
+    plan = QUERIES["l_evidence_unique"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(text") == 1
