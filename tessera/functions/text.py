@@ -88,6 +88,15 @@ def window_around(c: Column, word: str, reach: int = 75) -> Column:
     return F.when(at > 0, F.concat(F.when(start > 1, "...").otherwise(""), cut, F.when(end < F.length(c), "...").otherwise("")))
 
 
+def mentioned(c: Column, names: Sequence[str]) -> Column:
+    """The names that stand in a text by themselves: no letter or figure before, and a blank, full stop, comma or the end behind; each once, in order.
+
+    Every pattern begins with its name, so it is compiled once and tried only where the name stands.
+    """
+    stands = lambda name: F.contains(c, F.lit(name)) & c.rlike(rf"\Q{name}\E(?<![A-Za-z0-9]\Q{name}\E)(?=[ .,]|\z)")
+    return F.filter(F.array(*[F.when(stands(name), F.lit(name)) for name in names]), lambda name: name.isNotNull())
+
+
 def split_names(c: Column) -> Column:
     """Names of a list: split at commas, semicolons and slashes outside parentheses, cleaned, two characters or more."""
     parts = F.split(c, r"[,;](?![^(]*\))| / ")

@@ -243,9 +243,7 @@ def _(t):
 
 @query("txt_direct_mention", "SELECT doc_id, word FROM documents, (SELECT unnest(['thtion', 'eauou', 'sch']) AS word) WHERE contains(text, word) AND regexp_matches(text, '(^|[^A-Za-z0-9])' || word || '([ .,]|$)')")
 def _(t):
-    names = t.spark.createDataFrame([("thtion",), ("eauou",), ("sch",)], "word string")
-    found = t.documents.join(F.broadcast(names), F.contains("text", "word"))  # three names
-    return found.filter(F.expr(r"text RLIKE concat('(^|[^A-Za-z0-9])\\Q', word, '\\E([ .,]|$)')")).select("doc_id", "word")
+    return t.documents.select("doc_id", F.explode(text.mentioned(F.col("text"), ["thtion", "eauou", "sch"])).alias("word"))
 
 
 @query("txt_email_extract", "SELECT doc_id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\\.[A-Za-z0-9.-]*[A-Za-z]'), lambda x: lower(x)))), '|') AS emails FROM documents")

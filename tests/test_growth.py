@@ -58,3 +58,11 @@ def test_signatures_look_for_a_mobile_once(spark):
 def test_sentences_of_evidence_are_cut_once(spark):
     plan = QUERIES["l_evidence_unique"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("split(text") == 1
+
+
+def test_mentions_need_no_pattern_a_row(spark):
+    """Names by themselves; a line's end is not the text's end, and marks in a name are plain."""
+    df = spark.createDataFrame([(1, "sch, xsch sch2 and a.b"), (2, "xsch sch2 aab"), (3, "ends with sch"), (4, "ends with sch\n"), (5, None), (6, "-sch-sch ")], "id int, c string")
+    got = df.select("id", F.explode(text.mentioned(F.col("c"), ["sch", "a.b"])).alias("w"))
+    assert sorted(map(tuple, got.collect())) == [(1, "a.b"), (1, "sch"), (3, "sch"), (6, "sch")]
+    assert "concat" not in got._jdf.queryExecution().optimizedPlan().toString()
