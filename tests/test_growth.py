@@ -66,3 +66,11 @@ def test_mentions_need_no_pattern_a_row(spark):
     got = df.select("id", F.explode(text.mentioned(F.col("c"), ["sch", "a.b"])).alias("w"))
     assert sorted(map(tuple, got.collect())) == [(1, "a.b"), (1, "sch"), (3, "sch"), (6, "sch")]
     assert "concat" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_sets_of_no_edges_and_of_nulls(spark, tmp_path):
+    """The set of all has a row without edges too; tasks of gathered rows grow with the table."""
+    for name in ("lineitem", "orders", "supplier"):
+        rows = spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet")
+        (rows.limit(0) if name == "lineitem" else rows).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert [tuple(r) for r in QUERIES["agg_stats_bundle"](spark, str(tmp_path)).select("relation", "period", "n", "companies").collect()] == [(None, None, 0, 0)]
