@@ -455,8 +455,9 @@ _NONE = [k for k, _, _ in questions.KINDS if k not in QUESTION_SETS]
     FROM (SELECT *, CASE {_KIND} END AS kind FROM (SELECT *, {CHANGE_TEXT_SQL} AS said FROM leads)))""")
 def _(t):
     rows = t.leads.select("id", "lead_type", F.expr(HEADLINE).alias("headline"), F.expr(CHANGE_TEXT).alias("said"))
-    headline, said = F.col("headline"), F.col("said")
-    return rows.select("id", questions.kind_of(headline, said).alias("kind"), joined(questions.questions(headline, said, F.col("lead_type"), QUESTION_SETS)).alias("questions"))
+    rows = rows.withColumn("every", questions.every(F.col("headline"), F.col("said")))  # looked at for each kind, written once
+    rows = rows.select("id", "lead_type", "headline", questions.kind_in(F.col("every"), F.col("said")).alias("kind"))
+    return rows.select("id", "kind", joined(questions.questions_on(F.col("headline"), F.col("kind"), F.col("lead_type"), QUESTION_SETS)).alias("questions"))
 
 
 #: Answers in every form that a model gives them in.

@@ -74,3 +74,9 @@ def test_sets_of_no_edges_and_of_nulls(spark, tmp_path):
         rows = spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet")
         (rows.limit(0) if name == "lineitem" else rows).write.parquet(f"{tmp_path}/{name}.parquet")
     assert [tuple(r) for r in QUERIES["agg_stats_bundle"](spark, str(tmp_path)).select("relation", "period", "n", "companies").collect()] == [(None, None, 0, 0)]
+
+
+def test_kinds_are_looked_for_once(spark):
+    """The kind that a question takes is the one that is returned, looked for in one place of the plan."""
+    plan = QUERIES["txt_change_hint"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("THEN EXPANDED") == 1 and "exists" not in plan
