@@ -92,3 +92,45 @@ def test_first_pairs(spark, most_buckets):
     want = sorted(brute_force(rows, 2), key=lambda p: (-p[2], p[0], p[1]))[:25]
     got = shared_pairs(df, "corp", ["partner", "relation"], 2, light=45, bucket=20, most_buckets=most_buckets, first=25)
     assert [tuple(r) for r in got.collect()] == want
+
+
+def test_nothing_is_copied_to_cells(spark):
+    """Members of every item in every bucket: cells read packed buckets, no rows or lists are dealt to each cell over a shuffle."""
+    rows = [(k, m) for k in range(40) for m in range(k % 3, 300, 3)]
+    df = spark.createDataFrame(rows, "no long, m long")
+    found = pairs._counted_in_cells(df, 3, 12)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan and "Generate" not in plan
+    got = [tuple(r) for r in found.collect()]
+    assert len(got) == len(set(got)) and set(got) == brute_force([(m, k) for k, m in rows], 3)
+    assert sorted(map(tuple, pairs._counted_in_cells(df, 3, 12, first=9).orderBy(F.desc("shared"), "a", "b").limit(9).collect())) == sorted(sorted(got, key=lambda p: (-p[2], p[0], p[1]))[:9])
+
+
+@pytest.mark.parametrize("moved", [0, 10**9])
+def test_either_way_of_hubs(spark, monkeypatch, moved):
+    """Hubs that all copies of members share: pairs move only where they are few, whatever there are of buckets."""
+    rng = random.Random(moved)
+    rows = [(m, rng.randrange(30), "x") for m in range(100) for _ in range(9)] + [(m, f"hub{k}", "x") for k in range(5) for m in range(0, 100, k + 1)]
+    df = spark.createDataFrame([(m, str(p), r) for m, p, r in rows], "corp long, partner string, relation string")
+    monkeypatch.setattr(pairs, "MOVED_A_ROW", moved)
+    dealt = []
+    monkeypatch.setattr(pairs, "_dealt_wedges", lambda *a, made=pairs._dealt_wedges: dealt.append(1) or made(*a))
+    got = [tuple(r) for r in shared_pairs(df, "corp", ["partner", "relation"], 3, light=40, most_buckets=0).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute_force([(m, str(p), r) for m, p, r in rows], 3) and bool(dealt) == bool(moved)
+
+
+def test_members_with_too_few_items_go(spark, monkeypatch):
+    """Copies of the same members: the first pairs are known from those with most items, and others aren't paired; ties go by a, then b."""
+    rng = random.Random(5)
+    own = {m: rng.sample(range(50), 3 + m) for m in range(12)}
+    rows = [(m + 100 * copy, f"p{k}") for copy in range(9) for m, items in own.items() for k in items]
+    df = spark.createDataFrame(rows, "corp long, partner string")
+    want = sorted(brute_force(rows, 3), key=lambda p: (-p[2], p[0], p[1]))[:30]
+    monkeypatch.setattr(pairs, "PROBE_FROM", 0)
+    monkeypatch.setattr(pairs, "PROBED", 20)
+    counted = []
+    monkeypatch.setattr(pairs, "_counted_in_cells", lambda rows, *a, made=pairs._counted_in_cells: counted.append(rows.select("m").distinct().count()) or made(rows, *a))
+    assert [tuple(r) for r in shared_pairs(df, "corp", ["partner"], 3, first=30).collect()] == want
+    assert counted[0] == 20 and counted[1] < 20
+    monkeypatch.setattr(pairs, "PROBED_ROWS", 1)  # no member is small enough to begin with: all are paired
+    assert [tuple(r) for r in shared_pairs(df, "corp", ["partner"], 3, first=30).collect()] == want
