@@ -8,6 +8,7 @@ import zipfile
 import pandas as pd
 from pyspark.sql import functions as F
 
+from tessera.operators.relational import spread
 from tessera.plans.registry import query
 from tessera.sources import landing
 from tessera.sources.adapters import AS_OF
@@ -31,14 +32,27 @@ def _(t):
     return landing.filings(lines.union(lines.filter("value LIKE '%merger%'")).union(lines.limit(1).select(F.lit("{broken").alias("value")))).select("rcept_no", "corp_code", "report_nm")
 
 
-@query("src_account_api", "SELECT corp_code::VARCHAR AS corp_code, fiscal_year, revenue::DOUBLE AS revenue, operating_income::DOUBLE AS operating_income, NULL AS net_income FROM financials")
-def _(t):
-    def entry(div, name, column):
-        return F.struct(F.lit(div).alias("fs_div"), F.lit(name).alias("account_nm"), F.format_number(F.col(column) if isinstance(column, str) else column, 0).alias("amount"))
+#: Names under which lists give the fields, blanks and all.
+LISTED = {
+    "revenue": "영업수익", "operating_income": "영업이익 (손실)", "net_income": "당기순이익(손실)", "total_assets": "자산총계", "total_liabilities": "부채 총계", "total_equity": "Total Equity",
+    "current_assets": "유동자산", "current_liabilities": "유동부채", "cash": "기말 현금및현금성자산", "inventory": "재고자산", "operating_cf": "영업활동으로 인한 현금흐름",
+}
+
 
-    listed = F.array(entry("CFS", "Sales", "revenue"), entry("OFS", "Revenue", "inventory"), entry("CFS", "Operating Income", "operating_income"), entry("CFS", "Something Else", "cash"))
-    rows = t.financials.select(F.col("corp_code").cast("string").alias("corp_code"), "fiscal_year", F.inline(listed))
-    return landing.accounts(rows)
+@query("src_account_api", f"SELECT corp_code::VARCHAR AS corp_code, fiscal_year, {', '.join(f'{c}::DOUBLE AS {c}' for c in LISTED)} FROM financials")
+def _(t):
+    # A fifth of the companies has no consolidated list. Behind the fields come names that fill nothing, or too late; before them one without an amount.
+    own = ["매출액", *LISTED.values(), "매출", "Something Else"]
+    names = [*own, "매출액", "현금및현금성자산"]  # the last two in the separate list of those that have both
+    alone = F.col("corp_code") % 5 == 0
+    values = [F.lit(None), *map(F.col, LISTED), F.when(F.col("revenue").isNotNull(), 1), F.col("cash"), F.when(~alone, F.col("inventory")), F.when(~alone, F.col("revenue"))]
+    rows = t.financials.select(F.col("corp_code").cast("string").alias("corp_code"), "fiscal_year", alone.alias("alone"), F.array(*[v.cast("long") for v in values]).alias("values"))
+    rows = spread(rows, t.lineitem.count(), "corp_code", "fiscal_year")  # years move, not their entries
+    rows = rows.select("corp_code", "fiscal_year", "alone", F.posexplode("values").alias("pos", "v"))
+    said = F.format_number(F.abs("v"), 0)
+    amount = F.when(F.col("pos") == 0, "-").when(F.col("v") < 0, F.concat(F.lit("("), said, F.lit(")"))).otherwise(said)
+    name = F.element_at(F.array(*map(F.lit, names)), F.col("pos") + 1)
+    return landing.accounts(rows.select("corp_code", "fiscal_year", F.when(F.col("alone") | (F.col("pos") >= len(own)), "OFS").otherwise("CFS").alias("fs_div"), name.alias("account_nm"), amount.alias("amount"), "pos"))
 
 
 @query("src_event_api", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")

@@ -16,8 +16,20 @@ from tessera.operators.relational import pick_first
 
 FILING = "rcept_no STRING, corp_code STRING, corp_name STRING, report_nm STRING, rcept_dt STRING"
 ACCOUNT = "corp_code STRING, fiscal_year INT, fs_div STRING, account_nm STRING, amount STRING"
-#: Account names by the field that they fill; the first that has a value wins.
-ACCOUNTS = {"revenue": ["revenue", "sales"], "operating_income": ["operatingincome", "operatingprofit"], "net_income": ["netincome", "profitfortheyear"]}
+#: Account names without blanks, in lower case, by the field that they fill: the reference's (scripts/fetch_financials.py:59-90) and English ones.
+ACCOUNTS = {
+    "revenue": ["매출액", "수익(매출액)", "영업수익", "매출", "순매출액", "수익", "총매출액", "매출액(수익)", "revenue", "sales"],
+    "operating_income": ["영업이익", "영업이익(손실)", "영업손익", "영업이익(영업손실)", "영업손실", "operatingincome", "operatingprofit"],
+    "net_income": ["당기순이익", "당기순이익(손실)", "당기순손익", "연결당기순이익", "당기순이익(당기순손실)", "지배기업소유주지분당기순이익", "netincome", "profitfortheyear"],
+    "total_assets": ["자산총계", "totalassets"],
+    "total_liabilities": ["부채총계", "totalliabilities"],
+    "total_equity": ["자본총계", "totalequity"],
+    "current_assets": ["유동자산", "currentassets"],
+    "current_liabilities": ["유동부채", "currentliabilities"],
+    "cash": ["현금및현금성자산", "현금및현금성자산(연결)", "기말현금및현금성자산", "현금및현금등가물", "cashandcashequivalents"],
+    "inventory": ["재고자산", "재고", "inventories"],
+    "operating_cf": ["영업활동으로인한현금흐름", "영업활동현금흐름", "영업으로부터창출된현금", "cashflowsfromoperatingactivities"],
+}
 
 
 def table_or_empty(spark: SparkSession, name: str, schema: str) -> DataFrame:
@@ -41,16 +53,25 @@ def stream_filings(spark: SparkSession, path: str) -> DataFrame:
 
 
 def accounts(lists: DataFrame) -> DataFrame:
-    """Account lists as a row a company and year: canonical fields, consolidated statements before separate ones."""
-    known = [(alias, field, k) for field, names in ACCOUNTS.items() for k, alias in enumerate(names)]
-    names = lists.sparkSession.createDataFrame(known, "alias string, field string, prio int")
-    amount = F.regexp_replace("amount", ",", "").try_cast("double")
-    alias = F.lower(F.regexp_replace("account_nm", r"\s", ""))
-    rows = lists.withColumns({"alias": alias, "amount": amount}).filter("amount IS NOT NULL").join(names, "alias")
+    """Account lists as a row a company and year: the eleven canonical fields of its consolidated list, or of the separate one where there is no other.
+
+    The first entry with an amount fills a field: by its place in the list (column ``pos``) where lists have one, then by the names' order in ACCOUNTS.
+    Amounts in brackets are negative. A company and year without any known amount has no row.
+    """
+    known = [(alias, f, k) for f, names in enumerate(ACCOUNTS.values()) for k, alias in enumerate(names)]
+    names = lists.sparkSession.createDataFrame(known, "alias string, field int, prio int")
+    bare = F.regexp_replace("amount", r"[\s,]", "")
+    amount = F.when(bare.startswith("("), F.regexp_replace(bare, r"^\((.*)\)$", "-$1")).otherwise(bare).try_cast("double")
+    whole = F.coalesce(F.col("fs_div") == "CFS", F.lit(False)).cast("int")
+    place = F.col("pos").cast("long") if "pos" in lists.columns else F.lit(0).cast("long")
+    rows = lists.select("corp_code", "fiscal_year", amount.alias("amount"), whole.alias("whole"), F.lower(F.regexp_replace("account_nm", r"\s", "")).alias("alias"), place.alias("place"))
+    rows = rows.join(names, "alias", "left")  # entries without a known name show that there is a list
     # A rank is one whole number, so that all fields' amounts are picked in one aggregate by hash, without a sort of the entries.
-    rank = F.when(F.col("fs_div") == "CFS", 0).otherwise(len(known)) + F.col("prio")
-    of = lambda field, c: F.when(F.col("field") == field, c)
-    return rows.groupBy("corp_code", "fiscal_year").agg(*[F.min_by(of(field, F.col("amount")), of(field, rank)).alias(field) for field in ACCOUNTS])
+    rows = rows.withColumns({"slot": F.when(F.col("amount").isNotNull(), F.col("field") * 2 + F.col("whole")), "rank": F.col("place") * len(known) + F.col("prio")})
+    picks = [F.min_by("amount", F.when(F.col("slot") == k, F.col("rank"))).alias(f"of_{k}") for k in range(2 * len(ACCOUNTS))]
+    picked = rows.groupBy("corp_code", "fiscal_year").agg(F.max("whole").alias("whole"), *picks)
+    fields = [F.when(F.col("whole") == 1, F.col(f"of_{2 * f + 1}")).otherwise(F.col(f"of_{2 * f}")).alias(field) for f, field in enumerate(ACCOUNTS)]
+    return picked.select("corp_code", "fiscal_year", *fields).filter(F.coalesce(*ACCOUNTS).isNotNull())
 
 
 def rss_items(feeds: DataFrame, today: str, days: int = 30) -> DataFrame:

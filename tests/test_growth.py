@@ -80,3 +80,21 @@ def test_kinds_are_looked_for_once(spark):
     """The kind that a question takes is the one that is returned, looked for in one place of the plan."""
     plan = QUERIES["txt_change_hint"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("THEN EXPANDED") == 1 and "exists" not in plan
+
+
+def test_accounts_fill_all_fields_of_one_list(spark):
+    """Eleven fields; the first entry of a list with an amount wins; separate lists count only where there is no consolidated one, whatever that lacks."""
+    lists = [
+        ("c", 2020, "CFS", "매출액", "-", 0), ("c", 2020, "CFS", "영업 수익", "1,000", 1), ("c", 2020, "CFS", "매출액", "5", 2), ("c", 2020, "CFS", "영업이익(손실)", " (1,234) ", 3),
+        ("c", 2020, "CFS", "기말 현금및현금성자산", "7", 4), ("c", 2020, "CFS", "영업활동으로 인한 현금흐름", "8", 5), ("c", 2020, "OFS", "재고자산", "9", 0),
+        ("d", 2020, "OFS", "자산총계", "1", 0), ("d", 2020, "OFS", "부채총계", "2", 1), ("d", 2020, "OFS", "자본총계", "3", 2), ("d", 2020, "OFS", "유동자산", "4", 3), ("d", 2020, None, "유동부채", "5", 4),
+        ("d", 2020, "OFS", "재고", "6", 5), ("d", 2020, "OFS", "지배기업소유주지분당기순이익", "0", 6), ("e", 2020, "CFS", "Unknown", "1", 0), ("e", 2020, "OFS", "자산총계", "1", 0), ("f", None, "CFS", "매출액", "(x)", 0),
+    ]
+    out = landing.accounts(spark.createDataFrame(lists, landing.ACCOUNT + ", pos INT"))
+    assert out.columns == ["corp_code", "fiscal_year", *landing.ACCOUNTS] and len(landing.ACCOUNTS) == 11
+    got = {r.corp_code: {k: v for k, v in r.asDict().items() if v is not None and k in landing.ACCOUNTS} for r in out.collect()}
+    assert got == {
+        "c": {"revenue": 1000.0, "operating_income": -1234.0, "cash": 7.0, "operating_cf": 8.0},
+        "d": {"total_assets": 1.0, "total_liabilities": 2.0, "total_equity": 3.0, "current_assets": 4.0, "current_liabilities": 5.0, "inventory": 6.0, "net_income": 0.0},
+    }
+    assert "SortAggregate" not in out._jdf.queryExecution().executedPlan().toString()
