@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import duckdb
 from pyspark.sql import functions as F
 
 from tessera.functions import contact, numbers, text
 from tessera.operators import filings, relational, verification
-from tessera.plans.catalog import QUERIES
+from tessera.plans.catalog import ORACLE_SQL, QUERIES
 from tessera.sources import landing
+from tests.compare import normal_rows
 
 
 def test_numbers_of_a_lead_meet_its_companys_values(spark):
@@ -98,3 +100,23 @@ def test_accounts_fill_all_fields_of_one_list(spark):
         "d": {"total_assets": 1.0, "total_liabilities": 2.0, "total_equity": 3.0, "current_assets": 4.0, "current_liabilities": 5.0, "inventory": 6.0, "net_income": 0.0},
     }
     assert "SortAggregate" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_bundle_has_all_parts(spark, tmp_path):
+    """Totals with partners, relations, periods, hubs and bands, over edges without a company, a day or a partner's name, and partners of one name."""
+    change = {
+        "orders": ("o_custkey", "CASE WHEN o_orderkey % 7 = 0 THEN NULL WHEN o_custkey % 3 = 0 THEN o_orderkey * 1000 ELSE o_custkey END"),
+        "lineitem": ("l_shipdate", "CASE WHEN l_partkey % 5 = 0 THEN NULL ELSE l_shipdate END"),
+        "supplier": ("s_name", "CASE s_suppkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 'one' ELSE s_name END"),
+    }
+    con = duckdb.connect()
+    for name, (column, by) in change.items():
+        spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").withColumn(column, F.expr(by)).write.parquet(f"{tmp_path}/{name}.parquet")
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    got = QUERIES["agg_stats_bundle"](spark, str(tmp_path))
+    want = con.execute(ORACLE_SQL["agg_stats_bundle"])
+    names = [d[0] for d in want.description]
+    rows = got.collect()
+    assert normal_rows(got.columns, map(tuple, rows)) == normal_rows(names, want.fetchall())
+    assert {r.part for r in rows} == {"total", "relation", "period", "hub", "band"} and {"1", "20+"} <= {r.band for r in rows}
+    assert [r.partners is None for r in rows if r.part == "total"] == [False]
